@@ -1,0 +1,3 @@
+"""Streaming: the reference has no stream, watermark, window or state construct;
+every report is a bounded batch between two run-date parameters. Nothing is
+built here on purpose (see README, "Not built")."""
