@@ -139,7 +139,7 @@ def pct_text(num: Column, den: Column, digits: int = 1, sep: str = " %") -> Colu
 
 def pct_text_ratio(x: Column, digits: int = 2) -> Column:
     """Percent text of a ratio with two decimals: 0.1234 -> ``'12.34%'``."""
-    return F.format_string(f"%.{digits}f%%", (x * 100).cast("double"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f%%", (x * 100).cast("double")))
 
 
 def age_years(dob: Column | str, as_of: Column | str) -> Column:

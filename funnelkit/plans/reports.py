@@ -137,3 +137,106 @@ def recency_flags(df: DataFrame, *, user: str, t: str, d0: str, d1: str, d2: str
 
 def with_col(df: DataFrame, name: str, c: Column | str) -> DataFrame:
     return df.withColumn(name, col_(c))
+
+
+# ---------------------------------------------------------------------------
+# C2 cohort conversion matrix
+
+def conversion_matrix(base: DataFrame, conversions: DataFrame, *, user: str, lead: str,
+                      profiled: str, applied: str, booked: str, m0: str, m1: str, m2: str,
+                      end: str) -> DataFrame:
+    """Vintage rows (M0 / M1 / M2 / M2+ by profile date) x month columns x
+    {profiled users, applied leads, converted leads}.
+
+    ``base``: applications in the window with their user's profile date.
+    ``conversions``: converted leads (user, lead, booking date). A conversion
+    counts for a user when booked on/after that user's profile date and on/before
+    ``end``. The condition depends on the user only, so conversions are matched
+    per user (an equi join on a one-row-per-user table), never per application
+    pair. Output column names carry the month parameters (``'<m0> profiled'``).
+    """
+    lit = lambda s: F.lit(s).cast("timestamp_ntz")
+
+    def buckets(c):
+        c = F.col(c)
+        return {m0: c >= lit(m0), m1: (c >= lit(m1)) & (c < lit(m0)),
+                m2: (c >= lit(m2)) & (c < lit(m1)), "M2+": c < lit(m2)}
+
+    p = F.col(profiled)
+    vintage = (F.when(p >= lit(m0), "M0").when((p >= lit(m1)) & (p < lit(m0)), "M1")
+               .when((p >= lit(m2)) & (p < lit(m1)), "M2").when(p < lit(m2), "M2+"))
+    b = base.withColumn("vintage", vintage)
+    aggs = [F.count_distinct(F.when(cond, F.col(user))).alias(f"{k} profiled")
+            for k, cond in buckets(profiled).items()]
+    aggs += [F.count_distinct(F.when(cond, F.col(lead))).alias(f"{k} applied")
+             for k, cond in buckets(applied).items()]
+    left = b.groupBy("vintage").agg(*aggs)
+
+    users = b.groupBy(user, "vintage").agg(F.min(profiled).alias("__p"))
+    conv = conversions.join(users, user, "inner").where(
+        (F.col(booked) >= F.col("__p")) & (F.col(booked) <= lit(end)))
+    right = conv.groupBy("vintage").agg(
+        *[F.count_distinct(F.when(cond, F.col(lead))).alias(f"{k} conversion")
+          for k, cond in buckets(booked).items()])
+    out = left.join(right, "vintage", "left")
+    return out.fillna(0, subset=[f"{k} conversion" for k in (m0, m1, m2, "M2+")])
+
+
+# ---------------------------------------------------------------------------
+# C3 source attribution cascade
+
+# The attribution rules, in order (first match wins).
+PORTFOLIO_SOURCE = "(^cis-pa|^email|^sms|sms$)"
+PORTFOLIO_EXCLUDE = "monitoring"
+SMS_CODE = "^(CRM|byssms|chrsms|bhrsms)-(?=.*[0-9].*)(?=.*[A-Z].*)[A-Z0-9]+$"
+EMAIL_CODE = "^(CRM|bysemail|chremail|bhremail)-(?=.*[0-9].*)(?=.*[A-Z].*)[A-Z0-9]+$"
+CODE_SUFFIX = "-([A-Z0-9]+)$"
+APP_CODE = "^(?=.*[0-9].*_)(?=.*[A-Z].*_)[A-Z0-9]+_androidapp"
+APP_CODE_PREFIX = "^([A-Z0-9]+)_"
+
+
+def attribution_owner(source: Column, fallback_owner: Column, default: str = "System") -> Column:
+    """Owner from the as-of login source text, else the look-back contact
+    owner, else ``default``. Case-insensitive tests, case-sensitive code
+    extraction: a lower-case code matches a rule but extracts NULL (kept)."""
+    from funnelkit.functions.expr import cmatch, extract_group, imatch, nimatch
+    return (F.when(imatch(source, PORTFOLIO_SOURCE) & nimatch(source, PORTFOLIO_EXCLUDE), F.lit("PORTFOLIO"))
+            .when(imatch(source, SMS_CODE), extract_group(source, CODE_SUFFIX))
+            .when(imatch(source, EMAIL_CODE), extract_group(source, CODE_SUFFIX))
+            .when(cmatch(source, APP_CODE), extract_group(source, APP_CODE_PREFIX))
+            .when(fallback_owner.isNotNull(), fallback_owner)
+            .otherwise(F.lit(default)))
+
+
+# ---------------------------------------------------------------------------
+# C8 plan-versus-actual pacing
+
+def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequence[str],
+           lead: str, t: str, day: str, days_month: Column, days_past: Column) -> DataFrame:
+    """C8 per (team, keys): DTD actual (distinct leads on ``day``), MTD actual
+    (rows), MTD estimate, plan, percentages, backlog and daily run rate.
+
+    ``plan_long``: (team, keys..., monthly_plan, dtd_plan). ``days_month`` /
+    ``days_past``: per-team columns (a team may run on working days). Only keys
+    with a non-zero plan of the team are kept. R's ``round`` is half-to-even.
+    """
+    from funnelkit.functions.expr import pct_text_ratio
+    a = actuals.groupBy(team, *keys).agg(
+        F.count_distinct(F.when(F.to_date(F.col(t)) == F.lit(day).cast("date"), F.col(lead)))
+        .alias("dtd_actual"),
+        F.count(F.lit(1)).alias("mtd_actual"))
+    nz = plan_long.where(F.col("monthly_plan") != 0)
+    j = a.join(nz, [team, *keys], "left")
+    j = j.withColumns({"__dm": days_month, "__dp": days_past})
+    j = j.withColumns({
+        "mtd_estimate": F.bround(F.col("mtd_actual") / F.col("__dp") * F.col("__dm"), 0).cast("long"),
+        "mtd_plan": F.bround(F.col("monthly_plan") / F.col("__dm") * F.col("__dp"), 0).cast("long")})
+    j = j.withColumns({
+        "dtd_pct": pct_text_ratio(F.try_divide(F.col("dtd_actual"), F.col("dtd_plan"))),
+        "mtd_pct": pct_text_ratio(F.try_divide(F.col("mtd_actual"), F.col("mtd_plan"))),
+        "backlog": F.col("mtd_plan") - F.col("mtd_actual"),
+        "drr": F.bround((F.col("monthly_plan") - F.col("mtd_actual")) / F.col("__dp"), 0).cast("long")})
+    keep = nz.select(team, F.concat_ws(" ", *keys).alias("__key"))
+    j = j.withColumn("__key", F.concat_ws(" ", *keys)).join(keep, [team, "__key"], "left_semi")
+    return j.select(team, *keys, "dtd_actual", "dtd_plan", "dtd_pct", "mtd_actual", "mtd_plan",
+                    "mtd_pct", "mtd_estimate", "monthly_plan", "backlog", "drr")
