@@ -143,9 +143,12 @@ def pct_text_ratio(x: Column, digits: int = 2) -> Column:
 
 
 def age_years(dob: Column | str, as_of: Column | str) -> Column:
-    """Completed years between dob and the run date."""
-    as_of = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
-    return F.floor(F.months_between(as_of, col_(dob).cast("date")) / 12).cast("int")
+    """Completed years between dob and the run date (a 29 February birthday
+    completes a year on 1 March in non-leap years)."""
+    a = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of.cast("date")
+    b = col_(dob).cast("date")
+    before = (F.month(a) < F.month(b)) | ((F.month(a) == F.month(b)) & (F.dayofmonth(a) < F.dayofmonth(b)))
+    return (F.year(a) - F.year(b) - F.when(before, 1).otherwise(0)).cast("int")
 
 
 def to_numeric(c: Column | str, precision: int = 18, scale: int = 2) -> Column:
