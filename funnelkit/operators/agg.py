@@ -75,7 +75,7 @@ def collect_struct(fields: Mapping[str, Column | str], order: Sequence[Column |
     """Parallel ``array_agg`` columns as one sorted array of structs, so a
     NULL in one field cannot shift the other arrays."""
     s = F.struct(order_key(order).alias("__o"), *[col_(c).alias(n) for n, c in fields.items()])
-    return F.transform(F.array_sort(F.collect_list(s)), lambda e: e.dropFields("__o"))
+    return F.transform(F.sort_array(F.collect_list(s)), lambda e: e.dropFields("__o"))
 
 
 def answers_map(k: Column | str, v: Column | str) -> Column:

@@ -125,6 +125,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     inner = u.select(*lx.columns, *[_MERGE[aggs[n][0]](F.col(a)).over(w_in).alias(f"{a}_in")
                                      for a, n in zip(acols, names)]).where(F.col(_S) == l_side)
 
+    # Bucket summaries come from a separate partial (map-side combined)
+    # aggregate: one row per (key, bucket) crosses the network.
     summary = u.groupBy(*kcols, _B).agg(
         *[_MERGE[aggs[n][0]](F.col(a)).alias(f"{a}_s") for a, n in zip(acols, names)],
         F.max(F.col(_S) == l_side).alias("__hasl"))
