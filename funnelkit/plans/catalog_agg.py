@@ -251,18 +251,20 @@ def call_state(spark, d):
 
 
 @query("string_agg_types", ids="A13 STR6", sql="""
-SELECT user_id,
-       string_agg(event_type || ':' || CAST(event_id AS VARCHAR), ' , ' ORDER BY event_id)
-         FILTER (WHERE value > 90) AS hi_events,
-       count(*) FILTER (WHERE value > 90) AS n_hi
-FROM events GROUP BY user_id
+SELECT l_orderkey,
+       string_agg(l_returnflag || ':' || CAST(l_linenumber AS VARCHAR), ' , '
+                  ORDER BY l_linenumber, l_returnflag) FILTER (WHERE l_quantity > 25) AS hi_lines,
+       count(*) FILTER (WHERE l_quantity > 25) AS n_hi
+FROM lineitem GROUP BY l_orderkey
 """)
 def string_agg_types(spark, d):
-    ev = Tables(spark, d).events
-    hi = F.col("value") > 90
-    return ev.groupBy("user_id").agg(
-        join_strings(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")), " , ",
-                     order="event_id", where=hi).alias("hi_events"),
+    # string_agg per lead over its lines: the group is bounded by the data
+    # model (an order has at most seven lines), so no output row grows with data.
+    li = Tables(spark, d).lineitem
+    hi = F.col("l_quantity") > 25
+    return li.groupBy("l_orderkey").agg(
+        join_strings(F.concat("l_returnflag", F.lit(":"), F.col("l_linenumber").cast("string")), " , ",
+                     order="l_linenumber", where=hi).alias("hi_lines"),
         F.count(F.when(hi, 1)).alias("n_hi"))
 
 
@@ -316,15 +318,18 @@ def answers_map_q(spark, d):
     return m.select("user_id", text.alias("answers"), F.size("m").cast("long").alias("n_keys"))
 
 
-@query("csv_list_explode", ids="AR1 A13", sql="""
-SELECT DISTINCT user_id, t AS event_type
-FROM (SELECT user_id, string_agg(event_type, ',') AS types FROM events WHERE value > 80 GROUP BY user_id) x,
-     unnest(string_split(types, ',')) AS u(t)
+@query("csv_list_explode", ids="AR1 STR2", sql="""
+SELECT DISTINCT user_id, t AS token
+FROM events,
+     unnest(string_split(concat_ws(',', event_type, 'k' || json_extract_string(props, '$.k'),
+                                   CASE WHEN value > 50 THEN 'hi' END), ',')) AS u(t)
 """)
 def csv_list_explode(spark, d):
-    ev = Tables(spark, d).events.where(F.col("value") > 80)
-    lists = ev.groupBy("user_id").agg(F.concat_ws(",", F.collect_list("event_type")).alias("types"))
-    return lists.select("user_id", F.explode(F.split("types", ",")).alias("event_type")).distinct()
+    # unnest(string_to_array(list, ',')) on a per-row comma list, then distinct.
+    ev = Tables(spark, d).events
+    lst = F.concat_ws(",", "event_type", F.concat(F.lit("k"), F.get_json_object("props", "$.k")),
+                      F.when(F.col("value") > 50, F.lit("hi")))
+    return ev.select("user_id", F.explode(F.split(lst, ",")).alias("token")).distinct()
 
 
 @query("basic_aggs", ids="A1 A2 A4 A5 A17 O1", sql="""
