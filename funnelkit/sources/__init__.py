@@ -1,7 +1,7 @@
 from funnelkit.sources.tables import (TABLES, load, load_all, read_csv, read_dataset,
                                       rename_at, serial_to_date, maybe_in, date_series)
-from funnelkit.sources.sinks import save_cohort, load_cohort, write_csv, write_by_team
+from funnelkit.sources.sinks import save_cohort, load_cohort, write_csv, write_by_team, cut_lineage
 
 __all__ = ["TABLES", "load", "load_all", "read_csv", "read_dataset", "rename_at",
            "serial_to_date", "maybe_in", "date_series", "save_cohort", "load_cohort",
-           "write_csv", "write_by_team"]
+           "write_csv", "write_by_team", "cut_lineage"]

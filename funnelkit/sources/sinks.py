@@ -31,3 +31,12 @@ def write_by_team(df: DataFrame, path: str, team_col: str = "attribution",
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``
+    (read from the session; see ``funnelkit.session.checkpoint_dir``). Survives
+    executor loss, unlike a local checkpoint."""
+    from funnelkit.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -45,3 +45,10 @@ def test_sinks_roundtrip(spark):
     write_by_team(df, os.path.join(d, "teams"))
     assert sorted(x for x in os.listdir(os.path.join(d, "teams")) if x.startswith("attribution=")) == \
         ["attribution=PA", "attribution=System"]
+
+
+def test_cut_lineage_uses_session_checkpoint_dir(spark):
+    from funnelkit.sources import cut_lineage
+    df = spark.range(10).withColumn("x", F.col("id") * 2)
+    out = cut_lineage(df)
+    assert out.count() == 10 and spark.conf.get("spark.checkpoint.dir")
