@@ -143,8 +143,16 @@ def disposition_summary(df: DataFrame, group: Sequence[str], ident: Column | str
 
 
 def bind_cols(*one_row: DataFrame) -> DataFrame:
-    """Side-by-side binding of one-row frames (each a global aggregate)."""
-    return reduce(lambda a, b: a.crossJoin(b), one_row)
+    """Side-by-side binding of one-row frames (each a global aggregate).
+
+    Each frame has exactly one row by construction, so it is broadcast (a
+    proven size bound) and joined on a constant key: no cartesian product."""
+    def keyed(df):
+        return df.withColumn("__one", F.lit(1))
+    out = keyed(one_row[0])
+    for df in one_row[1:]:
+        out = out.join(F.broadcast(keyed(df)), "__one", "inner")
+    return out.drop("__one")
 
 
 def full_join_all(dfs: Sequence[DataFrame], key: Sequence[str] | str) -> DataFrame:

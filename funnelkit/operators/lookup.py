@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import col_
 
-__all__ = ["first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
+__all__ = ["row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
            "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
            "order_key", "time_micros"]
 
@@ -281,3 +281,18 @@ def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_stat
               .where(F.col("__p") < F.col("__m1"))
               .groupBy(*keys).agg(F.max("__p").alias("__m2")))
     return second.select(*keys, F.col("__m2.s").alias(out), F.col("__m2.t").alias(f"{out}_at"))
+
+
+def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
+    """1-based position of every row in a total order, without a global
+    window. The sort range-partitions the rows; a per-partition row count (one
+    row per partition) gives each partition its offset; a row's position is
+    its partition offset plus its index inside the partition."""
+    srt = df.orderBy(*[col_(o) for o in order]).withColumns({
+        "__pid": F.spark_partition_id(), "__mid": F.monotonically_increasing_id()})
+    counts = srt.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    inner = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    out = srt.join(F.broadcast(offsets), "__pid")
+    return out.withColumn(name, F.col("__off") + inner + 1).drop("__pid", "__mid", "__off")

@@ -12,7 +12,7 @@ from funnelkit.functions.expr import (age_years, case_cascade, cmatch, collapse_
                                       flag_when, half_open, imatch, m_bucket, month_diff,
                                       month_offset_label, nimatch, similar_prefix, text_between,
                                       to_numeric)
-from funnelkit.operators.lookup import lookup_latest
+from funnelkit.operators.lookup import lookup_latest, row_positions
 from funnelkit.plans.registry import Tables, query
 from funnelkit.sources.tables import maybe_in
 
@@ -214,6 +214,14 @@ def rows_after_position(spark, d):
     return o.where(F.col("o_orderkey") > nth).select("o_orderkey", "o_custkey")
 
 
+@query("row_positions", ids="W2 F15", sql="""
+SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders
+""")
+def row_positions_q(spark, d):
+    o = Tables(spark, d).orders.select("o_orderkey", "o_custkey")
+    return row_positions(o, ["o_orderkey"])
+
+
 @query("recent_relative", ids="F13 DT7", sql="""
 SELECT event_type, count(*) AS n_recent FROM events
 WHERE ts >= CAST(DATE '2024-01-30' - INTERVAL 1 DAY AS TIMESTAMP)

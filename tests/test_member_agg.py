@@ -112,3 +112,20 @@ def test_bind_cols_and_fill_zero(spark):
     a = spark.range(3).agg(F.count(F.lit(1)).alias("n"))
     b = spark.range(3).where("id > 5").agg(F.sum("id").alias("s"))
     assert rows(fill_zero(bind_cols(a, b))) == [(3, 0)]
+
+
+def test_full_join_all(spark):
+    from funnelkit.operators.agg import full_join_all
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, a long")
+    b = spark.createDataFrame([("y", 3), ("z", 4)], "k string, b long")
+    c = spark.createDataFrame([("x", 5)], "k string, c long")
+    assert rows(full_join_all([a, b, c], "k")) == [("x", 1, None, 5), ("y", 2, 3, None), ("z", None, 4, None)]
+
+
+def test_row_positions_match_row_number(spark):
+    from pyspark.sql import Window
+    from funnelkit.operators.lookup import row_positions
+    df = spark.range(0, 5000).selectExpr("(id * 7919) % 5000 AS k", "id").repartition(7)
+    got = row_positions(df, ["k", "id"])
+    exp = df.withColumn("pos", F.row_number().over(Window.orderBy("k", "id")))
+    assert rows(got, "k", "id", "pos") == rows(exp, "k", "id", "pos")
