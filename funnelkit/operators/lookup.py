@@ -24,7 +24,7 @@ from funnelkit.functions.expr import col_
 
 __all__ = ["row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
            "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
-           "order_key", "time_micros"]
+           "order_key", "time_micros", "time_bucket"]
 
 DEFAULT_BUCKET_SECONDS = 86400
 _T, _B, _S = "__t", "__b", "__side"
@@ -45,6 +45,13 @@ def time_micros(c: Column | str) -> Column:
     return F.unix_micros(col_(c).cast("timestamp"))
 
 
+def time_bucket(c: Column | str, bucket_seconds: int, forward: bool = False) -> Column:
+    """Bucket number of a time column as used by the prefix engine (monotone in
+    time; negated time when looking forward)."""
+    sign = -1 if forward else 1
+    return F.floor(time_micros(c) * sign / (int(bucket_seconds) * 1_000_000))
+
+
 def order_key(order: Sequence[Column | str]) -> Column:
     """Struct sort key with PostgreSQL NULL placement: NULL sorts as the largest
     value, so it comes last ascending and first descending."""
