@@ -133,7 +133,9 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
                                      for a, n in zip(acols, names)]).where(F.col(_S) == l_side)
 
     # Bucket summaries come from a separate partial (map-side combined)
-    # aggregate: one row per (key, bucket) crosses the network.
+    # aggregate: one row per (key, bucket) and input task crosses the network.
+    # The inputs are scanned a second time for it (column pruning gives the
+    # two branches different exchanges, so they cannot share one).
     summary = u.groupBy(*kcols, _B).agg(
         *[_MERGE[aggs[n][0]](F.col(a)).alias(f"{a}_s") for a, n in zip(acols, names)],
         F.max(F.col(_S) == l_side).alias("__hasl"))
