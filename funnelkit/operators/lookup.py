@@ -111,20 +111,21 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     def tnum(c):
         return time_micros(c) * sign
 
+    lt = tnum(left_time)
     lx = left.withColumns({**{k: F.col(lk) for k, (lk, _) in zip(kcols, pairs)},
-                           _T: tnum(left_time), _S: F.lit(l_side)})
-    lx = lx.withColumn(_B, F.floor(F.col(_T) / width))
+                           _T: lt, _S: F.lit(l_side), _B: F.floor(lt / width)})
     names = list(aggs)
     acols = [f"__a{i}" for i in range(len(names))]
+    rt = tnum(right_time)
     rsel = [F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)]
-    rsel += [tnum(right_time).alias(_T), F.lit(r_side).alias(_S)]
+    rsel += [rt.alias(_T), F.lit(r_side).alias(_S), F.floor(rt / width).alias(_B)]
     for a, n in zip(acols, names):
         kind, expr = aggs[n]
         rsel.append((F.lit(1) if kind == "count" else expr).alias(a))
-    rx = right.select(*rsel).where(F.col(_T).isNotNull())
-    for k in kcols:
-        rx = rx.where(F.col(k).isNotNull())
-    rx = rx.withColumn(_B, F.floor(F.col(_T) / width))
+    keep = rt.isNotNull()
+    for (_, rk) in pairs:
+        keep = keep & F.col(rk).isNotNull()
+    rx = right.where(keep).select(*rsel)
 
     u = lx.unionByName(rx, allowMissingColumns=True)
     w_in = (Window.partitionBy(*kcols, _B).orderBy(_T, _S)
