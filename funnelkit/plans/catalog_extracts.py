@@ -496,3 +496,115 @@ def applications_extract(spark, d):
                       (imatch("o_orderpriority", "high"), F.lit("HIGH PL"))],
                      F.col("o_orderpriority")).alias("sku_name"),
         decode_label("o_orderpriority", {"1-URGENT": 1, "5-LOW": 0}).alias("consent"))
+
+
+@query("rejected_enriched", ids="R1 J5 J7 J8 J9 J22 P2 P4 P5 U3", sql="""
+WITH base AS (
+  SELECT la.o_orderkey AS lead_id, la.o_custkey AS user_id, la.o_orderstatus AS product_status,
+         la.o_orderdate AS applied_date,
+         count(*) AS fanout_rows,
+         max(CASE WHEN regexp_matches(scuf.o_orderstatus, 'f', 'i') AND scuf.o_orderdate >= TIMESTAMP '2000-01-01' THEN 1 END) AS scuf_applied_2years_flag,
+         max(CASE WHEN regexp_matches(scuf.o_orderstatus, 'f', 'i') THEN 1 END) AS scuf_applied_ltd_flag
+  FROM orders la
+  LEFT JOIN LATERAL (SELECT * FROM orders app WHERE app.o_custkey = la.o_custkey) scuf ON TRUE
+  WHERE regexp_matches(la.o_orderpriority, '(3-|4-)', 'i') AND la.o_orderdate >= TIMESTAMP '1998-01-01'
+  GROUP BY 1, 2, 3, 4
+)
+SELECT b.*,
+  (SELECT o2.o_orderdate FROM orders o2 WHERE o2.o_custkey = b.user_id ORDER BY o2.o_orderdate LIMIT 1) AS first_profile_date,
+  CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'Green' WHEN c.c_mktsegment = 'MACHINERY' THEN 'Red'
+       WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Amber' END AS customer_type,
+  (SELECT e.event_id FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'signup'
+   ORDER BY e.ts DESC, e.event_id DESC LIMIT 1) AS tkn,
+  coalesce((SELECT e.value FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'purchase'
+            ORDER BY e.ts DESC, e.event_id DESC LIMIT 1),
+           (SELECT e.value FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'view'
+            ORDER BY e.ts DESC, e.event_id DESC LIMIT 1)) AS monthly_income,
+  CAST(date_part('year', age(DATE '2024-01-30', CAST(DATE '1960-01-01' + CAST((b.user_id * 37) % 18000 AS INTEGER) AS DATE))) AS INTEGER) AS age,
+  (SELECT e.ts FROM events e WHERE e.user_id = b.user_id ORDER BY e.ts DESC LIMIT 1) AS latest_login_date
+FROM base b JOIN customer c ON c.c_custkey = b.user_id
+WHERE b.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 98)
+""")
+def rejected_enriched(spark, d):
+    from funnelkit.functions.expr import age_years
+    from funnelkit.operators.member import suppress
+    t = Tables(spark, d)
+    la = t.orders.where(imatch("o_orderpriority", "(3-|4-)") & (F.col("o_orderdate") >= _ts("1998-01-01")))
+    # the fan-out lateral (every lead x all of its user's leads) is kept as its
+    # multiplicity and the per-pair flags as aggregates per user
+    f = imatch("o_orderstatus", "f")
+    per_user = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.count(F.lit(1)).alias("fanout_rows"),
+        F.max(F.when(f & (F.col("o_orderdate") >= _ts("2000-01-01")), 1)).alias("scuf_applied_2years_flag"),
+        F.max(F.when(f, 1)).alias("scuf_applied_ltd_flag"),
+        F.min("o_orderdate").alias("first_profile_date"))
+    base = la.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
+                     F.col("o_orderstatus").alias("product_status"), F.col("o_orderdate").alias("applied_date"))
+    cust = t.customer.select(F.col("c_custkey").alias("user_id"),
+                             decode_label("c_mktsegment", SEGMENT_LABELS).alias("customer_type"))
+    out = (base.join(per_user, "user_id", "left").join(cust, "user_id", "inner")
+           .join(_user_event_lookups(t), "user_id", "left"))
+    out = suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > 98)),
+                   "user_id", "user_id")
+    dob = F.date_add(F.lit("1960-01-01").cast("date"), ((F.col("user_id") * 37) % 18000).cast("int"))
+    return out.select(
+        "lead_id", "user_id", "product_status", "applied_date", "fanout_rows", "scuf_applied_2years_flag",
+        "scuf_applied_ltd_flag", "first_profile_date", "customer_type", "tkn",
+        F.coalesce("__last_purchase_value", "__last_view_value").alias("monthly_income"),
+        age_years(dob, "2024-01-30").alias("age"), "latest_login_date")
+
+
+@query("rest_of_base", ids="R7 C4 J6 J22 J23 F5 F11 P4 A22", sql="""
+WITH base AS (
+  SELECT c.c_custkey AS user_id, c.c_acctbal AS credit_score, c.c_mktsegment AS employment_type,
+         CAST(c.c_custkey AS VARCHAR) AS pincode
+  FROM customer c
+  LEFT JOIN LATERAL (SELECT o.o_orderstatus AS last1mnth_status FROM orders o
+                     WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= TIMESTAMP '2001-01-01'
+                       AND o.o_orderstatus = 'P') cpa ON TRUE
+  WHERE c.c_acctbal >= 500
+    AND (regexp_matches(c.c_mktsegment, '(build|auto)', 'i') OR c.c_mktsegment IS NULL)
+    AND CAST(c.c_custkey AS VARCHAR) NOT BETWEEN '500' AND '550'
+    AND cpa.last1mnth_status IS NULL
+),
+b2 AS (
+  SELECT b.*, cashe.cashe_flag, es_1.es_tier1_flag, es_2.es_tier2_flag
+  FROM base b
+  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS cashe_flag FROM orders x
+                     WHERE x.o_custkey = b.user_id AND x.o_totalprice > 450000) cashe ON TRUE
+  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS es_tier1_flag FROM orders x
+                     WHERE x.o_custkey = b.user_id AND x.o_orderpriority = '1-URGENT'
+                       AND x.o_orderdate >= TIMESTAMP '2000-01-01') es_1 ON TRUE
+  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS es_tier2_flag FROM orders x
+                     WHERE x.o_custkey = b.user_id AND x.o_orderpriority = '2-HIGH'
+                       AND x.o_orderdate >= TIMESTAMP '2000-01-01') es_2 ON TRUE
+)
+SELECT b.*,
+       CASE WHEN b.credit_score >= 1500 AND b.user_id % 100 >= 22 AND b.user_id % 100 <= 45 THEN '1' END AS kb_flag,
+       (SELECT e.event_id FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'signup'
+        ORDER BY e.ts DESC, e.event_id DESC LIMIT 1) AS tkn,
+       (SELECT e.ts FROM events e WHERE e.user_id = b.user_id ORDER BY e.ts DESC LIMIT 1) AS latest_login_date
+FROM b2 b
+WHERE b.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 98)
+""")
+def rest_of_base(spark, d):
+    from funnelkit.functions.expr import flag_when, text_between
+    from funnelkit.operators.member import attach_flag, suppress
+    t = Tables(spark, d)
+    base = t.customer.where((F.col("c_acctbal") >= 500) &
+                            (imatch("c_mktsegment", "(build|auto)") | F.col("c_mktsegment").isNull()) &
+                            text_between(F.col("c_custkey").cast("string"), "500", "550", negate=True))
+    recent_p = t.orders.where((F.col("o_orderdate") >= _ts("2001-01-01")) & (F.col("o_orderstatus") == "P"))
+    base = anti(base, recent_p, [("c_custkey", "o_custkey")]).select(
+        F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("credit_score"),
+        F.col("c_mktsegment").alias("employment_type"), F.col("c_custkey").cast("string").alias("pincode"))
+    since = F.col("o_orderdate") >= _ts("2000-01-01")
+    for name, members in [("cashe_flag", t.orders.where(F.col("o_totalprice") > 450000)),
+                          ("es_tier1_flag", t.orders.where((F.col("o_orderpriority") == "1-URGENT") & since)),
+                          ("es_tier2_flag", t.orders.where((F.col("o_orderpriority") == "2-HIGH") & since))]:
+        base = attach_flag(base, members, "user_id", name, "o_custkey")
+    age = F.col("user_id") % 100
+    out = base.withColumn("kb_flag", flag_when((F.col("credit_score") >= 1500) & (age >= 22) & (age <= 45), "1"))
+    out = out.join(_user_event_lookups(t).select("user_id", "tkn", "latest_login_date"), "user_id", "left")
+    return suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > 98)),
+                    "user_id", "user_id")
