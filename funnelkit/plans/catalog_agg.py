@@ -488,3 +488,108 @@ def safe_ratio_q(spark, d):
                     pct_text(F.col("n_f"), F.col("n_orders")).alias("pct_f"),
                     pct_text(F.col("n_f"), F.col("n_x")).alias("pct_f_of_x"),
                     (F.col("n_orders") % 7).alias("bucket"))
+
+
+_OB_SQL = """CASE WHEN l_returnflag = 'R' THEN 'Answered Linkcall'
+                   WHEN l_returnflag = 'A' THEN 'Answered Linkcall Abandoned'
+                   WHEN l_linestatus = 'O' THEN 'Answered Hangup' ELSE 'Busy' END"""
+
+
+@query("call_mis_combined", ids="R3 C9 A16 A24 SET1 SRC5 F13 P8 STR10 J26", sql=f"""
+WITH ivr AS (
+  SELECT c.c_mktsegment AS campaign_name, e.user_id AS id, {_OUTCOME_SQL} AS r
+  FROM events e JOIN customer c ON c.c_custkey = e.user_id
+),
+mivr AS (
+  SELECT campaign_name, count(DISTINCT id) AS total_calls,
+    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Busy', 'Invalid', 'No Answer', 'Failed No Lines', 'Canceled', 'Answered Hangup')) AS dialled,
+    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Answered Hangup')) AS answered,
+    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
+    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall')) AS connected,
+    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall Abandoned')) AS abandoned,
+    count(DISTINCT id) FILTER (WHERE r IN ('Answered Hangup')) AS hangup
+  FROM ivr GROUP BY campaign_name
+),
+ob_calls AS (SELECT l_suppkey AS phone, {_OB_SQL} AS r FROM lineitem),
+ob AS (
+  SELECT 'OB' AS campaign_name, count(DISTINCT phone) AS total_calls,
+    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Busy', 'Invalid', 'No Answer', 'Failed No Lines', 'Canceled', 'Answered Hangup')) AS dialled,
+    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Answered Hangup')) AS answered,
+    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
+    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall')) AS connected,
+    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall Abandoned')) AS abandoned,
+    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Hangup')) AS hangup
+  FROM ob_calls
+),
+chat_dump AS (
+  SELECT user_id, event_id % 10 AS chatbot_agent_id,
+         date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) AS created_at_serial
+  FROM events WHERE event_type = 'signup'
+),
+chatbot AS (
+  SELECT 'Chatbot' AS campaign_name, count(DISTINCT user_id) AS total_calls, 0 AS dialled,
+         count(DISTINCT user_id) AS answered, count(DISTINCT user_id) AS keypress,
+         count(DISTINCT user_id) AS connected, 0 AS abandoned, 0 AS hangup
+  FROM chat_dump
+  WHERE chatbot_agent_id IN (1, 2, 3, 4)
+    AND DATE '1899-12-30' + CAST(created_at_serial AS INTEGER) >= DATE '2024-01-30' - INTERVAL 1 DAY
+),
+drop_dump AS (SELECT {_OUTCOME_SQL} AS r FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) < 20),
+ib_drop AS (
+  SELECT 'IB Drop' AS campaign_name, count(*) AS total_calls, 0 AS dialled,
+    count(*) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS answered,
+    count(*) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
+    count(*) FILTER (WHERE r IN ('Answered Linkcall')) AS connected,
+    count(*) FILTER (WHERE r IN ('Answered Linkcall Abandoned')) AS abandoned,
+    count(*) FILTER (WHERE r IN ('Answered Hangup')) AS hangup
+  FROM drop_dump
+),
+allrows AS (
+  SELECT *, printf('%.2f%%', answered * 100.0 / total_calls) AS answered_pct,
+         printf('%.2f%%', keypress * 100.0 / total_calls) AS keypress_pct,
+         printf('%.2f%%', connected * 100.0 / total_calls) AS connected_pct
+  FROM (SELECT * FROM mivr UNION ALL SELECT * FROM ob UNION ALL SELECT * FROM chatbot
+        UNION ALL SELECT * FROM ib_drop) u
+)
+SELECT * FROM allrows
+UNION ALL
+SELECT 'Total', sum(total_calls), sum(dialled), sum(answered), sum(keypress), sum(connected),
+       sum(abandoned), sum(hangup), '-', '-', '-'
+FROM allrows
+""")
+def call_mis_combined(spark, d):
+    from funnelkit.sources.tables import serial_to_date
+    t = Tables(spark, d)
+    buckets = {"dialled": DIALLED, "answered": ANSWERED, "keypress": KEYPRESS, "connected": CONNECTED,
+               "abandoned": ABANDONED, "hangup": HANGUP}
+    ivr = t.events.join(t.customer.select(F.col("c_custkey").alias("user_id"),
+                                          F.col("c_mktsegment").alias("campaign_name")), "user_id") \
+        .withColumn("r", _outcome())
+    mivr = disposition_summary(ivr, ["campaign_name"], "user_id", "r", buckets, total="total_calls")
+    ob_calls = t.lineitem.select(F.col("l_suppkey").alias("phone"), F.when(F.col("l_returnflag") == "R", "Answered Linkcall")
+                                 .when(F.col("l_returnflag") == "A", "Answered Linkcall Abandoned")
+                                 .when(F.col("l_linestatus") == "O", "Answered Hangup").otherwise("Busy").alias("r"))
+    ob = disposition_summary(ob_calls, [], "phone", "r", buckets, total="total_calls") \
+        .withColumn("campaign_name", F.lit("OB"))
+    # chatbot dump: spreadsheet day serials converted back to dates
+    dump = t.events.where(F.col("event_type") == "signup").select(
+        "user_id", (F.col("event_id") % 10).alias("chatbot_agent_id"),
+        F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).alias("created_at_serial"))
+    since = F.date_sub(F.lit(RUN_DATE).cast("date"), 1)
+    chat = (dump.where(F.col("chatbot_agent_id").isin(1, 2, 3, 4) & (serial_to_date("created_at_serial") >= since))
+            .agg(F.count_distinct("user_id").alias("total_calls")))
+    chat = chat.select(F.lit("Chatbot").alias("campaign_name"), "total_calls", F.lit(0).cast("long").alias("dialled"),
+                       F.col("total_calls").alias("answered"), F.col("total_calls").alias("keypress"),
+                       F.col("total_calls").alias("connected"), F.lit(0).cast("long").alias("abandoned"))
+    drops = t.events.where(F.get_json_object("props", "$.k").cast("int") < 20).withColumn("r", _outcome())
+    ib = disposition_summary(drops, [], F.lit(1), "r", {"answered": KEYPRESS, "keypress": KEYPRESS,
+                                                        "connected": CONNECTED, "abandoned": ABANDONED,
+                                                        "hangup": HANGUP}, total="total_calls", distinct=False)
+    ib = ib.withColumns({"campaign_name": F.lit("IB Drop"), "dialled": F.lit(0).cast("long")})
+    rows = fill_zero(mivr.unionByName(ob).unionByName(chat, allowMissingColumns=True)
+                     .unionByName(ib, allowMissingColumns=True))
+    rate = {f"{c}_pct": pct_text_ratio(F.col(c) / F.col("total_calls"))
+            for c in ("answered", "keypress", "connected")}
+    rows = rows.withColumns(rate).select("campaign_name", "total_calls", "dialled", "answered", "keypress",
+                                         "connected", "abandoned", "hangup", *rate)
+    return with_total_row(rows, "campaign_name").fillna("-", subset=list(rate))
