@@ -98,7 +98,7 @@ SELECT CASE WHEN grouping(o_orderstatus) = 0 THEN o_orderstatus ELSE 'Total' END
        CASE WHEN grouping(split_part(o_orderpriority, '-', 2)) = 0 THEN split_part(o_orderpriority, '-', 2) ELSE 'Total' END AS prod,
        CASE WHEN grouping(c_mktsegment) = 0 THEN c_mktsegment ELSE 'Total' END AS segment,
        count(*) AS n_orders,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS revenue
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
 FROM orders JOIN customer ON c_custkey = o_custkey
 GROUP BY ROLLUP(o_orderstatus, split_part(o_orderpriority, '-', 2), c_mktsegment)
 """)
@@ -110,7 +110,7 @@ def rollup_grouping(spark, d):
                             "prod": F.split_part("o_orderpriority", F.lit("-"), F.lit(2)),
                             "segment": "c_mktsegment"},
                         [F.count(F.lit(1)).alias("n_orders"),
-                         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(18,2)")
+                         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
                          .alias("revenue")])
     return out
 
@@ -189,8 +189,8 @@ SELECT CAST(ts AS DATE) AS call_date, 'agent-' || CAST(user_id AS VARCHAR) AS oi
        count(*) FILTER (WHERE event_type != 'error') AS effective_calls,
        strftime(min(ts), '%H:%M:%S') AS first_call_time,
        strftime(max(ts), '%H:%M:%S') AS last_call_time,
-       CASE WHEN count(*) = 0 THEN 0 WHEN count(*) < 40 THEN 0.5 ELSE 1 END AS attendance_count,
-       round((epoch_us(max(ts)) - epoch_us(min(ts)))::DECIMAL(20,0) / 3600000000, 2) AS hours_logged
+       CAST(CASE WHEN count(*) = 0 THEN 0 WHEN count(*) < 40 THEN 0.5 ELSE 1 END AS DOUBLE) AS attendance_count,
+       CAST(round((epoch_us(max(ts)) - epoch_us(min(ts)))::DECIMAL(20,0) / 3600000000, 2) AS DOUBLE) AS hours_logged
 FROM events
 WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'
   AND NOT regexp_matches('agent-' || CAST(user_id AS VARCHAR), '^agent-1[0-9]$', 'i')

@@ -330,8 +330,8 @@ def calendar_vars(spark, d):
 @query("age_numeric", ids="U3 U4 MA3", sql="""
 SELECT c_custkey,
        CAST(date_part('year', age(DATE '2024-01-30', CAST(DATE '1960-01-01' + CAST((c_custkey * 37) % 18000 AS INTEGER) AS DATE))) AS INTEGER) AS age,
-       TRY_CAST(split_part(c_name, '#', 2) AS DECIMAL(18,2)) AS name_number,
-       TRY_CAST(c_mktsegment AS DECIMAL(18,2)) AS bad_number,
+       CAST(TRY_CAST(split_part(c_name, '#', 2) AS DECIMAL(18,2)) AS DOUBLE) AS name_number,
+       CAST(TRY_CAST(c_mktsegment AS DECIMAL(18,2)) AS DOUBLE) AS bad_number,
        c_custkey % 7 AS bucket
 FROM customer
 """)
@@ -339,5 +339,5 @@ def age_numeric(spark, d):
     c = Tables(spark, d).customer
     dob = F.date_add(F.lit("1960-01-01").cast("date"), ((F.col("c_custkey") * 37) % 18000).cast("int"))
     return c.select("c_custkey", age_years(dob, RUN_DATE).alias("age"),
-                    to_numeric(F.split_part("c_name", F.lit("#"), F.lit(2))).alias("name_number"),
-                    to_numeric("c_mktsegment").alias("bad_number"), (F.col("c_custkey") % 7).alias("bucket"))
+                    to_numeric(F.split_part("c_name", F.lit("#"), F.lit(2))).cast("double").alias("name_number"),
+                    to_numeric("c_mktsegment").cast("double").alias("bad_number"), (F.col("c_custkey") % 7).alias("bucket"))

@@ -104,10 +104,10 @@ def agent_day(calls: DataFrame, *, owner: str, t: str, effective: Column,
         F.when(F.dayofweek("call_date").isin(1, 7), 1).otherwise(0).alias("is_weekend"),
         "total_calls", "effective_calls", "first_call_time", "last_call_time",
         F.when(F.col("total_calls") < full_day_calls, F.lit(0.5)).otherwise(F.lit(1.0))
-        .cast("decimal(2,1)").alias("attendance_count"),
+        .cast("double").alias("attendance_count"),
         F.round((F.unix_micros(F.col("__last").cast("timestamp")) -
                  F.unix_micros(F.col("__first").cast("timestamp"))).cast("decimal(20,0)")
-                / F.lit(3_600_000_000), 2).cast("decimal(10,2)").alias("hours_logged"))
+                / F.lit(3_600_000_000), 2).cast("double").alias("hours_logged"))
 
 
 def working_days(days: DataFrame, facts: DataFrame, *, t: str, keep: Column, threshold: int,
