@@ -131,3 +131,11 @@ def test_nth_state_ties_and_single_row(spark):
     got = nth_state(df, "k", "t", "s")
     # key 1: rank 1 = (2,B), rank 2 = (2,A); key 2 has no rank 2; key 3: rank 2 = (0,R)
     assert rows(got, "k", "prior_state") == [(1, "A"), (3, "R")]
+
+
+def test_lookback_unbounded_equals_asof(spark, asof_data):
+    left, right, L, R = asof_data
+    huge = 10 * 365 * 86400
+    a = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], bucket_seconds=3600)
+    b = lookback_join(L, R, "key", "t", "rt", ["rid"], huge, pick="last", tiebreak=["rid"], bucket_seconds=3600)
+    assert rows(a, "id", "rid") == rows(b, "id", "rid")

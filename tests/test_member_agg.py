@@ -129,3 +129,10 @@ def test_row_positions_match_row_number(spark):
     got = row_positions(df, ["k", "id"])
     exp = df.withColumn("pos", F.row_number().over(Window.orderBy("k", "id")))
     assert rows(got, "k", "id", "pos") == rows(exp, "k", "id", "pos")
+
+
+def test_rollup_leaf_rows_equal_group_by(spark):
+    df = spark.range(500).selectExpr("CAST(id % 3 AS STRING) AS a", "CAST(id % 5 AS STRING) AS b", "id AS v")
+    r = rollup_totals(df, {"a": "a", "b": "b"}, [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")])
+    leaf = r.where((F.col("a") != "Total") & (F.col("b") != "Total"))
+    assert rows(leaf) == rows(df.groupBy("a", "b").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")))
