@@ -389,7 +389,7 @@ _OUTCOME_SQL = """CASE event_type WHEN 'click' THEN 'Answered Linkcall'
                    ELSE 'No Answer' END"""
 
 
-@query("call_disposition", ids="C9 R3 R5 A16 A24 J26 SET1 STR10 P8 F13", sql=f"""
+@query("call_disposition", ids="C9 R3 R5 A16 A24 J26 SET1 STR10 U5 P8 F13", sql=f"""
 WITH calls AS (
   SELECT c.c_mktsegment AS campaign_name, e.user_id, {_OUTCOME_SQL} AS last_result
   FROM events e JOIN customer c ON c.c_custkey = e.user_id

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import col_, pct_text
 from funnelkit.operators.agg import first_by, milestone, rollup_totals
 
-__all__ = ["rollup_distinct_flags", "stage_funnel", "agent_day", "working_days",
+__all__ = ["rollup_distinct_flags", "stage_funnel", "agent_day", "working_days", "latest_utm",
+           "conversion_matrix", "attribution_owner", "pacing",
            "recency_flags"]
 
 
@@ -240,3 +241,14 @@ def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequenc
     j = j.withColumn("__key", F.concat_ws(" ", *keys)).join(keep, [team, "__key"], "left_semi")
     return j.select(team, *keys, "dtd_actual", "dtd_plan", "dtd_pct", "mtd_actual", "mtd_plan",
                     "mtd_pct", "mtd_estimate", "monthly_plan", "backlog", "drr")
+
+
+def latest_utm(df: DataFrame, utm_log: DataFrame, *, user: str, t: str, log_user: str = "user_id",
+               log_t: str = "created_at", text: str = "utm_source_text", tiebreak: Sequence[str] = (),
+               out: str = "utm_source_text") -> DataFrame:
+    """U1 ``get_latest_utm(user_id, ts)``: the latest login-source text of the
+    user strictly before ``t`` (as-of join on the prefix engine)."""
+    from funnelkit.operators.lookup import asof_join
+    log = utm_log.select(F.col(log_user).alias(user), F.col(log_t).alias("__lt"), F.col(text).alias(out),
+                         *[F.col(c) for c in tiebreak])
+    return asof_join(df, log, user, t, "__lt", [out], strict=True, tiebreak=tiebreak)

@@ -85,3 +85,12 @@ def test_pacing_zero_plan_and_case(spark):
     r = got[("PA", "A")]
     assert (r.dtd_actual, r.mtd_actual, r.mtd_plan, r.mtd_estimate, r.backlog, r.drr) == (1, 2, 10, 6, 8, 3)
     assert r.mtd_pct == "20.00%" and r.dtd_pct == "100.00%"
+
+
+def test_latest_utm_strictly_before(spark):
+    from funnelkit.plans.reports import latest_utm
+    pays = spark.createDataFrame([(1, ts(2)), (1, ts(1)), (2, ts(3))], "user_id long, payment_date timestamp_ntz")
+    log = spark.createDataFrame([(1, ts(1), "sms"), (1, ts(1, 30), "CRM-A1"), (3, ts(1), "x")],
+                                "user_id long, created_at timestamp_ntz, utm_source_text string")
+    got = latest_utm(pays, log, user="user_id", t="payment_date")
+    assert rows(got) == [(1, ts(1), None), (1, ts(2), "CRM-A1"), (2, ts(3), None)]

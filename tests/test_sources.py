@@ -52,3 +52,14 @@ def test_cut_lineage_uses_session_checkpoint_dir(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     out = cut_lineage(df)
     assert out.count() == 10 and spark.conf.get("spark.checkpoint.dir")
+
+
+def test_read_dataset_csv_and_parquet(spark):
+    from funnelkit.sources import read_dataset
+    d = tempfile.mkdtemp(prefix="fk-ds-")
+    df = spark.createDataFrame([(1, "Busy"), (2, "Answered Linkcall")], "user_id long, result string")
+    df.write.parquet(os.path.join(d, "ivr"))
+    df.write.option("header", True).csv(os.path.join(d, "drop"))
+    assert rows(read_dataset(spark, d, "ivr")) == rows(df)
+    got = read_dataset(spark, d, "drop", fmt="csv", schema="user_id long, result string")
+    assert rows(got) == rows(df)
