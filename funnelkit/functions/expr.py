@@ -167,9 +167,11 @@ def dow_sunday0(d: Column | str) -> Column:
 
 
 def elapsed_hours(start: Column | str, end: Column | str, digits: int = 2) -> Column:
-    """(end - start) in hours, rounded."""
-    secs = F.unix_micros(col_(end).cast("timestamp")) - F.unix_micros(col_(start).cast("timestamp"))
-    return F.round(secs.cast("decimal(20,0)") / F.lit(3600 * 1000000), digits)
+    """(end - start) in hours between wall-clock values, rounded (as PostgreSQL
+    ``age`` of timestamps without time zone)."""
+    from funnelkit.operators.lookup import wall_micros
+    us = wall_micros(end) - wall_micros(start)
+    return F.round(us.cast("decimal(20,0)") / F.lit(3600 * 1000000), digits)
 
 
 def half_open(c: Column | str, start: str, end: str) -> Column:

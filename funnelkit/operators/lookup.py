@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import col_
 
-__all__ = ["row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
+__all__ = ["wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
            "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
            "order_key", "time_micros", "time_bucket"]
 
@@ -40,16 +40,34 @@ def _pairs(on) -> list[tuple[str, str]]:
     return out
 
 
-def time_micros(c: Column | str) -> Column:
-    """Monotone numeric image of a timestamp / timestamp_ntz / date column."""
-    return F.unix_micros(col_(c).cast("timestamp"))
+def wall_micros(c: Column | str) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a wall-clock value
+    (``timestamp_ntz`` or ``date``), computed from its calendar fields so no
+    time zone takes part (Spark's casts and ``timestampdiff`` go through the
+    session zone, where a daylight-saving gap maps 02:30 after 03:00)."""
+    w = col_(c).cast("timestamp_ntz")
+    days = F.datediff(w.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.extract(F.lit("SECOND"), w)
+    return ((days * 24 + F.hour(w)) * 60 + F.minute(w)) * 60_000_000 + (secs * 1_000_000).cast("long")
 
 
-def time_bucket(c: Column | str, bucket_seconds: int, forward: bool = False) -> Column:
+def time_micros(c: Column | str, df: DataFrame | None = None) -> Column:
+    """Monotone numeric image of a time column: wall-clock micros for
+    ``timestamp_ntz`` / ``date`` (zone-free), epoch micros for instants
+    (``timestamp``). Pass ``df`` so the type can be resolved; without it the
+    value is treated as wall-clock time."""
+    col = col_(c)
+    if df is not None and df.select(col).schema.fields[0].dataType.typeName() == "timestamp":
+        return F.unix_micros(col)
+    return wall_micros(col)
+
+
+def time_bucket(c: Column | str, bucket_seconds: int, forward: bool = False,
+                df: DataFrame | None = None) -> Column:
     """Bucket number of a time column as used by the prefix engine (monotone in
     time; negated time when looking forward)."""
     sign = -1 if forward else 1
-    return F.floor(time_micros(c) * sign / (int(bucket_seconds) * 1_000_000))
+    return F.floor(time_micros(c, df) * sign / (int(bucket_seconds) * 1_000_000))
 
 
 def order_key(order: Sequence[Column | str]) -> Column:
@@ -108,15 +126,12 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     l_side, r_side = (1, 0) if inclusive else (0, 1)
     width = int(bucket_seconds) * 1_000_000
 
-    def tnum(c):
-        return time_micros(c) * sign
-
-    lt = tnum(left_time)
+    lt = time_micros(left_time, left) * sign
     lx = left.withColumns({**{k: F.col(lk) for k, (lk, _) in zip(kcols, pairs)},
                            _T: lt, _S: F.lit(l_side), _B: F.floor(lt / width)})
     names = list(aggs)
     acols = [f"__a{i}" for i in range(len(names))]
-    rt = tnum(right_time)
+    rt = time_micros(right_time, right) * sign
     rsel = [F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)]
     rsel += [rt.alias(_T), F.lit(r_side).alias(_S), F.floor(rt / width).alias(_B)]
     for a, n in zip(acols, names):
@@ -175,7 +190,7 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     ``keep_time`` names an output column holding the matched right time.
     """
     sign = -1 if forward else 1
-    fields = [(time_micros(right_time) * sign).alias("__o")]
+    fields = [(time_micros(right_time, right) * sign).alias("__o")]
     fields += [(col_(t) * sign).alias(f"__tb{i}") for i, t in enumerate(tiebreak)]
     payload = [col_(c).alias(c) for c in cols]
     if keep_time:
@@ -240,11 +255,11 @@ def range_join(left: DataFrame, right: DataFrame, on, left_time: str, right_time
     pairs = _pairs(on)
     width = max(int(hi_seconds - lo_seconds), 1) * 1_000_000
     lo_us, hi_us = int(lo_seconds) * 1_000_000, int(hi_seconds) * 1_000_000
-    lb = F.floor((time_micros(left_time) + lo_us) / width)
+    lb = F.floor((time_micros(left_time, left) + lo_us) / width)
     lx = left.withColumn("__bk", F.explode(F.array(lb, lb + 1)))
-    rx = right.withColumn("__bk", F.floor(time_micros(right_time) / width))
+    rx = right.withColumn("__bk", F.floor(time_micros(right_time, right) / width))
     cond = [lx[lk] == rx[rk] for lk, rk in pairs] + [lx["__bk"] == rx["__bk"]]
-    tl, tr = time_micros(lx[left_time]), time_micros(rx[right_time])
+    tl, tr = time_micros(lx[left_time], lx), time_micros(rx[right_time], rx)
     cond += [tr >= tl + lo_us, tr < tl + hi_us]
     out = lx.join(rx, cond, how)
     return out.drop(lx["__bk"]).drop(rx["__bk"])

@@ -92,8 +92,11 @@ def agent_day(calls: DataFrame, *, owner: str, t: str, effective: Column,
     """C6 agent-day attendance: calls, effective calls, first/last call time,
     weekend flag, attendance (0.5 below ``full_day_calls``, else 1) and hours
     between first and last call, per (day, owner)."""
+    from funnelkit.operators.lookup import time_micros
     c = calls if exclude_owner is None else calls.where(~exclude_owner)
     day = F.to_date(F.col(t))
+    _micros = (lambda name: F.unix_micros(F.col(name))) if calls.schema[t].dataType.typeName() == "timestamp" \
+        else (lambda name: time_micros(name))
     return c.groupBy(day.alias("call_date"), F.col(owner).alias("oic")).agg(
         F.count(F.lit(1)).alias("total_calls"),
         F.count(F.when(effective, 1)).alias("effective_calls"),
@@ -106,8 +109,7 @@ def agent_day(calls: DataFrame, *, owner: str, t: str, effective: Column,
         "total_calls", "effective_calls", "first_call_time", "last_call_time",
         F.when(F.col("total_calls") < full_day_calls, F.lit(0.5)).otherwise(F.lit(1.0))
         .cast("double").alias("attendance_count"),
-        F.round((F.unix_micros(F.col("__last").cast("timestamp")) -
-                 F.unix_micros(F.col("__first").cast("timestamp"))).cast("decimal(20,0)")
+        F.round((_micros("__last") - _micros("__first")).cast("decimal(20,0)")
                 / F.lit(3_600_000_000), 2).cast("double").alias("hours_logged"))
 
 

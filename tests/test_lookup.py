@@ -139,3 +139,19 @@ def test_lookback_unbounded_equals_asof(spark, asof_data):
     a = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], bucket_seconds=3600)
     b = lookback_join(L, R, "key", "t", "rt", ["rid"], huge, pick="last", tiebreak=["rid"], bucket_seconds=3600)
     assert rows(a, "id", "rid") == rows(b, "id", "rid")
+
+
+def test_asof_order_is_zone_free_for_wall_clock_times(spark):
+    # 02:30 on 2024-03-10 does not exist in New York; through the session zone
+    # it would map after 03:00. Wall-clock columns must keep their own order.
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = spark.createDataFrame([(1, "2024-03-10 02:30:00", 1), (1, "2024-03-10 02:50:00", 2)],
+                                  "k long, s string, rid long").selectExpr("k", "CAST(s AS TIMESTAMP_NTZ) AS rt", "rid")
+        l = spark.createDataFrame([(1, "2024-03-10 03:00:00")], "k long, s string") \
+            .selectExpr("k", "CAST(s AS TIMESTAMP_NTZ) AS t")
+        got = asof_join(l, r, "k", "t", "rt", ["rid"], bucket_seconds=600)
+        assert [x.rid for x in got.collect()] == [2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
