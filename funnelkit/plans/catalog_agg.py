@@ -522,7 +522,7 @@ ob AS (
   FROM ob_calls
 ),
 chat_dump AS (
-  SELECT user_id, event_id % 10 AS chatbot_agent_id,
+  SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS chatbot_agent_id,
          date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) AS created_at_serial
   FROM events WHERE event_type = 'signup'
 ),
@@ -573,7 +573,7 @@ def call_mis_combined(spark, d):
         .withColumn("campaign_name", F.lit("OB"))
     # chatbot dump: spreadsheet day serials converted back to dates
     dump = t.events.where(F.col("event_type") == "signup").select(
-        "user_id", (F.col("event_id") % 10).alias("chatbot_agent_id"),
+        "user_id", F.get_json_object("props", "$.k").cast("int").alias("chatbot_agent_id"),
         F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).alias("created_at_serial"))
     since = F.date_sub(F.lit(RUN_DATE).cast("date"), 1)
     chat = (dump.where(F.col("chatbot_agent_id").isin(1, 2, 3, 4) & (serial_to_date("created_at_serial") >= since))
