@@ -89,8 +89,8 @@ SELECT p.segment, p.profiles, f.product, f.pass_f,
        f.pass_big_not_p, f.pass_big_first_f
 FROM profiles p JOIN funnel f ON f.segment = p.segment
 """)
-def funnel_rollup(spark, d):
-    return funnel_plan(Tables(spark, d))
+def funnel_rollup(spark, d, *, first_day=FUNNEL_FIRST_DAY, last_day=FUNNEL_LAST_DAY):
+    return funnel_plan(Tables(spark, d), first_day, last_day)
 
 
 @query("rollup_grouping", ids="A18 A19 A17", sql="""
@@ -174,12 +174,12 @@ base AS (
 SELECT count(1) FILTER (WHERE applied_date IS NOT NULL) AS date_past
 FROM dates d LEFT JOIN base b ON d.dates = b.applied_date
 """)
-def working_days_q(spark, d):
+def working_days_q(spark, d, *, start=CAL_START, end=CAL_END, threshold=100):
     t = Tables(spark, d)
-    ev = t.events.where((F.col("ts") >= F.lit(CAL_START).cast("timestamp_ntz")) &
-                        (F.col("ts") <= F.lit(CAL_END).cast("timestamp_ntz")))
-    return working_days(date_series(spark, CAL_START, CAL_END), ev, t="ts",
-                        keep=nimatch("event_type", "(error|sign)"), threshold=100)
+    ev = t.events.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
+                        (F.col("ts") <= F.lit(end).cast("timestamp_ntz")))
+    return working_days(date_series(spark, start, end), ev, t="ts",
+                        keep=nimatch("event_type", "(error|sign)"), threshold=threshold)
 
 
 @query("agent_day", ids="C6 R22 DT2 DT4 DT5 A1 A3 A4 MA1", sql="""
@@ -196,10 +196,10 @@ WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'
   AND NOT regexp_matches('agent-' || CAST(user_id AS VARCHAR), '^agent-1[0-9]$', 'i')
 GROUP BY 1, 2, 3
 """)
-def agent_day_q(spark, d):
+def agent_day_q(spark, d, *, start="2024-01-01", end="2024-02-01"):
     t = Tables(spark, d)
-    calls = t.events.where((F.col("ts") >= F.lit("2024-01-01").cast("timestamp_ntz")) &
-                           (F.col("ts") < F.lit("2024-02-01").cast("timestamp_ntz"))) \
+    calls = t.events.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
+                           (F.col("ts") < F.lit(end).cast("timestamp_ntz"))) \
         .withColumn("oic", F.concat(F.lit("agent-"), F.col("user_id").cast("string")))
     return agent_day(calls, owner="oic", t="ts", effective=F.col("event_type") != "error",
                      exclude_owner=imatch("oic", "^agent-1[0-9]$"))
@@ -424,7 +424,7 @@ SELECT 'Total', sum(total_calls), sum(dialled), sum(answered), sum(keypress), su
        sum(abandoned), sum(hangup), '-', '-', '-'
 FROM allrows
 """)
-def call_disposition(spark, d):
+def call_disposition(spark, d, *, run_date=RUN_DATE):
     t = Tables(spark, d)
     calls = t.events.join(t.customer.select(F.col("c_custkey").alias("user_id"),
                                             F.col("c_mktsegment").alias("campaign_name")), "user_id") \
@@ -433,7 +433,7 @@ def call_disposition(spark, d):
                                {"dialled": DIALLED, "answered": ANSWERED, "keypress": KEYPRESS,
                                 "connected": CONNECTED, "abandoned": ABANDONED, "hangup": HANGUP},
                                total="total_calls")
-    since = F.date_sub(F.lit(RUN_DATE).cast("date"), 1).cast("timestamp_ntz")
+    since = F.date_sub(F.lit(run_date).cast("date"), 1).cast("timestamp_ntz")
     chat = t.events.where((F.col("event_type") == "signup") & (F.col("ts") >= since)) \
         .agg(F.count_distinct("user_id").alias("total_calls"))
     chat = chat.select(F.lit("Chatbot").alias("campaign_name"), "total_calls",
@@ -557,7 +557,7 @@ SELECT 'Total', sum(total_calls), sum(dialled), sum(answered), sum(keypress), su
        sum(abandoned), sum(hangup), '-', '-', '-'
 FROM allrows
 """)
-def call_mis_combined(spark, d):
+def call_mis_combined(spark, d, *, run_date=RUN_DATE):
     from funnelkit.sources.tables import serial_to_date
     t = Tables(spark, d)
     buckets = {"dialled": DIALLED, "answered": ANSWERED, "keypress": KEYPRESS, "connected": CONNECTED,
@@ -575,7 +575,7 @@ def call_mis_combined(spark, d):
     dump = t.events.where(F.col("event_type") == "signup").select(
         "user_id", F.get_json_object("props", "$.k").cast("int").alias("chatbot_agent_id"),
         F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).alias("created_at_serial"))
-    since = F.date_sub(F.lit(RUN_DATE).cast("date"), 1)
+    since = F.date_sub(F.lit(run_date).cast("date"), 1)
     chat = (dump.where(F.col("chatbot_agent_id").isin(1, 2, 3, 4) & (serial_to_date("created_at_serial") >= since))
             .agg(F.count_distinct("user_id").alias("total_calls")))
     chat = chat.select(F.lit("Chatbot").alias("campaign_name"), "total_calls", F.lit(0).cast("long").alias("dialled"),

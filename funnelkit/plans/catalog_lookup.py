@@ -30,9 +30,9 @@ WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'
   AND NOT regexp_matches(event_type, '(error|signup)', 'i')
 ORDER BY user_id, ts, event_id
 """)
-def first_event_per_user(spark, d):
+def first_event_per_user(spark, d, *, start=EVENT_START, end=EVENT_END, exclude="(error|signup)"):
     ev = Tables(spark, d).events
-    f = ev.where(half_open("ts", EVENT_START, EVENT_END) & nimatch("event_type", "(error|signup)"))
+    f = ev.where(half_open("ts", start, end) & nimatch("event_type", exclude))
     return first_per(f, "user_id", ["ts", "event_id"], ["event_id", "ts", "event_type", "value"])
 
 

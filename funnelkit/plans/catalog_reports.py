@@ -63,12 +63,12 @@ LEFT JOIN LATERAL (
 ) app_990 ON TRUE
 GROUP BY 1
 """)
-def cohort_conversion_matrix(spark, d):
+def cohort_conversion_matrix(spark, d, *, m0=M0, m1=M1, m2=M2, end=CONV_END):
     t = Tables(spark, d)
     prof = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("profiled_date"))
     seg = t.customer.where(imatch("c_mktsegment", "(building|machinery)")).select(
         F.col("c_custkey").alias("o_custkey"))
-    base = (t.orders.where((F.col("o_orderdate") >= _ts(M2)) & (F.col("o_orderdate") <= _ts(CONV_END)))
+    base = (t.orders.where((F.col("o_orderdate") >= _ts(m2)) & (F.col("o_orderdate") <= _ts(end)))
             .join(seg, "o_custkey", "left_semi").join(prof, "o_custkey")
             .select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("lead_id"),
                     "profiled_date", F.col("o_orderdate").alias("applied_date")))
@@ -77,7 +77,7 @@ def cohort_conversion_matrix(spark, d):
         F.col("o_orderdate").alias("booking_date"))
     return conversion_matrix(base, conv, user="user_id", lead="lead_id", profiled="profiled_date",
                              applied="applied_date", booked="booking_date",
-                             m0=M0, m1=M1, m2=M2, end=CONV_END)
+                             m0=m0, m1=m1, m2=m2, end=end)
 
 
 def _utm_source(k, et):
@@ -150,7 +150,8 @@ SELECT user_id, customer_type, event_id, payment_date, profile_vintage, profile_
             ELSE 'System' END AS oic
 FROM j
 """)
-def attribution_cascade(spark, d):
+def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_start=PREV_MON_START,
+                        prev5_month_start=PREV_5_MONTH_START):
     t = Tables(spark, d)
     ev = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     src = ev.where(F.col("event_type") != "purchase").select(
@@ -159,8 +160,8 @@ def attribution_cascade(spark, d):
     contacts = ev.where(F.col("event_type") == "view").select(
         "user_id", F.col("ts").alias("contact_ts"), F.col("event_id").alias("contact_id"), "value",
         F.concat(F.lit("oic-"), (F.col("event_id") % 17).cast("string")).alias("lc_oic"))
-    pays = ev.where((F.col("event_type") == "purchase") & (F.col("ts") >= _ts(PAY_START)) &
-                    (F.col("ts") < _ts(PAY_END)))
+    pays = ev.where((F.col("event_type") == "purchase") & (F.col("ts") >= _ts(start)) &
+                    (F.col("ts") < _ts(end)))
     pay = first_per(pays, "user_id", ["ts", "event_id"], ["event_id", "ts"]) \
         .withColumnRenamed("ts", "payment_date")
     x = asof_join(pay, src, "user_id", "payment_date", "src_ts", ["utm_source_text"], tiebreak=["src_id"])
@@ -176,8 +177,8 @@ def attribution_cascade(spark, d):
     fp = F.col("first_profile_date")
     return x.select(
         "user_id", "customer_type", "event_id", "payment_date",
-        vintage_bucket(fp, PREV_MON_START, PAY_END, PREV_5_MONTH_START).alias("profile_vintage"),
-        month_offset_label(month_diff(fp, F.lit(PAY_START).cast("date"))).alias("profile_vintage_m"),
+        vintage_bucket(fp, prev_mon_start, end, prev5_month_start).alias("profile_vintage"),
+        month_offset_label(month_diff(fp, F.lit(start).cast("date"))).alias("profile_vintage_m"),
         "utm_source_text", "sms_sent_on",
         attribution_owner(F.col("utm_source_text"), F.col("lc_oic")).alias("oic"))
 
@@ -254,11 +255,11 @@ def _orders_keyed(t):
         F.split_part("o_orderpriority", F.lit("-"), F.lit(2)).alias("sku"))
 
 
-def targets_wide(t):
+def targets_wide(t, plan_month=PLAN_MONTH):
     """Monthly plan per (customer type, product, SKU) and team, one column per
     team (the wide target sheet), derived from the same month a year earlier."""
-    o = _orders_keyed(t).where((F.col("o_orderdate") >= _ts(PLAN_MONTH[0])) &
-                               (F.col("o_orderdate") < _ts(PLAN_MONTH[1])))
+    o = _orders_keyed(t).where((F.col("o_orderdate") >= _ts(plan_month[0])) &
+                               (F.col("o_orderdate") < _ts(plan_month[1])))
     team = _team()
     w = o.groupBy("customer_type", "product", "sku").agg(
         *[(F.count(F.when(team == n, 1)) * 2).alias(n) for n in TEAMS if n != "Regeneration"],
@@ -267,10 +268,10 @@ def targets_wide(t):
         "customer_type", "product", "sku", *TEAMS)
 
 
-def targets_long(t):
-    w = targets_wide(t)
+def targets_long(t, plan_month=PLAN_MONTH, day=PACE_DAY):
+    w = targets_wide(t, plan_month)
     long = w.unpivot(["customer_type", "product", "sku"], TEAMS, "attribution", "monthly_plan")
-    return long.withColumn("dtd_plan", F.bround(F.col("monthly_plan") / days_in_month(PACE_DAY), 0)
+    return long.withColumn("dtd_plan", F.bround(F.col("monthly_plan") / days_in_month(day), 0)
                            .cast("long"))
 
 
@@ -301,8 +302,8 @@ SELECT customer_type, product, sku, attribution, monthly_plan,
        CAST(round_even(monthly_plan / 30, 0) AS BIGINT) AS dtd_plan
 FROM plan
 """)
-def unpivot_targets(spark, d):
-    return targets_long(Tables(spark, d))
+def unpivot_targets(spark, d, *, plan_month=PLAN_MONTH, day=PACE_DAY):
+    return targets_long(Tables(spark, d), plan_month, day)
 
 
 @query("pacing", ids="C8 R6 A25 J28 STR8 MA1 DT8", sql=f"""
@@ -341,20 +342,22 @@ FROM k
 WHERE (attribution, concat_ws(' ', customer_type, product, sku)) IN (
   SELECT attribution, concat_ws(' ', customer_type, product, sku) FROM plan WHERE monthly_plan <> 0)
 """)
-def pacing_q(spark, d):
+def pacing_q(spark, d, *, day=PACE_DAY, month_start=PACE_MONTH_START, plan_month=PLAN_MONTH,
+             working_day_teams=None):
     t = Tables(spark, d)
     apps = _orders_keyed(t).where(
-        (F.col("o_orderdate") >= _ts(PACE_MONTH_START)) &
-        (F.col("o_orderdate") < F.date_add(F.lit(PACE_DAY).cast("date"), 1).cast("timestamp_ntz")))
+        (F.col("o_orderdate") >= _ts(month_start)) &
+        (F.col("o_orderdate") < F.date_add(F.lit(day).cast("date"), 1).cast("timestamp_ntz")))
     apps = upper_strings(apps.withColumn("attribution", _team()), ["customer_type", "product", "sku"])
     dm = dp = F.lit(None).cast("int")
-    for team, (m, p) in WORKING_DAY_TEAMS.items():
+    for team, (m, p) in (working_day_teams or WORKING_DAY_TEAMS).items():
         dm = F.when(F.col("attribution") == team, m).otherwise(dm)
         dp = F.when(F.col("attribution") == team, p).otherwise(dp)
-    dm = F.coalesce(dm, days_in_month(PACE_DAY))
-    dp = F.coalesce(dp, F.dayofmonth(F.lit(PACE_DAY).cast("date")))
-    return pacing(apps, targets_long(t), team="attribution", keys=["customer_type", "product", "sku"],
-                  lead="o_orderkey", t="o_orderdate", day=PACE_DAY, days_month=dm, days_past=dp)
+    dm = F.coalesce(dm, days_in_month(day))
+    dp = F.coalesce(dp, F.dayofmonth(F.lit(day).cast("date")))
+    return pacing(apps, targets_long(t, plan_month, day), team="attribution",
+                  keys=["customer_type", "product", "sku"], lead="o_orderkey", t="o_orderdate", day=day,
+                  days_month=dm, days_past=dp)
 
 
 @query("points_score", ids="C10 J3 F12 P3", sql="""

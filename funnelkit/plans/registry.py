@@ -55,3 +55,10 @@ def _load_all_modules():
 def all_queries() -> dict[str, Query]:
     _load_all_modules()
     return QUERIES
+
+
+def run(name: str, spark: SparkSession, base: str, **params) -> DataFrame:
+    """Build a registered report with its run parameters, e.g.
+    ``run("funnel_rollup", spark, path, first_day="2000-01-01", last_day="2000-01-31")``.
+    Parameters default to the values the registered query uses."""
+    return all_queries()[name].build(spark, base, **params)
