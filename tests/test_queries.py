@@ -71,4 +71,4 @@ def test_reports_take_run_parameters(spark):
         .where("segment = 'Total' AND product = 'Total'").first()
     assert narrow.pass_f <= wide.pass_f and narrow.profiles == wide.profiles
     got = run("first_event_per_user", spark, SF, start="2024-01-01", end="2024-02-01", exclude="^$")
-    assert got.count() == duckdb.sql(f"SELECT count(DISTINCT user_id) FROM '{SF}/events.parquet'").fetchone()[0]
+    assert got.count() == duckdb.sql(f"SELECT count(DISTINCT user_id) FROM '{SF}/events.parquet'").fetchall()[0][0]
