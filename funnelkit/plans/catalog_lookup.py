@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import half_open, imatch, nimatch
 from funnelkit.operators.agg import milestone, milestone_and_not, first_by
 from funnelkit.operators.lookup import (asof_join, first_per, lookback_join, lookup_latest,
-                                        range_agg, agg_per_key, window_count)
+                                        prefix_agg, range_agg, agg_per_key, time_micros)
 from funnelkit.operators.member import anti, attach_flag, flag_earlier_exists, semi, suppress
 from funnelkit.plans.registry import Tables, query
 
@@ -181,16 +181,22 @@ SELECT s.event_id, s.user_id, s.ts,
 FROM events s WHERE s.event_type = 'signup'
 """)
 def range_join_conversions(spark, d):
+    # Purchases in [ts, ts + 7 days) per signup without materialising pairs:
+    # count(t >= ts) - count(t >= ts + 7d), two forward prefix passes; the first
+    # purchase at/after ts is computed in the same pass as the first count.
     t = Tables(spark, d)
     signups = t.events.where(F.col("event_type") == "signup").select("event_id", "user_id", "ts")
     buys = t.events.where(F.col("event_type") == "purchase").select(
         "user_id", F.col("ts").alias("pts"), F.col("event_id").alias("pid"))
-    counted = window_count(signups, buys, "user_id", "ts", "pts", 0, WEEK, name="purchases_7d")
-    first = asof_join(counted, buys, "user_id", "ts", "pts", ["pid"], strict=False, forward=True,
-                      tiebreak=["pid"], keep_time="__pt")
-    ok = F.col("__pt") < F.col("ts") + F.expr("INTERVAL 7 DAYS")
-    return first.select("event_id", "user_id", "ts", "purchases_7d",
-                        F.when(ok, F.col("pid")).alias("first_purchase_id"))
+    earliest = F.struct((-time_micros("pts", buys)).alias("o"), (-F.col("pid")).alias("tb"), "pid", "pts")
+    p1 = prefix_agg(signups, buys, "user_id", "ts", "pts",
+                    {"__first": ("max", earliest), "__n_lo": ("count", F.lit(1))},
+                    inclusive=True, forward=True)
+    hi = F.col("ts") + F.expr("INTERVAL 7 DAYS")
+    p2 = prefix_agg(p1.withColumn("__hi", hi), buys, "user_id", "__hi", "pts",
+                    {"__n_hi": ("count", F.lit(1))}, inclusive=True, forward=True)
+    return p2.select("event_id", "user_id", "ts", (F.col("__n_lo") - F.col("__n_hi")).alias("purchases_7d"),
+                     F.when(F.col("__first.pts") < hi, F.col("__first.pid")).alias("first_purchase_id"))
 
 
 @query("range_agg_before_first_purchase", ids="J15 C13 J11", sql="""
