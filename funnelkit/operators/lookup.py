@@ -24,9 +24,10 @@ from funnelkit.functions.expr import col_
 
 __all__ = ["wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
            "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
-           "order_key", "time_micros", "time_bucket"]
+           "order_key", "time_micros", "time_bucket", "hot_keys"]
 
 DEFAULT_BUCKET_SECONDS = 86400
+HOT_KEY_MIN_ROWS = 10_000
 _T, _B, _S = "__t", "__b", "__side"
 
 
@@ -108,10 +109,26 @@ def lookup_latest(left: DataFrame, right: DataFrame, on, order: Sequence[Column
 _MERGE = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
 
 
+def hot_keys(left: DataFrame, right: DataFrame, kcols: Sequence[str],
+             min_rows: int = HOT_KEY_MIN_ROWS) -> DataFrame:
+    """The heaviest keys of both inputs: at most ``4 * shuffle partitions`` keys
+    with at least ``min_rows`` rows, taken by a distributed top-k over a
+    map-side combined count. The bound does not grow with the data, so the
+    result can be broadcast. Keys past the cut are smaller than every key kept
+    and are processed unsplit; results are exact either way."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = left.select(*kcols).unionByName(right.select(*kcols)).where(
+        F.coalesce(*[F.col(k).isNotNull() for k in kcols]))
+    counts = keys.groupBy(*kcols).agg(F.count(F.lit(1)).alias("__n"))
+    return (counts.where(F.col("__n") >= max(int(min_rows), 1)).orderBy(F.col("__n").desc())
+            .limit(4 * parts).select(*kcols, F.lit(True).alias("__hot")))
+
+
 def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
                right_time: Column | str, aggs: Mapping[str, tuple[str, Column]], *,
                inclusive: bool = False, forward: bool = False,
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+               hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
     """For each left row, aggregate the right rows of the same key that lie before
     it in time (``t_r < t_l``; ``<=`` when ``inclusive``), or after it when
     ``forward`` (``t_r > t_l`` / ``>=``).
@@ -119,6 +136,11 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     ``aggs`` maps an output name to ``(kind, right_expr)`` with kind ``max``,
     ``min``, ``sum`` or ``count`` (``count`` ignores ``right_expr`` and is 0 when
     nothing precedes). Every left row is returned once with all its columns.
+
+    Hot keys (see ``hot_keys``; ``hot_key_rows`` is the minimum row count of a
+    hot key) are split into time buckets of ``bucket_seconds`` with a carry
+    across buckets; every other key is one bucket, handled by the running
+    window alone. ``hot_key_rows=0`` buckets every key.
     """
     pairs = _pairs(on)
     kcols = [f"__k{i}" for i in range(len(pairs))]
@@ -126,21 +148,30 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     l_side, r_side = (1, 0) if inclusive else (0, 1)
     width = int(bucket_seconds) * 1_000_000
 
-    lt = time_micros(left_time, left) * sign
-    lx = left.withColumns({**{k: F.col(lk) for k, (lk, _) in zip(kcols, pairs)},
-                           _T: lt, _S: F.lit(l_side), _B: F.floor(lt / width)})
     names = list(aggs)
     acols = [f"__a{i}" for i in range(len(names))]
-    rt = time_micros(right_time, right) * sign
-    rsel = [F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)]
-    rsel += [rt.alias(_T), F.lit(r_side).alias(_S), F.floor(rt / width).alias(_B)]
+    lx = left.withColumns({k: F.col(lk) for k, (lk, _) in zip(kcols, pairs)})
+    rsel = [F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)] + [col_(right_time).alias("__rt")]
     for a, n in zip(acols, names):
         kind, expr = aggs[n]
         rsel.append((F.lit(1) if kind == "count" else expr).alias(a))
-    keep = rt.isNotNull()
+    keep = col_(right_time).isNotNull()
     for (_, rk) in pairs:
         keep = keep & F.col(rk).isNotNull()
     rx = right.where(keep).select(*rsel)
+    if hot_key_rows != 0:
+        # join the (bounded, broadcast) hot-key list before any time math, so the
+        # hot-only summary branch below computes it for hot rows only
+        hot = F.broadcast(hot_keys(lx, rx, kcols, hot_key_rows))   # <= 4 x shuffle partitions rows
+        lx, rx = lx.join(hot, kcols, "left"), rx.join(hot, kcols, "left")
+    lt = time_micros(left_time, left) * sign
+    rt = time_micros("__rt", rx) * sign
+    lx = lx.withColumns({_T: lt, _S: F.lit(l_side)})
+    rx = rx.withColumns({_T: rt, _S: F.lit(r_side)}).drop("__rt")
+    bucket = F.floor(F.col(_T) / width)
+    if hot_key_rows != 0:
+        bucket = F.when(F.col("__hot"), bucket).otherwise(F.lit(0))
+    lx, rx = lx.withColumn(_B, bucket), rx.withColumn(_B, bucket)
 
     u = lx.unionByName(rx, allowMissingColumns=True)
     w_in = (Window.partitionBy(*kcols, _B).orderBy(_T, _S)
@@ -148,14 +179,19 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     inner = u.select(*lx.columns, *[_MERGE[aggs[n][0]](F.col(a)).over(w_in).alias(f"{a}_in")
                                      for a, n in zip(acols, names)]).where(F.col(_S) == l_side)
 
-    # Bucket summaries come from a separate partial (map-side combined)
-    # aggregate: one row per (key, bucket) and input task crosses the network.
-    # The inputs are scanned a second time for it (column pruning gives the
-    # two branches different exchanges, so they cannot share one).
-    summary = u.groupBy(*kcols, _B).agg(
-        *[_MERGE[aggs[n][0]](F.col(a)).alias(f"{a}_s") for a, n in zip(acols, names)],
-        F.max(F.col(_S) == l_side).alias("__hasl"))
-    w_carry = Window.partitionBy(*kcols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    # Carry across buckets, for bucketed keys only: right rows pre-aggregated
+    # per (key, bucket) with a map-side combine; left rows only mark the
+    # buckets that need a carry. One row per (key, bucket) crosses the network.
+    if hot_key_rows != 0:
+        lx, rx = lx.where(F.col("__hot")), rx.where(F.col("__hot"))
+    rsum = rx.groupBy(*kcols, _B).agg(
+        *[_MERGE[aggs[n][0]](F.col(a)).alias(f"{a}_s") for a, n in zip(acols, names)])
+    lmarks = lx.select(*kcols, _B).distinct().withColumn("__hasl", F.lit(True))
+    summary = rsum.withColumn("__hasl", F.lit(False)).unionByName(lmarks, allowMissingColumns=True)
+    # a left mark sorts before the right summary of its own bucket, so the
+    # frame "all earlier rows" holds exactly the right buckets before it
+    w_carry = Window.partitionBy(*kcols).orderBy(_B, F.col("__hasl").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     carry = (summary.select(*kcols, _B, "__hasl",
                             *[_MERGE[aggs[n][0]](F.col(f"{a}_s")).over(w_carry).alias(f"{a}_c")
                               for a, n in zip(acols, names)])
@@ -181,7 +217,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
 def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
               right_time: Column | str, cols: Sequence[str], *, strict: bool = True,
               forward: bool = False, tiebreak: Sequence[str] = (), prefix: str = "",
-              bucket_seconds: int = DEFAULT_BUCKET_SECONDS, keep_time: str | None = None) -> DataFrame:
+              bucket_seconds: int = DEFAULT_BUCKET_SECONDS, keep_time: str | None = None,
+              hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
     """Attach to every left row the latest right row of the same key
     with ``t_r < t_l`` (``<=`` unless ``strict``); with ``forward`` the earliest
     row with ``t_r > t_l`` (``>=`` unless ``strict``). Ties on time go to the
@@ -197,7 +234,8 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
         payload.append(col_(right_time).alias("__rt"))
     pick = F.struct(*fields, *payload)
     res = prefix_agg(left, right, on, left_time, right_time, {"__pick": ("max", pick)},
-                     inclusive=not strict, forward=forward, bucket_seconds=bucket_seconds)
+                     inclusive=not strict, forward=forward, bucket_seconds=bucket_seconds,
+                     hot_key_rows=hot_key_rows)
     outs = [F.col(f"__pick.{c}").alias(prefix + c) for c in cols]
     if keep_time:
         outs.append(F.col("__pick.__rt").alias(keep_time))
@@ -207,7 +245,8 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
 def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
                   cols: Sequence[str], window_seconds: int, *, pick: str = "last",
                   upper_inclusive: bool = False, tiebreak: Sequence[str] = (),
-                  prefix: str = "", bucket_seconds: int | None = None) -> DataFrame:
+                  prefix: str = "", bucket_seconds: int | None = None,
+                  hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
     """J12 (``pick='last'``) / J13 (``pick='first'``): the latest or earliest right
     row of the key with ``t_l - window <= t_r < t_l`` (``<= t_l`` when
     ``upper_inclusive``). No range join: the latest row is an as-of lookup cut at
@@ -218,19 +257,21 @@ def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_t
     lo = col_(left_time) - span
     if pick == "last":
         res = asof_join(left, right, on, left_time, right_time, cols, strict=not upper_inclusive,
-                        tiebreak=tiebreak, prefix="__m_", keep_time="__mt", bucket_seconds=bucket)
+                        tiebreak=tiebreak, prefix="__m_", keep_time="__mt", bucket_seconds=bucket,
+                        hot_key_rows=hot_key_rows)
         ok = F.col("__mt") >= lo
     else:
         res = asof_join(left.withColumn("__lo", lo), right, on, "__lo", right_time, cols,
                         strict=False, forward=True, tiebreak=tiebreak, prefix="__m_",
-                        keep_time="__mt", bucket_seconds=bucket).drop("__lo")
+                        keep_time="__mt", bucket_seconds=bucket, hot_key_rows=hot_key_rows).drop("__lo")
         ok = (F.col("__mt") <= col_(left_time)) if upper_inclusive else (F.col("__mt") < col_(left_time))
     return res.select(*left.columns, *[F.when(ok, F.col(f"__m_{c}")).alias(prefix + c) for c in cols])
 
 
 def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
                  lo_seconds: int, hi_seconds: int, name: str = "n",
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                 hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
     """Count right rows of the key with ``t_l + lo <= t_r < t_l + hi`` as the
     difference of two prefix counts (no pair is materialised)."""
     def shift(s):
@@ -238,9 +279,9 @@ def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_ti
 
     base = left.withColumns({"__hi": shift(hi_seconds), "__lo": shift(lo_seconds)})
     a = prefix_agg(base, right, on, "__hi", right_time, {"__nhi": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds)
+                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows)
     b = prefix_agg(a, right, on, "__lo", right_time, {"__nlo": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds)
+                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows)
     return b.select(*left.columns, (F.col("__nhi") - F.col("__nlo")).alias(name))
 
 

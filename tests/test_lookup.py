@@ -51,21 +51,31 @@ def brute_asof(left, right, strict, forward, lo=None, hi_incl=None):
     return sorted(out, key=repr)
 
 
+# hot-key modes: 0 = every key split into buckets; 1 = heavy-hitter detection
+# with a one-row minimum (the four keys are the heaviest, so all are split);
+# None = library default (no key of this small table is hot, one bucket per key)
+HOT_MODES = [0, 1, None]
+
+
 @pytest.mark.parametrize("strict", [True, False])
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("bucket", [60, 86400])
-def test_asof_matches_brute_force(spark, asof_data, strict, forward, bucket):
+@pytest.mark.parametrize("hot", HOT_MODES)
+def test_asof_matches_brute_force(spark, asof_data, strict, forward, bucket, hot):
     left, right, L, R = asof_data
+    kw = {} if hot is None else {"hot_key_rows": hot}
     got = asof_join(L, R, "key", "t", "rt", ["rid"], strict=strict, forward=forward,
-                    tiebreak=["rid"], bucket_seconds=bucket)
+                    tiebreak=["rid"], bucket_seconds=bucket, **kw)
     assert rows(got, "id", "rid") == brute_asof(left, right, strict, forward)
     assert got.count() == len(left)
 
 
-def test_prefix_count_and_sum(spark, asof_data):
+@pytest.mark.parametrize("hot", HOT_MODES)
+def test_prefix_count_and_sum(spark, asof_data, hot):
     left, right, L, R = asof_data
+    kw = {} if hot is None else {"hot_key_rows": hot}
     got = prefix_agg(L, R, "key", "t", "rt", {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")),
-                                               "lo": ("min", F.col("rid"))}, bucket_seconds=120)
+                                               "lo": ("min", F.col("rid"))}, bucket_seconds=120, **kw)
     exp = []
     for i, k, t in left:
         m = [(rid, v) for rk, rt, rid, v in right if k is not None and t is not None and rk == k and rt < t]
@@ -79,7 +89,7 @@ def test_lookback_window_bounds(spark, asof_data, pick, upper_inclusive):
     left, right, L, R = asof_data
     w = 48 * 60 * 60
     got = lookback_join(L, R, "key", "t", "rt", ["rid"], w, pick=pick, upper_inclusive=upper_inclusive,
-                        tiebreak=["rid"], bucket_seconds=3600)
+                        tiebreak=["rid"], bucket_seconds=3600, hot_key_rows=1)
     exp = []
     for i, k, t in left:
         m = [(rt, rid) for rk, rt, rid, _ in right if k is not None and t is not None and rk == k
@@ -100,7 +110,7 @@ def test_lookback_exact_boundary(spark):
 
 def test_window_count_and_range_join(spark, asof_data):
     left, right, L, R = asof_data
-    got = window_count(L, R, "key", "t", "rt", 0, 3600, name="n", bucket_seconds=600)
+    got = window_count(L, R, "key", "t", "rt", 0, 3600, name="n", bucket_seconds=600, hot_key_rows=0)
     pairs = range_join(L, R, "key", "t", "rt", 0, 3600)
     exp_n, exp_pairs = [], []
     for i, k, t in left:

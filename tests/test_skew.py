@@ -36,9 +36,20 @@ def test_asof_on_hot_key_is_exact(spark):
     df = _skewed(spark, 6000)
     left = df.where(F.col("rid") % 2 == 0).select("k", "t", "rid")
     right = df.where(F.col("rid") % 2 == 1).select("k", F.col("t").alias("rt"), F.col("rid").alias("r"))
-    got = asof_join(left, right, "k", "t", "rt", ["r"], tiebreak=["r"], bucket_seconds=3600)
+    got = asof_join(left, right, "k", "t", "rt", ["r"], tiebreak=["r"], bucket_seconds=3600, hot_key_rows=1)
     brute = (left.join(right, "k").where(F.col("rt") < F.col("t"))
              .groupBy("rid").agg(F.max_by("r", F.struct("rt", "r")).alias("r")))
     exp = left.join(brute, "rid", "left")
     assert sorted(map(tuple, got.select("rid", "r").collect())) == \
         sorted(map(tuple, exp.select("rid", "r").collect()))
+
+
+def test_hot_keys_finds_only_the_heavy_hitter(spark):
+    from funnelkit.operators.lookup import hot_keys
+    df = _skewed(spark, 30_000)
+    left = df.where(F.col("rid") % 2 == 0).select("k")
+    right = df.where(F.col("rid") % 2 == 1).select("k")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anyk = [r.k for r in hot_keys(left, right, ["k"], min_rows=1).collect()]
+    assert 0 in anyk and len(anyk) <= 4 * parts              # bounded, heaviest first
+    assert [r.k for r in hot_keys(left, right, ["k"], min_rows=1000).collect()] == [0]
