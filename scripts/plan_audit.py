@@ -50,7 +50,9 @@ def main():
              "side is small into broadcast joins, and splits skewed partitions). Broadcasts here come",
              "from static size statistics of small files. Single-partition exchanges are the final",
              "merge of a global aggregate (one partial row per task), a top-n, or the per-partition",
-             "offsets of `row_positions`; none carries a data-sized input.",
+             "offsets of `row_positions`; none carries a data-sized input. Each as-of / look-back",
+             "lookup contributes one data-sized shuffle on (key, bucket) plus small ones: the",
+             "map-side combined key count, the bounded hot-key top-k, and the hot-key-only carry.",
              "Generated by `scripts/plan_audit.py`.", "",
              head, "| " + " | ".join(["---"] * (len(PATTERNS) + 1)) + " |"]
     for name, counts in rows:
