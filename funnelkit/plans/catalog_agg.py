@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import (day_window, imatch, pct_text, pct_text_ratio, similar_prefix,
                                       case_cascade, nimatch)
-from funnelkit.operators.agg import (answers_map, collect_struct, disposition_summary, first_by,
+from funnelkit.operators.agg import (answers_map, collect_struct, disposition_summary,
                                      join_distinct, join_strings, progress, rollup_totals,
                                      with_total_row, fill_zero)
 from funnelkit.operators.lookup import agg_per_key, first_per, nth_state

@@ -6,10 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funnelkit.functions.expr import (case_cascade, day_window, decode_label, extract_group,
-                                      half_open, imatch, m_bucket, month_diff, nimatch,
-                                      similar_prefix)
-from funnelkit.operators.agg import first_by, join_distinct, last_by, milestone, milestone_and_not
+from funnelkit.functions.expr import (case_cascade, day_window, decode_label, half_open, imatch,
+                                      m_bucket, month_diff, nimatch, similar_prefix)
+from funnelkit.operators.agg import join_distinct, last_by, milestone, milestone_and_not
 from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, lookback_join,
                                         lookup_latest, range_agg)
 from funnelkit.operators.member import anti, semi
