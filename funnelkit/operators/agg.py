@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import col_
 from funnelkit.operators.lookup import order_key
 
-__all__ = ["milestone", "milestone_and_not", "first_by", "last_by", "progress",
+__all__ = ["milestones", "call_state", "count_if_distinct", "milestone", "milestone_and_not", "first_by", "last_by", "progress",
            "join_strings", "join_distinct", "collect_struct", "answers_map",
            "rollup_totals", "with_total_row", "disposition_summary", "bind_cols",
            "full_join_all", "count_distinct_if", "fill_zero"]
@@ -25,6 +25,21 @@ def milestone(pred: Column, default: int | None = None) -> Column:
     return F.coalesce(m, F.lit(default)) if default is not None else m
 
 
+def milestones(logs: DataFrame, key: Sequence[str] | str, preds: Mapping[str, Column],
+               default: int | None = None) -> DataFrame:
+    """A6 at table level: one row per key with ``bool_or(pred)::int`` per name
+    (one aggregation pass over the log, map-side combined)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return logs.groupBy(*keys).agg(*[milestone(p, default).alias(n) for n, p in preds.items()])
+
+
+def call_state(pred: Column, labels: Sequence[str] = ("NC", "Contact", "No Call")) -> Column:
+    """A9 tri-state label over a group: all rows match, some match, none (or no
+    rows). The second label is the reference's for "some rows match"."""
+    all_, some, none = labels
+    return F.when(F.bool_and(pred), F.lit(all_)).when(F.bool_or(pred), F.lit(some)).otherwise(F.lit(none))
+
+
 def milestone_and_not(a: Column, b: Column) -> Column:
     """``(bool_or(a) and not bool_or(b))::integer``."""
     return (F.bool_or(a) & ~F.bool_or(b)).cast("int")
@@ -89,6 +104,9 @@ def count_distinct_if(x: Column | str, cond: Column) -> Column:
     return F.count_distinct(F.when(cond, col_(x)))
 
 
+count_if_distinct = count_distinct_if
+
+
 def rollup_totals(df: DataFrame, keys: Mapping[str, Column | str], aggs: Sequence[Column],
                   label: str = "Total", mark: str = "grouping") -> DataFrame:
     """``GROUP BY ROLLUP(keys)`` with subtotal labels.

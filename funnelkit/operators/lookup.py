@@ -336,17 +336,20 @@ def agg_per_key(left: DataFrame, right: DataFrame, on, aggs: Sequence[Column],
     return out.fillna(0, subset=list(zero)) if zero else out
 
 
-def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_state") -> DataFrame:
-    """The state at ``dense_rank() = 2`` over ``(order DESC, state DESC)`` per
-    key, i.e. the second-largest distinct (order, state) pair. Two map-side
-    combined aggregations and one equi join; no window over a whole key."""
+def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_state", n: int = 2) -> DataFrame:
+    """The state at ``dense_rank() = n`` over ``(order DESC, state DESC)`` per
+    key, i.e. the n-th largest distinct (order, state) pair (NULL order first,
+    as PostgreSQL sorts descending). Each step is a map-side combined ``max``
+    below the previous rank plus one equi join; no window over a whole key.
+    Keys with fewer than n distinct pairs are absent."""
     keys = [key] if isinstance(key, str) else list(key)
     pair = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("t"), F.col(state).alias("s"))
-    top = df.groupBy(*keys).agg(F.max(pair).alias("__m1"))
-    second = (df.select(*keys, pair.alias("__p")).join(top, keys, "inner")
-              .where(F.col("__p") < F.col("__m1"))
-              .groupBy(*keys).agg(F.max("__p").alias("__m2")))
-    return second.select(*keys, F.col("__m2.s").alias(out), F.col("__m2.t").alias(f"{out}_at"))
+    rows = df.select(*keys, pair.alias("__p"))
+    rank = rows.groupBy(*keys).agg(F.max("__p").alias("__m"))
+    for _ in range(n - 1):
+        rank = (rows.join(rank, keys, "inner").where(F.col("__p") < F.col("__m"))
+                .groupBy(*keys).agg(F.max("__p").alias("__m")))
+    return rank.select(*keys, F.col("__m.s").alias(out), F.col("__m.t").alias(f"{out}_at"))
 
 
 def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
@@ -362,3 +365,4 @@ def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     inner = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     out = srt.join(F.broadcast(offsets), "__pid")
     return out.withColumn(name, F.col("__off") + inner + 1).drop("__pid", "__mid", "__off")
+

@@ -165,3 +165,13 @@ def test_asof_order_is_zone_free_for_wall_clock_times(spark):
         assert [x.rid for x in got.collect()] == [2]
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_nth_state_rank_three_matches_dense_rank(spark):
+    from pyspark.sql import Window
+    rnd = random.Random(3)
+    data = [(rnd.randrange(20), ts(rnd.randrange(30)), rnd.choice("ABC")) for _ in range(600)]
+    df = spark.createDataFrame(data, "k long, t timestamp_ntz, s string")
+    w = Window.partitionBy("k").orderBy(F.col("t").desc_nulls_first(), F.col("s").desc())
+    exp = df.withColumn("r", F.dense_rank().over(w)).where("r = 3").select("k", "s").distinct()
+    assert rows(nth_state(df, "k", "t", "s", n=3), "k", "prior_state") == rows(exp)

@@ -136,3 +136,12 @@ def test_rollup_leaf_rows_equal_group_by(spark):
     r = rollup_totals(df, {"a": "a", "b": "b"}, [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")])
     leaf = r.where((F.col("a") != "Total") & (F.col("b") != "Total"))
     assert rows(leaf) == rows(df.groupBy("a", "b").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")))
+
+
+def test_milestones_and_call_state(spark):
+    from funnelkit.operators.agg import call_state, milestones
+    log = spark.createDataFrame([(1, "NC"), (1, "NC"), (2, "NC"), (2, "ok"), (3, "ok")], "lead long, dispo string")
+    m = milestones(log, "lead", {"nc": F.col("dispo") == "NC", "ok": F.col("dispo") == "ok"})
+    assert rows(m) == [(1, 1, 0), (2, 1, 1), (3, 0, 1)]
+    st = log.groupBy("lead").agg(call_state(F.col("dispo") == "NC").alias("s"))
+    assert rows(st) == [(1, "NC"), (2, "Contact"), (3, "No Call")]
