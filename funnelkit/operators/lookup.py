@@ -28,6 +28,7 @@ __all__ = ["wall_micros", "row_positions", "first_per", "lookup_latest", "prefix
 
 DEFAULT_BUCKET_SECONDS = 86400
 HOT_KEY_MIN_ROWS = 10_000
+BUCKET_ROWS = 1_000_000
 _T, _B, _S = "__t", "__b", "__side"
 
 
@@ -110,25 +111,41 @@ _MERGE = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
 
 
 def hot_keys(left: DataFrame, right: DataFrame, kcols: Sequence[str],
-             min_rows: int = HOT_KEY_MIN_ROWS) -> DataFrame:
+             min_rows: int = HOT_KEY_MIN_ROWS, left_time: str | None = None,
+             right_time: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The heaviest keys of both inputs: at most ``4 * shuffle partitions`` keys
     with at least ``min_rows`` rows, taken by a distributed top-k over a
     map-side combined count. The bound does not grow with the data, so the
     result can be broadcast. Keys past the cut are smaller than every key kept
-    and are processed unsplit; results are exact either way."""
+    and are processed unsplit; results are exact either way.
+
+    With the time columns given, each hot key also gets ``__w``, a bucket width
+    in microseconds of about ``bucket_rows`` rows: its time span times
+    ``bucket_rows / count`` (at least one second)."""
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = left.select(*kcols).unionByName(right.select(*kcols)).where(
+    lsel = [F.col(k) for k in kcols] + ([F.col(left_time).alias("__ht")] if left_time else [])
+    rsel = [F.col(k) for k in kcols] + ([F.col(right_time).alias("__ht")] if right_time else [])
+    keys = left.select(*lsel).unionByName(right.select(*rsel)).where(
         F.coalesce(*[F.col(k).isNotNull() for k in kcols]))
-    counts = keys.groupBy(*kcols).agg(F.count(F.lit(1)).alias("__n"))
-    return (counts.where(F.col("__n") >= max(int(min_rows), 1)).orderBy(F.col("__n").desc())
-            .limit(4 * parts).select(*kcols, F.lit(True).alias("__hot")))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    if left_time:
+        aggs += [F.min("__ht").alias("__lo"), F.max("__ht").alias("__hi")]
+    counts = keys.groupBy(*kcols).agg(*aggs)
+    top = (counts.where(F.col("__n") >= max(int(min_rows), 1)).orderBy(F.col("__n").desc())
+           .limit(4 * parts))
+    out = [*kcols, F.lit(True).alias("__hot")]
+    if left_time:
+        span = time_micros("__hi", top) - time_micros("__lo", top)
+        out.append(F.greatest(F.lit(1_000_000), F.ceil(span * bucket_rows / F.col("__n"))).cast("long")
+                   .alias("__w"))
+    return top.select(*out)
 
 
 def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
                right_time: Column | str, aggs: Mapping[str, tuple[str, Column]], *,
                inclusive: bool = False, forward: bool = False,
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-               hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
+               bucket_seconds: int | None = None,
+               hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each left row, aggregate the right rows of the same key that lie before
     it in time (``t_r < t_l``; ``<=`` when ``inclusive``), or after it when
     ``forward`` (``t_r > t_l`` / ``>=``).
@@ -138,15 +155,17 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     nothing precedes). Every left row is returned once with all its columns.
 
     Hot keys (see ``hot_keys``; ``hot_key_rows`` is the minimum row count of a
-    hot key) are split into time buckets of ``bucket_seconds`` with a carry
-    across buckets; every other key is one bucket, handled by the running
-    window alone. ``hot_key_rows=0`` buckets every key.
+    hot key) are split into time buckets with a carry across buckets; every
+    other key is one bucket, handled by the running window alone. A hot key's
+    bucket width gives about ``bucket_rows`` rows per bucket, or is
+    ``bucket_seconds`` when that is set. ``hot_key_rows=0`` buckets every key
+    by ``bucket_seconds`` (default one day).
     """
     pairs = _pairs(on)
     kcols = [f"__k{i}" for i in range(len(pairs))]
     sign = -1 if forward else 1
     l_side, r_side = (1, 0) if inclusive else (0, 1)
-    width = int(bucket_seconds) * 1_000_000
+    width = int(bucket_seconds or DEFAULT_BUCKET_SECONDS) * 1_000_000
 
     names = list(aggs)
     acols = [f"__a{i}" for i in range(len(names))]
@@ -162,7 +181,10 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     if hot_key_rows != 0:
         # join the (bounded, broadcast) hot-key list before any time math, so the
         # hot-only summary branch below computes it for hot rows only
-        hot = F.broadcast(hot_keys(lx, rx, kcols, hot_key_rows))   # <= 4 x shuffle partitions rows
+        adaptive = bucket_seconds is None
+        hot = F.broadcast(hot_keys(                                # <= 4 x shuffle partitions rows
+            lx.withColumn("__lt", col_(left_time)), rx, kcols, hot_key_rows,
+            "__lt" if adaptive else None, "__rt" if adaptive else None, bucket_rows))
         lx, rx = lx.join(hot, kcols, "left"), rx.join(hot, kcols, "left")
     lt = time_micros(left_time, left) * sign
     rt = time_micros("__rt", rx) * sign
@@ -170,6 +192,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     rx = rx.withColumns({_T: rt, _S: F.lit(r_side)}).drop("__rt")
     bucket = F.floor(F.col(_T) / width)
     if hot_key_rows != 0:
+        if adaptive:
+            bucket = F.floor(F.col(_T) / F.col("__w"))
         bucket = F.when(F.col("__hot"), bucket).otherwise(F.lit(0))
     lx, rx = lx.withColumn(_B, bucket), rx.withColumn(_B, bucket)
 
@@ -217,8 +241,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
 def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
               right_time: Column | str, cols: Sequence[str], *, strict: bool = True,
               forward: bool = False, tiebreak: Sequence[str] = (), prefix: str = "",
-              bucket_seconds: int = DEFAULT_BUCKET_SECONDS, keep_time: str | None = None,
-              hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
+              bucket_seconds: int | None = None, keep_time: str | None = None,
+              hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Attach to every left row the latest right row of the same key
     with ``t_r < t_l`` (``<=`` unless ``strict``); with ``forward`` the earliest
     row with ``t_r > t_l`` (``>=`` unless ``strict``). Ties on time go to the
@@ -235,7 +259,7 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     pick = F.struct(*fields, *payload)
     res = prefix_agg(left, right, on, left_time, right_time, {"__pick": ("max", pick)},
                      inclusive=not strict, forward=forward, bucket_seconds=bucket_seconds,
-                     hot_key_rows=hot_key_rows)
+                     hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
     outs = [F.col(f"__pick.{c}").alias(prefix + c) for c in cols]
     if keep_time:
         outs.append(F.col("__pick.__rt").alias(keep_time))
@@ -246,32 +270,33 @@ def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_t
                   cols: Sequence[str], window_seconds: int, *, pick: str = "last",
                   upper_inclusive: bool = False, tiebreak: Sequence[str] = (),
                   prefix: str = "", bucket_seconds: int | None = None,
-                  hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
+                  hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """J12 (``pick='last'``) / J13 (``pick='first'``): the latest or earliest right
     row of the key with ``t_l - window <= t_r < t_l`` (``<= t_l`` when
     ``upper_inclusive``). No range join: the latest row is an as-of lookup cut at
     the lower bound, the earliest is a forward as-of from ``t_l - window`` cut at
     the upper bound."""
-    bucket = bucket_seconds or max(int(window_seconds), 3600)
+    bucket = bucket_seconds
     span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(window_seconds)))
     lo = col_(left_time) - span
     if pick == "last":
         res = asof_join(left, right, on, left_time, right_time, cols, strict=not upper_inclusive,
                         tiebreak=tiebreak, prefix="__m_", keep_time="__mt", bucket_seconds=bucket,
-                        hot_key_rows=hot_key_rows)
+                        hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
         ok = F.col("__mt") >= lo
     else:
         res = asof_join(left.withColumn("__lo", lo), right, on, "__lo", right_time, cols,
                         strict=False, forward=True, tiebreak=tiebreak, prefix="__m_",
-                        keep_time="__mt", bucket_seconds=bucket, hot_key_rows=hot_key_rows).drop("__lo")
+                        keep_time="__mt", bucket_seconds=bucket, hot_key_rows=hot_key_rows,
+                        bucket_rows=bucket_rows).drop("__lo")
         ok = (F.col("__mt") <= col_(left_time)) if upper_inclusive else (F.col("__mt") < col_(left_time))
     return res.select(*left.columns, *[F.when(ok, F.col(f"__m_{c}")).alias(prefix + c) for c in cols])
 
 
 def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
                  lo_seconds: int, hi_seconds: int, name: str = "n",
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                 hot_key_rows: int | None = HOT_KEY_MIN_ROWS) -> DataFrame:
+                 bucket_seconds: int | None = None,
+                 hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Count right rows of the key with ``t_l + lo <= t_r < t_l + hi`` as the
     difference of two prefix counts (no pair is materialised)."""
     def shift(s):
@@ -279,9 +304,9 @@ def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_ti
 
     base = left.withColumns({"__hi": shift(hi_seconds), "__lo": shift(lo_seconds)})
     a = prefix_agg(base, right, on, "__hi", right_time, {"__nhi": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows)
+                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
     b = prefix_agg(a, right, on, "__lo", right_time, {"__nlo": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows)
+                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
     return b.select(*left.columns, (F.col("__nhi") - F.col("__nlo")).alias(name))
 
 

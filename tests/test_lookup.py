@@ -175,3 +175,27 @@ def test_nth_state_rank_three_matches_dense_rank(spark):
     w = Window.partitionBy("k").orderBy(F.col("t").desc_nulls_first(), F.col("s").desc())
     exp = df.withColumn("r", F.dense_rank().over(w)).where("r = 3").select("k", "s").distinct()
     assert rows(nth_state(df, "k", "t", "s", n=3), "k", "prior_state") == rows(exp)
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_adaptive_hot_key_buckets(spark, asof_data, forward):
+    left, right, L, R = asof_data
+    got = prefix_agg(L, R, "key", "t", "rt",
+                     {"pick": ("max", F.struct(((-1 if forward else 1) * F.col("rid")).alias("o"), "rid")),
+                      "n": ("count", F.lit(1))},
+                     forward=forward, inclusive=True, hot_key_rows=1, bucket_rows=20)
+    exp = []
+    for i, k, t in left:
+        m = [rid for rk, rt, rid, _ in right if k is not None and t is not None and rk == k
+             and ((rt >= t) if forward else (rt <= t))]
+        best = (min(m) if forward else max(m)) if m else None
+        exp.append((i, best, len(m)))
+    assert rows(got.select("id", F.col("pick.rid"), "n")) == sorted(exp, key=repr)
+
+
+def test_hot_key_width_targets_bucket_rows(spark):
+    from funnelkit.operators.lookup import hot_keys
+    df = spark.range(20_000).selectExpr("id % 2 AS k", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS t")
+    hk = hot_keys(df, df.limit(0), ["k"], min_rows=1, left_time="t", right_time="t", bucket_rows=1000).collect()
+    # each key: 10,000 rows over ~20,000 s -> about 2,000 s per 1,000 rows
+    assert sorted(r.k for r in hk) == [0, 1] and all(1_900_000_000 <= r["__w"] <= 2_100_000_000 for r in hk)
