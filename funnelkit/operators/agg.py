@@ -150,14 +150,21 @@ def disposition_summary(df: DataFrame, group: Sequence[str], ident: Column | str
     ``buckets`` maps a column name to the outcome list it counts (``None`` = all
     rows). ``distinct`` counts distinct ``ident`` (R's ``n_distinct(na.rm=TRUE)``),
     otherwise rows. This replaces per-bucket frames stitched by an outer join.
+
+    Distinct counts are computed without Spark's per-aggregate row expansion:
+    first one row per (group, ident) with a 0/1 flag per bucket (map-side
+    combined), then plain sums per group.
     """
     r, i = col_(result), col_(ident)
-    aggs = [(F.count_distinct(i) if distinct else F.count(F.lit(1))).alias(total)]
-    for name, values in buckets.items():
-        cond = r.isin(list(values)) if values is not None else F.lit(True)
-        aggs.append((F.count_distinct(F.when(cond, i)) if distinct
-                     else F.count(F.when(cond, F.lit(1)))).alias(name))
-    return df.groupBy(*group).agg(*aggs)
+    conds = {name: (r.isin(list(values)) if values is not None else F.lit(True))
+             for name, values in buckets.items()}
+    if not distinct:
+        return df.groupBy(*group).agg(F.count(F.lit(1)).alias(total),
+                                      *[F.count(F.when(c, F.lit(1))).alias(n) for n, c in conds.items()])
+    per = (df.where(i.isNotNull()).groupBy(*group, i.alias("__id"))
+           .agg(*[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in conds.items()]))
+    return per.groupBy(*group).agg(F.count(F.lit(1)).alias(total),
+                                   *[F.sum(n).cast("long").alias(n) for n in conds])
 
 
 def bind_cols(*one_row: DataFrame) -> DataFrame:

@@ -159,30 +159,39 @@ def conversion_matrix(base: DataFrame, conversions: DataFrame, *, user: str, lea
     pair. Output column names carry the month parameters (``'<m0> profiled'``).
     """
     lit = lambda s: F.lit(s).cast("timestamp_ntz")
+    labels = [m0, m1, m2, "M2+"]
 
-    def buckets(c):
+    def month_label(c):
         c = F.col(c)
-        return {m0: c >= lit(m0), m1: (c >= lit(m1)) & (c < lit(m0)),
-                m2: (c >= lit(m2)) & (c < lit(m1)), "M2+": c < lit(m2)}
+        return (F.when(c >= lit(m0), m0).when((c >= lit(m1)) & (c < lit(m0)), m1)
+                .when((c >= lit(m2)) & (c < lit(m1)), m2).when(c < lit(m2), "M2+"))
 
     p = F.col(profiled)
     vintage = (F.when(p >= lit(m0), "M0").when((p >= lit(m1)) & (p < lit(m0)), "M1")
                .when((p >= lit(m2)) & (p < lit(m1)), "M2").when(p < lit(m2), "M2+"))
     b = base.withColumn("vintage", vintage)
-    aggs = [F.count_distinct(F.when(cond, F.col(user))).alias(f"{k} profiled")
-            for k, cond in buckets(profiled).items()]
-    aggs += [F.count_distinct(F.when(cond, F.col(lead))).alias(f"{k} applied")
-             for k, cond in buckets(applied).items()]
-    left = b.groupBy("vintage").agg(*aggs)
 
+    def cell_counts(df, ident, when_col, suffix):
+        # count(DISTINCT ident) FILTER (month of when_col = label), for every label,
+        # as distinct (vintage, label, ident) rows then conditional counts: no
+        # per-aggregate row expansion
+        d = df.select("vintage", month_label(when_col).alias("__m"), F.col(ident).alias("__id")) \
+            .where(F.col("__m").isNotNull() & F.col("__id").isNotNull()).distinct()
+        return d.groupBy("vintage").agg(*[F.count(F.when(F.col("__m") == lb, 1)).alias(f"{lb} {suffix}")
+                                          for lb in labels])
+
+    vintages = b.select("vintage").distinct()
     users = b.groupBy(user, "vintage").agg(F.min(profiled).alias("__p"))
     conv = conversions.join(users, user, "inner").where(
         (F.col(booked) >= F.col("__p")) & (F.col(booked) <= lit(end)))
-    right = conv.groupBy("vintage").agg(
-        *[F.count_distinct(F.when(cond, F.col(lead))).alias(f"{k} conversion")
-          for k, cond in buckets(booked).items()])
-    out = left.join(right, "vintage", "left")
-    return out.fillna(0, subset=[f"{k} conversion" for k in (m0, m1, m2, "M2+")])
+    out = vintages
+    for part in (cell_counts(b, user, profiled, "profiled"), cell_counts(b, lead, applied, "applied"),
+                 cell_counts(conv, lead, booked, "conversion")):
+        part = part.withColumnRenamed("vintage", "__v")
+        # NULL profile dates form their own vintage row, as GROUP BY does
+        out = out.join(part, out["vintage"].eqNullSafe(part["__v"]), "left").drop("__v")
+    names = [f"{lb} {sfx}" for sfx in ("profiled", "applied", "conversion") for lb in labels]
+    return out.fillna(0, subset=names).select("vintage", *names)
 
 
 # ---------------------------------------------------------------------------
