@@ -394,7 +394,7 @@ def _applied_oic():
             .otherwise(F.concat(F.lit("agent-"), (F.col("o_custkey") % 10).cast("string"))))
 
 
-@query("applications_extract", ids="R10 C3 C10 J12 J16 A6 A7 A11 F10 F12 STR4 U2 DT9 P2", sql="""
+@query("applications_extract", ids="R10 C3 C10 J12 J16 A6 A7 A11 A14 AR1 F10 F12 STR4 STR5 U2 DT9 P2", sql="""
 WITH a AS (
   SELECT o.*, CASE WHEN o_totalprice > 200000 THEN 'System' WHEN o_orderstatus = 'P' THEN 'PORTFOLIO'
                    ELSE 'agent-' || CAST(o_custkey % 10 AS VARCHAR) END AS applied_oic,
@@ -417,7 +417,10 @@ SELECT a.o_orderkey AS lead_id, a.o_custkey AS user_id, a.o_orderpriority AS sku
        WHEN regexp_matches(a.o_orderpriority, 'urgent', 'i') AND NOT a.zone THEN a.o_orderpriority || ' ROI'
        WHEN regexp_matches(a.o_orderpriority, 'high', 'i') THEN 'HIGH PL'
        ELSE a.o_orderpriority END AS sku_name,
-  CASE WHEN a.o_orderpriority = '1-URGENT' THEN 1 WHEN a.o_orderpriority = '5-LOW' THEN 0 END AS consent
+  CASE WHEN a.o_orderpriority = '1-URGENT' THEN 1 WHEN a.o_orderpriority = '5-LOW' THEN 0 END AS consent,
+  CASE WHEN a.o_orderstatus = 'F' THEN 'YES' WHEN a.o_orderstatus = 'O' THEN 'NO'
+       ELSE 'No regen consent record present' END AS regeneration_consent,
+  lenders_present.lenders_presented
 FROM a
 LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_profile_date FROM orders GROUP BY 1) fp ON fp.o_custkey = a.o_custkey
 LEFT JOIN LATERAL (
@@ -447,6 +450,11 @@ LEFT JOIN LATERAL (
   WHERE l_orderkey = a.o_orderkey AND l_linestatus = 'F' AND NOT regexp_matches(l_returnflag, '^n', 'i')
     AND l_shipdate > a.o_orderdate
 ) call_att ON TRUE
+LEFT JOIN LATERAL (
+  SELECT string_agg(lenders, '|' ORDER BY lenders) AS lenders_presented
+  FROM (SELECT DISTINCT trim(unnest(string_split('{' || l_returnflag || ',' || l_linestatus || '}', ',')), '{}') AS lenders
+        FROM lineitem fs2 WHERE fs2.l_orderkey = a.o_orderkey) le
+) lenders_present ON TRUE
 """)
 def applications_extract(spark, d):
     t = Tables(spark, d)
@@ -476,8 +484,16 @@ def applications_extract(spark, d):
         F.count(F.when(after & nimatch("l_returnflag", "(a)"), 1)).alias("effective_attempts"),
         last_by(F.regexp_replace(F.concat("l_returnflag", F.lit("\n"), "l_linestatus"), "[\\n\\r]+", " "),
                 ["l_shipdate", "l_returnflag"], where=after & (F.col("l_linenumber") == 2)).alias("crm_210"))
+    # lenders presented: the array cast to PostgreSQL text ('{a,b}'), split on
+    # commas, braces trimmed, distinct, '|'-joined (bounded by the lender list)
+    as_text = F.concat(F.lit("{"), F.array_join(F.array("l_returnflag", "l_linestatus"), ","), F.lit("}"))
+    lenders = (lines.select(F.col("l_orderkey").alias("o_orderkey"),
+                            F.explode(F.split(as_text, ",")).alias("__l"))
+               .select("o_orderkey", F.expr("trim(BOTH '{}' FROM __l)").alias("__l"))
+               .groupBy("o_orderkey").agg(join_distinct("__l", "|").alias("lenders_presented")))
     fp = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_profile_date"))
-    out = a.join(met, "o_orderkey", "left").join(fp, "o_custkey", "left")
+    out = (a.join(met, "o_orderkey", "left").join(fp, "o_custkey", "left")
+           .join(lenders, "o_orderkey", "left"))
     sys_owner = imatch("applied_oic", "(system|port)")
     urgent, zone = imatch("o_orderpriority", "urgent"), F.col("zone")
     return out.select(
@@ -494,7 +510,9 @@ def applications_extract(spark, d):
                       (urgent & ~zone, F.concat("o_orderpriority", F.lit(" ROI"))),
                       (imatch("o_orderpriority", "high"), F.lit("HIGH PL"))],
                      F.col("o_orderpriority")).alias("sku_name"),
-        decode_label("o_orderpriority", {"1-URGENT": 1, "5-LOW": 0}).alias("consent"))
+        decode_label("o_orderpriority", {"1-URGENT": 1, "5-LOW": 0}).alias("consent"),
+        decode_label("o_orderstatus", {"F": "YES", "O": "NO"}, "No regen consent record present")
+        .alias("regeneration_consent"), "lenders_presented")
 
 
 @query("rejected_enriched", ids="R1 J5 J7 J8 J9 J22 P2 P4 P5 U3", sql="""
