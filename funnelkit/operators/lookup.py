@@ -165,6 +165,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     kcols = [f"__k{i}" for i in range(len(pairs))]
     sign = -1 if forward else 1
     l_side, r_side = (1, 0) if inclusive else (0, 1)
+    if hot_key_rows is None:
+        hot_key_rows = HOT_KEY_MIN_ROWS
     width = int(bucket_seconds or DEFAULT_BUCKET_SECONDS) * 1_000_000
 
     names = list(aggs)
