@@ -364,7 +364,7 @@ def pacing_q(spark, d, *, day=PACE_DAY, month_start=PACE_MONTH_START, plan_month
 WITH apps AS (
   SELECT 'supp-' || CAST(l.l_suppkey AS VARCHAR) AS applied_oic, l.l_shipdate AS applied_date,
          p.p_name AS sku, p.p_type AS customer_type,
-         CAST(CAST(l.l_quantity AS INTEGER) AS VARCHAR) AS status_code, l.l_orderkey AS lead_id
+         CAST(CAST(trunc(l.l_quantity) AS INTEGER) AS VARCHAR) AS status_code, l.l_orderkey AS lead_id
   FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
 ),
 sp AS (SELECT p_name AS sku, p_type AS customer_type, min(p_size) % 2 AS api_flag,
@@ -488,3 +488,84 @@ def missed_promise(spark, d):
     return j.select("o_orderkey", "o_custkey", "o_orderdate", "followup_date",
                     F.when(due & imatch("o_orderpriority", "urgent"), 1).otherwise(0).alias("missed_urgent"),
                     F.when(due & imatch("o_orderpriority", "high"), 1).otherwise(0).alias("missed_high"))
+
+
+@query("agent_tracking", ids="R22 C6 C10 J3 J25 A3 A5 F12 F8", sql="""
+WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+                   'agent-' || CAST(user_id AS VARCHAR) AS oic FROM events
+            WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'),
+data AS (
+  SELECT CAST(ts AS DATE) AS call_date, oic,
+         CASE WHEN extract(dow FROM CAST(ts AS DATE)) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend,
+         count(*) AS total_calls, count(*) FILTER (WHERE event_type != 'error') AS effective_calls,
+         strftime(min(ts), '%H:%M:%S') AS first_call_time, strftime(max(ts), '%H:%M:%S') AS last_call_time,
+         CAST(CASE WHEN count(*) = 0 THEN 0 WHEN count(*) < 40 THEN 0.5 ELSE 1 END AS DOUBLE) AS attendance_count,
+         CAST(round((epoch_us(max(ts)) - epoch_us(min(ts)))::DECIMAL(20,0) / 3600000000, 2) AS DOUBLE) AS hours_logged
+  FROM ev GROUP BY 1, 2, 3
+),
+apps AS (
+  SELECT e.oic AS applied_oic, CAST(e.ts AS DATE) AS applied_date, e.event_id AS lead_id,
+         p.p_name AS sku, p.p_type AS customer_type,
+         CAST(CAST(trunc(e.value) AS INTEGER) AS VARCHAR) AS appops_status_code
+  FROM ev e LEFT JOIN part p ON p.p_partkey = e.k
+  WHERE e.event_type = 'purchase'
+),
+sp AS (SELECT p_name AS sku, p_type AS customer_type, min(p_size) % 2 AS api_flag,
+              min(p_size) % 5 + 1 AS points FROM part GROUP BY 1, 2),
+data2 AS (
+  SELECT a.applied_oic, a.applied_date,
+         sum(CASE WHEN a.applied_date IS NOT NULL AND regexp_matches(a.sku, 'ring', 'i') THEN 1
+                  WHEN regexp_matches(a.sku, 'widget', 'i') AND a.applied_date IS NOT NULL THEN 2
+                  WHEN a.sku = sp.sku AND a.customer_type = sp.customer_type AND sp.api_flag = 1 AND a.appops_status_code >= '39' THEN sp.points
+                  WHEN a.sku = sp.sku AND a.customer_type = sp.customer_type AND sp.api_flag = 0 AND a.appops_status_code >= '25' THEN sp.points
+                  ELSE 0 END) AS points_sku,
+         count(a.lead_id) AS referrals_generated
+  FROM apps a LEFT JOIN sp ON a.sku = sp.sku AND a.customer_type = sp.customer_type
+  GROUP BY 1, 2
+),
+data3 AS (
+  SELECT oic AS sub_oic, CAST(ts AS DATE) AS payment_date,
+         count(*) FILTER (WHERE regexp_matches(CASE WHEN k < 50 THEN 'CHR' ELSE 'BYS' END, 'CHR', 'i')) AS chr_subscriptions,
+         count(*) FILTER (WHERE regexp_matches(CASE WHEN k < 50 THEN 'CHR' ELSE 'BYS' END, 'BYS', 'i')) AS bys_subscriptions
+  FROM ev WHERE event_type = 'signup' AND NOT regexp_matches(oic, 'sys|port', 'i')
+  GROUP BY 1, 2
+)
+SELECT a.*, CAST(b.points_sku AS BIGINT) AS points_sku, b.referrals_generated,
+       c.chr_subscriptions, c.bys_subscriptions
+FROM data a
+LEFT JOIN data2 b ON a.oic = b.applied_oic AND a.call_date = b.applied_date
+LEFT JOIN data3 c ON c.sub_oic = a.oic AND a.call_date = c.payment_date
+""")
+def agent_tracking(spark, d, *, start="2024-01-01", end="2024-02-01"):
+    from funnelkit.plans.reports import agent_day
+    t = Tables(spark, d)
+    ev = t.events.where((F.col("ts") >= _ts(start)) & (F.col("ts") < _ts(end))).withColumns({
+        "k": F.get_json_object("props", "$.k").cast("int"),
+        "oic": F.concat(F.lit("agent-"), F.col("user_id").cast("string"))})
+    data = agent_day(ev, owner="oic", t="ts", effective=F.col("event_type") != "error")
+    # points and referrals per (agent, day): purchases joined to their SKU on
+    # the derived key, then to the (SKU, type) points master
+    apps = (ev.where(F.col("event_type") == "purchase")
+            .join(t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("sku"),
+                                F.col("p_type").alias("customer_type")), "k", "left")
+            .select(F.col("oic").alias("applied_oic"), F.to_date("ts").alias("applied_date"),
+                    F.col("event_id").alias("lead_id"), "sku", "customer_type",
+                    F.col("value").cast("int").cast("string").alias("appops_status_code")))
+    sp = t.part.groupBy(F.col("p_name").alias("sku"), F.col("p_type").alias("customer_type")).agg(
+        (F.min("p_size") % 2).alias("sp_api"), (F.min("p_size") % 5 + 1).alias("sp_points"),
+        F.lit(True).alias("sp_hit"))
+    j = apps.join(sp, ["sku", "customer_type"], "left")
+    applied = F.col("applied_date").isNotNull()
+    code = F.col("appops_status_code")
+    pts = (F.when(applied & imatch("sku", "ring"), 1).when(imatch("sku", "widget") & applied, 2)
+           .when(F.col("sp_hit") & (F.col("sp_api") == 1) & (code >= "39"), F.col("sp_points"))
+           .when(F.col("sp_hit") & (F.col("sp_api") == 0) & (code >= "25"), F.col("sp_points"))
+           .otherwise(0))
+    data2 = j.groupBy(F.col("applied_oic").alias("oic"), F.col("applied_date").alias("call_date")).agg(
+        F.sum(pts).cast("long").alias("points_sku"), F.count("lead_id").alias("referrals_generated"))
+    service = F.when(F.col("k") < 50, "CHR").otherwise("BYS")
+    data3 = (ev.where((F.col("event_type") == "signup") & ~imatch("oic", "sys|port"))
+             .groupBy("oic", F.to_date("ts").alias("call_date")).agg(
+                 F.count(F.when(imatch(service, "CHR"), 1)).alias("chr_subscriptions"),
+                 F.count(F.when(imatch(service, "BYS"), 1)).alias("bys_subscriptions")))
+    return data.join(data2, ["oic", "call_date"], "left").join(data3, ["oic", "call_date"], "left")
