@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funnelkit.functions.expr import (day_window, imatch, pct_text, pct_text_ratio, similar_prefix,
-                                      case_cascade, nimatch)
+from funnelkit.functions.expr import (day_window, decode_label, imatch, pct_text, pct_text_ratio,
+                                      similar_prefix, case_cascade, nimatch)
 from funnelkit.operators.agg import (answers_map, collect_struct, disposition_summary,
                                      join_distinct, join_strings, progress, rollup_totals,
                                      with_total_row, fill_zero)
@@ -24,20 +24,27 @@ CONNECTED = ["Answered Linkcall"]
 ABANDONED = ["Answered Linkcall Abandoned"]
 HANGUP = ["Answered Hangup"]
 
-FUNNEL_FIRST_DAY, FUNNEL_LAST_DAY = "1996-01-01", "2000-12-31"
+FUNNEL_FIRST_DAY, FUNNEL_LAST_DAY = "1995-07-01", "1996-12-31"
 CAL_START, CAL_END = "2024-01-01", "2024-01-31"
 RUN_DATE = "2024-01-30"
+# Profile types (segments) and their labels.
+PROFILE_TYPES = {"BUILDING": "Green", "MACHINERY": "Red", "AUTOMOBILE": "Amber"}
 
 
 def funnel_plan(t, first_day=FUNNEL_FIRST_DAY, last_day=FUNNEL_LAST_DAY):
-    """C1 on the driver tables: customers are profiles segmented by market
-    segment; orders are the stage log, product = priority name."""
-    logs = t.orders.where(day_window("o_orderdate", first_day, last_day)).select(
-        "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    """C1 on the driver tables. Profiles: customers of the three profile types
+    whose first profile (first order) was created in [first_day, last_day];
+    the stage log is all of their orders, product = priority name."""
+    first = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_on"))
+    profiles = (t.customer.where(F.col("c_mktsegment").isin(list(PROFILE_TYPES)))
+                .select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+                .join(first, "o_custkey").where(day_window("created_on", first_day, last_day)))
+    logs = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice",
+                           "o_orderpriority")
     big = F.col("o_totalprice") >= 300000
     return stage_funnel(
-        t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), logs,
-        user="o_custkey", segment=F.col("c_mktsegment"),
+        profiles, logs,
+        user="o_custkey", segment=decode_label("c_mktsegment", PROFILE_TYPES),
         product=F.split_part("o_orderpriority", F.lit("-"), F.lit(2)),
         stages={"pass_f": imatch("o_orderstatus", "f$"), "pass_o": imatch("o_orderstatus", "o$"),
                 "pass_p": imatch("o_orderstatus", "p$"), "pass_big": big},
@@ -51,7 +58,19 @@ def funnel_plan(t, first_day=FUNNEL_FIRST_DAY, last_day=FUNNEL_LAST_DAY):
 
 
 @query("funnel_rollup", ids="C1 R20 R24 A3 A6 A7 A11 A18 A19 F2 MA2 STR11", sql="""
-WITH cp AS (SELECT c_custkey AS user_id, c_mktsegment AS customer_type FROM customer),
+WITH cp1 AS (
+  SELECT c.c_custkey AS user_id, c.c_mktsegment AS p_customer_type,
+         (SELECT min(o.o_orderdate) FROM orders o WHERE o.o_custkey = c.c_custkey) AS created_on
+  FROM customer c
+),
+cp AS (
+  SELECT user_id,
+         CASE WHEN p_customer_type = 'BUILDING' THEN 'Green' WHEN p_customer_type = 'MACHINERY' THEN 'Red'
+              WHEN p_customer_type = 'AUTOMOBILE' THEN 'Amber' END AS customer_type
+  FROM cp1
+  WHERE CAST(created_on AS DATE) BETWEEN DATE '1995-07-01' AND DATE '1996-12-31'
+    AND p_customer_type IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
+),
 profiles AS (
   SELECT CASE WHEN grouping(customer_type) = 0 THEN customer_type ELSE 'Total' END AS segment,
          count(DISTINCT user_id) AS profiles
@@ -76,7 +95,7 @@ funnel AS (
            (bool_or(o_totalprice >= 300000) AND NOT bool_or(regexp_matches(o_orderstatus, 'p$', 'i')))::INTEGER AS pass_big_not_p,
            (array_agg(o_orderstatus ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_totalprice >= 300000))[1] AS first_big_status
     FROM orders
-    WHERE o_custkey = cp.user_id AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+    WHERE o_custkey = cp.user_id
     GROUP BY prod
   ) cll ON TRUE
   WHERE cll.prod IS NOT NULL

@@ -67,8 +67,8 @@ def test_reports_take_run_parameters(spark):
     from funnelkit.plans.registry import run
     assert run("working_days", spark, SF, threshold=10 ** 9).first().date_past == 0
     wide = run("funnel_rollup", spark, SF).where("segment = 'Total' AND product = 'Total'").first()
-    narrow = run("funnel_rollup", spark, SF, first_day="1998-01-01", last_day="1998-01-31") \
+    narrow = run("funnel_rollup", spark, SF, first_day="1995-07-01", last_day="1995-12-31") \
         .where("segment = 'Total' AND product = 'Total'").first()
-    assert narrow.pass_f <= wide.pass_f and narrow.profiles == wide.profiles
+    assert narrow.profiles <= wide.profiles and narrow.pass_f <= wide.pass_f
     got = run("first_event_per_user", spark, SF, start="2024-01-01", end="2024-02-01", exclude="^$")
     assert got.count() == duckdb.sql(f"SELECT count(DISTINCT user_id) FROM '{SF}/events.parquet'").fetchall()[0][0]
