@@ -164,9 +164,13 @@ def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_star
                     (F.col("ts") < _ts(end)))
     pay = first_per(pays, "user_id", ["ts", "event_id"], ["event_id", "ts"]) \
         .withColumnRenamed("ts", "payment_date")
-    x = asof_join(pay, src, "user_id", "payment_date", "src_ts", ["utm_source_text"], tiebreak=["src_id"])
-    x = lookback_join(x, contacts.where(F.col("value") > 20), "user_id", "payment_date", "contact_ts",
-                      ["lc_oic"], 48 * 3600, pick="first", tiebreak=["contact_id"])
+    # the two lookups are independent: each runs on the payment rows and the
+    # results meet on the payment key (1:1), instead of one lookup re-reading
+    # the other's output
+    utm = asof_join(pay, src, "user_id", "payment_date", "src_ts", ["utm_source_text"], tiebreak=["src_id"])
+    lc = lookback_join(pay, contacts.where(F.col("value") > 20), "user_id", "payment_date", "contact_ts",
+                       ["lc_oic"], 48 * 3600, pick="first", tiebreak=["contact_id"])
+    x = utm.join(lc.select("user_id", "event_id", "lc_oic"), ["user_id", "event_id"], "left")
     x = agg_per_key(x, contacts.where(F.col("value") > 90), "user_id",
                     [F.max("contact_ts").alias("sms_sent_on")])
     x = agg_per_key(x, ev.where(F.col("event_type") == "signup"), "user_id",
