@@ -193,10 +193,13 @@ def range_join_conversions(spark, d):
                     {"__first": ("max", earliest), "__n_lo": ("count", F.lit(1))},
                     inclusive=True, forward=True)
     hi = F.col("ts") + F.expr("INTERVAL 7 DAYS")
-    p2 = prefix_agg(p1.withColumn("__hi", hi), buys, "user_id", "__hi", "pts",
+    # the second pass probes the signups themselves (not the first pass's
+    # output); the two results meet on the signup key
+    p2 = prefix_agg(signups.withColumn("__hi", hi), buys, "user_id", "__hi", "pts",
                     {"__n_hi": ("count", F.lit(1))}, inclusive=True, forward=True)
-    return p2.select("event_id", "user_id", "ts", (F.col("__n_lo") - F.col("__n_hi")).alias("purchases_7d"),
-                     F.when(F.col("__first.pts") < hi, F.col("__first.pid")).alias("first_purchase_id"))
+    both = p1.join(p2.select("event_id", "__n_hi"), "event_id")
+    return both.select("event_id", "user_id", "ts", (F.col("__n_lo") - F.col("__n_hi")).alias("purchases_7d"),
+                       F.when(F.col("__first.pts") < hi, F.col("__first.pid")).alias("first_purchase_id"))
 
 
 @query("range_agg_before_first_purchase", ids="J15 C13 J11", sql="""
