@@ -224,13 +224,16 @@ def attribution_owner(source: Column, fallback_owner: Column, default: str = "Sy
 # C8 plan-versus-actual pacing
 
 def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequence[str],
-           lead: str, t: str, day: str, days_month: Column, days_past: Column) -> DataFrame:
+           lead: str, t: str, day: str, days_month: Column, days_past: Column,
+           drr_per: str = "elapsed") -> DataFrame:
     """C8 per (team, keys): DTD actual (distinct leads on ``day``), MTD actual
     (rows), MTD estimate, plan, percentages, backlog and daily run rate.
 
     ``plan_long``: (team, keys..., monthly_plan, dtd_plan). ``days_month`` /
     ``days_past``: per-team columns (a team may run on working days). Only keys
     with a non-zero plan of the team are kept. R's ``round`` is half-to-even.
+    The daily run rate divides the remaining plan by the elapsed days, as the
+    reference does (``drr_per='elapsed'``), or by the days left (``'left'``).
     """
     from funnelkit.functions.expr import pct_text_ratio
     a = actuals.groupBy(team, *keys).agg(
@@ -247,7 +250,9 @@ def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequenc
         "dtd_pct": pct_text_ratio(F.try_divide(F.col("dtd_actual"), F.col("dtd_plan"))),
         "mtd_pct": pct_text_ratio(F.try_divide(F.col("mtd_actual"), F.col("mtd_plan"))),
         "backlog": F.col("mtd_plan") - F.col("mtd_actual"),
-        "drr": F.bround((F.col("monthly_plan") - F.col("mtd_actual")) / F.col("__dp"), 0).cast("long")})
+        "drr": F.bround((F.col("monthly_plan") - F.col("mtd_actual")) /
+                        (F.col("__dp") if drr_per == "elapsed" else F.col("__dm") - F.col("__dp")), 0)
+        .cast("long")})
     keep = nz.select(team, F.concat_ws(" ", *keys).alias("__key"))
     j = j.withColumn("__key", F.concat_ws(" ", *keys)).join(keep, [team, "__key"], "left_semi")
     return j.select(team, *keys, "dtd_actual", "dtd_plan", "dtd_pct", "mtd_actual", "mtd_plan",

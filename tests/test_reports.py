@@ -87,6 +87,9 @@ def test_pacing_zero_plan_and_case(spark):
     r = got[("PA", "A")]
     assert (r.dtd_actual, r.mtd_actual, r.mtd_plan, r.mtd_estimate, r.backlog, r.drr) == (1, 2, 10, 6, 8, 3)
     assert r.mtd_pct == "20.00%" and r.dtd_pct == "100.00%"
+    left = pacing(apps, plan, team="attribution", keys=["customer_type", "product", "sku"], lead="lead",
+                  t="t", day="2024-01-10", days_month=F.lit(30), days_past=F.lit(10), drr_per="left")
+    assert {(x.attribution, x.drr) for x in left.collect()} == {("PA", 1), ("System", 3)}
 
 
 def test_latest_utm_strictly_before(spark):
