@@ -341,3 +341,29 @@ def age_numeric(spark, d):
     return c.select("c_custkey", age_years(dob, RUN_DATE).alias("age"),
                     to_numeric(F.split_part("c_name", F.lit("#"), F.lit(2))).cast("double").alias("name_number"),
                     to_numeric("c_mktsegment").cast("double").alias("bad_number"), (F.col("c_custkey") % 7).alias("bucket"))
+
+
+@query("subset_complement", ids="F14 P6", sql="""
+SELECT label, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS acctbal
+FROM (
+  SELECT 'building' AS label, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL
+  SELECT 'machinery', c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY'
+  UNION ALL
+  SELECT 'other', c_acctbal FROM customer
+  WHERE NOT coalesce(c_mktsegment = 'BUILDING', false) AND NOT coalesce(c_mktsegment = 'MACHINERY', false)
+) s
+GROUP BY label
+""")
+def subset_complement(spark, d):
+    # subsets by value and the complement of their union; a NULL value belongs
+    # to the complement (R's which() drops NA from both subsets)
+    c = Tables(spark, d).customer
+    a = F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False))
+    b = F.coalesce(F.col("c_mktsegment") == "MACHINERY", F.lit(False))
+    parts = [c.where(a).withColumn("label", F.lit("building")),
+             c.where(b).withColumn("label", F.lit("machinery")),
+             c.where(~a & ~b).withColumn("label", F.lit("other"))]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("acctbal"))
