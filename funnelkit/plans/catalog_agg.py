@@ -432,9 +432,9 @@ chatbot AS (
 allrows AS (
   SELECT campaign_name, total_calls, dialled, answered, keypress, connected, abandoned,
          coalesce(hangup, 0) AS hangup,
-         printf('%.2f%%', answered * 100.0 / total_calls) AS answered_pct,
-         printf('%.2f%%', keypress * 100.0 / total_calls) AS keypress_pct,
-         printf('%.2f%%', connected * 100.0 / total_calls) AS connected_pct
+         printf('%.2f%%', answered / total_calls * 100) AS answered_pct,
+         printf('%.2f%%', keypress / total_calls * 100) AS keypress_pct,
+         printf('%.2f%%', connected / total_calls * 100) AS connected_pct
   FROM (SELECT * FROM mivr UNION ALL SELECT * FROM chatbot) u
 )
 SELECT * FROM allrows
@@ -564,9 +564,9 @@ ib_drop AS (
   FROM drop_dump
 ),
 allrows AS (
-  SELECT *, printf('%.2f%%', answered * 100.0 / total_calls) AS answered_pct,
-         printf('%.2f%%', keypress * 100.0 / total_calls) AS keypress_pct,
-         printf('%.2f%%', connected * 100.0 / total_calls) AS connected_pct
+  SELECT *, printf('%.2f%%', answered / total_calls * 100) AS answered_pct,
+         printf('%.2f%%', keypress / total_calls * 100) AS keypress_pct,
+         printf('%.2f%%', connected / total_calls * 100) AS connected_pct
   FROM (SELECT * FROM mivr UNION ALL SELECT * FROM ob UNION ALL SELECT * FROM chatbot
         UNION ALL SELECT * FROM ib_drop) u
 )
