@@ -135,9 +135,11 @@ def hot_keys(left: DataFrame, right: DataFrame, kcols: Sequence[str],
            .limit(4 * parts))
     out = [*kcols, F.lit(True).alias("__hot")]
     if left_time:
-        span = time_micros("__hi", top) - time_micros("__lo", top)
-        out.append(F.greatest(F.lit(1_000_000), F.ceil(span * bucket_rows / F.col("__n"))).cast("long")
-                   .alias("__w"))
+        # in double: a span of years in microseconds times a million rows
+        # would overflow a long
+        span = (time_micros("__hi", top) - time_micros("__lo", top)).cast("double")
+        width = F.ceil(span * float(bucket_rows) / F.col("__n").cast("double"))
+        out.append(F.greatest(F.lit(1_000_000).cast("long"), width.cast("long")).alias("__w"))
     return top.select(*out)
 
 

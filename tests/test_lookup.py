@@ -199,3 +199,16 @@ def test_hot_key_width_targets_bucket_rows(spark):
     hk = hot_keys(df, df.limit(0), ["k"], min_rows=1, left_time="t", right_time="t", bucket_rows=1000).collect()
     # each key: 10,000 rows over ~20,000 s -> about 2,000 s per 1,000 rows
     assert sorted(r.k for r in hk) == [0, 1] and all(1_900_000_000 <= r["__w"] <= 2_100_000_000 for r in hk)
+
+
+def test_hot_key_width_no_overflow_for_long_spans(spark):
+    from funnelkit.operators.lookup import hot_keys
+    # ten years of data with the default one million rows per bucket:
+    # span (3e14 us) x 1e6 rows exceeds a 64-bit integer unless done in double
+    df = spark.range(20_000).selectExpr(
+        "0 AS k", "TIMESTAMP_NTZ'2010-01-01 00:00:00' + make_dt_interval(CAST(id % 3650 AS INT), 0, 0, 0) AS t")
+    hk = hot_keys(df, df.limit(0), ["k"], min_rows=1, left_time="t", right_time="t").collect()
+    assert len(hk) == 1 and hk[0]["__w"] > 0
+    got = asof_join(df.withColumn("id2", F.lit(1)), df.selectExpr("k", "t AS rt", "1 AS r"), "k", "t", "rt",
+                    ["r"], hot_key_rows=1)
+    assert got.where("r IS NULL").count() == 6      # rows on the first day have nothing strictly earlier
