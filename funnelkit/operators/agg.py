@@ -137,8 +137,8 @@ def with_total_row(df: DataFrame, label_col: str, label: str = "Total",
     num = sum_cols or [f.name for f in df.schema.fields
                        if f.name != label_col and f.dataType.typeName() in
                        ("long", "integer", "double", "decimal", "short", "float")]
-    total = df.agg(*[F.sum(c).cast(df.schema[c].dataType).alias(c) for c in num]) \
-        .withColumn(label_col, F.lit(label))
+    # sums keep their wider type (long for integers); the union widens the column
+    total = df.agg(*[F.sum(c).alias(c) for c in num]).withColumn(label_col, F.lit(label))
     return df.unionByName(total, allowMissingColumns=True)
 
 

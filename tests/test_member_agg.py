@@ -145,3 +145,9 @@ def test_milestones_and_call_state(spark):
     assert rows(m) == [(1, 1, 0), (2, 1, 1), (3, 0, 1)]
     st = log.groupBy("lead").agg(call_state(F.col("dispo") == "NC").alias("s"))
     assert rows(st) == [(1, "NC"), (2, "Contact"), (3, "No Call")]
+
+
+def test_total_row_does_not_overflow_int_columns(spark):
+    df = spark.createDataFrame([("a", 2_000_000_000), ("b", 2_000_000_000)], "k string, v int")
+    got = {r.k: r.v for r in with_total_row(df, "k").collect()}
+    assert got["Total"] == 4_000_000_000
