@@ -541,7 +541,7 @@ ob AS (
   FROM ob_calls
 ),
 chat_dump AS (
-  SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS chatbot_agent_id,
+  SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS chatbot_agent_id,
          date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) AS created_at_serial
   FROM events WHERE event_type = 'signup'
 ),
@@ -553,7 +553,7 @@ chatbot AS (
   WHERE chatbot_agent_id IN (1, 2, 3, 4)
     AND DATE '1899-12-30' + CAST(created_at_serial AS INTEGER) >= DATE '2024-01-30' - INTERVAL 1 DAY
 ),
-drop_dump AS (SELECT {_OUTCOME_SQL} AS r FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) < 20),
+drop_dump AS (SELECT {_OUTCOME_SQL} AS r FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) < 20),
 ib_drop AS (
   SELECT 'IB Drop' AS campaign_name, count(*) AS total_calls, 0 AS dialled,
     count(*) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS answered,
@@ -592,7 +592,7 @@ def call_mis_combined(spark, d, *, run_date=RUN_DATE):
         .withColumn("campaign_name", F.lit("OB"))
     # chatbot dump: spreadsheet day serials converted back to dates
     dump = t.events.where(F.col("event_type") == "signup").select(
-        "user_id", F.get_json_object("props", "$.k").cast("int").alias("chatbot_agent_id"),
+        "user_id", F.get_json_object("props", "$.k").try_cast("int").alias("chatbot_agent_id"),
         F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).alias("created_at_serial"))
     since = F.date_sub(F.lit(run_date).cast("date"), 1)
     chat = (dump.where(F.col("chatbot_agent_id").isin(1, 2, 3, 4) & (serial_to_date("created_at_serial") >= since))
@@ -600,7 +600,7 @@ def call_mis_combined(spark, d, *, run_date=RUN_DATE):
     chat = chat.select(F.lit("Chatbot").alias("campaign_name"), "total_calls", F.lit(0).cast("long").alias("dialled"),
                        F.col("total_calls").alias("answered"), F.col("total_calls").alias("keypress"),
                        F.col("total_calls").alias("connected"), F.lit(0).cast("long").alias("abandoned"))
-    drops = t.events.where(F.get_json_object("props", "$.k").cast("int") < 20).withColumn("r", _outcome())
+    drops = t.events.where(F.get_json_object("props", "$.k").try_cast("int") < 20).withColumn("r", _outcome())
     ib = disposition_summary(drops, [], F.lit(1), "r", {"answered": KEYPRESS, "keypress": KEYPRESS,
                                                         "connected": CONNECTED, "abandoned": ABANDONED,
                                                         "hangup": HANGUP}, total="total_calls", distinct=False)

@@ -322,7 +322,7 @@ def mtd_active_enriched(spark, d):
 
 
 @query("approved_attribution", ids="R9 J4 J18 J10 J16 A13 P4", sql="""
-WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+WITH ev AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 src AS (SELECT user_id, ts AS created_at, event_id,
         CASE event_type
           WHEN 'click' THEN 'CRM-A' || k
@@ -359,7 +359,7 @@ def approved_attribution(spark, d):
     from funnelkit.plans.catalog_reports import _utm_source
     t = Tables(spark, d)
     a = t.orders.where(half_open("o_orderdate", "1997-01-01", "1997-04-01"))
-    ev = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    ev = t.events.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
     src = ev.where(F.col("event_type") != "purchase").select(
         "user_id", F.col("ts").alias("src_ts"), F.col("event_id").alias("src_id"),
         _utm_source(F.col("k"), F.col("event_type")).alias("profiled_utm_source"))

@@ -405,12 +405,12 @@ def lookup_chain(spark, d):
 
 
 @query("derived_key_join", ids="J25 JS1", sql="""
-SELECT e.event_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k, p.p_name
-FROM events e JOIN part p ON p.p_partkey = CAST(json_extract_string(e.props, '$.k') AS INTEGER)
+SELECT e.event_id, TRY_CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k, p.p_name
+FROM events e JOIN part p ON p.p_partkey = TRY_CAST(json_extract_string(e.props, '$.k') AS INTEGER)
 """)
 def derived_key_join(spark, d):
     t = Tables(spark, d)
-    ev = t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    ev = t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
     return ev.join(t.part.select(F.col("p_partkey").alias("k"), "p_name"), "k", "inner") \
         .select("event_id", "k", "p_name")
 

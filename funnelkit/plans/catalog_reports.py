@@ -97,7 +97,7 @@ _UTM_SQL = """CASE event_type
 
 
 @query("attribution_cascade", ids="C3 R13 R14 R15 U1 J10 J13 J29 A23 P2 DT3 DT9 U2 F7 F8 F9 STR3", sql=f"""
-WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+WITH ev AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 src AS (SELECT user_id, ts AS created_at, event_id, {_UTM_SQL} AS utm_source_text
         FROM ev WHERE event_type <> 'purchase'),
 contacts AS (SELECT user_id, ts AS updated_at, event_id, 'oic-' || CAST(event_id % 17 AS VARCHAR) AS oic,
@@ -153,7 +153,7 @@ FROM j
 def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_start=PREV_MON_START,
                         prev5_month_start=PREV_5_MONTH_START):
     t = Tables(spark, d)
-    ev = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    ev = t.events.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
     src = ev.where(F.col("event_type") != "purchase").select(
         "user_id", F.col("ts").alias("src_ts"), F.col("event_id").alias("src_id"),
         _utm_source(F.col("k"), F.col("event_type")).alias("utm_source_text"))
@@ -495,7 +495,7 @@ def missed_promise(spark, d):
 
 
 @query("agent_tracking", ids="R22 C6 C10 J3 J25 A3 A5 F12 F8", sql="""
-WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+WITH ev AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
                    'agent-' || CAST(user_id AS VARCHAR) AS oic FROM events
             WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'),
 data AS (
@@ -544,7 +544,7 @@ def agent_tracking(spark, d, *, start="2024-01-01", end="2024-02-01"):
     from funnelkit.plans.reports import agent_day
     t = Tables(spark, d)
     ev = t.events.where((F.col("ts") >= _ts(start)) & (F.col("ts") < _ts(end))).withColumns({
-        "k": F.get_json_object("props", "$.k").cast("int"),
+        "k": F.get_json_object("props", "$.k").try_cast("int"),
         "oic": F.concat(F.lit("agent-"), F.col("user_id").cast("string"))})
     data = agent_day(ev, owner="oic", t="ts", effective=F.col("event_type") != "error")
     # points and referrals per (agent, day): purchases joined to their SKU on
