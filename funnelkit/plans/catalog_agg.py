@@ -395,6 +395,12 @@ def arbitrary_row_fixed(spark, d):
                      ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"])
 
 
+def _dash_total_rates(df, cols):
+    """Text rate columns of the appended total row read '-' (rates do not add)."""
+    is_total = F.col("campaign_name") == "Total"
+    return df.withColumns({c: F.when(is_total, F.lit("-")).otherwise(F.col(c)) for c in cols})
+
+
 def _outcome():
     return (F.when(F.col("event_type") == "click", "Answered Linkcall")
             .when(F.col("event_type") == "view", "Answered Linkcall Abandoned")
@@ -432,9 +438,9 @@ chatbot AS (
 allrows AS (
   SELECT campaign_name, total_calls, dialled, answered, keypress, connected, abandoned,
          coalesce(hangup, 0) AS hangup,
-         printf('%.2f%%', answered / total_calls * 100) AS answered_pct,
-         printf('%.2f%%', keypress / total_calls * 100) AS keypress_pct,
-         printf('%.2f%%', connected / total_calls * 100) AS connected_pct
+         printf('%.2f%%', answered / nullif(total_calls, 0) * 100) AS answered_pct,
+         printf('%.2f%%', keypress / nullif(total_calls, 0) * 100) AS keypress_pct,
+         printf('%.2f%%', connected / nullif(total_calls, 0) * 100) AS connected_pct
   FROM (SELECT * FROM mivr UNION ALL SELECT * FROM chatbot) u
 )
 SELECT * FROM allrows
@@ -460,11 +466,11 @@ def call_disposition(spark, d, *, run_date=RUN_DATE):
                        F.col("total_calls").alias("keypress"), F.col("total_calls").alias("connected"),
                        F.lit(0).cast("long").alias("abandoned"))
     rows = fill_zero(mivr.unionByName(chat, allowMissingColumns=True))
-    rate = {f"{c}_pct": pct_text_ratio(F.col(c) / F.col("total_calls"))
+    rate = {f"{c}_pct": pct_text_ratio(F.try_divide(F.col(c), F.col("total_calls")))
             for c in ("answered", "keypress", "connected")}
     rows = rows.withColumns(rate)
     total = with_total_row(rows, "campaign_name")
-    return total.fillna("-", subset=list(rate))
+    return _dash_total_rates(total, list(rate))
 
 
 @query("bind_one_row", ids="J27 P8", sql="""
@@ -564,9 +570,9 @@ ib_drop AS (
   FROM drop_dump
 ),
 allrows AS (
-  SELECT *, printf('%.2f%%', answered / total_calls * 100) AS answered_pct,
-         printf('%.2f%%', keypress / total_calls * 100) AS keypress_pct,
-         printf('%.2f%%', connected / total_calls * 100) AS connected_pct
+  SELECT *, printf('%.2f%%', answered / nullif(total_calls, 0) * 100) AS answered_pct,
+         printf('%.2f%%', keypress / nullif(total_calls, 0) * 100) AS keypress_pct,
+         printf('%.2f%%', connected / nullif(total_calls, 0) * 100) AS connected_pct
   FROM (SELECT * FROM mivr UNION ALL SELECT * FROM ob UNION ALL SELECT * FROM chatbot
         UNION ALL SELECT * FROM ib_drop) u
 )
@@ -607,8 +613,8 @@ def call_mis_combined(spark, d, *, run_date=RUN_DATE):
     ib = ib.withColumns({"campaign_name": F.lit("IB Drop"), "dialled": F.lit(0).cast("long")})
     rows = fill_zero(mivr.unionByName(ob).unionByName(chat, allowMissingColumns=True)
                      .unionByName(ib, allowMissingColumns=True))
-    rate = {f"{c}_pct": pct_text_ratio(F.col(c) / F.col("total_calls"))
+    rate = {f"{c}_pct": pct_text_ratio(F.try_divide(F.col(c), F.col("total_calls")))
             for c in ("answered", "keypress", "connected")}
     rows = rows.withColumns(rate).select("campaign_name", "total_calls", "dialled", "answered", "keypress",
                                          "connected", "abandoned", "hangup", *rate)
-    return with_total_row(rows, "campaign_name").fillna("-", subset=list(rate))
+    return _dash_total_rates(with_total_row(rows, "campaign_name"), list(rate))

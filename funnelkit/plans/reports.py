@@ -244,14 +244,16 @@ def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequenc
     j = a.join(nz, [team, *keys], "left")
     j = j.withColumns({"__dm": days_month, "__dp": days_past})
     j = j.withColumns({
-        "mtd_estimate": F.bround(F.col("mtd_actual") / F.col("__dp") * F.col("__dm"), 0).cast("long"),
-        "mtd_plan": F.bround(F.col("monthly_plan") / F.col("__dm") * F.col("__dp"), 0).cast("long")})
+        "mtd_estimate": F.bround(F.try_divide(F.col("mtd_actual"), F.col("__dp")) * F.col("__dm"), 0)
+        .cast("long"),
+        "mtd_plan": F.bround(F.try_divide(F.col("monthly_plan"), F.col("__dm")) * F.col("__dp"), 0)
+        .cast("long")})
     j = j.withColumns({
         "dtd_pct": pct_text_ratio(F.try_divide(F.col("dtd_actual"), F.col("dtd_plan"))),
         "mtd_pct": pct_text_ratio(F.try_divide(F.col("mtd_actual"), F.col("mtd_plan"))),
         "backlog": F.col("mtd_plan") - F.col("mtd_actual"),
-        "drr": F.bround((F.col("monthly_plan") - F.col("mtd_actual")) /
-                        (F.col("__dp") if drr_per == "elapsed" else F.col("__dm") - F.col("__dp")), 0)
+        "drr": F.bround(F.try_divide(F.col("monthly_plan") - F.col("mtd_actual"),
+                                     F.col("__dp") if drr_per == "elapsed" else F.col("__dm") - F.col("__dp")), 0)
         .cast("long")})
     keep = nz.select(team, F.concat_ws(" ", *keys).alias("__key"))
     j = j.withColumn("__key", F.concat_ws(" ", *keys)).join(keep, [team, "__key"], "left_semi")

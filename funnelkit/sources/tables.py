@@ -57,7 +57,7 @@ def rename_at(df: DataFrame, positions: dict[int, str]) -> DataFrame:
 def serial_to_date(col: Column | str) -> Column:
     """SRC5: spreadsheet day serial (days since 1899-12-30) to date."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.date_add(F.lit("1899-12-30").cast("date"), c.cast("int"))
+    return F.date_add(F.lit("1899-12-30").cast("date"), c.try_cast("int"))
 
 
 def maybe_in(df: DataFrame, col: str, values: Sequence | None = None) -> DataFrame:

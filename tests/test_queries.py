@@ -72,3 +72,12 @@ def test_reports_take_run_parameters(spark):
     assert narrow.profiles <= wide.profiles and narrow.pass_f <= wide.pass_f
     got = run("first_event_per_user", spark, SF, start="2024-01-01", end="2024-02-01", exclude="^$")
     assert got.count() == duckdb.sql(f"SELECT count(DISTINCT user_id) FROM '{SF}/events.parquet'").fetchall()[0][0]
+
+
+def test_reports_survive_empty_periods(spark):
+    from funnelkit.plans.registry import run
+    # no chatbot rows and no applications in the period: NULL rates, no errors
+    rows_ = run("call_disposition", spark, SF, run_date="2030-01-01").collect()
+    chat = [r for r in rows_ if r.campaign_name == "Chatbot"][0]
+    assert chat.total_calls == 0 and chat.answered_pct is None
+    assert run("pacing", spark, SF, day="2030-06-14", month_start="2030-06-01").count() == 0
