@@ -99,3 +99,15 @@ def test_latest_utm_strictly_before(spark):
                                 "user_id long, created_at timestamp_ntz, utm_source_text string")
     got = latest_utm(pays, log, user="user_id", t="payment_date")
     assert rows(got) == [(1, ts(1), None), (1, ts(2), "CRM-A1"), (2, ts(3), None)]
+
+
+def test_recency_flags_boundaries(spark):
+    from funnelkit.plans.reports import recency_flags
+    apps = spark.createDataFrame(
+        [(1, dt.datetime(2024, 3, 1), "STBL"), (2, dt.datetime(2024, 2, 29, 23, 59), "STBL"),
+         (3, dt.datetime(2024, 2, 1), "STBL"), (4, dt.datetime(2023, 12, 31), "STBL"), (5, dt.datetime(2024, 3, 5), "PL")],
+        "user_id long, applied_date timestamp_ntz, product string")
+    got = recency_flags(apps, user="user_id", t="applied_date", d0="2024-03-01", d1="2024-02-01", d2="2024-01-01",
+                        groups={"stbl": F.col("product") == "STBL"})
+    r = {x.user_id: (x.stbl_d0, x.stbl_d1, x.stbl_d2, x.stbl_old) for x in got.collect()}
+    assert r == {1: (1, 0, 0, 0), 2: (0, 1, 0, 0), 3: (0, 1, 0, 0), 4: (0, 0, 0, 1), 5: (0, 0, 0, 0)}
