@@ -383,15 +383,22 @@ def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_stat
 
 def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
     """1-based position of every row in a total order, without a global
-    window. The sort range-partitions the rows; a per-partition row count (one
-    row per partition) gives each partition its offset; a row's position is
-    its partition offset plus its index inside the partition."""
-    srt = df.orderBy(*[col_(o) for o in order]).withColumns({
-        "__pid": F.spark_partition_id(), "__mid": F.monotonically_increasing_id()})
-    counts = srt.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    window. Rows are range-partitioned and sorted within partitions on the
+    order; each row is tagged with its partition id and index, and the tagged
+    rows are checkpointed (reliably, into ``spark.checkpoint.dir``) so the
+    per-partition counts and the rows read the same tags: two evaluations of
+    the sort could otherwise be partitioned differently (adaptive coalescing,
+    sampling). A partition's offset is the sum of the counts before it (one
+    row per partition); a row's position is its offset plus its index.
+    The checkpoint runs when this function is called."""
+    from funnelkit.sources.sinks import cut_lineage
+    cols = [col_(o) for o in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = cut_lineage(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumns({
+        "__pid": F.spark_partition_id(), "__mid": F.monotonically_increasing_id()}))
+    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     inner = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    out = srt.join(F.broadcast(offsets), "__pid")
+    out = tagged.join(F.broadcast(offsets), "__pid")     # one row per partition
     return out.withColumn(name, F.col("__off") + inner + 1).drop("__pid", "__mid", "__off")
-
