@@ -131,7 +131,10 @@ def hot_keys(left: DataFrame, right: DataFrame, kcols: Sequence[str],
     if left_time:
         aggs += [F.min("__ht").alias("__lo"), F.max("__ht").alias("__hi")]
     counts = keys.groupBy(*kcols).agg(*aggs)
-    top = (counts.where(F.col("__n") >= max(int(min_rows), 1)).orderBy(F.col("__n").desc())
+    # a total order (count, then key) makes the cut the same in every
+    # evaluation, so all branches of a lookup agree on which keys are hot
+    top = (counts.where(F.col("__n") >= max(int(min_rows), 1))
+           .orderBy(F.col("__n").desc(), *[F.col(k).asc_nulls_last() for k in kcols])
            .limit(4 * parts))
     out = [*kcols, F.lit(True).alias("__hot")]
     if left_time:
