@@ -59,6 +59,13 @@ def main():
         lines.append(f"| `{name}` | " + " | ".join(str(c) for c in counts) + " |")
     tot = [sum(r[1][i] for r in rows) for i in range(len(PATTERNS))]
     lines.append("| **total** | " + " | ".join(str(c) for c in tot) + " |")
+    for name in ("funnel_rollup", "asof_previous_click"):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            all_queries()[name].build(spark, sf).explain()
+        plan = re.sub(r"file:[^,\]]*", "<path>", buf.getvalue())
+        plan = re.sub(r"#\d+L?", "", plan)
+        lines += ["", f"## Physical plan: `{name}`", "", "```", plan.strip(), "```"]
     with open(os.path.join(ROOT, "PLAN_AUDIT.md"), "w") as f:
         f.write("\n".join(lines) + "\n")
     spark.stop()
