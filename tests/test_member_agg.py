@@ -151,3 +151,17 @@ def test_total_row_does_not_overflow_int_columns(spark):
     df = spark.createDataFrame([("a", 2_000_000_000), ("b", 2_000_000_000)], "k string, v int")
     got = {r.k: r.v for r in with_total_row(df, "k").collect()}
     assert got["Total"] == 4_000_000_000
+
+
+def test_row_positions_many_partitions_with_coalescing(spark):
+    from pyspark.sql import Window
+    from funnelkit.operators.lookup import row_positions
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(0, 20000).selectExpr("(id * 104729) % 20000 AS k", "id % 7 AS g").repartition(13)
+        got = row_positions(df, ["k"])
+        exp = df.withColumn("pos", F.row_number().over(Window.orderBy("k")))
+        assert rows(got, "k", "pos") == rows(exp, "k", "pos")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
