@@ -212,3 +212,12 @@ def test_hot_key_width_no_overflow_for_long_spans(spark):
     got = asof_join(df.withColumn("id2", F.lit(1)), df.selectExpr("k", "t AS rt", "1 AS r"), "k", "t", "rt",
                     ["r"], hot_key_rows=1)
     assert got.where("r IS NULL").count() == 6      # rows on the first day have nothing strictly earlier
+
+
+def test_asof_on_instant_timestamps(spark, asof_data):
+    # instant (time-zone aware) timestamps take the epoch-micros path
+    left, right, L, R = asof_data
+    Li = L.withColumn("t", F.col("t").cast("timestamp"))
+    Ri = R.withColumn("rt", F.col("rt").cast("timestamp"))
+    got = asof_join(Li, Ri, "key", "t", "rt", ["rid"], tiebreak=["rid"], hot_key_rows=1, bucket_rows=20)
+    assert rows(got, "id", "rid") == brute_asof(left, right, True, False)
