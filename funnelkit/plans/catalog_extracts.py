@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import (case_cascade, day_window, decode_label, half_open, imatch,
                                       m_bucket, month_diff, nimatch, similar_prefix)
-from funnelkit.operators.agg import join_distinct, last_by, milestone, milestone_and_not
+from funnelkit.operators.agg import first_by, join_distinct, last_by, milestone, milestone_and_not
 from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, lookback_join,
                                         lookup_latest, range_agg)
 from funnelkit.operators.member import anti, semi
@@ -625,3 +625,109 @@ def rest_of_base(spark, d):
     out = out.join(_user_event_lookups(t).select("user_id", "tkn", "latest_login_date"), "user_id", "left")
     return suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > 98)),
                     "user_id", "user_id")
+
+
+@query("lead_journey", ids="R25 C12 U1 J7 J11 J24 W1 A9 A6 A15 A23 F2 P2", sql="""
+WITH lines AS (
+  SELECT l_orderkey AS lead_id, l_shipdate AS log_date, l_linenumber, l_returnflag || '-' || l_linestatus AS status,
+         l_returnflag, l_partkey, l_quantity FROM lineitem
+),
+calls AS (
+  SELECT o.o_custkey AS user_id, l.l_shipdate, l.l_orderkey, l.l_linenumber,
+         l.l_returnflag || '-' || l.l_linestatus AS utm
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+),
+cl AS (
+  SELECT o_orderkey AS lead_id, o_custkey AS user_id, o_orderdate AS updated_at, o_orderpriority AS product,
+         o_orderstatus AS product_status
+  FROM orders
+  WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-03-31' AND o_orderstatus IN ('F', 'O')
+),
+base AS (
+  SELECT cl.*, (SELECT max(x.log_date) FROM lines x WHERE x.lead_id = cl.lead_id AND x.l_returnflag = 'R') AS applied_date
+  FROM cl
+)
+SELECT b.user_id,
+  CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'Green' WHEN c.c_mktsegment = 'MACHINERY' THEN 'Red'
+       WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Amber' ELSE 'NH' END AS customer_type,
+  (SELECT k.utm FROM calls k WHERE k.user_id = b.user_id AND k.l_shipdate < b.updated_at
+   ORDER BY k.l_shipdate DESC, k.l_orderkey DESC, k.l_linenumber DESC, k.utm DESC LIMIT 1) AS latest_utm_source,
+  cp.o_totalprice AS credit_score,
+  b.lead_id, b.updated_at, b.product, b.product_status,
+  (SELECT x.status FROM lines x WHERE x.lead_id = b.lead_id ORDER BY x.log_date, x.l_linenumber, x.status LIMIT 1) AS first_call_stage,
+  (SELECT x.status FROM lines x WHERE x.lead_id = b.lead_id AND x.l_returnflag <> 'N'
+   ORDER BY x.log_date, x.l_linenumber, x.status LIMIT 1) AS first_contact_stage,
+  (SELECT DISTINCT s.status FROM (SELECT x.status, dense_rank() OVER (ORDER BY x.log_date DESC, x.status DESC) AS rk
+                                  FROM lines x WHERE x.lead_id = b.lead_id) s WHERE s.rk = 2) AS prior_stage,
+  (SELECT CASE WHEN bool_and(x.l_returnflag = 'N') THEN 'NC' WHEN bool_or(x.l_returnflag = 'N') THEN 'Contact'
+               ELSE 'No Call' END FROM lines x WHERE x.lead_id = b.lead_id) AS call_state,
+  f.pass_rf, f.pass_bulk, b.applied_date, ap.active_profile_id,
+  (SELECT string_agg('q' || CAST(q.l_partkey AS VARCHAR) || '=' || CAST(q.l_quantity AS VARCHAR), ';' ORDER BY q.l_partkey)
+   FROM (SELECT DISTINCT ON (x.l_partkey) x.l_partkey, x.l_quantity FROM lines x WHERE x.lead_id = b.lead_id
+         ORDER BY x.l_partkey, x.log_date DESC, x.l_quantity DESC, x.l_linenumber DESC) q) AS answers,
+  CASE WHEN EXISTS (SELECT 1 FROM orders o2 WHERE o2.o_custkey = b.user_id AND o2.o_orderpriority = b.product
+                    AND o2.o_orderdate < b.updated_at AND regexp_matches(o2.o_orderstatus, 'f$', 'i'))
+       THEN 1 ELSE 0 END AS duplicate_lead
+FROM base b
+LEFT JOIN customer c ON c.c_custkey = b.user_id
+LEFT JOIN LATERAL (SELECT max(o2.o_orderkey) AS active_profile_id FROM orders o2
+                   WHERE o2.o_custkey = b.user_id
+                     AND o2.o_orderdate <= coalesce(b.applied_date, 'infinity'::TIMESTAMP)) ap ON TRUE
+LEFT JOIN orders cp ON cp.o_orderkey = ap.active_profile_id
+LEFT JOIN LATERAL (SELECT bool_or(regexp_matches(x.status, 'r-f$', 'i'))::INTEGER AS pass_rf,
+                          bool_or(x.l_quantity >= 40)::INTEGER AS pass_bulk
+                   FROM lines x WHERE x.lead_id = b.lead_id) f ON TRUE
+""")
+def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
+    from funnelkit.operators.agg import join_strings
+    from funnelkit.operators.lookup import nth_state, prefix_agg
+    from funnelkit.operators.member import flag_earlier_exists
+    t = Tables(spark, d)
+    leads = t.orders.where(day_window("o_orderdate", first_day, last_day) & F.col("o_orderstatus").isin("F", "O")) \
+        .select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
+                F.col("o_orderdate").alias("updated_at"), F.col("o_orderpriority").alias("product"),
+                F.col("o_orderstatus").alias("product_status"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("lead_id"), F.col("l_shipdate").alias("log_date"),
+                              "l_linenumber", F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("status"),
+                              "l_returnflag", "l_partkey", "l_quantity")
+    order = ["log_date", "l_linenumber", "status"]
+    nc = F.col("l_returnflag") == "N"
+    # every per-lead lookup on the lead's log in one aggregation pass
+    per_lead = lines.groupBy("lead_id").agg(
+        first_by("status", order).alias("first_call_stage"),
+        first_by("status", order, where=~nc).alias("first_contact_stage"),
+        F.bool_and(nc).alias("__all_nc"), F.bool_or(nc).alias("__any_nc"),
+        milestone(imatch("status", "r-f$")).alias("pass_rf"),
+        milestone(F.col("l_quantity") >= 40).alias("pass_bulk"),
+        F.max(F.when(F.col("l_returnflag") == "R", F.col("log_date"))).alias("applied_date"))
+    prior = nth_state(lines, "lead_id", "log_date", "status", out="prior_stage").drop("prior_stage_at")
+    latest_answer = first_per(lines, ["lead_id", "l_partkey"], ["log_date", "l_quantity", "l_linenumber"],
+                              ["l_quantity"], last=True)
+    answers = latest_answer.groupBy("lead_id").agg(join_strings(
+        F.concat(F.lit("q"), F.col("l_partkey").cast("string"), F.lit("="), F.col("l_quantity").cast("string")),
+        ";", order="l_partkey").alias("answers"))
+    dup = flag_earlier_exists(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate",
+                                              "o_orderstatus"),
+                              ["o_custkey", "o_orderpriority"], "o_orderdate", imatch("o_orderstatus", "f$"),
+                              "duplicate_lead").select(F.col("o_orderkey").alias("lead_id"), "duplicate_lead")
+    base = leads.join(per_lead, "lead_id", "left")
+    # latest source of the user before the lead (as-of), active profile = the
+    # user's largest order key on/before the applied date (prefix max)
+    src = lines.join(t.orders.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id")),
+                     "lead_id").select("user_id", F.col("log_date").alias("src_t"),
+                                       F.col("lead_id").alias("src_lead"), "l_linenumber",
+                                       F.col("status").alias("latest_utm_source"))
+    base = asof_join(base, src, "user_id", "updated_at", "src_t", ["latest_utm_source"],
+                     tiebreak=["src_lead", "l_linenumber"])
+    profiles = t.orders.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
+    bound = F.coalesce(F.col("applied_date"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
+    base = prefix_agg(base.withColumn("__bound", bound), profiles, "user_id", "__bound", "o_orderdate",
+                      {"active_profile_id": ("max", F.col("o_orderkey"))}, inclusive=True).drop("__bound")
+    credit = t.orders.select(F.col("o_orderkey").alias("active_profile_id"), F.col("o_totalprice").alias("credit_score"))
+    out = (base.join(credit, "active_profile_id", "left").join(prior, "lead_id", "left")
+           .join(answers, "lead_id", "left").join(dup, "lead_id", "left").join(_segment_label(t), "user_id", "left"))
+    return out.select(
+        "user_id", "customer_type", "latest_utm_source", "credit_score", "lead_id", "updated_at", "product",
+        "product_status", "first_call_stage", "first_contact_stage", "prior_stage",
+        F.when(F.col("__all_nc"), "NC").when(F.col("__any_nc"), "Contact").otherwise("No Call").alias("call_state"),
+        "pass_rf", "pass_bulk", "applied_date", "active_profile_id", "answers", "duplicate_lead")
