@@ -59,8 +59,13 @@ def time_micros(c: Column | str, df: DataFrame | None = None) -> Column:
     (``timestamp``). Pass ``df`` so the type can be resolved; without it the
     value is treated as wall-clock time."""
     col = col_(c)
-    if df is not None and df.select(col).schema.fields[0].dataType.typeName() == "timestamp":
-        return F.unix_micros(col)
+    if df is not None:
+        if isinstance(c, str) and "." not in c and c in df.columns:
+            kind = df.schema[c].dataType.typeName()            # cached schema, no new analysis
+        else:
+            kind = df.select(col).schema.fields[0].dataType.typeName()
+        if kind == "timestamp":
+            return F.unix_micros(col)
     return wall_micros(col)
 
 

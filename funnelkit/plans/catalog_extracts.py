@@ -690,6 +690,12 @@ def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
     lines = t.lineitem.select(F.col("l_orderkey").alias("lead_id"), F.col("l_shipdate").alias("log_date"),
                               "l_linenumber", F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("status"),
                               "l_returnflag", "l_partkey", "l_quantity")
+    # report leads are a narrow window: restrict every log to those leads (or
+    # their users) with a semi join before aggregating, since an aggregate
+    # below a join cannot be filtered by it
+    all_lines = lines
+    lines = lines.join(leads.select("lead_id"), "lead_id", "left_semi")
+    lead_users = leads.select("user_id").distinct()
     order = ["log_date", "l_linenumber", "status"]
     nc = F.col("l_returnflag") == "N"
     # every per-lead lookup on the lead's log in one aggregation pass
@@ -706,20 +712,22 @@ def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
     answers = latest_answer.groupBy("lead_id").agg(join_strings(
         F.concat(F.lit("q"), F.col("l_partkey").cast("string"), F.lit("="), F.col("l_quantity").cast("string")),
         ";", order="l_partkey").alias("answers"))
-    dup = flag_earlier_exists(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate",
-                                              "o_orderstatus"),
+    user_orders = t.orders.join(lead_users.withColumnRenamed("user_id", "o_custkey"), "o_custkey", "left_semi")
+    dup = flag_earlier_exists(user_orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate",
+                                                 "o_orderstatus"),
                               ["o_custkey", "o_orderpriority"], "o_orderdate", imatch("o_orderstatus", "f$"),
                               "duplicate_lead").select(F.col("o_orderkey").alias("lead_id"), "duplicate_lead")
     base = leads.join(per_lead, "lead_id", "left")
     # latest source of the user before the lead (as-of), active profile = the
     # user's largest order key on/before the applied date (prefix max)
-    src = lines.join(t.orders.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id")),
-                     "lead_id").select("user_id", F.col("log_date").alias("src_t"),
+    src = all_lines.join(user_orders.select(F.col("o_orderkey").alias("lead_id"),
+                                            F.col("o_custkey").alias("user_id")),
+                         "lead_id").select("user_id", F.col("log_date").alias("src_t"),
                                        F.col("lead_id").alias("src_lead"), "l_linenumber",
                                        F.col("status").alias("latest_utm_source"))
     base = asof_join(base, src, "user_id", "updated_at", "src_t", ["latest_utm_source"],
                      tiebreak=["src_lead", "l_linenumber"])
-    profiles = t.orders.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
+    profiles = user_orders.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
     bound = F.coalesce(F.col("applied_date"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
     base = prefix_agg(base.withColumn("__bound", bound), profiles, "user_id", "__bound", "o_orderdate",
                       {"active_profile_id": ("max", F.col("o_orderkey"))}, inclusive=True).drop("__bound")

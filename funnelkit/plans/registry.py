@@ -37,12 +37,16 @@ class Tables:
     """Lazy table accessor: ``T(spark, d).orders`` reads ``orders.parquet``."""
 
     def __init__(self, spark: SparkSession, base: str):
-        self._spark, self._base = spark, base
+        self._spark, self._base, self._loaded = spark, base, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return load(self._spark, self._base, name)
+        # one scan definition per table and query (file listing and footers
+        # are read once while the plan is built)
+        if name not in self._loaded:
+            self._loaded[name] = load(self._spark, self._base, name)
+        return self._loaded[name]
 
 
 @lru_cache(maxsize=1)
