@@ -53,3 +53,18 @@ def test_hot_keys_finds_only_the_heavy_hitter(spark):
     anyk = [r.k for r in hot_keys(left, right, ["k"], min_rows=1).collect()]
     assert 0 in anyk and len(anyk) <= 4 * parts              # bounded, heaviest first
     assert [r.k for r in hot_keys(left, right, ["k"], min_rows=1000).collect()] == [0]
+
+
+def test_hot_key_broadcast_is_bounded_in_the_plan(spark):
+    import contextlib
+    import io
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = _skewed(spark, 2000)
+    left = df.where(F.col("rid") % 2 == 0).select("k", "t", "rid")
+    right = df.where(F.col("rid") % 2 == 1).select("k", F.col("t").alias("rt"), F.col("rid").alias("r"))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        asof_join(left, right, "k", "t", "rt", ["r"], tiebreak=["r"]).explain()
+    plan = buf.getvalue()
+    # the only explicit broadcast is the hot-key list, cut by a distributed top-k
+    assert f"TakeOrderedAndProject(limit={4 * parts}" in plan
