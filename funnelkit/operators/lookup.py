@@ -200,14 +200,19 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
         lx, rx = lx.join(hot, kcols, "left"), rx.join(hot, kcols, "left")
     lt = time_micros(left_time, left) * sign
     rt = time_micros("__rt", rx) * sign
-    lx = lx.withColumns({_T: lt, _S: F.lit(l_side)})
-    rx = rx.withColumns({_T: rt, _S: F.lit(r_side)}).drop("__rt")
-    bucket = F.floor(F.col(_T) / width)
-    if hot_key_rows != 0:
-        if adaptive:
-            bucket = F.floor(F.col(_T) / F.col("__w"))
-        bucket = F.when(F.col("__hot"), bucket).otherwise(F.lit(0))
-    lx, rx = lx.withColumn(_B, bucket), rx.withColumn(_B, bucket)
+
+    def bucket(t):
+        b = F.floor(t / width)
+        if hot_key_rows != 0:
+            if adaptive:
+                b = F.floor(t / F.col("__w"))
+            b = F.when(F.col("__hot"), b).otherwise(F.lit(0))
+        return b
+
+    # one projection per side: time, side marker and bucket
+    lx = lx.withColumns({_T: lt, _S: F.lit(l_side), _B: bucket(lt)})
+    hot_cols = ["__hot", "__w"] if hot_key_rows != 0 and adaptive else (["__hot"] if hot_key_rows != 0 else [])
+    rx = rx.select(*kcols, *hot_cols, *acols, rt.alias(_T), F.lit(r_side).alias(_S), bucket(rt).alias(_B))
 
     u = lx.unionByName(rx, allowMissingColumns=True)
     w_in = (Window.partitionBy(*kcols, _B).orderBy(_T, _S)
@@ -222,7 +227,7 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
         lx, rx = lx.where(F.col("__hot")), rx.where(F.col("__hot"))
     rsum = rx.groupBy(*kcols, _B).agg(
         *[_MERGE[aggs[n][0]](F.col(a)).alias(f"{a}_s") for a, n in zip(acols, names)])
-    lmarks = lx.select(*kcols, _B).distinct().withColumn("__hasl", F.lit(True))
+    lmarks = lx.select(*kcols, _B, F.lit(True).alias("__hasl")).distinct()
     summary = rsum.withColumn("__hasl", F.lit(False)).unionByName(lmarks, allowMissingColumns=True)
     # a left mark sorts before the right summary of its own bucket, so the
     # frame "all earlier rows" holds exactly the right buckets before it
@@ -231,7 +236,7 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     carry = (summary.select(*kcols, _B, "__hasl",
                             *[_MERGE[aggs[n][0]](F.col(f"{a}_s")).over(w_carry).alias(f"{a}_c")
                               for a, n in zip(acols, names)])
-             .where(F.col("__hasl")).drop("__hasl"))
+             .where(F.col("__hasl")))
 
     joined = inner.join(carry, [*kcols, _B], "left")
     outs = {}
