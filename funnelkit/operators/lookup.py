@@ -47,6 +47,12 @@ def wall_micros(c: Column | str) -> Column:
     (``timestamp_ntz`` or ``date``), computed from its calendar fields so no
     time zone takes part (Spark's casts and ``timestampdiff`` go through the
     session zone, where a daylight-saving gap maps 02:30 after 03:00)."""
+    if isinstance(c, str):
+        # same arithmetic as below, built as one SQL expression (one call
+        # instead of a dozen while the plan is assembled)
+        w = f"CAST(`{c.replace('`', '``')}` AS TIMESTAMP_NTZ)"
+        return F.expr(f"((CAST(datediff(CAST({w} AS DATE), DATE'1970-01-01') AS BIGINT) * 24 + hour({w})) * 60"
+                      f" + minute({w})) * 60000000 + CAST(extract(SECOND FROM {w}) * 1000000 AS BIGINT)")
     w = col_(c).cast("timestamp_ntz")
     days = F.datediff(w.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     secs = F.extract(F.lit("SECOND"), w)
