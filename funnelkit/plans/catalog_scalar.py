@@ -367,3 +367,18 @@ def subset_complement(spark, d):
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                   F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("acctbal"))
+
+
+@query("renamed_dataset_counts", ids="SRC3 SRC4 P7 A1 A2", sql="""
+SELECT event_type AS last_result, count(*) AS n_rows, count(DISTINCT user_id) AS n_users
+FROM events GROUP BY event_type
+""")
+def renamed_dataset_counts(spark, d):
+    # a dataset read by name (one per former sheet) and patched by ordinal
+    # renames, as the call-centre scripts do before summarising
+    from funnelkit.sources.tables import read_dataset, rename_at
+    ds = read_dataset(spark, d, "events.parquet")
+    pos = {c: i + 1 for i, c in enumerate(ds.columns)}
+    ds = rename_at(ds, {pos["event_type"]: "last_result", pos["user_id"]: "User_ID"})
+    return ds.groupBy("last_result").agg(F.count(F.lit(1)).alias("n_rows"),
+                                          F.count_distinct("User_ID").alias("n_users"))
