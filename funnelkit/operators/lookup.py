@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import col_
 
-__all__ = ["wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
+__all__ = ["hot_keys_for", "wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
            "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
            "order_key", "time_micros", "time_bucket", "hot_keys"]
 
@@ -164,11 +164,24 @@ def hot_keys(left: DataFrame, right: DataFrame, kcols: Sequence[str],
     return top.select(*out)
 
 
+def hot_keys_for(df: DataFrame, key, time: str, min_rows: int = HOT_KEY_MIN_ROWS,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The hot-key list of one base table, named by its own key columns, for
+    sharing across several lookups on data derived from it (``hot=``): a chain
+    of lookups then counts keys once. Same bound as ``hot_keys``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    kcols = [f"__k{i}" for i in range(len(keys))]
+    base = df.select(*[F.col(k).alias(kc) for k, kc in zip(keys, kcols)], F.col(time).alias("__t0"))
+    hk = hot_keys(base, base.limit(0), kcols, min_rows, "__t0", "__t0", bucket_rows)
+    return hk.select(*[F.col(kc).alias(k) for k, kc in zip(keys, kcols)], "__hot", "__w")
+
+
 def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
                right_time: Column | str, aggs: Mapping[str, tuple[str, Column]], *,
                inclusive: bool = False, forward: bool = False,
                bucket_seconds: int | None = None,
-               hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
+               hot: DataFrame | None = None) -> DataFrame:
     """For each left row, aggregate the right rows of the same key that lie before
     it in time (``t_r < t_l``; ``<=`` when ``inclusive``), or after it when
     ``forward`` (``t_r > t_l`` / ``>=``).
@@ -182,7 +195,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     other key is one bucket, handled by the running window alone. A hot key's
     bucket width gives about ``bucket_rows`` rows per bucket, or is
     ``bucket_seconds`` when that is set. ``hot_key_rows=0`` buckets every key
-    by ``bucket_seconds`` (default one day).
+    by ``bucket_seconds`` (default one day). ``hot`` passes a list made by
+    ``hot_keys_for`` (keyed like ``left``) instead of counting keys here.
     """
     pairs = _pairs(on)
     kcols = [f"__k{i}" for i in range(len(pairs))]
@@ -207,10 +221,15 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
         # join the (bounded, broadcast) hot-key list before any time math, so the
         # hot-only summary branch below computes it for hot rows only
         adaptive = bucket_seconds is None
-        hot = F.broadcast(hot_keys(                                # <= 4 x shuffle partitions rows
-            lx.withColumn("__lt", col_(left_time)), rx, kcols, hot_key_rows,
-            "__lt" if adaptive else None, "__rt" if adaptive else None, bucket_rows))
-        lx, rx = lx.join(hot, kcols, "left"), rx.join(hot, kcols, "left")
+        if hot is not None:      # shared list from hot_keys_for: same bound
+            hot_df = hot.select(*[F.col(lk).alias(k) for k, (lk, _) in zip(kcols, pairs)], "__hot", "__w")
+            if not adaptive:
+                hot_df = hot_df.drop("__w")
+        else:
+            hot_df = hot_keys(lx.withColumn("__lt", col_(left_time)), rx, kcols, hot_key_rows,
+                              "__lt" if adaptive else None, "__rt" if adaptive else None, bucket_rows)
+        hot_b = F.broadcast(hot_df)                                # <= 4 x shuffle partitions rows
+        lx, rx = lx.join(hot_b, kcols, "left"), rx.join(hot_b, kcols, "left")
     lt = time_micros(left_time, left) * sign
     rt = time_micros("__rt", rx) * sign
 
@@ -272,7 +291,8 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
               right_time: Column | str, cols: Sequence[str], *, strict: bool = True,
               forward: bool = False, tiebreak: Sequence[str] = (), prefix: str = "",
               bucket_seconds: int | None = None, keep_time: str | None = None,
-              hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+              hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
+              hot: DataFrame | None = None) -> DataFrame:
     """Attach to every left row the latest right row of the same key
     with ``t_r < t_l`` (``<=`` unless ``strict``); with ``forward`` the earliest
     row with ``t_r > t_l`` (``>=`` unless ``strict``). Ties on time go to the
@@ -289,7 +309,7 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     pick = F.struct(*fields, *payload)
     res = prefix_agg(left, right, on, left_time, right_time, {"__pick": ("max", pick)},
                      inclusive=not strict, forward=forward, bucket_seconds=bucket_seconds,
-                     hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
+                     hot_key_rows=hot_key_rows, bucket_rows=bucket_rows, hot=hot)
     outs = [F.col(f"__pick.{c}").alias(prefix + c) for c in cols]
     if keep_time:
         outs.append(F.col("__pick.__rt").alias(keep_time))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import half_open, imatch, nimatch
 from funnelkit.operators.agg import milestone, milestone_and_not, first_by
-from funnelkit.operators.lookup import (asof_join, first_per, lookback_join, lookup_latest,
-                                        prefix_agg, range_agg, agg_per_key, time_micros)
+from funnelkit.operators.lookup import (asof_join, first_per, hot_keys_for, lookback_join,
+                                        lookup_latest, prefix_agg, range_agg, agg_per_key, time_micros)
 from funnelkit.operators.member import anti, attach_flag, flag_earlier_exists, semi, suppress
 from funnelkit.plans.registry import Tables, query
 
@@ -296,9 +296,13 @@ def nested_lookup(spark, d):
         "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
     views = t.events.where(F.col("event_type") == "view").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    # both steps key the same event log by user: count its keys once and share
+    # the (bounded) hot-key list along the chain
+    hot = hot_keys_for(t.events, "user_id", "ts")
     step1 = asof_join(_purchases(t), clicks, "user_id", "ts", "click_ts", ["click_id", "click_ts"],
-                      tiebreak=["click_id"])
-    step2 = asof_join(step1, views, "user_id", "click_ts", "view_ts", ["view_id"], tiebreak=["view_id"])
+                      tiebreak=["click_id"], hot=hot)
+    step2 = asof_join(step1, views, "user_id", "click_ts", "view_ts", ["view_id"], tiebreak=["view_id"],
+                      hot=hot)
     return step2.select("event_id", "user_id", "click_id", "view_id")
 
 

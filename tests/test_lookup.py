@@ -221,3 +221,13 @@ def test_asof_on_instant_timestamps(spark, asof_data):
     Ri = R.withColumn("rt", F.col("rt").cast("timestamp"))
     got = asof_join(Li, Ri, "key", "t", "rt", ["rid"], tiebreak=["rid"], hot_key_rows=1, bucket_rows=20)
     assert rows(got, "id", "rid") == brute_asof(left, right, True, False)
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_with_shared_hot_list(spark, asof_data, forward):
+    from funnelkit.operators.lookup import hot_keys_for
+    left, right, L, R = asof_data
+    hot = hot_keys_for(R, "key", "rt", min_rows=1, bucket_rows=20)
+    assert hot.count() >= 1
+    got = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], forward=forward, hot=hot)
+    assert rows(got, "id", "rid") == brute_asof(left, right, True, forward)
