@@ -320,7 +320,8 @@ def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_t
                   cols: Sequence[str], window_seconds: int, *, pick: str = "last",
                   upper_inclusive: bool = False, tiebreak: Sequence[str] = (),
                   prefix: str = "", bucket_seconds: int | None = None,
-                  hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                  hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
+                  hot: DataFrame | None = None) -> DataFrame:
     """J12 (``pick='last'``) / J13 (``pick='first'``): the latest or earliest right
     row of the key with ``t_l - window <= t_r < t_l`` (``<= t_l`` when
     ``upper_inclusive``). No range join: the latest row is an as-of lookup cut at
@@ -332,13 +333,13 @@ def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_t
     if pick == "last":
         res = asof_join(left, right, on, left_time, right_time, cols, strict=not upper_inclusive,
                         tiebreak=tiebreak, prefix="__m_", keep_time="__mt", bucket_seconds=bucket,
-                        hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
+                        hot_key_rows=hot_key_rows, bucket_rows=bucket_rows, hot=hot)
         ok = F.col("__mt") >= lo
     else:
         res = asof_join(left.withColumn("__lo", lo), right, on, "__lo", right_time, cols,
                         strict=False, forward=True, tiebreak=tiebreak, prefix="__m_",
                         keep_time="__mt", bucket_seconds=bucket, hot_key_rows=hot_key_rows,
-                        bucket_rows=bucket_rows).drop("__lo")
+                        bucket_rows=bucket_rows, hot=hot).drop("__lo")
         ok = (F.col("__mt") <= col_(left_time)) if upper_inclusive else (F.col("__mt") < col_(left_time))
     return res.select(*left.columns, *[F.when(ok, F.col(f"__m_{c}")).alias(prefix + c) for c in cols])
 
@@ -346,7 +347,8 @@ def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_t
 def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
                  lo_seconds: int, hi_seconds: int, name: str = "n",
                  bucket_seconds: int | None = None,
-                 hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                 hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
+                 hot: DataFrame | None = None) -> DataFrame:
     """Count right rows of the key with ``t_l + lo <= t_r < t_l + hi`` as the
     difference of two prefix counts (no pair is materialised)."""
     def shift(s):
@@ -354,9 +356,11 @@ def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_ti
 
     base = left.withColumns({"__hi": shift(hi_seconds), "__lo": shift(lo_seconds)})
     a = prefix_agg(base, right, on, "__hi", right_time, {"__nhi": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
+                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows,
+                   hot=hot)
     b = prefix_agg(a, right, on, "__lo", right_time, {"__nlo": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows)
+                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows,
+                   hot=hot)
     return b.select(*left.columns, (F.col("__nhi") - F.col("__nlo")).alias(name))
 
 
