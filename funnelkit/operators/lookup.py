@@ -7,10 +7,12 @@ Design rules (see README "Scale"):
   which Spark combines map-side, so a key holding a third of all rows is reduced
   inside every input task before the shuffle.
 * Anything ordered in time (as-of, look-back, "count of rows before") runs on the
-  prefix engine ``prefix_agg``: rows are grouped by (key, time bucket), a running
-  window works inside each bucket, and a per-bucket summary carries the result
-  across buckets. No task ever holds more than one bucket of one key, no pair of
-  rows is emitted, and the work is linear in the input.
+  prefix engine ``prefix_agg``: rows are hash-partitioned on (key, time bucket)
+  and a running window works inside each bucket. Only heavy-hitter keys (a
+  bounded, broadcast top-k of key counts, ``hot_keys``) are split into buckets,
+  sized to about ``bucket_rows`` rows; their per-bucket summaries carry the
+  result across buckets. Every other key is one bucket. No task holds more than
+  one bucket of a hot key, no pair of rows is emitted, the work is linear.
 """
 
 from __future__ import annotations
