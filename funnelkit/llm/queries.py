@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from funnelkit.llm.bpe import bpe_round_trip
 from funnelkit.llm.packing import pack_power_of_two
+from funnelkit.llm.simhash import simhash_near_dedup
 from funnelkit.llm.token_counts import token_counts
 from funnelkit.sources.tables import load
 
@@ -32,6 +33,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(load(spark, sf_dir, "documents"))
+
+
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
