@@ -1,0 +1,73 @@
+"""The pipeline against a brute-force version, and the registered queries."""
+
+import hashlib
+import re
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from funnelkit.llm import line_dedup, secret_scan
+from funnelkit.llm.queries import QUERIES, SQL
+from tests.llm.helpers import documents, groups, odd_docs, simhash
+from tests.llm.test_rules import figures, lines_of
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = documents(spark)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, SF)
+        assert docs.columns == before.columns, name
+        kept[name] = docs.collect()
+    good = [r for r in documents(spark).collect() if not figures(r.text)[-1]]
+    assert sorted(r.doc_id for r in kept["quality rules"]) == sorted(r.doc_id for r in good)
+    lines = lines_of(good, line_dedup.RATIO, line_dedup.MIN_PAGES, line_dedup.MAX_LOSS)
+    assert sorted(((r.doc_id, r.text) for r in kept["line dedup"]), key=repr) == [x[:2] for x in lines]
+    want = set(groups({i: simhash(t) for i, t, _ in lines}).values())
+    assert sorted(r.doc_id for r in kept["SimHash near-dedup"]) == sorted(want)
+    assert [r.doc_id for r in kept["secret scans"]] and len(kept["secret scans"]) == len(want)
+    assert not any(re.search("AKIA[A-Z0-9]{16,}", r.text) for r in kept["secret scans"]
+                   if r.text.count("[SECRET]")) or secret_scan.COPIED > 1
+
+
+def test_run_keeps_every_token_of_what_it_keeps(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for pieces in by_doc.values():
+        assert sum(p.length for p in pieces) == pieces[0].doc_tokens
+
+
+def test_odd_rows_pass_every_stage(spark):
+    docs = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        docs.count()
+    none = odd_docs(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+    assert none.count() == 0
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_agrees(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    cur = con.execute(SQL[name])
+    cols = [d[0] for d in cur.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(cols)
+    want = sorted(map(repr, cur.fetchall()))
+    got = sorted(repr(tuple(r)) for r in df.select(*cols).collect())
+    assert hashlib.sha256("".join(got).encode()).hexdigest() == hashlib.sha256("".join(want).encode()).hexdigest()

@@ -1,0 +1,71 @@
+"""Operator 9 against Python's regular expressions."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+from funnelkit.llm.secret_scan import redact, secret_spans
+from tests.llm.helpers import documents, odd_docs
+
+WORDS = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token"))
+KEYWORD = f"({WORDS}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+PATTERNS = [("assign", re.compile(KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+            ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+            ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+
+
+def base(text):
+    found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS)
+                   for m in p.finditer(text or "") if ok(m))
+    return found, ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in found)
+
+
+def test_base_spans(spark):
+    for df in (documents(spark), odd_docs(spark)):
+        want = defaultdict(set)
+        for r in df.collect():
+            found, listed = base(r.text)
+            counts = [sum(x[1] == k for x in found) for k in range(3)]
+            want[r.doc_id].add((*counts, hashlib.sha256(listed.encode()).hexdigest(), listed))
+        rows = secret_spans(df).collect()
+        assert len(rows) == df.count()
+        for r in rows:
+            plain = ",".join(s for s in r.spans.split(",") if not s.startswith("token:"))
+            assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, plain) in want[r.doc_id]
+    assert secret_spans(df.limit(0)).count() == 0
+
+
+def test_ownership_decides_what_is_added_and_masked(spark):
+    copied, own = "Zz9" + "aB3" * 10, "Qq7" + "xY1" * 10
+    rows = [(i, f"key {copied} and password=letmein99 é", "en", f"owner{i % 4}", 0) for i in range(8)]
+    rows += [(20, f"😀 mine {own} secret: hunter2hunter", "en", "owner1", 0), (21, f"{own}", "en", "owner1", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in secret_spans(df).collect()}
+    assert "token" not in got[0].spans and got[0].n_assign == 1 and got[0].n_live == 0
+    start = rows[8][1].index(own)
+    assert got[20].spans.startswith(f"token:{start}:{start + len(own)},assign:") and got[20].n_live == 2
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[0] == rows[0][1] and clean[21] == "[SECRET]" and clean[20] == "😀 mine [SECRET] [SECRET]"
+
+
+def test_masking_of_odd_rows(spark):
+    df = odd_docs(spark)
+    got = redact(df)
+    assert got.columns == df.columns and got.count() == df.count()
+    for r, q in zip(sorted(df.collect(), key=repr), sorted(df.collect(), key=repr)):
+        assert r == q
+    assert got.where("text like '%AKIAAKIA%'").count() == 0 and got.where("text is null").count() == 1
+    assert redact(df.limit(0)).count() == 0
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    hexed = "0123456789abcdef" * 2
+    df = spark.createDataFrame([(1, f'a token = "{hexed}" b', "s")], "doc_id bigint, text string, source string")
+    assert redact(df).first().text == 'a [SECRET]" b'
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdefgh " * 3000
+    df = spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")
+    row = secret_spans(df).first()
+    assert row.n_assign == 3000 and row.base_sha256 == hashlib.sha256(base(text)[1].encode()).hexdigest()
