@@ -7,31 +7,38 @@ Design rules (see README "Scale"):
   which Spark combines map-side, so a key holding a third of all rows is reduced
   inside every input task before the shuffle.
 * Anything ordered in time (as-of, look-back, "count of rows before") runs on the
-  prefix engine ``prefix_agg``: rows are hash-partitioned on (key, time bucket)
-  and a running window works inside each bucket. Only heavy-hitter keys (a
-  bounded, broadcast top-k of key counts, ``hot_keys``) are split into buckets,
-  sized to about ``bucket_rows`` rows; their per-bucket summaries carry the
-  result across buckets. Every other key is one bucket. No task holds more than
-  one bucket of a hot key, no pair of rows is emitted, the work is linear.
+  prefix engine ``prefix_agg``: left and right rows meet in one running window,
+  hash-partitioned on (key, cell). A key is hot when it holds more than a fair
+  share of all rows (total / (SHARE * shuffle partitions)), so at most
+  ``SHARE * partitions`` keys can be; each hot key is cut into cells of about
+  that many rows at quantiles of its own times, and a seed row carries the
+  result of the cells before into each cell. Every other key is one cell. No
+  task holds a whole hot key, no pair of rows is emitted, the work is linear.
+* Finding the hot keys is a count per key, run when the lookup is built: only
+  the hot keys and their cut times reach the driver. ``hot_keys_for`` counts a
+  log once for several lookups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from funnelkit.functions.expr import col_
 
-__all__ = ["hot_keys_for", "wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg", "asof_join", "lookback_join",
-           "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
-           "order_key", "time_micros", "time_bucket", "hot_keys"]
+__all__ = ["HotKeys", "hot_keys_for", "wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg",
+           "asof_join", "lookback_join", "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
+           "order_key", "time_micros"]
 
-DEFAULT_BUCKET_SECONDS = 86400
-HOT_KEY_MIN_ROWS = 10_000
-BUCKET_ROWS = 1_000_000
+SHARE = 4            # cells a shuffle partition's fair share of the rows is cut into
+MAX_CUTS = 4096      # quantiles taken of one hot key's times
 _T, _B, _S = "__t", "__b", "__side"
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 def _pairs(on) -> list[tuple[str, str]]:
@@ -77,14 +84,6 @@ def time_micros(c: Column | str, df: DataFrame | None = None) -> Column:
     return wall_micros(col)
 
 
-def time_bucket(c: Column | str, bucket_seconds: int, forward: bool = False,
-                df: DataFrame | None = None) -> Column:
-    """Bucket number of a time column as used by the prefix engine (monotone in
-    time; negated time when looking forward)."""
-    sign = -1 if forward else 1
-    return F.floor(time_micros(c, df) * sign / (int(bucket_seconds) * 1_000_000))
-
-
 def order_key(order: Sequence[Column | str]) -> Column:
     """Struct sort key with PostgreSQL NULL placement: NULL sorts as the largest
     value, so it comes last ascending and first descending."""
@@ -130,171 +129,163 @@ def lookup_latest(left: DataFrame, right: DataFrame, on, order: Sequence[Column
 _MERGE = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
 
 
-def hot_keys(left: DataFrame, right: DataFrame, kcols: Sequence[str],
-             min_rows: int = HOT_KEY_MIN_ROWS, left_time: str | None = None,
-             right_time: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The heaviest keys of both inputs: at most ``4 * shuffle partitions`` keys
-    with at least ``min_rows`` rows, taken by a distributed top-k over a
-    map-side combined count. The bound does not grow with the data, so the
-    result can be broadcast. Keys past the cut are smaller than every key kept
-    and are processed unsplit; results are exact either way.
-
-    With the time columns given, each hot key also gets ``__w``, a bucket width
-    in microseconds of about ``bucket_rows`` rows: its time span times
-    ``bucket_rows / count`` (at least one second)."""
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lsel = [F.col(k) for k in kcols] + ([F.col(left_time).alias("__ht")] if left_time else [])
-    rsel = [F.col(k) for k in kcols] + ([F.col(right_time).alias("__ht")] if right_time else [])
-    keys = left.select(*lsel).unionByName(right.select(*rsel)).where(
-        F.coalesce(*[F.col(k).isNotNull() for k in kcols]))
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    if left_time:
-        aggs += [F.min("__ht").alias("__lo"), F.max("__ht").alias("__hi")]
-    counts = keys.groupBy(*kcols).agg(*aggs)
-    # a total order (count, then key) makes the cut the same in every
-    # evaluation, so all branches of a lookup agree on which keys are hot
-    top = (counts.where(F.col("__n") >= max(int(min_rows), 1))
-           .orderBy(F.col("__n").desc(), *[F.col(k).asc_nulls_last() for k in kcols])
-           .limit(4 * parts))
-    out = [*kcols, F.lit(True).alias("__hot")]
-    if left_time:
-        # in double: a span of years in microseconds times a million rows
-        # would overflow a long
-        span = (time_micros("__hi", top) - time_micros("__lo", top)).cast("double")
-        width = F.ceil(span * float(bucket_rows) / F.col("__n").cast("double"))
-        out.append(F.greatest(F.lit(1_000_000).cast("long"), width.cast("long")).alias("__w"))
-    return top.select(*out)
-
-
-def hot_keys_for(df: DataFrame, key, time: str, min_rows: int = HOT_KEY_MIN_ROWS,
-                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The hot-key list of one base table, named by its own key columns, for
-    sharing across several lookups on data derived from it (``hot=``): a chain
-    of lookups then counts keys once. Same bound as ``hot_keys``."""
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys that hold more than a fair share of the rows, with the times (micros)
+    that cut each into cells and its first and last right-side time."""
+    rows: tuple[tuple, ...] = ()          # (key values..., cuts, first, last)
+    types: tuple[str, ...] = ()           # key types, as DDL
+
+    def __bool__(self) -> bool:
+        return bool(self.rows)
+
+    def frame(self, spark, kcols: Sequence[str], sign: int) -> DataFrame:
+        """Bounded table of the hot keys: at most SHARE * partitions rows, whose cuts
+        add up to about as many. Times are negated and reversed to look forward."""
+        out = []
+        for *key, cuts, first, last in self.rows:
+            cuts = list(cuts) if sign > 0 else [-c for c in reversed(cuts)]
+            end = last if sign > 0 else (None if first is None else -first)
+            out.append((*key, cuts, end))
+        ddl = ", ".join(f"`{k}` {t}" for k, t in zip(kcols, self.types))
+        return spark.createDataFrame(out, f"{ddl}, __cuts array<bigint>, __end bigint")
+
+
+def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
+    """Hot keys of ``keyed`` (key columns, ``__ht`` time in micros, ``__hr`` whether a
+    right row). One map-side combined count per key; only if any key is hot, one
+    pass over the hot keys' times for their quantiles."""
+    spark = keyed.sparkSession
+    cells = share * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = F.lit(True)
+    for k in kcols:
+        known = known & F.col(k).isNotNull()
+    keyed = keyed.where(known & F.col("__ht").isNotNull())
+    counts = keyed.groupBy(*kcols).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("t")).select("t").scalar()
+    hot = counts.where((F.col("__n") * cells > total) & (F.col("__n") > 1)).withColumn("__total", total).collect()
+    if not hot:
+        return HotKeys()
+    ddl = [counts.schema[k].dataType.simpleString() for k in kcols]
+    listed = spark.createDataFrame([tuple(r)[:len(kcols)] for r in hot],
+                                   ", ".join(f"`{k}` {t}" for k, t in zip(kcols, ddl)))
+    m = max(2, min(cells, MAX_CUTS))
+    cuts = F.percentile_approx("__ht", [i / m for i in range(1, m)], 10 * MAX_CUTS)
+    found = keyed.join(F.broadcast(listed), list(kcols)).groupBy(*kcols).agg(      # at most ``cells`` keys
+        cuts.alias("cuts"), F.min(F.when(F.col("__hr"), F.col("__ht"))).alias("first"),
+        F.max(F.when(F.col("__hr"), F.col("__ht"))).alias("last")).collect()
+    sizes = {tuple(r)[:len(kcols)]: (r["__n"], r["__total"]) for r in hot}
+    rows = []
+    for r in found:
+        key = tuple(r)[:len(kcols)]
+        n, total_rows = sizes[key]
+        k = min(m, -(-n * cells // total_rows))                                    # cells of this key
+        picked = sorted({r.cuts[min(m - 2, max(0, round(i * m / k) - 1))] for i in range(1, k)})
+        rows.append((*key, tuple(picked), r["first"], r["last"]))
+    return HotKeys(tuple(rows), tuple(ddl))
+
+
+def hot_keys_for(df: DataFrame, key, time: str, share: int = SHARE) -> HotKeys:
+    """The hot keys of one base table, for sharing across several lookups on data
+    derived from it (``hot=``): a chain of lookups then counts keys once."""
     keys = [key] if isinstance(key, str) else list(key)
     kcols = [f"__k{i}" for i in range(len(keys))]
-    base = df.select(*[F.col(k).alias(kc) for k, kc in zip(keys, kcols)], F.col(time).alias("__t0"))
-    hk = hot_keys(base, base.limit(0), kcols, min_rows, "__t0", "__t0", bucket_rows)
-    return hk.select(*[F.col(kc).alias(k) for k, kc in zip(keys, kcols)], "__hot", "__w")
+    return _find_hot(df.select(*[F.col(k).alias(kc) for k, kc in zip(keys, kcols)],
+                               time_micros(time, df).alias("__ht"), F.lit(True).alias("__hr")), kcols, share)
+
+
+def _cell(t: Column, cuts: Column, longest: int) -> Column:
+    """Number of cuts below ``t``, found by halving steps."""
+    steps = [1 << b for b in range(longest.bit_length() - 1, -1, -1)]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(
+        F.coalesce(F.get(cuts, lo + s - 1) < t, F.lit(False)), lo + s).otherwise(lo))
 
 
 def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
                right_time: Column | str, aggs: Mapping[str, tuple[str, Column]], *,
-               inclusive: bool = False, forward: bool = False,
-               bucket_seconds: int | None = None,
-               hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
-               hot: DataFrame | None = None) -> DataFrame:
+               inclusive: bool = False, forward: bool = False, open_bound: bool = False,
+               hot: HotKeys | None = None, share: int = SHARE) -> DataFrame:
     """For each left row, aggregate the right rows of the same key that lie before
     it in time (``t_r < t_l``; ``<=`` when ``inclusive``), or after it when
     ``forward`` (``t_r > t_l`` / ``>=``).
 
     ``aggs`` maps an output name to ``(kind, right_expr)`` with kind ``max``,
     ``min``, ``sum`` or ``count`` (``count`` ignores ``right_expr`` and is 0 when
-    nothing precedes). Every left row is returned once with all its columns.
-
-    Hot keys (see ``hot_keys``; ``hot_key_rows`` is the minimum row count of a
-    hot key) are split into time buckets with a carry across buckets; every
-    other key is one bucket, handled by the running window alone. A hot key's
-    bucket width gives about ``bucket_rows`` rows per bucket, or is
-    ``bucket_seconds`` when that is set. ``hot_key_rows=0`` buckets every key
-    by ``bucket_seconds`` (default one day). ``hot`` passes a list made by
-    ``hot_keys_for`` (keyed like ``left``) instead of counting keys here.
+    nothing precedes). Every left row is returned once with all its columns. A left
+    row with a NULL key meets nothing; one with a NULL time meets nothing either, or,
+    with ``open_bound``, every right row of its key.
+
+    Hot keys (see the module notes) are cut into cells; ``share`` sets how finely,
+    and ``hot`` passes a list made by ``hot_keys_for`` (keyed like ``left``). Left
+    rows that meet nothing, or lie beyond a hot key's last right row, are spread over
+    cells of their own. Rows of one key with exactly the same time share a cell.
     """
     pairs = _pairs(on)
     kcols = [f"__k{i}" for i in range(len(pairs))]
     sign = -1 if forward else 1
     l_side, r_side = (1, 0) if inclusive else (0, 1)
-    if hot_key_rows is None:
-        hot_key_rows = HOT_KEY_MIN_ROWS
-    width = int(bucket_seconds or DEFAULT_BUCKET_SECONDS) * 1_000_000
-
+    spark = left.sparkSession
     names = list(aggs)
     acols = [f"__a{i}" for i in range(len(names))]
-    lx = left.withColumns({k: F.col(lk) for k, (lk, _) in zip(kcols, pairs)})
-    rsel = [F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)] + [col_(right_time).alias("__rt")]
-    for a, n in zip(acols, names):
-        kind, expr = aggs[n]
-        rsel.append((F.lit(1) if kind == "count" else expr).alias(a))
-    keep = col_(right_time).isNotNull()
-    for (_, rk) in pairs:
-        keep = keep & F.col(rk).isNotNull()
-    rx = right.where(keep).select(*rsel)
-    if hot_key_rows != 0:
-        # join the (bounded, broadcast) hot-key list before any time math, so the
-        # hot-only summary branch below computes it for hot rows only
-        adaptive = bucket_seconds is None
-        if hot is not None:      # shared list from hot_keys_for: same bound
-            hot_df = hot.select(*[F.col(lk).alias(k) for k, (lk, _) in zip(kcols, pairs)], "__hot", "__w")
-            if not adaptive:
-                hot_df = hot_df.drop("__w")
-        else:
-            hot_df = hot_keys(lx.withColumn("__lt", col_(left_time)), rx, kcols, hot_key_rows,
-                              "__lt" if adaptive else None, "__rt" if adaptive else None, bucket_rows)
-        hot_b = F.broadcast(hot_df)                                # <= 4 x shuffle partitions rows
-        lx, rx = lx.join(hot_b, kcols, "left"), rx.join(hot_b, kcols, "left")
-    lt = time_micros(left_time, left) * sign
-    rt = time_micros("__rt", rx) * sign
-
-    def bucket(t):
-        b = F.floor(t / width)
-        if hot_key_rows != 0:
-            if adaptive:
-                b = F.floor(t / F.col("__w"))
-            b = F.when(F.col("__hot"), b).otherwise(F.lit(0))
-        return b
-
-    # one projection per side: time, side marker and bucket
-    lx = lx.withColumns({_T: lt, _S: F.lit(l_side), _B: bucket(lt)})
-    hot_cols = ["__hot", "__w"] if hot_key_rows != 0 and adaptive else (["__hot"] if hot_key_rows != 0 else [])
-    rx = rx.select(*kcols, *hot_cols, *acols, rt.alias(_T), F.lit(r_side).alias(_S), bucket(rt).alias(_B))
-
-    u = lx.unionByName(rx, allowMissingColumns=True)
-    w_in = (Window.partitionBy(*kcols, _B).orderBy(_T, _S)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = u.select(*lx.columns, *[_MERGE[aggs[n][0]](F.col(a)).over(w_in).alias(f"{a}_in")
-                                     for a, n in zip(acols, names)]).where(F.col(_S) == l_side)
-
-    # Carry across buckets, for bucketed keys only: right rows pre-aggregated
-    # per (key, bucket) with a map-side combine; left rows only mark the
-    # buckets that need a carry. One row per (key, bucket) crosses the network.
-    if hot_key_rows != 0:
-        lx, rx = lx.where(F.col("__hot")), rx.where(F.col("__hot"))
-    rsum = rx.groupBy(*kcols, _B).agg(
-        *[_MERGE[aggs[n][0]](F.col(a)).alias(f"{a}_s") for a, n in zip(acols, names)])
-    lmarks = lx.select(*kcols, _B, F.lit(True).alias("__hasl")).distinct()
-    summary = rsum.withColumn("__hasl", F.lit(False)).unionByName(lmarks, allowMissingColumns=True)
-    # a left mark sorts before the right summary of its own bucket, so the
-    # frame "all earlier rows" holds exactly the right buckets before it
-    w_carry = Window.partitionBy(*kcols).orderBy(_B, F.col("__hasl").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = (summary.select(*kcols, _B, "__hasl",
-                            *[_MERGE[aggs[n][0]](F.col(f"{a}_s")).over(w_carry).alias(f"{a}_c")
-                              for a, n in zip(acols, names)])
-             .where(F.col("__hasl")))
-
-    joined = inner.join(carry, [*kcols, _B], "left")
-    outs = {}
-    for a, n in zip(acols, names):
-        kind = aggs[n][0]
-        i, c = F.col(f"{a}_in"), F.col(f"{a}_c")
-        if kind == "max":
-            outs[n] = F.greatest(i, c)
-        elif kind == "min":
-            outs[n] = F.least(i, c)
-        elif kind == "count":
-            outs[n] = F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))
-        else:
-            outs[n] = F.when(i.isNull() & c.isNull(), F.lit(None)).otherwise(
-                F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0)))
-    return joined.select(*left.columns, *[v.alias(k) for k, v in outs.items()])
+
+    lt = time_micros(left_time, left)
+    lx = left.withColumns({k: F.col(lk) for k, (lk, _) in zip(kcols, pairs)} | {"__raw": lt})
+    rx = right.select(*[F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)],
+                      time_micros(right_time, right).alias("__raw"),
+                      *[(F.lit(1) if aggs[n][0] == "count" else aggs[n][1]).alias(a) for a, n in zip(acols, names)])
+    known = F.lit(True)
+    for k in kcols:
+        known = known & F.col(k).isNotNull()
+    rx = rx.where(known & F.col("__raw").isNotNull())
+    if hot is None:
+        hot = _find_hot(lx.select(*kcols, F.col("__raw").alias("__ht"), F.lit(False).alias("__hr")).unionAll(
+            rx.select(*kcols, F.col("__raw").alias("__ht"), F.lit(True).alias("__hr"))), kcols, share)
+
+    t = F.col("__raw") * sign
+    if open_bound:
+        t = F.coalesce(t, F.lit(_LAST))
+    # rows without a key or time meet nothing: deal them out by what they hold
+    plain = [f.name for f in left.schema.fields if isinstance(f.dataType, AtomicType)]
+    dealt = F.pmod(F.xxhash64(*plain) if plain else F.lit(0), F.lit(1 << 20)).cast("int")
+    lx = lx.withColumns({_T: t, _S: F.lit(l_side)}).withColumn(
+        _B, F.when(known & F.col(_T).isNotNull(), 0).otherwise(-1 - dealt)).drop("__raw")
+    rx = rx.withColumns({_T: F.col("__raw") * sign, _S: F.lit(r_side), _B: F.lit(0)}).drop("__raw")
+
+    if hot:
+        table = F.broadcast(hot.frame(spark, kcols, sign))       # bounded, see HotKeys.frame
+        longest = max(len(r[-3]) for r in hot.rows)
+        cuts, beyond = F.col("__cuts"), F.size("__cuts") + 1
+        cell = _cell(F.col(_T), cuts, longest)
+        lx = lx.join(table, kcols, "left").withColumn(_B, F.when(cuts.isNull() | (F.col(_B) < 0), F.col(_B)).when(
+            F.col(_T) > F.col("__end"), beyond + F.pmod(dealt, beyond)).otherwise(cell)).drop("__cuts", "__end")
+        rx = rx.join(table, kcols, "left").withColumn(_B, F.when(cuts.isNull(), 0).otherwise(cell))
+        sums = rx.where(cuts.isNotNull()).groupBy(*kcols, _B).agg(
+            *[_MERGE[aggs[n][0]](F.col(a)).alias(a) for a, n in zip(acols, names)])
+        rx = rx.drop("__cuts", "__end")
+        every = hot.frame(spark, kcols, sign).select(*kcols, F.explode(
+            F.sequence(F.lit(0), 2 * F.size("__cuts") + 2)).alias(_B))
+        before = Window.partitionBy(*kcols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)  # cells, not rows
+        seeds = every.join(sums, [*kcols, _B], "left").select(
+            *kcols, *[_MERGE[aggs[n][0]](F.col(a)).over(before).alias(a) for a, n in zip(acols, names)],
+            F.lit(_FIRST).alias(_T), F.lit(r_side).alias(_S), _B)
+        rx = rx.unionByName(seeds)
+
+    both = lx.unionByName(rx, allowMissingColumns=True)
+    w = Window.partitionBy(*kcols, _B).orderBy(_T, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = {n: _MERGE[aggs[n][0]](F.col(a)).over(w) for a, n in zip(acols, names)}
+    out = both.withColumns({f"__o{i}": run[n] for i, n in enumerate(names)}).where(F.col(_S) == l_side)
+    return out.select(*left.columns, *[
+        (F.coalesce(F.col(f"__o{i}"), F.lit(0)) if aggs[n][0] == "count" else F.col(f"__o{i}")).alias(n)
+        for i, n in enumerate(names)])
 
 
 def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
               right_time: Column | str, cols: Sequence[str], *, strict: bool = True,
               forward: bool = False, tiebreak: Sequence[str] = (), prefix: str = "",
-              bucket_seconds: int | None = None, keep_time: str | None = None,
-              hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
-              hot: DataFrame | None = None) -> DataFrame:
+              keep_time: str | None = None, open_bound: bool = False,
+              hot: HotKeys | None = None, share: int = SHARE) -> DataFrame:
     """Attach to every left row the latest right row of the same key
     with ``t_r < t_l`` (``<=`` unless ``strict``); with ``forward`` the earliest
     row with ``t_r > t_l`` (``>=`` unless ``strict``). Ties on time go to the
@@ -309,101 +300,100 @@ def asof_join(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     if keep_time:
         payload.append(col_(right_time).alias("__rt"))
     pick = F.struct(*fields, *payload)
-    res = prefix_agg(left, right, on, left_time, right_time, {"__pick": ("max", pick)},
-                     inclusive=not strict, forward=forward, bucket_seconds=bucket_seconds,
-                     hot_key_rows=hot_key_rows, bucket_rows=bucket_rows, hot=hot)
+    res = prefix_agg(left, right, on, left_time, right_time, {"__pick": ("max", pick)}, inclusive=not strict,
+                     forward=forward, open_bound=open_bound, hot=hot, share=share)
     outs = [F.col(f"__pick.{c}").alias(prefix + c) for c in cols]
     if keep_time:
         outs.append(F.col("__pick.__rt").alias(keep_time))
     return res.select(*left.columns, *outs)
 
 
+def _seconds(n: int) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(n)))
+
+
 def lookback_join(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
                   cols: Sequence[str], window_seconds: int, *, pick: str = "last",
                   upper_inclusive: bool = False, tiebreak: Sequence[str] = (),
-                  prefix: str = "", bucket_seconds: int | None = None,
-                  hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
-                  hot: DataFrame | None = None) -> DataFrame:
+                  prefix: str = "", hot: HotKeys | None = None, share: int = SHARE) -> DataFrame:
     """J12 (``pick='last'``) / J13 (``pick='first'``): the latest or earliest right
     row of the key with ``t_l - window <= t_r < t_l`` (``<= t_l`` when
     ``upper_inclusive``). No range join: the latest row is an as-of lookup cut at
     the lower bound, the earliest is a forward as-of from ``t_l - window`` cut at
     the upper bound."""
-    bucket = bucket_seconds
-    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(window_seconds)))
-    lo = col_(left_time) - span
+    lo = col_(left_time) - _seconds(window_seconds)
     if pick == "last":
         res = asof_join(left, right, on, left_time, right_time, cols, strict=not upper_inclusive,
-                        tiebreak=tiebreak, prefix="__m_", keep_time="__mt", bucket_seconds=bucket,
-                        hot_key_rows=hot_key_rows, bucket_rows=bucket_rows, hot=hot)
+                        tiebreak=tiebreak, prefix="__m_", keep_time="__mt", hot=hot, share=share)
         ok = F.col("__mt") >= lo
     else:
         res = asof_join(left.withColumn("__lo", lo), right, on, "__lo", right_time, cols,
                         strict=False, forward=True, tiebreak=tiebreak, prefix="__m_",
-                        keep_time="__mt", bucket_seconds=bucket, hot_key_rows=hot_key_rows,
-                        bucket_rows=bucket_rows, hot=hot).drop("__lo")
+                        keep_time="__mt", hot=hot, share=share).drop("__lo")
         ok = (F.col("__mt") <= col_(left_time)) if upper_inclusive else (F.col("__mt") < col_(left_time))
     return res.select(*left.columns, *[F.when(ok, F.col(f"__m_{c}")).alias(prefix + c) for c in cols])
 
 
 def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
-                 lo_seconds: int, hi_seconds: int, name: str = "n",
-                 bucket_seconds: int | None = None,
-                 hot_key_rows: int | None = HOT_KEY_MIN_ROWS, bucket_rows: int = BUCKET_ROWS,
-                 hot: DataFrame | None = None) -> DataFrame:
+                 lo_seconds: int, hi_seconds: int, name: str = "n", *, row_id: str,
+                 hot: HotKeys | None = None, share: int = SHARE) -> DataFrame:
     """Count right rows of the key with ``t_l + lo <= t_r < t_l + hi`` as the
-    difference of two prefix counts (no pair is materialised)."""
-    def shift(s):
-        return col_(left_time) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(s)))
-
-    base = left.withColumns({"__hi": shift(hi_seconds), "__lo": shift(lo_seconds)})
-    a = prefix_agg(base, right, on, "__hi", right_time, {"__nhi": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows,
-                   hot=hot)
-    b = prefix_agg(a, right, on, "__lo", right_time, {"__nlo": ("count", F.lit(1))},
-                   bucket_seconds=bucket_seconds, hot_key_rows=hot_key_rows, bucket_rows=bucket_rows,
-                   hot=hot)
-    return b.select(*left.columns, (F.col("__nhi") - F.col("__nlo")).alias(name))
+    difference of two prefix counts (no pair is materialised). Both bounds of a left
+    row are marker rows of one pass; ``row_id`` is a column unique in ``left`` by
+    which they meet again."""
+    lks = [lk for lk, _ in _pairs(on)]
+    bound = F.explode(F.array(
+        F.struct((col_(left_time) + _seconds(lo_seconds)).alias("__at"), F.lit(-1).alias("__sign")),
+        F.struct((col_(left_time) + _seconds(hi_seconds)).alias("__at"), F.lit(1).alias("__sign"))))
+    marks = left.select(row_id, *[c for c in lks if c != row_id], bound.alias("__m")).select(
+        row_id, *[c for c in lks if c != row_id], "__m.__at", "__m.__sign")
+    counted = prefix_agg(marks, right, on, "__at", right_time, {"__n": ("count", F.lit(1))}, hot=hot, share=share)
+    per = counted.groupBy(row_id).agg(F.sum(F.col("__n") * F.col("__sign")).alias(name))
+    return left.join(per, row_id)
 
 
 def range_join(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
-               lo_seconds: int, hi_seconds: int, how: str = "inner") -> DataFrame:
-    """Every (left, right) pair of a key with ``t_l + lo <= t_r < t_l + hi``.
+               lo_seconds: int, hi_seconds: int, how: str = "inner", row_id: str | None = None) -> DataFrame:
+    """Every (left, right) pair of a key with ``t_l + lo <= t_r < t_l + hi``,
+    with the left table's key columns and the right table's other columns.
+    ``how="left"`` also keeps left rows without a match, once each, and needs
+    ``row_id``, a column unique in ``left``.
 
     The result is the match set itself; candidates come from an equi join on
     (key, time bucket of width ``hi - lo``), so only neighbouring buckets meet.
     Prefer ``window_count`` / ``lookback_join`` when an aggregate is what is used.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("range_join is an inner or left join")
+    if how == "left" and row_id is None:
+        raise ValueError("a left range_join needs row_id, a column unique in the left table")
     pairs = _pairs(on)
     width = max(int(hi_seconds - lo_seconds), 1) * 1_000_000
     lo_us, hi_us = int(lo_seconds) * 1_000_000, int(hi_seconds) * 1_000_000
-    lb = F.floor((time_micros(left_time, left) + lo_us) / width)
-    lx = left.withColumn("__bk", F.explode(F.array(lb, lb + 1)))
-    rx = right.withColumn("__bk", F.floor(time_micros(right_time, right) / width))
-    cond = [lx[lk] == rx[rk] for lk, rk in pairs] + [lx["__bk"] == rx["__bk"]]
-    tl, tr = time_micros(lx[left_time], lx), time_micros(rx[right_time], rx)
-    cond += [tr >= tl + lo_us, tr < tl + hi_us]
-    out = lx.join(rx, cond, how)
-    return out.drop(lx["__bk"]).drop(rx["__bk"])
-
-
-def range_agg(left: DataFrame, right: DataFrame, on, condition: Column,
-              aggs: Sequence[Column], left_cols: Sequence[str] = (),
-              zero: Sequence[str] = ()) -> DataFrame:
-    """J15 for a left side that is unique on ``on``: aggregate the right rows of the
-    key that pass ``condition`` (which may use ``left_cols``). Every right row
-    meets exactly one left row, so the join does not multiply rows; a hot key is
-    split by AQE's skew-join handling. Absent keys keep count columns at 0."""
-    pairs = _pairs(on)
-    lk = [lk for lk, _ in pairs]
-    lsel = left.select(*lk, *left_cols)
-    r = right.select(*[F.col(c) for c in right.columns])
-    for l_, r_ in pairs:
-        if l_ != r_:
-            r = r.withColumnRenamed(r_, l_)
-    agg = r.join(lsel, lk, "inner").where(condition).groupBy(*lk).agg(*aggs)
-    out = left.join(agg, lk, "left")
-    return out.fillna(0, subset=list(zero)) if zero else out
+    tl, tr = time_micros(left_time, left), time_micros(right_time, right)
+    lb = F.floor((tl + lo_us) / width)
+    kcols = [f"__k{i}" for i in range(len(pairs))]
+    others = [c for c in right.columns if c not in [rk for _, rk in pairs]]
+    lx = left.select("*", *[F.col(lk).alias(k) for k, (lk, _) in zip(kcols, pairs)], tl.alias("__tl"),
+                     F.explode(F.array(lb, lb + 1)).alias("__bk"))
+    rx = right.select(*others, *[F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)], tr.alias("__tr"),
+                      F.floor(tr / width).alias("__bk"))
+    hit = (F.col("__tr") >= F.col("__tl") + lo_us) & (F.col("__tr") < F.col("__tl") + hi_us)
+    out = lx.join(rx, [*kcols, "__bk"]).where(hit).drop(*kcols, "__bk", "__tl", "__tr")
+    if how == "inner":
+        return out
+    matched = out.select(row_id, F.struct(*others).alias("__r"))
+    return left.join(matched, row_id, "left").select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in others])
+
+
+def range_agg(left: DataFrame, right: DataFrame, on, bound: Column | str, right_time: Column | str,
+              aggs: Mapping[str, tuple[str, Column]], *, inclusive: bool = False,
+              hot: HotKeys | None = None, share: int = SHARE) -> DataFrame:
+    """Aggregate the right rows of the key up to a bound of the left row; a NULL
+    bound is open (every right row of the key). One pass of the prefix engine, so a
+    hot key is cut like in any lookup. ``aggs`` is as for ``prefix_agg``."""
+    return prefix_agg(left, right, on, bound, right_time, aggs, inclusive=inclusive, open_bound=True,
+                      hot=hot, share=share)
 
 
 def agg_per_key(left: DataFrame, right: DataFrame, on, aggs: Sequence[Column],
@@ -417,20 +407,36 @@ def agg_per_key(left: DataFrame, right: DataFrame, on, aggs: Sequence[Column],
     return out.fillna(0, subset=list(zero)) if zero else out
 
 
-def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_state", n: int = 2) -> DataFrame:
+def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_state", n: int = 2,
+              salts: int | None = None) -> DataFrame:
     """The state at ``dense_rank() = n`` over ``(order DESC, state DESC)`` per
-    key, i.e. the n-th largest distinct (order, state) pair (NULL order first,
-    as PostgreSQL sorts descending). Each step is a map-side combined ``max``
-    below the previous rank plus one equi join; no window over a whole key.
-    Keys with fewer than n distinct pairs are absent."""
+    key, i.e. the n-th largest distinct (order, state) pair (NULL first in either,
+    as PostgreSQL sorts descending). Keys with fewer than n distinct pairs are absent.
+
+    Rows are first reduced to the n largest distinct pairs of each (key, salt): one
+    map-side combined ``max`` a rank, each below the rank before. The salt comes from
+    the pair, so equal pairs meet and a hot key is ``salts`` groups (default: as many
+    as shuffle partitions) of which at most n pairs each are left for the key itself."""
     keys = [key] if isinstance(key, str) else list(key)
-    pair = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("t"), F.col(state).alias("s"))
-    rows = df.select(*keys, pair.alias("__p"))
-    rank = rows.groupBy(*keys).agg(F.max("__p").alias("__m"))
-    for _ in range(n - 1):
-        rank = (rows.join(rank, keys, "inner").where(F.col("__p") < F.col("__m"))
-                .groupBy(*keys).agg(F.max("__p").alias("__m")))
-    return rank.select(*keys, F.col("__m.s").alias(out), F.col("__m.t").alias(f"{out}_at"))
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("t"),
+                    F.col(state).isNull().alias("m"), F.col(state).alias("s"))
+    rows = df.select(*keys, pair.alias("__p"), F.pmod(F.xxhash64(F.col(order), F.col(state)), F.lit(salts)).alias("__z"))
+
+    def ranks(of: DataFrame, by: list[str]) -> list[DataFrame]:
+        found = [of.groupBy(*by).agg(F.max("__p").alias("__p"))]
+        for _ in range(n - 1):
+            last = found[-1].select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(by)], F.col("__p").alias("__m"))
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(by)])
+            found.append(of.join(last, same).where(F.col("__p") < F.col("__m"))
+                         .groupBy(*by).agg(F.max("__p").alias("__p")))
+        return found
+
+    top = reduce(DataFrame.unionAll, ranks(rows, [*keys, "__z"])).select(*keys, "__p")
+    # at most n * salts pairs a key are left: the list of them is bounded
+    listed = top.groupBy(*keys).agg(F.sort_array(F.collect_list("__p"), asc=False).alias("__l")) \
+        .where(F.size("__l") >= n)
+    return listed.select(*keys, F.col("__l")[n - 1]["s"].alias(out), F.col("__l")[n - 1]["t"].alias(f"{out}_at"))
 
 
 def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
@@ -446,7 +452,10 @@ def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     from funnelkit.sources.sinks import cut_lineage
     cols = [col_(o) for o in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = cut_lineage(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumns({
+    # equal order values are dealt by what the rows hold, so they do not share one task
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    spread = [F.xxhash64(*plain)] if plain else []
+    tagged = cut_lineage(df.repartitionByRange(parts, *cols, *spread).sortWithinPartitions(*cols, *spread).withColumns({
         "__pid": F.spark_partition_id(), "__mid": F.monotonically_increasing_id()}))
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -101,15 +101,15 @@ def fresh_profiles_effort(spark, d):
         .agg(F.min("ts").alias("first_applied_date"))
     base = prof.join(app, "user_id", "left")
     calls = ev.where(F.col("event_type").isin("click", "view", "error"))
-    bound = F.col("first_applied_date").isNull() | \
-        (F.col("ts") < F.col("first_applied_date") + F.expr("INTERVAL 2 MINUTES"))
-    # effort before the first application and the first such call, one pass
-    base = range_agg(base, calls, "user_id", bound, [
-        F.count(F.lit(1)).alias("attempts"),
-        milestone(F.col("event_type") != "error").alias("is_contacted"),
-        F.count(F.when(F.col("event_type") == "error", 1)).alias("eff_attempts"),
-        F.min_by(F.struct("event_type", "event_id", "ts"), F.struct("ts", "event_id")).alias("__fc"),
-    ], left_cols=["first_applied_date"], zero=["attempts", "eff_attempts"])
+    until = F.col("first_applied_date") + F.expr("INTERVAL 2 MINUTES")
+    # effort before the first application (all of it without one) and the first such
+    # call, one pass
+    base = range_agg(base.withColumn("__until", until), calls, "user_id", "__until", "ts", {
+        "attempts": ("count", F.lit(1)),
+        "is_contacted": ("max", (F.col("event_type") != "error").cast("int")),
+        "eff_attempts": ("sum", (F.col("event_type") == "error").cast("long")),
+        "__fc": ("min", F.struct("ts", "event_id", "event_type")),
+    }).drop("__until").fillna(0, subset=["eff_attempts"])
     st = F.col("product_status")
     logs = ev.where(F.col("event_type").isin("view", "click", "signup")).groupBy("user_id").agg(
         milestone(F.col("event_type") == "view").alias("is_prod_int"),
@@ -680,7 +680,7 @@ LEFT JOIN LATERAL (SELECT bool_or(regexp_matches(x.status, 'r-f$', 'i'))::INTEGE
 """)
 def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
     from funnelkit.operators.agg import join_strings
-    from funnelkit.operators.lookup import nth_state, prefix_agg
+    from funnelkit.operators.lookup import hot_keys_for, nth_state
     from funnelkit.operators.member import flag_earlier_exists
     t = Tables(spark, d)
     leads = t.orders.where(day_window("o_orderdate", first_day, last_day) & F.col("o_orderstatus").isin("F", "O")) \
@@ -725,12 +725,17 @@ def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
                          "lead_id").select("user_id", F.col("log_date").alias("src_t"),
                                        F.col("lead_id").alias("src_lead"), "l_linenumber",
                                        F.col("status").alias("latest_utm_source"))
-    base = asof_join(base, src, "user_id", "updated_at", "src_t", ["latest_utm_source"],
-                     tiebreak=["src_lead", "l_linenumber"])
+    hot = hot_keys_for(user_orders, "o_custkey", "o_orderdate")
+    source = asof_join(leads.select("lead_id", "user_id", "updated_at"), src, "user_id", "updated_at", "src_t",
+                       ["latest_utm_source"], tiebreak=["src_lead", "l_linenumber"], hot=hot) \
+        .select("lead_id", "latest_utm_source")
     profiles = user_orders.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
-    bound = F.coalesce(F.col("applied_date"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
-    base = prefix_agg(base.withColumn("__bound", bound), profiles, "user_id", "__bound", "o_orderdate",
-                      {"active_profile_id": ("max", F.col("o_orderkey"))}, inclusive=True).drop("__bound")
+    # without an applied date the bound is open: the user's largest order key
+    active = range_agg(base.select("lead_id", "user_id", "applied_date"), profiles, "user_id", "applied_date",
+                       "o_orderdate", {"active_profile_id": ("max", F.col("o_orderkey"))}, inclusive=True,
+                       hot=hot).select("lead_id", "active_profile_id")
+    # both lookups start from the leads and meet on the lead
+    base = base.join(source, "lead_id", "left").join(active, "lead_id", "left")
     credit = t.orders.select(F.col("o_orderkey").alias("active_profile_id"), F.col("o_totalprice").alias("credit_score"))
     out = (base.join(credit, "active_profile_id", "left").join(prior, "lead_id", "left")
            .join(answers, "lead_id", "left").join(dup, "lead_id", "left").join(_segment_label(t), "user_id", "left"))

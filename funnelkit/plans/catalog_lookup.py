@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import half_open, imatch, nimatch
 from funnelkit.operators.agg import milestone, milestone_and_not, first_by
 from funnelkit.operators.lookup import (asof_join, first_per, hot_keys_for, lookback_join,
-                                        lookup_latest, prefix_agg, range_agg, agg_per_key, time_micros)
+                                        lookup_latest, prefix_agg, range_agg, range_join,
+                                        agg_per_key, time_micros, window_count)
 from funnelkit.operators.member import anti, attach_flag, flag_earlier_exists, semi, suppress
 from funnelkit.plans.registry import Tables, query
 
@@ -132,9 +133,8 @@ def asof_open_bound(spark, d):
         F.col("user_id").alias("c_custkey")).agg(F.min("ts").alias("first_purchase_ts"))
     cust = t.customer.select("c_custkey").join(bounds, "c_custkey", "left")
     ev = t.events.select(F.col("user_id").alias("c_custkey"), "ts", "event_id")
-    cond = F.col("first_purchase_ts").isNull() | (F.col("ts") <= F.col("first_purchase_ts"))
-    return range_agg(cust, ev, "c_custkey", cond, [F.max("event_id").alias("max_event_id")],
-                     left_cols=["first_purchase_ts"])
+    return range_agg(cust, ev, "c_custkey", "first_purchase_ts", "ts",
+                     {"max_event_id": ("max", F.col("event_id"))}, inclusive=True)
 
 
 @query("lookback_48h_last", ids="J12", sql="""
@@ -181,25 +181,67 @@ SELECT s.event_id, s.user_id, s.ts,
 FROM events s WHERE s.event_type = 'signup'
 """)
 def range_join_conversions(spark, d):
-    # Purchases in [ts, ts + 7 days) per signup without materialising pairs:
-    # count(t >= ts) - count(t >= ts + 7d), two forward prefix passes; the first
-    # purchase at/after ts is computed in the same pass as the first count.
+    # Purchases in [ts, ts + 7 days) per signup without materialising pairs: both
+    # bounds are marker rows of one counting pass; the first purchase at or after ts
+    # is a forward as-of. The keys are counted once for both.
     t = Tables(spark, d)
     signups = t.events.where(F.col("event_type") == "signup").select("event_id", "user_id", "ts")
     buys = t.events.where(F.col("event_type") == "purchase").select(
         "user_id", F.col("ts").alias("pts"), F.col("event_id").alias("pid"))
-    earliest = F.struct((-time_micros("pts", buys)).alias("o"), (-F.col("pid")).alias("tb"), "pid", "pts")
-    p1 = prefix_agg(signups, buys, "user_id", "ts", "pts",
-                    {"__first": ("max", earliest), "__n_lo": ("count", F.lit(1))},
-                    inclusive=True, forward=True)
-    hi = F.col("ts") + F.expr("INTERVAL 7 DAYS")
-    # the second pass probes the signups themselves (not the first pass's
-    # output); the two results meet on the signup key
-    p2 = prefix_agg(signups.withColumn("__hi", hi), buys, "user_id", "__hi", "pts",
-                    {"__n_hi": ("count", F.lit(1))}, inclusive=True, forward=True)
-    both = p1.join(p2.select("event_id", "__n_hi"), "event_id")
-    return both.select("event_id", "user_id", "ts", (F.col("__n_lo") - F.col("__n_hi")).alias("purchases_7d"),
-                       F.when(F.col("__first.pts") < hi, F.col("__first.pid")).alias("first_purchase_id"))
+    hot = hot_keys_for(t.events.where(F.col("event_type").isin("signup", "purchase")), "user_id", "ts")
+    counts = window_count(signups, buys, "user_id", "ts", "pts", 0, WEEK, "purchases_7d", row_id="event_id", hot=hot)
+    first = lookback_first(signups, buys, hot)
+    return counts.join(first, "event_id").select("event_id", "user_id", "ts", "purchases_7d", "first_purchase_id")
+
+
+def lookback_first(signups, buys, hot):
+    """The first purchase in the week from each signup on."""
+    got = asof_join(signups, buys, "user_id", "ts", "pts", ["pid", "pts"], strict=False, forward=True,
+                    tiebreak=["pid"], hot=hot)
+    inside = F.col("pts") < F.col("ts") + F.expr("INTERVAL 7 DAYS")
+    return got.select("event_id", F.when(inside, F.col("pid")).alias("first_purchase_id"))
+
+
+@query("range_join_daily", ids="J14", sql="""
+SELECT c.user_id, c.ts::DATE AS click_day, count(*) AS n_pairs, count(DISTINCT c.event_id) AS n_clicks,
+       sum(v.value) AS view_value, min(v.ts) AS first_view_ts
+FROM events c JOIN events v ON v.user_id = c.user_id AND v.event_type = 'view'
+ AND v.ts >= c.ts - INTERVAL 1 DAY AND v.ts < c.ts + INTERVAL 1 DAY
+WHERE c.event_type = 'click'
+GROUP BY c.user_id, c.ts::DATE
+""")
+def range_join_daily(spark, d):
+    """Views within a day of each click, summed by user and day: the match set of the
+    range join is aggregated where it is made."""
+    t = Tables(spark, d)
+    clicks = t.events.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
+    views = t.events.where(F.col("event_type") == "view").select("user_id", F.col("ts").alias("vts"), "value")
+    pairs = range_join(clicks, views, "user_id", "ts", "vts", -86400, 86400)
+    per_click = pairs.groupBy("user_id", "event_id", F.to_date("ts").alias("click_day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), F.min("vts").alias("first"))
+    return per_click.groupBy("user_id", "click_day").agg(
+        F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_clicks"), F.sum("v").alias("view_value"),
+        F.min("first").alias("first_view_ts"))
+
+
+@query("previous_click_cut_finely", ids="J10", sql="""
+SELECT e.event_id, e.user_id,
+       (SELECT c.event_id FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click'
+          AND c.ts < e.ts ORDER BY c.ts DESC, c.event_id DESC LIMIT 1) AS prev_click_id,
+       (SELECT count(*) FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click'
+          AND c.ts < e.ts) AS n_before
+FROM events e
+""")
+def previous_click_cut_finely(spark, d, *, share=2000):
+    """The as-of lookup with so fine a share that most users are hot keys and cut into
+    cells: the same result by the split path."""
+    t = Tables(spark, d)
+    clicks = t.events.where(F.col("event_type") == "click").select(
+        "user_id", F.col("ts").alias("cts"), F.col("event_id").alias("cid"))
+    pick = F.struct(time_micros("cts", clicks).alias("o"), "cid")
+    out = prefix_agg(t.events.select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "cts",
+                     {"__c": ("max", pick), "n_before": ("count", F.lit(1))}, share=share)
+    return out.select("event_id", "user_id", F.col("__c.cid").alias("prev_click_id"), "n_before")
 
 
 @query("range_agg_before_first_purchase", ids="J15 C13 J11", sql="""
@@ -225,13 +267,11 @@ def range_agg_before_first_purchase(spark, d):
     calls = t.events.where(F.col("event_type").isin("click", "view", "error")).select(
         F.col("user_id").alias("c_custkey"), "ts", "event_type")
     bound = F.col("first_purchase_ts") + F.expr("INTERVAL 2 MINUTES")
-    cond = F.col("first_purchase_ts").isNull() | (F.col("ts") < bound)
-    out = range_agg(cust, calls, "c_custkey", cond,
-                    [F.count(F.lit(1)).alias("attempts"),
-                     milestone(F.col("event_type") != "error").alias("contacted")],
-                    left_cols=["first_purchase_ts"], zero=["attempts", "contacted"])
-    return out.select("c_custkey", "first_purchase_ts",
-                      (F.col("attempts") > 0).cast("int").alias("called"), "contacted", "attempts")
+    out = range_agg(cust.withColumn("__until", bound), calls, "c_custkey", "__until", "ts",
+                    {"attempts": ("count", F.lit(1)),
+                     "contacted": ("max", (F.col("event_type") != "error").cast("int"))})
+    return out.select("c_custkey", "first_purchase_ts", (F.col("attempts") > 0).cast("int").alias("called"),
+                      F.coalesce("contacted", F.lit(0)).alias("contacted"), "attempts")
 
 
 @query("agg_per_key_zero", ids="J16 A1 A4 A6 A7 A8", sql="""
@@ -360,7 +400,6 @@ SELECT la.o_orderkey, la.o_custkey, count(*) AS fanout_rows,
        max(CASE WHEN regexp_matches(app.o_orderpriority, 'urgent', 'i') THEN 1 END) AS urgent_ever_flag
 FROM orders la
 LEFT JOIN LATERAL (SELECT * FROM orders app WHERE app.o_custkey = la.o_custkey) app ON TRUE
-WHERE la.o_orderstatus = 'F' AND la.o_orderdate >= TIMESTAMP '1998-01-01'
 GROUP BY la.o_orderkey, la.o_custkey
 """)
 def fanout_self(spark, d):
@@ -368,10 +407,8 @@ def fanout_self(spark, d):
     # fan-out is kept as its multiplicity and the per-pair flags as aggregates,
     # so no pair of rows is ever emitted.
     t = Tables(spark, d)
-    base = t.orders.where((F.col("o_orderstatus") == "F") &
-                          (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")))
     urgent = imatch("o_orderpriority", "urgent")
-    return agg_per_key(base.select("o_orderkey", "o_custkey"), t.orders, "o_custkey", [
+    return agg_per_key(t.orders.select("o_orderkey", "o_custkey"), t.orders, "o_custkey", [
         F.count(F.lit(1)).alias("fanout_rows"),
         F.max(F.when(urgent & (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")),
                      1)).alias("urgent_recent_flag"),

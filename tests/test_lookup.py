@@ -9,8 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from funnelkit.operators.lookup import (asof_join, first_per, lookback_join, lookup_latest,
-                                        nth_state, prefix_agg, range_join, window_count)
+from funnelkit.operators.lookup import (HotKeys, asof_join, first_per, lookback_join, lookup_latest,
+                                        nth_state, prefix_agg, range_agg, range_join, window_count)
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -51,31 +51,28 @@ def brute_asof(left, right, strict, forward, lo=None, hi_incl=None):
     return sorted(out, key=repr)
 
 
-# hot-key modes: 0 = every key split into buckets; 1 = heavy-hitter detection
-# with a one-row minimum (the four keys are the heaviest, so all are split);
-# None = library default (no key of this small table is hot, one bucket per key)
-HOT_MODES = [0, 1, None]
+# how finely hot keys are cut: a fair share of all rows of a quarter partition (the
+# default), of a hundredth (every key is hot, cells of a row or two), or none hot
+SHARES = [4, 100, 0]
 
 
 @pytest.mark.parametrize("strict", [True, False])
 @pytest.mark.parametrize("forward", [False, True])
-@pytest.mark.parametrize("bucket", [60, 86400])
-@pytest.mark.parametrize("hot", HOT_MODES)
-def test_asof_matches_brute_force(spark, asof_data, strict, forward, bucket, hot):
+@pytest.mark.parametrize("share", SHARES)
+def test_asof_matches_brute_force(spark, asof_data, strict, forward, share):
     left, right, L, R = asof_data
-    kw = {} if hot is None else {"hot_key_rows": hot}
-    got = asof_join(L, R, "key", "t", "rt", ["rid"], strict=strict, forward=forward,
-                    tiebreak=["rid"], bucket_seconds=bucket, **kw)
+    kw = {"share": share} if share else {"hot": HotKeys()}
+    got = asof_join(L, R, "key", "t", "rt", ["rid"], strict=strict, forward=forward, tiebreak=["rid"], **kw)
     assert rows(got, "id", "rid") == brute_asof(left, right, strict, forward)
     assert got.count() == len(left)
 
 
-@pytest.mark.parametrize("hot", HOT_MODES)
-def test_prefix_count_and_sum(spark, asof_data, hot):
+@pytest.mark.parametrize("share", SHARES)
+def test_prefix_count_and_sum(spark, asof_data, share):
     left, right, L, R = asof_data
-    kw = {} if hot is None else {"hot_key_rows": hot}
+    kw = {"share": share} if share else {"hot": HotKeys()}
     got = prefix_agg(L, R, "key", "t", "rt", {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")),
-                                               "lo": ("min", F.col("rid"))}, bucket_seconds=120, **kw)
+                                               "lo": ("min", F.col("rid"))}, **kw)
     exp = []
     for i, k, t in left:
         m = [(rid, v) for rk, rt, rid, v in right if k is not None and t is not None and rk == k and rt < t]
@@ -89,7 +86,7 @@ def test_lookback_window_bounds(spark, asof_data, pick, upper_inclusive):
     left, right, L, R = asof_data
     w = 48 * 60 * 60
     got = lookback_join(L, R, "key", "t", "rt", ["rid"], w, pick=pick, upper_inclusive=upper_inclusive,
-                        tiebreak=["rid"], bucket_seconds=3600, hot_key_rows=1)
+                        tiebreak=["rid"], share=100)
     exp = []
     for i, k, t in left:
         m = [(rt, rid) for rk, rt, rid, _ in right if k is not None and t is not None and rk == k
@@ -110,7 +107,7 @@ def test_lookback_exact_boundary(spark):
 
 def test_window_count_and_range_join(spark, asof_data):
     left, right, L, R = asof_data
-    got = window_count(L, R, "key", "t", "rt", 0, 3600, name="n", bucket_seconds=600, hot_key_rows=0)
+    got = window_count(L, R, "key", "t", "rt", 0, 3600, name="n", row_id="id", share=100)
     pairs = range_join(L, R, "key", "t", "rt", 0, 3600)
     exp_n, exp_pairs = [], []
     for i, k, t in left:
@@ -122,6 +119,22 @@ def test_window_count_and_range_join(spark, asof_data):
     assert rows(pairs, "id", "rid") == sorted(exp_pairs, key=repr)
 
 
+def test_left_range_join_keeps_unmatched_rows_once(spark, asof_data):
+    left, right, L, R = asof_data
+    got = range_join(L, R, "key", "t", "rt", 0, 3600, how="left", row_id="id")
+    assert got.columns == ["id", "key", "t", "rt", "rid", "v"]
+    exp = []
+    for i, k, t in left:
+        m = [rid for rk, rt, rid, _ in right if k is not None and t is not None and rk == k
+             and t <= rt < t + dt.timedelta(hours=1)]
+        exp += [(i, r) for r in m] or [(i, None)]
+    assert rows(got, "id", "rid") == sorted(exp, key=repr)
+    with pytest.raises(ValueError):
+        range_join(L, R, "key", "t", "rt", 0, 3600, how="left")
+    with pytest.raises(ValueError):
+        range_join(L, R, "key", "t", "rt", 0, 3600, how="full")
+
+
 def test_first_per_and_lookup_latest_null_order(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, 5, "b"), (1, 3, "c"), (2, 7, "d")],
                                "k long, t long, v string")
@@ -141,13 +154,27 @@ def test_nth_state_ties_and_single_row(spark):
     got = nth_state(df, "k", "t", "s")
     # key 1: rank 1 = (2,B), rank 2 = (2,A); key 2 has no rank 2; key 3: rank 2 = (0,R)
     assert rows(got, "k", "prior_state") == [(1, "A"), (3, "R")]
+    # NULL state is the largest of its time, and a NULL key is a key
+    nulls = spark.createDataFrame([(1, ts(2), None), (1, ts(2), "Z"), (None, ts(1), "A"), (None, ts(2), "B")],
+                                  "k long, t timestamp_ntz, s string")
+    assert rows(nth_state(nulls, "k", "t", "s"), "k", "prior_state") == [(1, "Z"), (None, "A")]
+
+
+def test_nth_state_spreads_a_hot_key(spark):
+    """Rows of one key meet by (key, salt): no group of the row-level steps holds the key."""
+    df = spark.range(6000).selectExpr("0 AS k", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS t",
+                                      "CAST(id AS STRING) AS s")
+    got = nth_state(df, "k", "t", "s", n=3, salts=16)
+    assert rows(got, "k", "prior_state") == [(0, "5997")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__z" in plan
 
 
 def test_lookback_unbounded_equals_asof(spark, asof_data):
     left, right, L, R = asof_data
     huge = 10 * 365 * 86400
-    a = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], bucket_seconds=3600)
-    b = lookback_join(L, R, "key", "t", "rt", ["rid"], huge, pick="last", tiebreak=["rid"], bucket_seconds=3600)
+    a = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"])
+    b = lookback_join(L, R, "key", "t", "rt", ["rid"], huge, pick="last", tiebreak=["rid"])
     assert rows(a, "id", "rid") == rows(b, "id", "rid")
 
 
@@ -161,7 +188,7 @@ def test_asof_order_is_zone_free_for_wall_clock_times(spark):
                                   "k long, s string, rid long").selectExpr("k", "CAST(s AS TIMESTAMP_NTZ) AS rt", "rid")
         l = spark.createDataFrame([(1, "2024-03-10 03:00:00")], "k long, s string") \
             .selectExpr("k", "CAST(s AS TIMESTAMP_NTZ) AS t")
-        got = asof_join(l, r, "k", "t", "rt", ["rid"], bucket_seconds=600)
+        got = asof_join(l, r, "k", "t", "rt", ["rid"])
         assert [x.rid for x in got.collect()] == [2]
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
@@ -183,7 +210,7 @@ def test_asof_adaptive_hot_key_buckets(spark, asof_data, forward):
     got = prefix_agg(L, R, "key", "t", "rt",
                      {"pick": ("max", F.struct(((-1 if forward else 1) * F.col("rid")).alias("o"), "rid")),
                       "n": ("count", F.lit(1))},
-                     forward=forward, inclusive=True, hot_key_rows=1, bucket_rows=20)
+                     forward=forward, inclusive=True, share=20)
     exp = []
     for i, k, t in left:
         m = [rid for rk, rt, rid, _ in right if k is not None and t is not None and rk == k
@@ -193,25 +220,82 @@ def test_asof_adaptive_hot_key_buckets(spark, asof_data, forward):
     assert rows(got.select("id", F.col("pick.rid"), "n")) == sorted(exp, key=repr)
 
 
-def test_hot_key_width_targets_bucket_rows(spark):
-    from funnelkit.operators.lookup import hot_keys
-    df = spark.range(20_000).selectExpr("id % 2 AS k", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS t")
-    hk = hot_keys(df, df.limit(0), ["k"], min_rows=1, left_time="t", right_time="t", bucket_rows=1000).collect()
-    # each key: 10,000 rows over ~20,000 s -> about 2,000 s per 1,000 rows
-    assert sorted(r.k for r in hk) == [0, 1] and all(1_900_000_000 <= r["__w"] <= 2_100_000_000 for r in hk)
+def _cells(spark, df, share, kcols=("k",)):
+    """Rows of the largest cell of the hot keys of ``df`` (k, t), and the target size."""
+    from funnelkit.operators.lookup import _cell, hot_keys_for, time_micros
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys_for(df, "k", "t", share=share)
+    table = hot.frame(spark, ["k"], 1)
+    cell = _cell(time_micros("t", df), F.col("__cuts"), max(len(r[-3]) for r in hot.rows))
+    sizes = df.join(table, "k").groupBy("k", cell.alias("c")).count()
+    return hot, sizes.agg(F.max("count")).first()[0], df.count() / (share * parts)
+
+
+def test_hot_keys_are_cut_into_fair_cells(spark):
+    df = spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k",
+                                        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 7) AS t")
+    hot, largest, target = _cells(spark, df, 4)
+    assert [r[0] for r in hot.rows] == [0] and largest <= 2 * target
+
+
+def test_an_outlier_date_does_not_widen_the_cells(spark):
+    df = spark.range(40_000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS k",
+        "CASE WHEN id = 0 THEN TIMESTAMP_NTZ'9999-12-31 00:00:00' WHEN id = 2 THEN TIMESTAMP_NTZ'0001-01-01 00:00:00'"
+        " ELSE TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id / 1000.0) END AS t")
+    _, largest, target = _cells(spark, df, 4)
+    assert largest <= 2 * target
+
+
+def test_rows_that_meet_nothing_and_open_bounds_are_spread(spark):
+    """NULL keys, NULL times and open bounds of a hot key are dealt over many cells."""
+    import re
+    from funnelkit.operators import lookup
+    rows_ = spark.range(8000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 4 = 1 THEN 1 ELSE id END AS k",
+                                         "CASE WHEN id % 8 < 6 THEN NULL ELSE TIMESTAMP_NTZ'2024-01-01 00:00:00' END AS t")
+    right = spark.range(4000).selectExpr("1 AS k", "id AS rid", "TIMESTAMP_NTZ'2023-01-01 00:00:00' + "
+                                         "make_dt_interval(0, 0, 0, id) AS rt")
+    seen = []
+    partition_by = lookup.Window.partitionBy
+
+    class Spy:
+        unboundedPreceding, currentRow = lookup.Window.unboundedPreceding, lookup.Window.currentRow
+
+        @staticmethod
+        def partitionBy(*cols):
+            seen.append(cols)
+            return partition_by(*cols)
+    orig, lookup.Window = lookup.Window, Spy
+    try:
+        got = lookup.range_agg(rows_, right, "k", "t", "rt", {"n": ("count", F.lit(1)), "top": ("max", F.col("rid"))}, share=8)
+    finally:
+        lookup.Window = orig
+    assert any("__b" in c for c in seen[-1])
+    exp = [(r.id, 4000 if r.k == 1 else 0, 3999 if r.k == 1 else None) for r in rows_.collect()]
+    assert sorted(map(tuple, got.select("id", "n", "top").collect())) == sorted(exp)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert re.search("__b", plan)
+
+
+def test_open_bound_takes_every_right_row(spark, asof_data):
+    left, right, L, R = asof_data
+    for kw in ({"share": 100}, {"hot": HotKeys()}):
+        got = range_agg(L, R, "key", "t", "rt", {"n": ("count", F.lit(1))}, **kw)
+        exp = [(i, sum(1 for rk, rt, _, _ in right if k is not None and rk == k and (t is None or rt < t)))
+               for i, k, t in left]
+        assert rows(got, "id", "n") == sorted(exp, key=repr)
 
 
-def test_hot_key_width_no_overflow_for_long_spans(spark):
-    from funnelkit.operators.lookup import hot_keys
-    # ten years of data with the default one million rows per bucket:
-    # span (3e14 us) x 1e6 rows exceeds a 64-bit integer unless done in double
-    df = spark.range(20_000).selectExpr(
-        "0 AS k", "TIMESTAMP_NTZ'2010-01-01 00:00:00' + make_dt_interval(CAST(id % 3650 AS INT), 0, 0, 0) AS t")
-    hk = hot_keys(df, df.limit(0), ["k"], min_rows=1, left_time="t", right_time="t").collect()
-    assert len(hk) == 1 and hk[0]["__w"] > 0
-    got = asof_join(df.withColumn("id2", F.lit(1)), df.selectExpr("k", "t AS rt", "1 AS r"), "k", "t", "rt",
-                    ["r"], hot_key_rows=1)
-    assert got.where("r IS NULL").count() == 6      # rows on the first day have nothing strictly earlier
+def test_planned_scans_of_one_lookup(spark, tmp_path):
+    """Without hot keys a lookup reads each side once; with them the right side twice."""
+    import re
+    spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS k", "id AS rid", "TIMESTAMP_NTZ'2023-01-01 00:00:00' + "
+                                 "make_dt_interval(0, 0, 0, id) AS rt").write.parquet(str(tmp_path / "r"))
+    r = spark.read.parquet(str(tmp_path / "r"))
+    left = r.select("k", F.col("rid").alias("id"), F.col("rt").alias("t"))
+    for kw, n in (({"hot": HotKeys()}, 2), ({}, 3)):
+        plan = asof_join(left, r, "k", "t", "rt", ["rid"], **kw)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("FileScan", plan)) <= n
 
 
 def test_asof_on_instant_timestamps(spark, asof_data):
@@ -219,7 +303,7 @@ def test_asof_on_instant_timestamps(spark, asof_data):
     left, right, L, R = asof_data
     Li = L.withColumn("t", F.col("t").cast("timestamp"))
     Ri = R.withColumn("rt", F.col("rt").cast("timestamp"))
-    got = asof_join(Li, Ri, "key", "t", "rt", ["rid"], tiebreak=["rid"], hot_key_rows=1, bucket_rows=20)
+    got = asof_join(Li, Ri, "key", "t", "rt", ["rid"], tiebreak=["rid"], share=20)
     assert rows(got, "id", "rid") == brute_asof(left, right, True, False)
 
 
@@ -227,7 +311,7 @@ def test_asof_on_instant_timestamps(spark, asof_data):
 def test_asof_with_shared_hot_list(spark, asof_data, forward):
     from funnelkit.operators.lookup import hot_keys_for
     left, right, L, R = asof_data
-    hot = hot_keys_for(R, "key", "rt", min_rows=1, bucket_rows=20)
-    assert hot.count() >= 1
+    hot = hot_keys_for(R, "key", "rt", share=20)
+    assert len(hot.rows) >= 1
     got = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], forward=forward, hot=hot)
     assert rows(got, "id", "rid") == brute_asof(left, right, True, forward)

@@ -1,11 +1,11 @@
-"""A key holding a third of all rows: the as-of engine's exchange on (key, time
-bucket) spreads it, a key-only exchange puts it in one task. Spark's hash
+"""A key holding a third of all rows: the as-of engine's exchange on (key, cell)
+spreads it, a key-only exchange puts it in one task. Spark's hash
 partitioning is pmod(murmur3(keys, seed 42), n), i.e. F.pmod(F.hash(...), n),
 so the per-task load of each exchange can be computed exactly."""
 
 from pyspark.sql import functions as F
 
-from funnelkit.operators.lookup import asof_join, time_bucket
+from funnelkit.operators.lookup import _cell, asof_join, hot_keys_for, time_micros
 
 N = 64
 
@@ -24,19 +24,23 @@ def _max_over_mean(df, *cols):
     return r.mx / (r.tot / N)
 
 
-def test_hot_key_is_spread_by_time_buckets(spark):
-    df = _skewed(spark).withColumn("b", time_bucket("t", 86400))
+def test_hot_key_is_spread_over_cells(spark):
+    df = _skewed(spark)
+    hot = hot_keys_for(df, "k", "t", share=16)
+    assert [r[0] for r in hot.rows] == [0]
+    cut = df.join(hot.frame(spark, ["k"], 1), "k", "left").withColumn(
+        "b", F.coalesce(_cell(time_micros("t", df), F.col("__cuts"), len(hot.rows[0][-3])), F.lit(0)))
     key_only = _max_over_mean(df, "k")
-    key_bucket = _max_over_mean(df, "k", "b")
+    key_cell = _max_over_mean(cut, "k", "b")
     assert key_only > 15          # one task would hold the whole hot key (a third of all rows)
-    assert key_bucket < 4         # per (key, day) the hot key is 1/90 of the rows
+    assert key_cell < 5           # per (key, cell) the hot key is a third of 64 cells
 
 
 def test_asof_on_hot_key_is_exact(spark):
     df = _skewed(spark, 6000)
     left = df.where(F.col("rid") % 2 == 0).select("k", "t", "rid")
     right = df.where(F.col("rid") % 2 == 1).select("k", F.col("t").alias("rt"), F.col("rid").alias("r"))
-    got = asof_join(left, right, "k", "t", "rt", ["r"], tiebreak=["r"], bucket_seconds=3600, hot_key_rows=1)
+    got = asof_join(left, right, "k", "t", "rt", ["r"], tiebreak=["r"])
     brute = (left.join(right, "k").where(F.col("rt") < F.col("t"))
              .groupBy("rid").agg(F.max_by("r", F.struct("rt", "r")).alias("r")))
     exp = left.join(brute, "rid", "left")
@@ -44,27 +48,12 @@ def test_asof_on_hot_key_is_exact(spark):
         sorted(map(tuple, exp.select("rid", "r").collect()))
 
 
-def test_hot_keys_finds_only_the_heavy_hitter(spark):
-    from funnelkit.operators.lookup import hot_keys
+def test_hot_keys_are_those_above_a_fair_share(spark):
     df = _skewed(spark, 30_000)
-    left = df.where(F.col("rid") % 2 == 0).select("k")
-    right = df.where(F.col("rid") % 2 == 1).select("k")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anyk = [r.k for r in hot_keys(left, right, ["k"], min_rows=1).collect()]
-    assert 0 in anyk and len(anyk) <= 4 * parts              # bounded, heaviest first
-    assert [r.k for r in hot_keys(left, right, ["k"], min_rows=1000).collect()] == [0]
-
-
-def test_hot_key_broadcast_is_bounded_in_the_plan(spark):
-    import contextlib
-    import io
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = _skewed(spark, 2000)
-    left = df.where(F.col("rid") % 2 == 0).select("k", "t", "rid")
-    right = df.where(F.col("rid") % 2 == 1).select("k", F.col("t").alias("rt"), F.col("rid").alias("r"))
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        asof_join(left, right, "k", "t", "rt", ["r"], tiebreak=["r"]).explain()
-    plan = buf.getvalue()
-    # the only explicit broadcast is the hot-key list, cut by a distributed top-k
-    assert f"TakeOrderedAndProject(limit={4 * parts}" in plan
+    assert [r[0] for r in hot_keys_for(df, "k", "t").rows] == [0]
+    many = hot_keys_for(df, "k", "t", share=10_000)           # every key is above so small a share
+    assert 900 < len(many.rows) <= 10_000 * parts
+    assert not hot_keys_for(df.where("k <> 0"), "k", "t")
+    # cuts add up to about as many as there are cells
+    assert sum(len(r[-3]) for r in hot_keys_for(df, "k", "t").rows) <= 4 * parts
