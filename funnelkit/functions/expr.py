@@ -121,10 +121,11 @@ def month_offset_label(n: Column, cap: int = 6) -> Column:
         .otherwise(F.lit(f"M-{cap} >"))
 
 
-def m_bucket(n: Column, top: int = 2) -> Column:
-    """``'M' || n`` for n below ``top``, else ``'M{top-1}+'``; NULL stays NULL."""
-    return F.when(n < top, F.concat(F.lit("M"), n.cast("string"))) \
-        .when(n >= top, F.lit(f"M{top - 1}+"))
+def m_bucket(n: Column, top: int = 2, null_stays: bool = False) -> Column:
+    """``'M' || n`` for n below ``top``, else ``'M{top-1}+'``, for a NULL n too
+    (``null_stays`` leaves that NULL)."""
+    low, high = F.concat(F.lit("M"), n.cast("string")), F.lit(f"M{top - 1}+")
+    return F.when(n < top, low).when(n >= top, high) if null_stays else F.when(n < top, low).otherwise(high)
 
 
 def safe_ratio(num: Column, den: Column, scale: int = 100) -> Column:

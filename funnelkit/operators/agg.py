@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import col_
 from funnelkit.operators.lookup import order_key
 
-__all__ = ["milestones", "call_state", "count_if_distinct", "milestone", "milestone_and_not", "first_by", "last_by", "progress",
+__all__ = ["milestones", "call_state", "milestone", "milestone_and_not", "first_by", "last_by", "progress",
            "join_strings", "join_distinct", "collect_struct", "answers_map",
            "rollup_totals", "with_total_row", "disposition_summary", "bind_cols",
            "full_join_all", "count_distinct_if", "fill_zero"]
@@ -69,26 +69,33 @@ def progress(ladder: Sequence[tuple[Column, str]], default: str) -> Column:
 def join_strings(x: Column | str, sep: str, order: Column | str | None = None,
                  where: Column | None = None) -> Column:
     """``string_agg(x, sep)``; deterministic order (by ``order`` or by x).
-    NULL for an empty group."""
+    NULL for an empty group. The string is as long as the group: for groups without a
+    bound in the data model keep the rows instead."""
     v = col_(x).cast("string")
     if where is not None:
         v = F.when(where, v)
     if order is None:
-        return F.nullif(F.array_join(F.array_sort(F.collect_list(v)), sep), F.lit(""))
+        return _joined(F.array_sort(F.collect_list(v)), sep)
     s = F.struct(col_(order).alias("o"), v.alias("v"))
     arr = F.array_sort(F.collect_list(F.when(v.isNotNull(), s)))
-    return F.nullif(F.array_join(F.transform(arr, lambda e: e["v"]), sep), F.lit(""))
+    return _joined(F.transform(arr, lambda e: e["v"]), sep)
+
+
+def _joined(arr: Column, sep: str) -> Column:
+    """The elements as one string; NULL for none (a lone empty string stays)."""
+    return F.when(F.size(arr) > 0, F.array_join(arr, sep))
 
 
 def join_distinct(x: Column | str, sep: str, where: Column | None = None) -> Column:
     """``string_agg(DISTINCT x, sep) FILTER (WHERE ...)``, sorted; NULL when empty."""
     v = col_(x) if where is None else F.when(where, col_(x))
-    return F.nullif(F.array_join(F.array_sort(F.collect_set(v)), sep), F.lit(""))
+    return _joined(F.array_sort(F.collect_set(v)), sep)
 
 
 def collect_struct(fields: Mapping[str, Column | str], order: Sequence[Column | str]) -> Column:
     """Parallel ``array_agg`` columns as one sorted array of structs, so a
-    NULL in one field cannot shift the other arrays."""
+    NULL in one field cannot shift the other arrays. The array holds the whole group:
+    for groups without a bound in the data model keep the rows instead."""
     s = F.struct(order_key(order).alias("__o"), *[col_(c).alias(n) for n, c in fields.items()])
     return F.transform(F.sort_array(F.collect_list(s)), lambda e: e.dropFields("__o"))
 
@@ -104,9 +111,6 @@ def count_distinct_if(x: Column | str, cond: Column) -> Column:
     return F.count_distinct(F.when(cond, col_(x)))
 
 
-count_if_distinct = count_distinct_if
-
-
 def rollup_totals(df: DataFrame, keys: Mapping[str, Column | str], aggs: Sequence[Column],
                   label: str = "Total", mark: str = "grouping") -> DataFrame:
     """``GROUP BY ROLLUP(keys)`` with subtotal labels.
@@ -161,23 +165,22 @@ def disposition_summary(df: DataFrame, group: Sequence[str], ident: Column | str
     if not distinct:
         return df.groupBy(*group).agg(F.count(F.lit(1)).alias(total),
                                       *[F.count(F.when(c, F.lit(1))).alias(n) for n, c in conds.items()])
-    per = (df.where(i.isNotNull()).groupBy(*group, i.alias("__id"))
-           .agg(*[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in conds.items()]))
-    return per.groupBy(*group).agg(F.count(F.lit(1)).alias(total),
-                                   *[F.sum(n).cast("long").alias(n) for n in conds])
+    # NULL ids count nothing but keep their group (it may have no others)
+    per = (df.groupBy(*group, i.alias("__id"))
+           .agg(*[F.max(F.when(c & i.isNotNull(), 1).otherwise(0)).alias(n) for n, c in conds.items()]))
+    return per.groupBy(*group).agg(F.count("__id").alias(total),
+                                   *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in conds])
 
 
 def bind_cols(*one_row: DataFrame) -> DataFrame:
     """Side-by-side binding of one-row frames (each a global aggregate).
 
-    Each frame has exactly one row by construction, so it is broadcast (a
-    proven size bound) and joined on a constant key: no cartesian product."""
-    def keyed(df):
-        return df.withColumn("__one", F.lit(1))
-    out = keyed(one_row[0])
-    for df in one_row[1:]:
-        out = out.join(F.broadcast(keyed(df)), "__one", "inner")
-    return out.drop("__one")
+    Every frame is a scalar sub-query, so Spark itself refuses one of more than one
+    row; nothing is joined or broadcast. A frame without a row binds as NULLs."""
+    spark = one_row[0].sparkSession
+    bound = spark.range(1).select(*[df.select(F.struct(*df.columns)).scalar().alias(f"__f{i}")
+                                    for i, df in enumerate(one_row)])
+    return bound.select(*[F.col(f"__f{i}.`{c}`").alias(c) for i, df in enumerate(one_row) for c in df.columns])
 
 
 def full_join_all(dfs: Sequence[DataFrame], key: Sequence[str] | str) -> DataFrame:

@@ -42,17 +42,18 @@ def suppress(df: DataFrame, lst: DataFrame, key: str, list_key: str | None = Non
              null_aware: bool = True) -> DataFrame:
     """J22 ``key NOT IN (SELECT list_key FROM lst)``.
 
-    SQL semantics: a NULL ``key`` never survives, and a single NULL in the list
-    empties the result. The NULL test is a scalar sub-query (one aggregate row),
-    the exclusion an ordinary hash anti join, so no side is broadcast unchecked.
+    SQL semantics: nothing is in an empty list, so every row stays, NULL keys
+    included; against any other list a NULL ``key`` never survives, and a single NULL
+    in the list empties the result. Both tests are one scalar sub-query (one aggregate
+    row), the exclusion an ordinary anti join, so no side is broadcast unchecked.
     """
     lk = list_key or key
-    kept = df.where(F.col(key).isNotNull()) if null_aware else df
-    kept = kept.join(lst.where(F.col(lk).isNotNull()).select(F.col(lk).alias(key)), key, "left_anti")
+    kept = df.join(lst.where(F.col(lk).isNotNull()).select(F.col(lk).alias(key)), key, "left_anti")
     if not null_aware:
         return kept
-    has_null = lst.select(F.coalesce(F.max(F.col(lk).isNull()), F.lit(False))).scalar()
-    return kept.where(~has_null)
+    # NULL: the list is empty; else whether it holds a NULL
+    has_null = lst.select(F.max(F.col(lk).isNull())).scalar()
+    return kept.where(F.when(has_null.isNull(), True).otherwise(~has_null & F.col(key).isNotNull()))
 
 
 def flag_earlier_exists(df: DataFrame, keys: Sequence[str], t: str, qualifies: Column,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import (day_window, decode_label, imatch, pct_text, pct_text_ratio,
                                       similar_prefix, case_cascade, nimatch)
-from funnelkit.operators.agg import (answers_map, collect_struct, disposition_summary,
-                                     join_distinct, join_strings, progress, rollup_totals,
+from funnelkit.operators.agg import (answers_map, bind_cols, collect_struct, disposition_summary,
+                                     full_join_all, join_distinct, join_strings, progress, rollup_totals,
                                      with_total_row, fill_zero)
 from funnelkit.operators.lookup import agg_per_key, first_per, nth_state
 from funnelkit.plans.registry import Tables, query
@@ -241,10 +241,10 @@ SELECT user_id,
             WHEN bool_or(regexp_matches(event_type, '(click|view)$', 'i')) THEN '05'
             WHEN bool_or(regexp_matches(event_type, '^sign', 'i')) THEN '02'
             ELSE '00' END AS stage
-FROM events WHERE value >= 90 GROUP BY user_id
+FROM events GROUP BY user_id
 """)
 def progress_ladder(spark, d):
-    ev = Tables(spark, d).events.where(F.col("value") >= 90)
+    ev = Tables(spark, d).events
     et = F.col("event_type")
     return ev.groupBy("user_id").agg(progress([
         (imatch(et, "purchase$"), "07"), (imatch(et, "(click|view)$"), "05"),
@@ -256,13 +256,13 @@ SELECT c.c_custkey,
        (SELECT CASE WHEN bool_and(regexp_matches(e.event_type, '(error|view)', 'i')) THEN 'NC'
                     WHEN bool_or(regexp_matches(e.event_type, '(error|view)', 'i')) THEN 'Contact'
                     ELSE 'No Call' END
-        FROM events e WHERE e.user_id = c.c_custkey AND e.value >= 80) AS call_state
+        FROM events e WHERE e.user_id = c.c_custkey) AS call_state
 FROM customer c
 """)
 def call_state(spark, d):
     t = Tables(spark, d)
     nc = imatch("event_type", "(error|view)")
-    out = agg_per_key(t.customer.select("c_custkey"), t.events.where(F.col("value") >= 80),
+    out = agg_per_key(t.customer.select("c_custkey"), t.events,
                       [("c_custkey", "user_id")],
                       [F.bool_and(nc).alias("__all"), F.bool_or(nc).alias("__any")])
     return out.select("c_custkey", F.when(F.col("__all"), "NC").when(F.col("__any"), "Contact")
@@ -277,8 +277,8 @@ SELECT l_orderkey,
 FROM lineitem GROUP BY l_orderkey
 """)
 def string_agg_types(spark, d):
-    # string_agg per lead over its lines: the group is bounded by the data
-    # model (an order has at most seven lines), so no output row grows with data.
+    # string_agg per order over its lines: one string holds one order's lines, so its
+    # length is that of the largest order (13 lines in the test tables).
     li = Tables(spark, d).lineitem
     hi = F.col("l_quantity") > 25
     return li.groupBy("l_orderkey").agg(
@@ -289,8 +289,8 @@ def string_agg_types(spark, d):
 
 @query("joined_distinct", ids="A14 STR1", sql="""
 SELECT user_id,
-       nullif(string_agg(DISTINCT split_part(event_type, 'i', 1), ',' ORDER BY split_part(event_type, 'i', 1))
-                FILTER (WHERE value > 95), '') AS types_hi
+       string_agg(DISTINCT split_part(event_type, 'i', 1), ',' ORDER BY split_part(event_type, 'i', 1))
+                FILTER (WHERE value > 95) AS types_hi
 FROM events GROUP BY user_id
 """)
 def joined_distinct(spark, d):
@@ -414,7 +414,7 @@ _OUTCOME_SQL = """CASE event_type WHEN 'click' THEN 'Answered Linkcall'
                    ELSE 'No Answer' END"""
 
 
-@query("call_disposition", ids="C9 R3 R5 A16 A24 J26 SET1 STR10 U5 P8 F13", sql=f"""
+@query("call_disposition", ids="C9 R3 R5 A16 A24 SET1 STR10 U5 P8 F13", sql=f"""
 WITH calls AS (
   SELECT c.c_mktsegment AS campaign_name, e.user_id, {_OUTCOME_SQL} AS last_result
   FROM events e JOIN customer c ON c.c_custkey = e.user_id
@@ -481,14 +481,30 @@ SELECT * FROM
   (SELECT coalesce(sum(value), 0) AS refund_value FROM events WHERE event_type = 'refund') r
 """)
 def bind_one_row(spark, d):
-    # Aligned one-row summaries are computed side by side in one aggregation
-    # pass instead of binding separately computed frames.
     ev = Tables(spark, d).events
-    out = ev.agg(F.count(F.lit(1)).alias("n_events"),
-                 F.count(F.when(F.col("event_type") == "purchase", 1)).alias("n_purchases"),
-                 F.count_distinct("user_id").alias("n_users"),
-                 F.sum(F.when(F.col("event_type") == "refund", F.col("value"))).alias("refund_value"))
-    return fill_zero(out)
+    kind = F.col("event_type")
+    return fill_zero(bind_cols(ev.agg(F.count(F.lit(1)).alias("n_events")),
+                               ev.where(kind == "purchase").agg(F.count(F.lit(1)).alias("n_purchases")),
+                               ev.agg(F.count_distinct("user_id").alias("n_users")),
+                               ev.where(kind == "refund").agg(F.sum("value").alias("refund_value"))))
+
+
+@query("disposition_full_join", ids="J26", sql=f"""
+WITH calls AS (SELECT user_id, {_OUTCOME_SQL} AS r, ts FROM events),
+a AS (SELECT user_id, count(*) AS answered FROM calls WHERE r = 'Answered Linkcall' GROUP BY user_id),
+b AS (SELECT user_id, count(*) AS busy FROM calls WHERE r = 'Busy' GROUP BY user_id),
+c AS (SELECT user_id, count(*) AS hangup, max(ts) AS last_hangup FROM calls WHERE r = 'Answered Hangup' GROUP BY user_id)
+SELECT user_id, coalesce(answered, 0) AS answered, coalesce(busy, 0) AS busy, coalesce(hangup, 0) AS hangup, last_hangup
+FROM a FULL JOIN b USING (user_id) FULL JOIN c USING (user_id)
+""")
+def disposition_full_join(spark, d):
+    """Frames counted apart and joined by their key, where no single pass makes them."""
+    calls = Tables(spark, d).events.withColumn("r", _outcome())
+
+    def counted(outcome, name, *more):
+        return calls.where(F.col("r") == outcome).groupBy("user_id").agg(F.count(F.lit(1)).alias(name), *more)
+    return fill_zero(full_join_all([counted("Answered Linkcall", "answered"), counted("Busy", "busy"),
+                                    counted("Answered Hangup", "hangup", F.max("ts").alias("last_hangup"))], "user_id"))
 
 
 @query("safe_ratio", ids="MA2 MA3 STR2 STR11", sql="""
@@ -520,7 +536,7 @@ _OB_SQL = """CASE WHEN l_returnflag = 'R' THEN 'Answered Linkcall'
                    WHEN l_linestatus = 'O' THEN 'Answered Hangup' ELSE 'Busy' END"""
 
 
-@query("call_mis_combined", ids="R3 C9 A16 A24 SET1 SRC5 F13 P8 STR10 J26", sql=f"""
+@query("call_mis_combined", ids="R3 C9 A16 A24 SET1 SRC5 F13 P8 STR10", sql=f"""
 WITH ivr AS (
   SELECT c.c_mktsegment AS campaign_name, e.user_id AS id, {_OUTCOME_SQL} AS r
   FROM events e JOIN customer c ON c.c_custkey = e.user_id

@@ -208,7 +208,8 @@ WHERE pos > 100
 """)
 def rows_after_position(spark, d):
     # Rows n+1..end of a total order: the n-th key comes from a distributed
-    # top-n (each task keeps n rows), then a plain filter; no global window.
+    # top-n (each task keeps n rows), then a plain filter; no global window. Right
+    # because o_orderkey is unique; for other orders take ``row_positions``.
     o = Tables(spark, d).orders
     nth = o.select("o_orderkey").orderBy("o_orderkey").limit(100).agg(F.max("o_orderkey")).scalar()
     return o.where(F.col("o_orderkey") > nth).select("o_orderkey", "o_custkey")
@@ -361,11 +362,8 @@ def subset_complement(spark, d):
     c = Tables(spark, d).customer
     a = F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False))
     b = F.coalesce(F.col("c_mktsegment") == "MACHINERY", F.lit(False))
-    parts = [c.where(a).withColumn("label", F.lit("building")),
-             c.where(b).withColumn("label", F.lit("machinery")),
-             c.where(~a & ~b).withColumn("label", F.lit("other"))]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+    label = F.when(a, "building").when(b, "machinery").otherwise("other")
+    return c.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"),
                                   F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("acctbal"))
 
 

@@ -138,10 +138,6 @@ def recency_flags(df: DataFrame, *, user: str, t: str, d0: str, d1: str, d2: str
     return df.groupBy(user).agg(*aggs)
 
 
-def with_col(df: DataFrame, name: str, c: Column | str) -> DataFrame:
-    return df.withColumn(name, col_(c))
-
-
 # ---------------------------------------------------------------------------
 # C2 cohort conversion matrix
 
@@ -240,8 +236,7 @@ def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequenc
         F.count_distinct(F.when(F.to_date(F.col(t)) == F.lit(day).cast("date"), F.col(lead)))
         .alias("dtd_actual"),
         F.count(F.lit(1)).alias("mtd_actual"))
-    nz = plan_long.where(F.col("monthly_plan") != 0)
-    j = a.join(nz, [team, *keys], "left")
+    j = a.join(plan_long.where(F.col("monthly_plan") != 0), [team, *keys])
     j = j.withColumns({"__dm": days_month, "__dp": days_past})
     j = j.withColumns({
         "mtd_estimate": F.bround(F.try_divide(F.col("mtd_actual"), F.col("__dp")) * F.col("__dm"), 0)
@@ -255,8 +250,6 @@ def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequenc
         "drr": F.bround(F.try_divide(F.col("monthly_plan") - F.col("mtd_actual"),
                                      F.col("__dp") if drr_per == "elapsed" else F.col("__dm") - F.col("__dp")), 0)
         .cast("long")})
-    keep = nz.select(team, F.concat_ws(" ", *keys).alias("__key"))
-    j = j.withColumn("__key", F.concat_ws(" ", *keys)).join(keep, [team, "__key"], "left_semi")
     return j.select(team, *keys, "dtd_actual", "dtd_plan", "dtd_pct", "mtd_actual", "mtd_plan",
                     "mtd_pct", "mtd_estimate", "monthly_plan", "backlog", "drr")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every report relies on. AQE re-plans at runtime: it coalesces small
@@ -46,26 +43,22 @@ def build_session(master: str | None = None, cpus: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (``df.checkpoint()`` / written tables).
 
-    The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session. Only when it is unset (local tests) a private temp folder is set.
+    The cluster names it in ``spark.checkpoint.dir``; it is read from the session. A
+    session that runs in one process (``local`` masters: tests, the bench) and names
+    none takes a folder of its warehouse; on a cluster that is an error, as nothing
+    guessed there is sure to be shared.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="funnelkit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
-    return current if not current.startswith("file:") else current[5:]
-
-
-def env_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))
+    return current

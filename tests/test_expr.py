@@ -72,8 +72,8 @@ def test_month_diff_and_labels(spark):
             (None, dt.date(2024, 1, 1))]
     df = spark.createDataFrame(data, "a date, b date")
     n = month_diff("a", "b")
-    got = df.select(n, m_bucket(n), month_offset_label(n)).collect()
-    assert [tuple(r) for r in got] == [(1, "M1", "M-1"), (12, "M1+", "M-6 >"), (None, None, "M-6 >")]
+    got = df.select(n, m_bucket(n), m_bucket(n, 3, null_stays=True), month_offset_label(n)).collect()
+    assert [tuple(r) for r in got] == [(1, "M1", "M1", "M-1"), (12, "M1+", "M2+", "M-6 >"), (None, "M1+", None, "M-6 >")]
 
 
 def test_vintage_bucket(spark):

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from funnelkit.operators.agg import (collect_struct, disposition_summary, first_by, join_distinct,
@@ -17,6 +18,16 @@ def test_suppress_is_null_aware(spark):
     with_null = spark.createDataFrame([(2,), (None,)], "u long")
     assert suppress(df, with_null, "u").count() == 0
     assert rows(suppress(df, with_null, "u", null_aware=False)) == [(1,), (None,)]
+    # nothing is in an empty list, not even an unknown key
+    assert rows(suppress(df, lst.limit(0), "u")) == [(1,), (2,), (None,)]
+    assert suppress(df, spark.createDataFrame([(None,)], "u long"), "u").count() == 0
+
+
+def test_joined_strings_keep_a_lone_empty_string(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "a"), (3, "")], "k long, v string")
+    got = df.groupBy("k").agg(join_strings("v", ",").alias("a"), join_distinct("v", ",").alias("b"),
+                              join_strings("v", ",", order="v").alias("c"))
+    assert rows(got) == [(1, "", "", ""), (2, None, None, None), (3, ",a", ",a", ",a")]
 
 
 def test_attach_flag_keeps_row_count(spark):
@@ -100,10 +111,10 @@ def test_rollup_distinct_flags_equals_count_distinct(spark):
 
 def test_disposition_and_total_row(spark):
     calls = spark.createDataFrame([("c1", 1, "A"), ("c1", 1, "B"), ("c1", 2, "B"), ("c2", None, "A"),
-                                   ("c2", 3, "Z")], "camp string, u long, r string")
+                                   ("c2", 3, "Z"), ("c3", None, "A"), ("c3", None, "B")], "camp string, u long, r string")
     s = disposition_summary(calls, ["camp"], "u", "r", {"ab": ["A", "B"], "b": ["B"], "never": ["Q"]},
                             total="total")
-    assert rows(s) == [("c1", 2, 2, 2, 0), ("c2", 1, 0, 0, 0)]
+    assert rows(s) == [("c1", 2, 2, 2, 0), ("c2", 1, 0, 0, 0), ("c3", 0, 0, 0, 0)]   # c3 has no known id
     t = with_total_row(s, "camp")
     assert ("Total", 3, 2, 2, 0) in rows(t)
 
@@ -112,6 +123,9 @@ def test_bind_cols_and_fill_zero(spark):
     a = spark.range(3).agg(F.count(F.lit(1)).alias("n"))
     b = spark.range(3).where("id > 5").agg(F.sum("id").alias("s"))
     assert rows(fill_zero(bind_cols(a, b))) == [(3, 0)]
+    assert rows(bind_cols(a, b.where("s > 0"))) == [(3, None)]
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        bind_cols(a, spark.range(2)).collect()
 
 
 def test_full_join_all(spark):
