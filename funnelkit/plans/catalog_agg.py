@@ -158,9 +158,9 @@ SELECT CASE WHEN prod IS NULL THEN 'Total' ELSE prod END AS product,
        moved
 FROM data
 """)
-def rollup_null_label(spark, d):
+def rollup_null_label(spark, d, *, start="1998-01-01"):
     t = Tables(spark, d)
-    o = t.orders.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    o = t.orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
     j = o.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
     urgent = imatch("o_orderpriority", "urgent")
     zone = similar_prefix(F.col("o_custkey").cast("string"), ["1", "2", "3"])

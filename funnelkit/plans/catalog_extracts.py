@@ -13,6 +13,7 @@ from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, lookb
                                         lookup_latest, range_agg)
 from funnelkit.operators.member import anti, semi
 from funnelkit.plans.registry import Tables, query
+from funnelkit.sources.tables import maybe_in
 
 # Profile type labels and the progress ladder (first match wins).
 SEGMENT_LABELS = {"BUILDING": "Green", "MACHINERY": "Red", "AUTOMOBILE": "Amber"}
@@ -77,7 +78,11 @@ LEFT JOIN LATERAL (
          nullif(string_agg(DISTINCT split_part(product_status, '-', 1), ' | ' ORDER BY split_part(product_status, '-', 1))
                 FILTER (WHERE regexp_matches(product_status, '05$', 'i')), '') AS offered_products,
          nullif(string_agg(DISTINCT split_part(product_status, '-', 1), ' | ' ORDER BY split_part(product_status, '-', 1))
-                FILTER (WHERE regexp_matches(product_status, '0(1|21?)$', 'i')), '') AS interest_shown_products
+                FILTER (WHERE regexp_matches(product_status, '0(1|21?)$', 'i')), '') AS interest_shown_products,
+         string_agg(DISTINCT split_part(product_status, '-', 1), ' | ' ORDER BY split_part(product_status, '-', 1))
+                FILTER (WHERE regexp_matches(product_status, '^(CL|vi)-0(1|21?)$', 'i')) AS core_interest_shown_products,
+         string_agg(DISTINCT split_part(product_status, '-', 1), ' | ' ORDER BY split_part(product_status, '-', 1))
+                FILTER (WHERE regexp_matches(product_status, '88$', 'i')) AS rejected_products
   FROM ev WHERE ev.user_id = cp.user_id AND ev.event_type IN ('view', 'click', 'signup')
 ) log_metrics ON TRUE
 LEFT JOIN LATERAL (
@@ -92,11 +97,11 @@ LEFT JOIN LATERAL (
 ) dialer ON TRUE
 WHERE CAST(cp.created_on AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-02'
 """)
-def fresh_profiles_effort(spark, d):
+def fresh_profiles_effort(spark, d, *, first_day="2024-01-01", last_day="2024-01-02"):
     t = Tables(spark, d)
     ev = _stage_events(t)
     prof = ev.groupBy("user_id").agg(F.min("ts").alias("created_on")) \
-        .where(day_window("created_on", "2024-01-01", "2024-01-02"))
+        .where(day_window("created_on", first_day, last_day))
     app = ev.where(F.col("event_type") == "purchase").groupBy("user_id") \
         .agg(F.min("ts").alias("first_applied_date"))
     base = prof.join(app, "user_id", "left")
@@ -117,7 +122,11 @@ def fresh_profiles_effort(spark, d):
         join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "05$"))
         .alias("offered_products"),
         join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "0(1|21?)$"))
-        .alias("interest_shown_products"))
+        .alias("interest_shown_products"),
+        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "^(CL|vi)-0(1|21?)$"))
+        .alias("core_interest_shown_products"),
+        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "88$"))
+        .alias("rejected_products"))
     dialer = lookup_latest(base.select("user_id"), ev, "user_id", ["ts", "event_id"], ["product_status"],
                            where=imatch(st, "^er"), how="inner")
     out = (base.join(logs, "user_id", "left").join(dialer, "user_id", "left")
@@ -125,7 +134,8 @@ def fresh_profiles_effort(spark, d):
     return out.select(
         "user_id", "customer_type", F.to_date("created_on").alias("profile_date"),
         (F.col("attempts") > 0).cast("int").alias("is_called"), "is_contacted", "attempts", "eff_attempts",
-        "is_prod_int", "progress", "offered_products", "interest_shown_products",
+        "is_prod_int", "progress", "offered_products", "interest_shown_products", "core_interest_shown_products",
+        "rejected_products",
         F.col("first_applied_date").isNotNull().cast("int").alias("is_applied"), "first_applied_date",
         F.col("__fc.event_type").alias("first_call_type"), F.col("__fc.event_id").alias("first_call_id"),
         F.col("__fc.ts").alias("first_log_date"),
@@ -154,9 +164,9 @@ WHERE l.l_shipdate >= TIMESTAMP '1996-01-01' AND l.l_shipdate < TIMESTAMP '1996-
   AND NOT EXISTS ({_SUBSCRIBED_SQL.format(u='o.o_custkey')})
 ORDER BY user_id, l.l_shipdate, l.l_orderkey, l.l_returnflag
 """)
-def sms_promise_not_subscribed(spark, d):
+def sms_promise_not_subscribed(spark, d, *, start="1996-01-01", end="1996-07-01"):
     t = Tables(spark, d)
-    contacts = t.lineitem.where(half_open("l_shipdate", "1996-01-01", "1996-07-01") &
+    contacts = t.lineitem.where(half_open("l_shipdate", start, end) &
                                 imatch("l_returnflag", "(r|a)") & (F.col("l_linestatus") == "F"))
     j = contacts.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"),
                                       F.col("o_custkey").alias("user_id")), "l_orderkey", "left")
@@ -199,16 +209,16 @@ LEFT JOIN LATERAL (
 ) cpa ON TRUE
 WHERE NOT EXISTS ({_SUBSCRIBED_SQL.format(u='vi.user_id')})
 """)
-def interest_not_subscribed(spark, d):
+def interest_not_subscribed(spark, d, *, start="1997-01-01", end="1998-01-01", run_date="1998-06-01"):
     t = Tables(spark, d)
     logs = t.orders.where(imatch("o_orderpriority", "(urg|hig).*t$") &
-                          half_open("o_orderdate", "1997-01-01", "1998-01-01"))
+                          half_open("o_orderdate", start, end))
     vi = first_per(logs, "o_custkey", ["o_orderdate", "o_orderkey"],
                    ["o_orderkey", "o_orderdate", "o_orderpriority"], last=True).select(
         F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("lead_id"),
         F.col("o_orderdate").alias("log_updated_at"), F.col("o_orderpriority").alias("product_status"))
     vi = anti(vi, _subscribers(t), [("user_id", "o_custkey")])
-    since = F.add_months(F.lit("1998-06-01").cast("date"), -3).cast("timestamp_ntz")
+    since = F.add_months(F.lit(run_date).cast("date"), -3).cast("timestamp_ntz")
     user_calls = (t.orders.select("o_orderkey", F.col("o_custkey").alias("user_id"))
                   .join(t.lineitem.where(F.col("l_shipdate") >= since)
                         .select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag"), "o_orderkey"))
@@ -250,12 +260,14 @@ FROM orders vs LEFT JOIN customer c ON c.c_custkey = vs.o_custkey
 WHERE vs.o_orderdate >= TIMESTAMP '1999-01-01' AND vs.o_orderdate < TIMESTAMP '1999-04-01'
   AND regexp_matches(vs.o_orderpriority, '(1.+NT|2.+GH)', 'i')
 """)
-def stage_070_leads(spark, d):
+def stage_070_leads(spark, d, *, start="1999-01-01", end="1999-04-01", owners=None):
     t = Tables(spark, d)
-    calls = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"),
-                                            F.col("o_custkey").alias("user_id")), "l_orderkey")
-    vs = t.orders.where(half_open("o_orderdate", "1999-01-01", "1999-04-01") &
-                        imatch("o_orderpriority", "(1.+NT|2.+GH)"))
+    vs = t.orders.where(half_open("o_orderdate", start, end) & imatch("o_orderpriority", "(1.+NT|2.+GH)"))
+    # the owner list is optional: without it every owner's leads are reported
+    vs = maybe_in(vs.withColumn("owner", _applied_oic()), "owner", owners).drop("owner")
+    # only the reported leads' users' logs take part
+    calls = semi(t.orders, vs, "o_custkey").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")).join(t.lineitem, "l_orderkey")
     src = calls.select("user_id", "l_shipdate", "l_orderkey", "l_linenumber",
                        F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("utm_source_text"))
     x = asof_join(vs.withColumnRenamed("o_custkey", "user_id"), src, "user_id", "o_orderdate", "l_shipdate",
@@ -336,8 +348,7 @@ SELECT a.o_orderkey AS lead_id, a.o_custkey AS user_id, c.c_name AS first_name,
        CASE WHEN regexp_matches(pu.profiled_utm_source, '(crm|email)', 'i')
              AND pu.profiled_utm_source NOT IN ('email-7') THEN '1' END AS alliance_flag,
        CASE WHEN regexp_matches(pu.profiled_utm_source, '(androidapp|monitoring)', 'i') THEN '1' END AS nw_flag,
-       c.c_acctbal AS credit_score,
-       coalesce(rc.regen_lead_count, 0) AS regen_lead_count, rc.regen_statuses, rc.regen_priorities
+       c.c_acctbal AS credit_score, coalesce(rc.regen_lead_count, 0) AS regen_lead_count
 FROM orders a
 LEFT JOIN customer c ON c.c_custkey = a.o_custkey
 LEFT JOIN LATERAL (SELECT r.r_name AS dsa_name FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
@@ -348,18 +359,17 @@ LEFT JOIN LATERAL (
   FROM cp1 WHERE cp1.user_id = a.o_custkey
 ) pu ON TRUE
 LEFT JOIN LATERAL (
-  SELECT count(*) AS regen_lead_count,
-         string_agg(DISTINCT cl.o_orderstatus, ' , ' ORDER BY cl.o_orderstatus) AS regen_statuses,
-         string_agg(DISTINCT cl.o_orderpriority, ' , ' ORDER BY cl.o_orderpriority) AS regen_priorities
+  SELECT count(*) AS regen_lead_count
   FROM orders cl WHERE regexp_matches(cl.o_orderpriority, 'high', 'i') AND cl.o_custkey = a.o_custkey
 ) rc ON TRUE
 WHERE a.o_orderdate >= TIMESTAMP '1997-01-01' AND a.o_orderdate < TIMESTAMP '1997-04-01'
 """)
-def approved_attribution(spark, d):
+def approved_attribution(spark, d, *, start="1997-01-01", end="1997-04-01"):
     from funnelkit.plans.catalog_reports import _utm_source
     t = Tables(spark, d)
-    a = t.orders.where(half_open("o_orderdate", "1997-01-01", "1997-04-01"))
-    ev = t.events.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
+    a = t.orders.where(half_open("o_orderdate", start, end))
+    ev = semi(t.events, a, [("user_id", "o_custkey")])    # the approved users' logs only
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
     src = ev.where(F.col("event_type") != "purchase").select(
         "user_id", F.col("ts").alias("src_ts"), F.col("event_id").alias("src_id"),
         _utm_source(F.col("k"), F.col("event_type")).alias("profiled_utm_source"))
@@ -371,12 +381,10 @@ def approved_attribution(spark, d):
     cust = t.customer.join(dsa, "c_nationkey", "left").select(
         F.col("c_custkey").alias("user_id"), F.col("c_name").alias("first_name"), "dsa_name",
         F.col("c_acctbal").alias("credit_score"))
-    # Regenerated leads per user: the count plus the distinct values, so the
-    # per-user text stays bounded by the value domain.
-    regen = t.orders.where(imatch("o_orderpriority", "high")).groupBy(F.col("o_custkey").alias("user_id")).agg(
-        F.count(F.lit(1)).alias("regen_lead_count"),
-        join_distinct("o_orderstatus", " , ").alias("regen_statuses"),
-        join_distinct("o_orderpriority", " , ").alias("regen_priorities"))
+    # the regenerated leads themselves are the rows of ``regenerated_leads``: a list of
+    # them on each of their user's leads would grow with the square of that user's leads
+    regen = semi(t.orders.where(imatch("o_orderpriority", "high")), a, "o_custkey") \
+        .groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("regen_lead_count"))
     out = (a.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
                     F.col("o_orderpriority").alias("sku"), F.col("o_orderdate").alias("aip_approval_date"))
            .join(cust, "user_id", "left").join(pu.select("user_id", "profiled_utm_source"), "user_id", "left")
@@ -386,7 +394,25 @@ def approved_attribution(spark, d):
         "lead_id", "user_id", "first_name", "sku", "aip_approval_date", "dsa_name", "profiled_utm_source",
         F.when(imatch(src_col, ALLIANCE_SOURCE) & ~src_col.isin(ALLIANCE_EXCLUDED), "1").alias("alliance_flag"),
         F.when(imatch(src_col, NETWORK_SOURCE), "1").alias("nw_flag"), "credit_score",
-        F.coalesce("regen_lead_count", F.lit(0)).alias("regen_lead_count"), "regen_statuses", "regen_priorities")
+        F.coalesce("regen_lead_count", F.lit(0)).alias("regen_lead_count"))
+
+
+@query("regenerated_leads", ids="R9 J19", sql="""
+SELECT cl.o_custkey AS user_id, cl.o_orderkey AS regen_lead_id, cl.o_orderstatus AS regen_lender,
+       cl.o_orderpriority AS regen_sku
+FROM orders cl
+WHERE regexp_matches(cl.o_orderpriority, 'high', 'i')
+  AND EXISTS (SELECT 1 FROM orders a WHERE a.o_custkey = cl.o_custkey
+              AND a.o_orderdate >= TIMESTAMP '1997-01-01' AND a.o_orderdate < TIMESTAMP '1997-04-01')
+""")
+def regenerated_leads(spark, d, *, start="1997-01-01", end="1997-04-01"):
+    """Every regenerated lead, with lender and SKU, of the users that
+    ``approved_attribution`` reports: its three lists in long form, by user."""
+    t = Tables(spark, d)
+    a = t.orders.where(half_open("o_orderdate", start, end))
+    return semi(t.orders.where(imatch("o_orderpriority", "high")), a, "o_custkey").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("regen_lead_id"),
+        F.col("o_orderstatus").alias("regen_lender"), F.col("o_orderpriority").alias("regen_sku"))
 
 
 def _applied_oic():
@@ -408,6 +434,8 @@ SELECT a.o_orderkey AS lead_id, a.o_custkey AS user_id, a.o_orderpriority AS sku
          AND regexp_matches(a.applied_oic, '(system|port)', 'i') THEN coalesce(lb.oic, a.applied_oic)
        WHEN regexp_matches(a.o_orderpriority, 'low', 'i')
          AND regexp_matches(a.applied_oic, '(system|port)', 'i') THEN coalesce(lb.oic, a.applied_oic)
+       WHEN regexp_matches(a.o_orderpriority, 'medium', 'i')
+         AND regexp_matches(a.applied_oic, '(system|port)', 'i') THEN coalesce(late.oic, a.applied_oic)
        ELSE a.applied_oic END AS attribution,
   cll.latest_crm, pass_met.*, call_att.*,
   CASE WHEN (year(a.o_orderdate) - year(fp.first_profile_date)) * 12 + month(a.o_orderdate) - month(fp.first_profile_date) < 2
@@ -428,6 +456,12 @@ LEFT JOIN LATERAL (
   WHERE x.user_id = a.o_custkey AND x.l_shipdate >= a.o_orderdate - INTERVAL 40 DAY AND x.l_shipdate <= a.o_orderdate
   ORDER BY x.l_shipdate DESC, x.l_orderkey DESC, x.l_linenumber DESC, x.l_suppkey DESC LIMIT 1
 ) lb ON TRUE
+LEFT JOIN LATERAL (
+  SELECT 'supp-' || CAST(l.l_suppkey AS VARCHAR) AS oic FROM lineitem l
+  WHERE l.l_orderkey = a.o_orderkey AND l.l_shipdate >= a.o_orderdate + INTERVAL 30 DAY - INTERVAL 48 HOUR
+    AND l.l_shipdate < a.o_orderdate + INTERVAL 30 DAY AND NOT regexp_matches('supp-' || CAST(l.l_suppkey AS VARCHAR), '0$')
+  ORDER BY l.l_shipdate DESC, l.l_linenumber DESC, l.l_suppkey DESC LIMIT 1
+) late ON TRUE
 LEFT JOIN LATERAL (
   SELECT l.l_returnflag AS latest_crm FROM lineitem l
   WHERE l.l_orderkey = a.o_orderkey AND l.l_linestatus = 'F' AND NOT regexp_matches(l.l_returnflag, '^n', 'i')
@@ -456,25 +490,31 @@ LEFT JOIN LATERAL (
         FROM lineitem fs2 WHERE fs2.l_orderkey = a.o_orderkey) le
 ) lenders_present ON TRUE
 """)
-def applications_extract(spark, d):
+def applications_extract(spark, d, *, start="1996-01-01", end="1996-04-01"):
     t = Tables(spark, d)
-    a = t.orders.where(half_open("o_orderdate", "1996-01-01", "1996-04-01")).withColumns({
+    a = t.orders.where(half_open("o_orderdate", start, end)).withColumns({
         "applied_oic": _applied_oic(),
         "zone": similar_prefix(F.col("o_custkey").cast("string"), ["1", "2", "3"])})
-    calls = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"),
-                                            F.col("o_custkey").alias("user_id")), "l_orderkey").select(
-        "user_id", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey",
-        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("lb_oic"))
+    owner = F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string"))
+    leads = a.select("o_orderkey", "o_orderdate")
+    # only the applicants' calls take part in the look-back
+    calls = semi(t.orders, a, "o_custkey").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")) \
+        .join(t.lineitem, "l_orderkey").select(
+        "user_id", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", owner.alias("lb_oic"))
     a = lookback_join(a.withColumn("user_id", F.col("o_custkey")), calls, "user_id", "o_orderdate",
                       "l_shipdate", ["lb_oic"], 40 * 86400, pick="last", upper_inclusive=True,
                       tiebreak=["l_orderkey", "l_linenumber", "l_suppkey"])
     # every per-lead metric over the lead's lines in one aggregation
-    lines = t.lineitem.join(a.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    lines = t.lineitem.join(leads.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    applied = F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")
+    lately = (F.col("l_shipdate") >= applied - F.expr("INTERVAL 48 HOURS")) & (F.col("l_shipdate") < applied)
     ln = F.col("l_linenumber").cast("string")
     crm_rows = (F.col("l_linestatus") == "F") & nimatch("l_returnflag", "^n")
     after = crm_rows & (F.col("l_shipdate") > F.col("o_orderdate"))
     met = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         last_by("l_returnflag", ["l_shipdate", "l_linenumber", "l_returnflag"], where=crm_rows).alias("latest_crm"),
+        last_by(owner, ["l_shipdate", "l_linenumber", "l_suppkey"], where=lately & ~owner.rlike("0$")).alias("late_oic"),
         milestone(F.col("l_returnflag") == "R").alias("pass_r"),
         milestone(ln >= "3").alias("pass_ge3"),
         milestone_and_not(ln >= "3", ln == "5").alias("pass_ge3_not5"),
@@ -500,7 +540,8 @@ def applications_extract(spark, d):
         F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderpriority").alias("sku"), "applied_oic",
         case_cascade([(urgent & ~zone & sys_owner, F.coalesce("lb_oic", "applied_oic")),
-                      (imatch("o_orderpriority", "low") & sys_owner, F.coalesce("lb_oic", "applied_oic"))],
+                      (imatch("o_orderpriority", "low") & sys_owner, F.coalesce("lb_oic", "applied_oic")),
+                      (imatch("o_orderpriority", "medium") & sys_owner, F.coalesce("late_oic", "applied_oic"))],
                      F.col("applied_oic")).alias("attribution"),
         "latest_crm", "pass_r", "pass_ge3", "pass_ge3_not5", "pass_reject_stage", "has_received_feedback",
         F.coalesce("attempts", F.lit(0)).alias("attempts"),

@@ -266,8 +266,7 @@ def targets_wide(t, plan_month=PLAN_MONTH):
                                (F.col("o_orderdate") < _ts(plan_month[1])))
     team = _team()
     w = o.groupBy("customer_type", "product", "sku").agg(
-        *[(F.count(F.when(team == n, 1)) * 2).alias(n) for n in TEAMS if n != "Regeneration"],
-        F.lit(0).cast("long").alias("Regeneration"))
+        *[(F.count(F.when(team == n, 1)) * 2).alias(n) for n in TEAMS])
     return upper_strings(w, ["customer_type", "product", "sku"]).select(
         "customer_type", "product", "sku", *TEAMS)
 
@@ -285,7 +284,7 @@ wide AS (
          count(*) FILTER (WHERE ({_TEAM_SQL}) = 'System') * 2 AS System,
          count(*) FILTER (WHERE ({_TEAM_SQL}) = 'PA') * 2 AS PA,
          count(*) FILTER (WHERE ({_TEAM_SQL}) = 'Allset') * 2 AS Allset,
-         0 AS Regeneration,
+         count(*) FILTER (WHERE ({_TEAM_SQL}) = 'Regeneration') * 2 AS Regeneration,
          count(*) FILTER (WHERE ({_TEAM_SQL}) = 'Assisted') * 2 AS Assisted
   FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
   WHERE o.o_orderdate >= TIMESTAMP '2000-06-01' AND o.o_orderdate < TIMESTAMP '2000-07-01'
@@ -482,13 +481,13 @@ FROM orders o
 LEFT JOIN (SELECT l_orderkey AS id, max(l_shipdate) AS followup_date FROM lineitem GROUP BY 1) ll ON o.o_orderkey = ll.id
 WHERE o.o_orderdate >= TIMESTAMP '1997-01-01' AND o.o_orderdate < TIMESTAMP '1998-01-01'
 """)
-def missed_promise(spark, d):
+def missed_promise(spark, d, *, start="1997-01-01", end="1998-01-01"):
     t = Tables(spark, d)
     leads = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.max("l_shipdate").alias("followup_date"))
-    o = t.orders.where((F.col("o_orderdate") >= _ts("1997-01-01")) & (F.col("o_orderdate") < _ts("1998-01-01")))
+    o = t.orders.where((F.col("o_orderdate") >= _ts(start)) & (F.col("o_orderdate") < _ts(end)))
     j = o.join(leads, "o_orderkey", "left")
-    due = F.to_date("followup_date") < F.lit("1998-01-01").cast("date")
+    due = F.to_date("followup_date") < F.lit(end).cast("date")
     return j.select("o_orderkey", "o_custkey", "o_orderdate", "followup_date",
                     F.when(due & imatch("o_orderpriority", "urgent"), 1).otherwise(0).alias("missed_urgent"),
                     F.when(due & imatch("o_orderpriority", "high"), 1).otherwise(0).alias("missed_high"))

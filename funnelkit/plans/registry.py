@@ -52,7 +52,7 @@ class Tables:
 @lru_cache(maxsize=1)
 def _load_all_modules():
     from funnelkit.plans import (catalog_lookup, catalog_agg, catalog_reports,  # noqa: F401
-                                 catalog_scalar, catalog_extracts)
+                                 catalog_scalar, catalog_extracts, catalog_leads)
     return True
 
 

@@ -18,7 +18,7 @@ __all__ = ["rollup_distinct_flags", "stage_funnel", "agent_day", "working_days",
 
 
 def rollup_distinct_flags(df: DataFrame, keys: Sequence[str], entity: str,
-                          flags: Sequence[str], label: str = "Total",
+                          flags: Sequence[str], label: str | None = "Total",
                           total_name: str | None = None) -> DataFrame:
     """``ROLLUP(keys)`` of ``count(DISTINCT entity) FILTER (WHERE flag = 1)`` for
     many 0/1 flags at once.
@@ -28,7 +28,7 @@ def rollup_distinct_flags(df: DataFrame, keys: Sequence[str], entity: str,
     entity (``max`` of each flag, grouping sets with the entity in every set:
     one copy per level, combined map-side), then flags are summed per level.
     The counts are exact: an entity spanning several leaf groups is counted
-    once at each coarser level.
+    once at each coarser level. Without a ``label`` subtotal keys are NULL.
     """
     keys = list(keys)
     sets = [keys[:i] + [entity] for i in range(len(keys), -1, -1)]
@@ -40,7 +40,7 @@ def rollup_distinct_flags(df: DataFrame, keys: Sequence[str], entity: str,
     if total_name:
         aggs.append(F.count(F.lit(1)).alias(total_name))
     out = per_entity.groupBy(*keys, *gcols).agg(*aggs)
-    out = out.withColumns({k: F.when(F.col(g) == 1, F.lit(label)).otherwise(F.col(k).cast("string"))
+    out = out.withColumns({k: F.when(F.col(g) == 1, F.lit(label).cast("string")).otherwise(F.col(k).cast("string"))
                            for k, g in zip(keys, gcols)})
     return out.drop(*gcols)
 
