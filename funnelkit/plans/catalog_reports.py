@@ -8,10 +8,11 @@ from funnelkit.functions.calendar import days_in_month
 from funnelkit.functions.expr import (decode_label, imatch, month_diff, month_offset_label,
                                       text_between, upper_strings, vintage_bucket)
 from funnelkit.operators.agg import join_distinct, milestone
-from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, lookback_join,
+from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, hot_keys_for, lookback_join,
                                         lookup_latest, nth_state)
 from funnelkit.operators.member import attach_flag, flag_earlier_exists, semi, suppress
 from funnelkit.plans.registry import Tables, query
+from funnelkit.sources.tables import maybe_in
 from funnelkit.plans.reports import attribution_owner, conversion_matrix, pacing, recency_flags
 
 # Fixed run parameters of the registered reports.
@@ -96,14 +97,15 @@ _UTM_SQL = """CASE event_type
       ELSE 'error-' || k END"""
 
 
-@query("attribution_cascade", ids="C3 R13 R14 R15 U1 J10 J13 J29 A23 P2 DT3 DT9 U2 F7 F8 F9 STR3", sql=f"""
+def _attribution_sql(where: str = "") -> str:
+    return f"""
 WITH ev AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 src AS (SELECT user_id, ts AS created_at, event_id, {_UTM_SQL} AS utm_source_text
         FROM ev WHERE event_type <> 'purchase'),
 contacts AS (SELECT user_id, ts AS updated_at, event_id, 'oic-' || CAST(event_id % 17 AS VARCHAR) AS oic,
                     value FROM ev WHERE event_type = 'view'),
 pay AS (SELECT DISTINCT ON (user_id) user_id, event_id, ts AS payment_date FROM ev
-        WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-31'
+        WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-31' {where}
         ORDER BY user_id, ts, event_id),
 j AS (
   SELECT vs.user_id,
@@ -149,9 +151,18 @@ SELECT user_id, customer_type, event_id, payment_date, profile_vintage, profile_
             WHEN lc_oic IS NOT NULL THEN lc_oic
             ELSE 'System' END AS oic
 FROM j
-""")
+"""
+
+
+# Role bindings: a payment's service and sub-owner on the driver tables.
+_SERVICE_SQL, _SUB_OWNER_SQL = "'S' || (event_id % 3)", "'sub-' || (event_id % 5)"
+
+
+@query("attribution_cascade", ids="C3 U1 J10 J13 J29 A23 P2 DT3 DT9 U2 F7 F8 F9 STR3", sql=_attribution_sql())
 def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_start=PREV_MON_START,
-                        prev5_month_start=PREV_5_MONTH_START):
+                        prev5_month_start=PREV_5_MONTH_START, services=None, owners=None):
+    """Payments of a window with the owner each is attributed to. ``services`` and
+    ``owners`` are optional lists: absent, all services and owners are reported."""
     t = Tables(spark, d)
     ev = t.events.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
     src = ev.where(F.col("event_type") != "purchase").select(
@@ -162,19 +173,25 @@ def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_star
         F.concat(F.lit("oic-"), (F.col("event_id") % 17).cast("string")).alias("lc_oic"))
     pays = ev.where((F.col("event_type") == "purchase") & (F.col("ts") >= _ts(start)) &
                     (F.col("ts") < _ts(end)))
+    number = F.col("event_id").cast("long")
+    pays = pays.withColumns({"service": F.concat(F.lit("S"), (number % 3).cast("string")),
+                             "sub_owner": F.concat(F.lit("sub-"), (number % 5).cast("string"))})
+    pays = maybe_in(maybe_in(pays, "service", services), "sub_owner", owners)
     pay = first_per(pays, "user_id", ["ts", "event_id"], ["event_id", "ts"]) \
         .withColumnRenamed("ts", "payment_date")
+    # one count of the log's keys serves both lookups
+    hot = hot_keys_for(ev, "user_id", "ts")
     # the two lookups are independent: each runs on the payment rows and the
     # results meet on the payment key (1:1), instead of one lookup re-reading
     # the other's output
-    utm = asof_join(pay, src, "user_id", "payment_date", "src_ts", ["utm_source_text"], tiebreak=["src_id"])
+    utm = asof_join(pay, src, "user_id", "payment_date", "src_ts", ["utm_source_text"], tiebreak=["src_id"], hot=hot)
     lc = lookback_join(pay, contacts.where(F.col("value") > 20), "user_id", "payment_date", "contact_ts",
-                       ["lc_oic"], 48 * 3600, pick="first", tiebreak=["contact_id"])
+                       ["lc_oic"], 48 * 3600, pick="first", tiebreak=["contact_id"], hot=hot)
     x = utm.join(lc.select("user_id", "event_id", "lc_oic"), ["user_id", "event_id"], "left")
-    x = agg_per_key(x, contacts.where(F.col("value") > 90), "user_id",
-                    [F.max("contact_ts").alias("sms_sent_on")])
-    x = agg_per_key(x, ev.where(F.col("event_type") == "signup"), "user_id",
-                    [F.min("ts").alias("first_profile_date")])
+    kind = F.col("event_type")
+    x = agg_per_key(x, ev, "user_id", [
+        F.max(F.when((kind == "view") & (F.col("value") > 90), F.col("ts"))).alias("sms_sent_on"),
+        F.min(F.when(kind == "signup", F.col("ts"))).alias("first_profile_date")])
     cust = t.customer.select(F.col("c_custkey").alias("user_id"),
                              decode_label("c_mktsegment", SEGMENT_LABELS, "NH").alias("customer_type"))
     x = x.join(cust, "user_id", "left")
@@ -187,6 +204,25 @@ def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_star
         attribution_owner(F.col("utm_source_text"), F.col("lc_oic")).alias("oic"))
 
 
+@query("payments_single_service", ids="R13 SRC7", sql=_attribution_sql(f"AND {_SERVICE_SQL} IN ('S0')"))
+def payments_single_service(spark, d, *, owners=None, **dates):
+    """Payments of one service."""
+    return attribution_cascade(spark, d, services=["S0"], owners=owners, **dates)
+
+
+@query("payments_service_family", ids="R14 SRC7", sql=_attribution_sql(f"AND {_SERVICE_SQL} IN ('S1', 'S2')"))
+def payments_service_family(spark, d, *, owners=None, **dates):
+    """Payments of a family of services (``payment_holdings`` has the payers' accounts)."""
+    return attribution_cascade(spark, d, services=["S1", "S2"], owners=owners, **dates)
+
+
+@query("payments_owner_list", ids="R15 SRC7", sql=_attribution_sql(
+    f"AND {_SERVICE_SQL} IN ('S2') AND {_SUB_OWNER_SQL} IN ('sub-1', 'sub-4')"))
+def payments_owner_list(spark, d, *, owners=("sub-1", "sub-4"), **dates):
+    """Payments of a service, restricted to a list of owners."""
+    return attribution_cascade(spark, d, services=["S2"], owners=owners, **dates)
+
+
 @query("cohort_suppressed", ids="C4 C5 R1 R7 R8 J6 J7 J20 J22 F5 P5 A8", sql="""
 WITH base AS (
   SELECT c.c_custkey, c.c_mktsegment,
@@ -382,7 +418,7 @@ SELECT a.applied_oic, strftime(a.applied_date, '%Y-%m') AS applied_month,
 FROM apps a LEFT JOIN sp ON sp.sku = a.sku AND sp.customer_type = a.customer_type
 GROUP BY 1, 2
 """)
-def points_score(spark, d):
+def points_score(spark, d, *, owners=None):
     t = Tables(spark, d)
     apps = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"),
                            "l_partkey").select(
@@ -391,6 +427,7 @@ def points_score(spark, d):
         F.col("p_type").alias("customer_type"),
         F.col("l_quantity").cast("int").cast("string").alias("status_code"),
         F.col("l_orderkey").alias("lead_id"))
+    apps = maybe_in(apps, "applied_oic", owners)
     sp = t.part.groupBy(F.col("p_name").alias("sku"), F.col("p_type").alias("customer_type")).agg(
         (F.min("p_size") % 2).alias("api_flag"), (F.min("p_size") % 5 + 1).alias("points"))
     j = apps.join(sp.select("sku", "customer_type", F.col("api_flag").alias("sp_api"),
