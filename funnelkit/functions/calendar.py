@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = ["as_date", "month_start", "prev_month_start", "prev_month_end",
-           "days_in_month", "days_past", "days_left", "months_back_start"]
+           "days_in_month", "days_past", "days_left"]
 
 
 def as_date(d: Column | str) -> Column:
@@ -26,10 +26,6 @@ def prev_month_end(d: Column | str) -> Column:
     return F.date_sub(month_start(d), 1)
 
 
-def months_back_start(d: Column | str, n: int) -> Column:
-    return F.add_months(month_start(d), -n)
-
-
 def days_in_month(d: Column | str) -> Column:
     return F.dayofmonth(F.last_day(as_date(d)))
 

@@ -167,11 +167,12 @@ def dow_sunday0(d: Column | str) -> Column:
     return F.dayofweek(col_(d)) - 1
 
 
-def elapsed_hours(start: Column | str, end: Column | str, digits: int = 2) -> Column:
+def elapsed_hours(start: Column | str, end: Column | str, digits: int = 2, instants: bool = False) -> Column:
     """(end - start) in hours between wall-clock values, rounded (as PostgreSQL
-    ``age`` of timestamps without time zone)."""
+    ``age`` of timestamps without time zone), or between ``instants``."""
     from funnelkit.operators.lookup import wall_micros
-    us = wall_micros(end) - wall_micros(start)
+    micros = (lambda c: F.unix_micros(col_(c))) if instants else wall_micros
+    us = micros(end) - micros(start)
     return F.round(us.cast("decimal(20,0)") / F.lit(3600 * 1000000), digits)
 
 

@@ -57,7 +57,7 @@ def funnel_plan(t, first_day=FUNNEL_FIRST_DAY, last_day=FUNNEL_LAST_DAY):
              "pct_big", "pass_big_not_p", "pass_big_first_f")
 
 
-@query("funnel_rollup", ids="C1 R20 R24 A3 A6 A7 A11 A18 A19 F2 MA2 STR11", sql="""
+@query("funnel_rollup", ids="C1 R20 A3 A6 A7 A11 A18 A19 F2 MA2 STR11", sql="""
 WITH cp1 AS (
   SELECT c.c_custkey AS user_id, c.c_mktsegment AS p_customer_type,
          (SELECT min(o.o_orderdate) FROM orders o WHERE o.o_custkey = c.c_custkey) AS created_on

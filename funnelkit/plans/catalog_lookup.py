@@ -171,7 +171,7 @@ def lookback_48h_first(spark, d):
                          H48, pick="first", tiebreak=["view_id"])
 
 
-@query("range_join_conversions", ids="J14", sql="""
+@query("range_join_conversions", ids="J10 J15", sql="""
 SELECT s.event_id, s.user_id, s.ts,
        (SELECT count(*) FROM events p WHERE p.user_id = s.user_id AND p.event_type = 'purchase'
           AND p.ts >= s.ts AND p.ts < s.ts + INTERVAL 7 DAY) AS purchases_7d,

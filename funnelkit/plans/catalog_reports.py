@@ -29,7 +29,7 @@ def _ts(s):
     return F.lit(s).cast("timestamp_ntz")
 
 
-@query("cohort_conversion_matrix", ids="C2 R4 DT9 SRC8 A3 J14", sql="""
+@query("cohort_conversion_matrix", ids="C2 R4 DT9 SRC8 A3", sql="""
 WITH prof AS (SELECT o_custkey, min(o_orderdate) AS first_profile_date FROM orders GROUP BY 1),
 base AS (
   SELECT o.o_custkey AS user_id, o.o_orderkey AS lead_id, p.first_profile_date AS profiled_date,
@@ -223,7 +223,7 @@ def payments_owner_list(spark, d, *, owners=("sub-1", "sub-4"), **dates):
     return attribution_cascade(spark, d, services=["S2"], owners=owners, **dates)
 
 
-@query("cohort_suppressed", ids="C4 C5 R1 R7 R8 J6 J7 J20 J22 F5 P5 A8", sql="""
+@query("cohort_suppressed", ids="C4 C5 J6 J7 J20 J22 F5 P5 A8", sql="""
 WITH base AS (
   SELECT c.c_custkey, c.c_mktsegment,
          coalesce((SELECT o.o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O'
@@ -471,7 +471,7 @@ def holding_flags(spark, d):
     ], zero=["holds_economy", "holds_small_returned", "n_parts"])
 
 
-@query("journey", ids="C12 R25 J7 W1 J24 A9", sql="""
+@query("journey", ids="C12 J7 W1 J24 A9", sql="""
 SELECT c.c_custkey,
        (SELECT e.event_type FROM events e WHERE e.user_id = c.c_custkey ORDER BY e.ts, e.event_id LIMIT 1) AS first_event_type,
        (SELECT min(e.ts) FROM events e WHERE e.user_id = c.c_custkey AND e.event_type = 'purchase') AS first_purchase_ts,

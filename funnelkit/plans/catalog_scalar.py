@@ -14,7 +14,8 @@ from funnelkit.functions.expr import (age_years, case_cascade, cmatch, collapse_
                                       to_numeric)
 from funnelkit.operators.lookup import lookup_latest, row_positions
 from funnelkit.plans.registry import Tables, query
-from funnelkit.sources.tables import maybe_in
+from funnelkit.sources.sinks import write_by_team, write_csv
+from funnelkit.sources.tables import maybe_in, read_csv
 
 # Order-status labels of the decode variants.
 STATUS_LABELS = {"F": "Fulfilled", "O": "Open", "P": "Partial"}
@@ -344,6 +345,40 @@ def age_numeric(spark, d):
                     to_numeric("c_mktsegment").cast("double").alias("bad_number"), (F.col("c_custkey") % 7).alias("bucket"))
 
 
+def _folder(spark, name):
+    """A folder of its own beside the session's checkpoints, which the cluster shares."""
+    import uuid
+    from funnelkit.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("summary_as_csv", ids="SNK3 SRC2", sql="""
+SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type
+""")
+def summary_as_csv(spark, d):
+    """A summary written as CSV and read back with its schema, two of its columns first."""
+    ev = Tables(spark, d).events
+    out = _folder(spark, "summary")
+    write_csv(ev.groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n_events"),
+                                           F.count_distinct("user_id").alias("n_users")), out)
+    return read_csv(spark, out, "event_type string, first_ts timestamp_ntz, n_events bigint, n_users bigint",
+                    ["event_type", "n_events", "n_users"])
+
+
+@query("blocks_by_team", ids="SNK4", sql="""
+SELECT c_mktsegment AS team, count(*) AS n_customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS acctbal
+FROM customer GROUP BY c_mktsegment
+""")
+def blocks_by_team(spark, d):
+    """One output folder a team, read back by team."""
+    c = Tables(spark, d).customer.select(F.col("c_mktsegment").alias("team"), "c_custkey", "c_acctbal")
+    out = _folder(spark, "teams")
+    write_by_team(c, out, "team", fmt="parquet")
+    back = spark.read.schema("c_custkey bigint, c_acctbal double, team string").parquet(out)
+    return back.groupBy("team").agg(F.count("c_custkey").alias("n_customers"),
+                                    F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("acctbal"))
+
+
 @query("subset_complement", ids="F14 P6", sql="""
 SELECT label, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS acctbal
 FROM (

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.expr import col_, pct_text
+from funnelkit.functions.expr import elapsed_hours, pct_text, time_of_day
 from funnelkit.operators.agg import first_by, milestone, rollup_totals
 
 __all__ = ["rollup_distinct_flags", "stage_funnel", "agent_day", "working_days", "latest_utm",
@@ -92,16 +92,13 @@ def agent_day(calls: DataFrame, *, owner: str, t: str, effective: Column,
     """C6 agent-day attendance: calls, effective calls, first/last call time,
     weekend flag, attendance (0.5 below ``full_day_calls``, else 1) and hours
     between first and last call, per (day, owner)."""
-    from funnelkit.operators.lookup import time_micros
     c = calls if exclude_owner is None else calls.where(~exclude_owner)
     day = F.to_date(F.col(t))
-    _micros = (lambda name: F.unix_micros(F.col(name))) if calls.schema[t].dataType.typeName() == "timestamp" \
-        else (lambda name: time_micros(name))
     return c.groupBy(day.alias("call_date"), F.col(owner).alias("oic")).agg(
         F.count(F.lit(1)).alias("total_calls"),
         F.count(F.when(effective, 1)).alias("effective_calls"),
-        F.min(F.date_format(t, "HH:mm:ss")).alias("first_call_time"),
-        F.max(F.date_format(t, "HH:mm:ss")).alias("last_call_time"),
+        F.min(time_of_day(t)).alias("first_call_time"),
+        F.max(time_of_day(t)).alias("last_call_time"),
         F.max(F.col(t)).alias("__last"), F.min(F.col(t)).alias("__first"),
     ).select(
         "call_date", "oic",
@@ -109,8 +106,8 @@ def agent_day(calls: DataFrame, *, owner: str, t: str, effective: Column,
         "total_calls", "effective_calls", "first_call_time", "last_call_time",
         F.when(F.col("total_calls") < full_day_calls, F.lit(0.5)).otherwise(F.lit(1.0))
         .cast("double").alias("attendance_count"),
-        F.round((_micros("__last") - _micros("__first")).cast("decimal(20,0)")
-                / F.lit(3_600_000_000), 2).cast("double").alias("hours_logged"))
+        elapsed_hours("__first", "__last", instants=calls.schema[t].dataType.typeName() == "timestamp")
+        .cast("double").alias("hours_logged"))
 
 
 def working_days(days: DataFrame, facts: DataFrame, *, t: str, keep: Column, threshold: int,

@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 from funnelkit.plans.registry import all_queries  # noqa: E402
 
 IMPL = {
-    "SRC1": "sources.tables.load / load_all", "SRC2": "sources.tables.read_csv",
+    "SRC1": "sources.tables.load", "SRC2": "sources.tables.read_csv",
     "SRC3": "sources.tables.read_dataset (re-aimed: one dataset per sheet)",
     "SRC4": "sources.tables.rename_at", "SRC5": "sources.tables.serial_to_date",
     "SRC6": "keyword parameters of every report", "SRC7": "sources.tables.maybe_in",
@@ -33,15 +33,15 @@ IMPL = {
     "J4": "chained joins to bounded masters", "J5": "multiplicity + aggregated flags (no pairs)",
     "J6": "operators.member.attach_flag", "J7": "operators.lookup.lookup_latest",
     "J8": "operators.lookup.lookup_latest", "J9": "operators.lookup.lookup_latest (order by id)",
-    "J10": "operators.lookup.asof_join (prefix_agg engine)", "J11": "operators.lookup.range_agg / asof_join",
+    "J10": "operators.lookup.asof_join (prefix_agg engine)", "J11": "operators.lookup.range_agg (open bound) / asof_join",
     "J12": "operators.lookup.lookback_join(pick='last')", "J13": "operators.lookup.lookback_join(pick='first')",
-    "J14": "operators.lookup.range_join / window_count", "J15": "operators.lookup.range_agg",
+    "J14": "operators.lookup.range_join", "J15": "operators.lookup.range_agg",
     "J16": "operators.lookup.agg_per_key", "J17": "agg_per_key with a group key",
     "J18": "chained asof_join", "J19": "operators.member.semi", "J20": "operators.member.semi",
     "J21": "operators.member.anti", "J22": "operators.member.suppress (null-aware)",
     "J23": "operators.member.anti", "J24": "operators.member.flag_earlier_exists",
     "J25": "derived key column + equi join", "J26": "operators.agg.full_join_all",
-    "J27": "operators.agg.bind_cols", "J28": "left join + left_semi on concatenated key (plans.reports.pacing)",
+    "J27": "operators.agg.bind_cols", "J28": "one inner join on the composite key (plans.reports.pacing)",
     "J29": "join + agg_per_key",
     "A1": "F.count", "A2": "F.count_distinct", "A3": "operators.agg.count_distinct_if / rollup_distinct_flags",
     "A4": "F.min / F.max", "A5": "F.sum(F.when(...))", "A6": "operators.agg.milestone",
@@ -75,7 +75,7 @@ IMPL = {
     "C3": "plans.reports.attribution_owner + asof_join + lookback_join", "C4": "semi / suppress / attach_flag",
     "C5": "plans.reports.recency_flags", "C6": "plans.reports.agent_day", "C7": "plans.reports.working_days",
     "C8": "plans.reports.pacing", "C9": "operators.agg.disposition_summary + with_total_row",
-    "C10": "points rule (points_score query)", "C11": "holding flags (holding_flags query)",
+    "C10": "points rule (points_score query)", "C11": "holding flags, saleable accounts (holding_flags, payment_holdings)",
     "C12": "journey query", "C13": "range_agg (effort before first application)",
     "C14": "missed-promise flags",
 }
