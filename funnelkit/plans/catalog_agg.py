@@ -24,6 +24,11 @@ CONNECTED = ["Answered Linkcall"]
 ABANDONED = ["Answered Linkcall Abandoned"]
 HANGUP = ["Answered Hangup"]
 
+
+def _listed(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
 FUNNEL_FIRST_DAY, FUNNEL_LAST_DAY = "1995-07-01", "1996-12-31"
 CAL_START, CAL_END = "2024-01-01", "2024-01-31"
 RUN_DATE = "2024-01-30"
@@ -58,7 +63,7 @@ def funnel_plan(t, first_day=FUNNEL_FIRST_DAY, last_day=FUNNEL_LAST_DAY):
 
 
 @query("funnel_rollup", ids="C1 R20 A3 A6 A7 A11 A18 A19 F2 MA2 STR11", sql="""
-WITH cp1 AS (
+WITH prof1 AS (
   SELECT c.c_custkey AS user_id, c.c_mktsegment AS p_customer_type,
          (SELECT min(o.o_orderdate) FROM orders o WHERE o.o_custkey = c.c_custkey) AS created_on
   FROM customer c
@@ -67,7 +72,7 @@ cp AS (
   SELECT user_id,
          CASE WHEN p_customer_type = 'BUILDING' THEN 'Green' WHEN p_customer_type = 'MACHINERY' THEN 'Red'
               WHEN p_customer_type = 'AUTOMOBILE' THEN 'Amber' END AS customer_type
-  FROM cp1
+  FROM prof1
   WHERE CAST(created_on AS DATE) BETWEEN DATE '1995-07-01' AND DATE '1996-12-31'
     AND p_customer_type IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
 ),
@@ -78,13 +83,13 @@ profiles AS (
 ),
 funnel AS (
   SELECT CASE WHEN grouping(cp.customer_type) = 0 THEN cp.customer_type ELSE 'Total' END AS segment,
-         CASE WHEN grouping(cll.prod) = 0 THEN cll.prod ELSE 'Total' END AS product,
-         count(DISTINCT cp.user_id) FILTER (WHERE cll.pass_f = 1) AS pass_f,
-         count(DISTINCT cp.user_id) FILTER (WHERE cll.pass_o = 1) AS pass_o,
-         count(DISTINCT cp.user_id) FILTER (WHERE cll.pass_p = 1) AS pass_p,
-         count(DISTINCT cp.user_id) FILTER (WHERE cll.pass_big = 1) AS pass_big,
-         count(DISTINCT cp.user_id) FILTER (WHERE cll.pass_big_not_p = 1) AS pass_big_not_p,
-         count(DISTINCT cp.user_id) FILTER (WHERE cll.pass_big = 1 AND cll.first_big_status = 'F') AS pass_big_first_f
+         CASE WHEN grouping(steps.prod) = 0 THEN steps.prod ELSE 'Total' END AS product,
+         count(DISTINCT cp.user_id) FILTER (WHERE steps.pass_f = 1) AS pass_f,
+         count(DISTINCT cp.user_id) FILTER (WHERE steps.pass_o = 1) AS pass_o,
+         count(DISTINCT cp.user_id) FILTER (WHERE steps.pass_p = 1) AS pass_p,
+         count(DISTINCT cp.user_id) FILTER (WHERE steps.pass_big = 1) AS pass_big,
+         count(DISTINCT cp.user_id) FILTER (WHERE steps.pass_big_not_p = 1) AS pass_big_not_p,
+         count(DISTINCT cp.user_id) FILTER (WHERE steps.pass_big = 1 AND steps.first_big_status = 'F') AS pass_big_first_f
   FROM cp
   LEFT JOIN LATERAL (
     SELECT split_part(o_orderpriority, '-', 2) AS prod,
@@ -97,9 +102,9 @@ funnel AS (
     FROM orders
     WHERE o_custkey = cp.user_id
     GROUP BY prod
-  ) cll ON TRUE
-  WHERE cll.prod IS NOT NULL
-  GROUP BY ROLLUP(cp.customer_type, cll.prod)
+  ) steps ON TRUE
+  WHERE steps.prod IS NOT NULL
+  GROUP BY ROLLUP(cp.customer_type, steps.prod)
 )
 SELECT p.segment, p.profiles, f.product, f.pass_f,
        round(f.pass_f / nullif(p.profiles, 0)::NUMERIC * 100, 1) || ' %' AS pct_f,
@@ -421,12 +426,12 @@ WITH calls AS (
 ),
 mivr AS (
   SELECT campaign_name, count(DISTINCT user_id) AS total_calls,
-    count(DISTINCT user_id) FILTER (WHERE last_result IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Busy', 'Invalid', 'No Answer', 'Failed No Lines', 'Canceled', 'Answered Hangup')) AS dialled,
-    count(DISTINCT user_id) FILTER (WHERE last_result IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Answered Hangup')) AS answered,
-    count(DISTINCT user_id) FILTER (WHERE last_result IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
-    count(DISTINCT user_id) FILTER (WHERE last_result IN ('Answered Linkcall')) AS connected,
-    count(DISTINCT user_id) FILTER (WHERE last_result IN ('Answered Linkcall Abandoned')) AS abandoned,
-    count(DISTINCT user_id) FILTER (WHERE last_result IN ('Answered Hangup')) AS hangup
+    count(DISTINCT user_id) FILTER (WHERE last_result IN ({_listed(DIALLED)})) AS dialled,
+    count(DISTINCT user_id) FILTER (WHERE last_result IN ({_listed(ANSWERED)})) AS answered,
+    count(DISTINCT user_id) FILTER (WHERE last_result IN ({_listed(KEYPRESS)})) AS keypress,
+    count(DISTINCT user_id) FILTER (WHERE last_result IN ({_listed(CONNECTED)})) AS connected,
+    count(DISTINCT user_id) FILTER (WHERE last_result IN ({_listed(ABANDONED)})) AS abandoned,
+    count(DISTINCT user_id) FILTER (WHERE last_result IN ({_listed(HANGUP)})) AS hangup
   FROM calls GROUP BY campaign_name
 ),
 chatbot AS (
@@ -543,23 +548,23 @@ WITH ivr AS (
 ),
 mivr AS (
   SELECT campaign_name, count(DISTINCT id) AS total_calls,
-    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Busy', 'Invalid', 'No Answer', 'Failed No Lines', 'Canceled', 'Answered Hangup')) AS dialled,
-    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Answered Hangup')) AS answered,
-    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
-    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall')) AS connected,
-    count(DISTINCT id) FILTER (WHERE r IN ('Answered Linkcall Abandoned')) AS abandoned,
-    count(DISTINCT id) FILTER (WHERE r IN ('Answered Hangup')) AS hangup
+    count(DISTINCT id) FILTER (WHERE r IN ({_listed(DIALLED)})) AS dialled,
+    count(DISTINCT id) FILTER (WHERE r IN ({_listed(ANSWERED)})) AS answered,
+    count(DISTINCT id) FILTER (WHERE r IN ({_listed(KEYPRESS)})) AS keypress,
+    count(DISTINCT id) FILTER (WHERE r IN ({_listed(CONNECTED)})) AS connected,
+    count(DISTINCT id) FILTER (WHERE r IN ({_listed(ABANDONED)})) AS abandoned,
+    count(DISTINCT id) FILTER (WHERE r IN ({_listed(HANGUP)})) AS hangup
   FROM ivr GROUP BY campaign_name
 ),
 ob_calls AS (SELECT l_suppkey AS phone, {_OB_SQL} AS r FROM lineitem),
 ob AS (
   SELECT 'OB' AS campaign_name, count(DISTINCT phone) AS total_calls,
-    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Busy', 'Invalid', 'No Answer', 'Failed No Lines', 'Canceled', 'Answered Hangup')) AS dialled,
-    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned', 'Answered Hangup')) AS answered,
-    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
-    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall')) AS connected,
-    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Linkcall Abandoned')) AS abandoned,
-    count(DISTINCT phone) FILTER (WHERE r IN ('Answered Hangup')) AS hangup
+    count(DISTINCT phone) FILTER (WHERE r IN ({_listed(DIALLED)})) AS dialled,
+    count(DISTINCT phone) FILTER (WHERE r IN ({_listed(ANSWERED)})) AS answered,
+    count(DISTINCT phone) FILTER (WHERE r IN ({_listed(KEYPRESS)})) AS keypress,
+    count(DISTINCT phone) FILTER (WHERE r IN ({_listed(CONNECTED)})) AS connected,
+    count(DISTINCT phone) FILTER (WHERE r IN ({_listed(ABANDONED)})) AS abandoned,
+    count(DISTINCT phone) FILTER (WHERE r IN ({_listed(HANGUP)})) AS hangup
   FROM ob_calls
 ),
 chat_dump AS (
@@ -578,11 +583,11 @@ chatbot AS (
 drop_dump AS (SELECT {_OUTCOME_SQL} AS r FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) < 20),
 ib_drop AS (
   SELECT 'IB Drop' AS campaign_name, count(*) AS total_calls, 0 AS dialled,
-    count(*) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS answered,
-    count(*) FILTER (WHERE r IN ('Answered Linkcall', 'Answered Linkcall Abandoned')) AS keypress,
-    count(*) FILTER (WHERE r IN ('Answered Linkcall')) AS connected,
-    count(*) FILTER (WHERE r IN ('Answered Linkcall Abandoned')) AS abandoned,
-    count(*) FILTER (WHERE r IN ('Answered Hangup')) AS hangup
+    count(*) FILTER (WHERE r IN ({_listed(KEYPRESS)})) AS answered,
+    count(*) FILTER (WHERE r IN ({_listed(KEYPRESS)})) AS keypress,
+    count(*) FILTER (WHERE r IN ({_listed(CONNECTED)})) AS connected,
+    count(*) FILTER (WHERE r IN ({_listed(ABANDONED)})) AS abandoned,
+    count(*) FILTER (WHERE r IN ({_listed(HANGUP)})) AS hangup
   FROM drop_dump
 ),
 allrows AS (

@@ -19,6 +19,10 @@ from funnelkit.sources.tables import maybe_in
 SEGMENT_LABELS = {"BUILDING": "Green", "MACHINERY": "Red", "AUTOMOBILE": "Amber"}
 PROGRESS_LADDER = [("07$", "07"), ("(110|210)$", "110"), ("(051?|06)$", "05"), ("88$", "88"),
                    ("02[23]$", "022"), ("021?$", "02")]
+# Stages that mean a product was offered, was of interest, or was rejected.
+OFFERED_STAGE, INTEREST_STAGE, REJECTED_STAGE = "05$", "0(1|21?)$", "88$"
+CORE_INTEREST_STAGE = "^(CL|vi)-0(1|21?)$"
+# Sources of alliances and networks.
 ALLIANCE_SOURCE, ALLIANCE_EXCLUDED = "(crm|email)", "email-7"
 NETWORK_SOURCE = "(androidapp|monitoring)"
 
@@ -119,13 +123,13 @@ def fresh_profiles_effort(spark, d, *, first_day="2024-01-01", last_day="2024-01
     logs = ev.where(F.col("event_type").isin("view", "click", "signup")).groupBy("user_id").agg(
         milestone(F.col("event_type") == "view").alias("is_prod_int"),
         case_cascade([(F.bool_or(imatch(st, p)), lbl) for p, lbl in PROGRESS_LADDER], "00").alias("progress"),
-        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "05$"))
+        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, OFFERED_STAGE))
         .alias("offered_products"),
-        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "0(1|21?)$"))
+        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, INTEREST_STAGE))
         .alias("interest_shown_products"),
-        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "^(CL|vi)-0(1|21?)$"))
+        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, CORE_INTEREST_STAGE))
         .alias("core_interest_shown_products"),
-        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, "88$"))
+        join_distinct(F.split_part(st, F.lit("-"), F.lit(1)), " | ", where=imatch(st, REJECTED_STAGE))
         .alias("rejected_products"))
     dialer = lookup_latest(base.select("user_id"), ev, "user_id", ["ts", "event_id"], ["product_status"],
                            where=imatch(st, "^er"), how="inner")
@@ -192,7 +196,7 @@ WITH vas_interest AS (
 SELECT vi.*,
        CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'Green' WHEN c.c_mktsegment = 'MACHINERY' THEN 'Red'
             WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Amber' ELSE 'NH' END AS customer_type,
-       c.c_acctbal AS credit_score, calls.*, cpa.*
+       c.c_acctbal AS credit_score, calls.*, acct.*
 FROM vas_interest vi
 LEFT JOIN customer c ON c.c_custkey = vi.user_id
 LEFT JOIN LATERAL (
@@ -206,7 +210,7 @@ LEFT JOIN LATERAL (
          bool_or(p.p_type = 'LARGE')::INTEGER AS has_large
   FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
   WHERE l.l_orderkey = vi.lead_id AND l.l_linestatus = 'O'
-) cpa ON TRUE
+) acct ON TRUE
 WHERE NOT EXISTS ({_SUBSCRIBED_SQL.format(u='vi.user_id')})
 """)
 def interest_not_subscribed(spark, d, *, start="1997-01-01", end="1998-01-01", run_date="1998-06-01"):
@@ -297,8 +301,8 @@ WITH base AS (
   SELECT la.o_orderkey AS lead_id, la.o_custkey AS user_id, la.o_orderstatus AS product_status,
          la.o_orderpriority AS product, la.o_orderdate AS applied_date
   FROM orders la
-  WHERE EXISTS (SELECT 1 FROM lineitem cll WHERE cll.l_orderkey = la.o_orderkey
-                AND cll.l_shipdate >= TIMESTAMP '1998-06-01')
+  WHERE EXISTS (SELECT 1 FROM lineitem steps WHERE steps.l_orderkey = la.o_orderkey
+                AND steps.l_shipdate >= TIMESTAMP '1998-06-01')
 )
 SELECT b.*,
   (SELECT o2.o_orderdate FROM orders o2 WHERE o2.o_custkey = b.user_id ORDER BY o2.o_orderdate LIMIT 1) AS first_profile_date,
@@ -342,21 +346,21 @@ src AS (SELECT user_id, ts AS created_at, event_id,
           WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'B' || k || '_androidapp' ELSE 'crm-b' || k END
           ELSE 'error-' || k END AS utm_source_text
         FROM ev WHERE event_type <> 'purchase'),
-cp1 AS (SELECT user_id, min(ts) AS profiled_date FROM events WHERE event_type = 'purchase' GROUP BY 1)
+prof1 AS (SELECT user_id, min(ts) AS profiled_date FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT a.o_orderkey AS lead_id, a.o_custkey AS user_id, c.c_name AS first_name, a.o_orderpriority AS sku,
-       a.o_orderdate AS aip_approval_date, dsa.dsa_name, pu.profiled_utm_source,
+       a.o_orderdate AS aip_approval_date, agency.agency_name, pu.profiled_utm_source,
        CASE WHEN regexp_matches(pu.profiled_utm_source, '(crm|email)', 'i')
              AND pu.profiled_utm_source NOT IN ('email-7') THEN '1' END AS alliance_flag,
        CASE WHEN regexp_matches(pu.profiled_utm_source, '(androidapp|monitoring)', 'i') THEN '1' END AS nw_flag,
        c.c_acctbal AS credit_score, coalesce(rc.regen_lead_count, 0) AS regen_lead_count
 FROM orders a
 LEFT JOIN customer c ON c.c_custkey = a.o_custkey
-LEFT JOIN LATERAL (SELECT r.r_name AS dsa_name FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
-                   WHERE n.n_nationkey = c.c_nationkey AND regexp_matches(n.n_name, '_1', 'i')) dsa ON TRUE
+LEFT JOIN LATERAL (SELECT r.r_name AS agency_name FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+                   WHERE n.n_nationkey = c.c_nationkey AND regexp_matches(n.n_name, '_1', 'i')) agency ON TRUE
 LEFT JOIN LATERAL (
-  SELECT (SELECT s.utm_source_text FROM src s WHERE s.user_id = cp1.user_id AND s.created_at < cp1.profiled_date
+  SELECT (SELECT s.utm_source_text FROM src s WHERE s.user_id = prof1.user_id AND s.created_at < prof1.profiled_date
           ORDER BY s.created_at DESC, s.event_id DESC LIMIT 1) AS profiled_utm_source
-  FROM cp1 WHERE cp1.user_id = a.o_custkey
+  FROM prof1 WHERE prof1.user_id = a.o_custkey
 ) pu ON TRUE
 LEFT JOIN LATERAL (
   SELECT count(*) AS regen_lead_count
@@ -373,13 +377,13 @@ def approved_attribution(spark, d, *, start="1997-01-01", end="1997-04-01"):
     src = ev.where(F.col("event_type") != "purchase").select(
         "user_id", F.col("ts").alias("src_ts"), F.col("event_id").alias("src_id"),
         _utm_source(F.col("k"), F.col("event_type")).alias("profiled_utm_source"))
-    cp1 = ev.where(F.col("event_type") == "purchase").groupBy("user_id").agg(F.min("ts").alias("profiled_date"))
-    pu = asof_join(cp1, src, "user_id", "profiled_date", "src_ts", ["profiled_utm_source"], tiebreak=["src_id"])
-    dsa = (t.nation.where(imatch("n_name", "_1"))
+    prof1 = ev.where(F.col("event_type") == "purchase").groupBy("user_id").agg(F.min("ts").alias("profiled_date"))
+    pu = asof_join(prof1, src, "user_id", "profiled_date", "src_ts", ["profiled_utm_source"], tiebreak=["src_id"])
+    agency = (t.nation.where(imatch("n_name", "_1"))
            .join(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
-           .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("dsa_name")))
-    cust = t.customer.join(dsa, "c_nationkey", "left").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("first_name"), "dsa_name",
+           .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("agency_name")))
+    cust = t.customer.join(agency, "c_nationkey", "left").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("first_name"), "agency_name",
         F.col("c_acctbal").alias("credit_score"))
     # the regenerated leads themselves are the rows of ``regenerated_leads``: a list of
     # them on each of their user's leads would grow with the square of that user's leads
@@ -391,7 +395,7 @@ def approved_attribution(spark, d, *, start="1997-01-01", end="1997-04-01"):
            .join(regen, "user_id", "left"))
     src_col = F.col("profiled_utm_source")
     return out.select(
-        "lead_id", "user_id", "first_name", "sku", "aip_approval_date", "dsa_name", "profiled_utm_source",
+        "lead_id", "user_id", "first_name", "sku", "aip_approval_date", "agency_name", "profiled_utm_source",
         F.when(imatch(src_col, ALLIANCE_SOURCE) & ~src_col.isin(ALLIANCE_EXCLUDED), "1").alias("alliance_flag"),
         F.when(imatch(src_col, NETWORK_SOURCE), "1").alias("nw_flag"), "credit_score",
         F.coalesce("regen_lead_count", F.lit(0)).alias("regen_lead_count"))
@@ -437,7 +441,7 @@ SELECT a.o_orderkey AS lead_id, a.o_custkey AS user_id, a.o_orderpriority AS sku
        WHEN regexp_matches(a.o_orderpriority, 'medium', 'i')
          AND regexp_matches(a.applied_oic, '(system|port)', 'i') THEN coalesce(late.oic, a.applied_oic)
        ELSE a.applied_oic END AS attribution,
-  cll.latest_crm, pass_met.*, call_att.*,
+  steps.latest_crm, stage_flags.*, effort.*,
   CASE WHEN (year(a.o_orderdate) - year(fp.first_profile_date)) * 12 + month(a.o_orderdate) - month(fp.first_profile_date) < 2
        THEN 'M' || CAST((year(a.o_orderdate) - year(fp.first_profile_date)) * 12 + month(a.o_orderdate) - month(fp.first_profile_date) AS VARCHAR)
        ELSE 'M1+' END AS profile_vintage,
@@ -466,7 +470,7 @@ LEFT JOIN LATERAL (
   SELECT l.l_returnflag AS latest_crm FROM lineitem l
   WHERE l.l_orderkey = a.o_orderkey AND l.l_linestatus = 'F' AND NOT regexp_matches(l.l_returnflag, '^n', 'i')
   ORDER BY l.l_shipdate DESC, l.l_linenumber DESC, l.l_returnflag DESC LIMIT 1
-) cll ON TRUE
+) steps ON TRUE
 LEFT JOIN LATERAL (
   SELECT bool_or(l_returnflag = 'R')::INTEGER AS pass_r,
          bool_or(CAST(l_linenumber AS VARCHAR) >= '3')::INTEGER AS pass_ge3,
@@ -474,7 +478,7 @@ LEFT JOIN LATERAL (
          bool_or(CAST(l_linenumber AS VARCHAR) IN ('5', '6', '7'))::INTEGER AS pass_reject_stage,
          bool_or(CAST(l_linenumber AS VARCHAR) > '2' AND CAST(l_linenumber AS VARCHAR) NOT IN ('4', '6'))::INTEGER AS has_received_feedback
   FROM lineitem WHERE l_orderkey = a.o_orderkey
-) pass_met ON TRUE
+) stage_flags ON TRUE
 LEFT JOIN LATERAL (
   SELECT count(*) AS attempts,
          count(*) FILTER (WHERE NOT regexp_matches(l_returnflag, '(a)', 'i')) AS effective_attempts,
@@ -483,7 +487,7 @@ LEFT JOIN LATERAL (
   FROM lineitem
   WHERE l_orderkey = a.o_orderkey AND l_linestatus = 'F' AND NOT regexp_matches(l_returnflag, '^n', 'i')
     AND l_shipdate > a.o_orderdate
-) call_att ON TRUE
+) effort ON TRUE
 LEFT JOIN LATERAL (
   SELECT string_agg(lenders, '|' ORDER BY lenders) AS lenders_presented
   FROM (SELECT DISTINCT trim(unnest(string_split('{' || l_returnflag || ',' || l_linestatus || '}', ',')), '{}') AS lenders
@@ -561,10 +565,10 @@ WITH base AS (
   SELECT la.o_orderkey AS lead_id, la.o_custkey AS user_id, la.o_orderstatus AS product_status,
          la.o_orderdate AS applied_date,
          count(*) AS fanout_rows,
-         max(CASE WHEN regexp_matches(scuf.o_orderstatus, 'f', 'i') AND scuf.o_orderdate >= TIMESTAMP '2000-01-01' THEN 1 END) AS scuf_applied_2years_flag,
-         max(CASE WHEN regexp_matches(scuf.o_orderstatus, 'f', 'i') THEN 1 END) AS scuf_applied_ltd_flag
+         max(CASE WHEN regexp_matches(lender_rows.o_orderstatus, 'f', 'i') AND lender_rows.o_orderdate >= TIMESTAMP '2000-01-01' THEN 1 END) AS lender_applied_2years_flag,
+         max(CASE WHEN regexp_matches(lender_rows.o_orderstatus, 'f', 'i') THEN 1 END) AS lender_applied_ever_flag
   FROM orders la
-  LEFT JOIN LATERAL (SELECT * FROM orders app WHERE app.o_custkey = la.o_custkey) scuf ON TRUE
+  LEFT JOIN LATERAL (SELECT * FROM orders app WHERE app.o_custkey = la.o_custkey) lender_rows ON TRUE
   WHERE regexp_matches(la.o_orderpriority, '(3-|4-)', 'i') AND la.o_orderdate >= TIMESTAMP '1998-01-01'
   GROUP BY 1, 2, 3, 4
 )
@@ -593,8 +597,8 @@ def rejected_enriched(spark, d):
     f = imatch("o_orderstatus", "f")
     per_user = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.count(F.lit(1)).alias("fanout_rows"),
-        F.max(F.when(f & (F.col("o_orderdate") >= _ts("2000-01-01")), 1)).alias("scuf_applied_2years_flag"),
-        F.max(F.when(f, 1)).alias("scuf_applied_ltd_flag"),
+        F.max(F.when(f & (F.col("o_orderdate") >= _ts("2000-01-01")), 1)).alias("lender_applied_2years_flag"),
+        F.max(F.when(f, 1)).alias("lender_applied_ever_flag"),
         F.min("o_orderdate").alias("first_profile_date"))
     base = la.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
                      F.col("o_orderstatus").alias("product_status"), F.col("o_orderdate").alias("applied_date"))
@@ -606,8 +610,8 @@ def rejected_enriched(spark, d):
                    "user_id", "user_id")
     dob = F.date_add(F.lit("1960-01-01").cast("date"), ((F.col("user_id") * 37) % 18000).cast("int"))
     return out.select(
-        "lead_id", "user_id", "product_status", "applied_date", "fanout_rows", "scuf_applied_2years_flag",
-        "scuf_applied_ltd_flag", "first_profile_date", "customer_type", "tkn",
+        "lead_id", "user_id", "product_status", "applied_date", "fanout_rows", "lender_applied_2years_flag",
+        "lender_applied_ever_flag", "first_profile_date", "customer_type", "tkn",
         F.coalesce("__last_purchase_value", "__last_view_value").alias("monthly_income"),
         age_years(dob, "2024-01-30").alias("age"), "latest_login_date")
 
@@ -619,26 +623,26 @@ WITH base AS (
   FROM customer c
   LEFT JOIN LATERAL (SELECT o.o_orderstatus AS last1mnth_status FROM orders o
                      WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= TIMESTAMP '2001-01-01'
-                       AND o.o_orderstatus = 'P') cpa ON TRUE
+                       AND o.o_orderstatus = 'P') acct ON TRUE
   WHERE c.c_acctbal >= 500
     AND (regexp_matches(c.c_mktsegment, '(build|auto)', 'i') OR c.c_mktsegment IS NULL)
     AND CAST(c.c_custkey AS VARCHAR) NOT BETWEEN '500' AND '550'
-    AND cpa.last1mnth_status IS NULL
+    AND acct.last1mnth_status IS NULL
 ),
 b2 AS (
-  SELECT b.*, cashe.cashe_flag, es_1.es_tier1_flag, es_2.es_tier2_flag
+  SELECT b.*, high_value.high_value_flag, es_1.recent_urgent_flag, es_2.recent_high_flag
   FROM base b
-  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS cashe_flag FROM orders x
-                     WHERE x.o_custkey = b.user_id AND x.o_totalprice > 450000) cashe ON TRUE
-  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS es_tier1_flag FROM orders x
+  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS high_value_flag FROM orders x
+                     WHERE x.o_custkey = b.user_id AND x.o_totalprice > 450000) high_value ON TRUE
+  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS recent_urgent_flag FROM orders x
                      WHERE x.o_custkey = b.user_id AND x.o_orderpriority = '1-URGENT'
                        AND x.o_orderdate >= TIMESTAMP '2000-01-01') es_1 ON TRUE
-  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS es_tier2_flag FROM orders x
+  LEFT JOIN LATERAL (SELECT DISTINCT '1' AS recent_high_flag FROM orders x
                      WHERE x.o_custkey = b.user_id AND x.o_orderpriority = '2-HIGH'
                        AND x.o_orderdate >= TIMESTAMP '2000-01-01') es_2 ON TRUE
 )
 SELECT b.*,
-       CASE WHEN b.credit_score >= 1500 AND b.user_id % 100 >= 22 AND b.user_id % 100 <= 45 THEN '1' END AS kb_flag,
+       CASE WHEN b.credit_score >= 1500 AND b.user_id % 100 >= 22 AND b.user_id % 100 <= 45 THEN '1' END AS income_age_flag,
        (SELECT e.event_id FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'signup'
         ORDER BY e.ts DESC, e.event_id DESC LIMIT 1) AS tkn,
        (SELECT e.ts FROM events e WHERE e.user_id = b.user_id ORDER BY e.ts DESC LIMIT 1) AS latest_login_date
@@ -657,12 +661,12 @@ def rest_of_base(spark, d):
         F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("credit_score"),
         F.col("c_mktsegment").alias("employment_type"), F.col("c_custkey").cast("string").alias("pincode"))
     since = F.col("o_orderdate") >= _ts("2000-01-01")
-    for name, members in [("cashe_flag", t.orders.where(F.col("o_totalprice") > 450000)),
-                          ("es_tier1_flag", t.orders.where((F.col("o_orderpriority") == "1-URGENT") & since)),
-                          ("es_tier2_flag", t.orders.where((F.col("o_orderpriority") == "2-HIGH") & since))]:
+    for name, members in [("high_value_flag", t.orders.where(F.col("o_totalprice") > 450000)),
+                          ("recent_urgent_flag", t.orders.where((F.col("o_orderpriority") == "1-URGENT") & since)),
+                          ("recent_high_flag", t.orders.where((F.col("o_orderpriority") == "2-HIGH") & since))]:
         base = attach_flag(base, members, "user_id", name, "o_custkey")
     age = F.col("user_id") % 100
-    out = base.withColumn("kb_flag", flag_when((F.col("credit_score") >= 1500) & (age >= 22) & (age <= 45), "1"))
+    out = base.withColumn("income_age_flag", flag_when((F.col("credit_score") >= 1500) & (age >= 22) & (age <= 45), "1"))
     out = out.join(_user_event_lookups(t).select("user_id", "tkn", "latest_login_date"), "user_id", "left")
     return suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > 98)),
                     "user_id", "user_id")

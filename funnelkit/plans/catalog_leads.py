@@ -167,10 +167,10 @@ SELECT a.o_orderkey AS lead_id, a.o_custkey AS user_id,
   (SELECT regexp_replace(l.l_returnflag || chr(10) || chr(13) || CAST(l.l_partkey AS VARCHAR), '[\\n\\r]+', ' ', 'g')
    FROM lineitem l WHERE l.l_orderkey = a.o_orderkey AND l.l_linestatus = 'F'
    ORDER BY {_LOG_DESC_SQL} LIMIT 1) AS description,
-  CAST(TRY_CAST(json_extract_string(ffi.props, '$.k') AS DECIMAL(18,2)) AS DOUBLE) AS net_take_home,
+  CAST(TRY_CAST(json_extract_string(form.props, '$.k') AS DECIMAL(18,2)) AS DOUBLE) AS net_take_home,
   (SELECT (array_agg(owner ORDER BY {_LOG_ORDER_SQL}) FILTER (WHERE l_linenumber = 3))[1] FROM log
    WHERE log.l_orderkey = a.o_orderkey GROUP BY l_orderkey) AS first_oic,
-  fb.lender_notes, fb.lender_reject_reason, dsa.dsa_name,
+  fb.lender_notes, fb.lender_reject_reason, agency.agency_name,
   pu.profiled_date, pu.profiled_utm_source,
   (SELECT o.o_totalprice FROM orders o WHERE o.o_custkey = a.o_custkey
    ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 1) AS credit_score,
@@ -185,13 +185,13 @@ LEFT JOIN LATERAL (
   WHERE l.l_orderkey = a.o_orderkey AND coalesce(CASE WHEN l.l_returnflag = 'A' THEN 'initial' END,
         CASE WHEN p.p_size < 20 THEN 'initial' ELSE 'final' END) = 'initial'
   ORDER BY {_LOG_DESC_SQL} LIMIT 1) rl ON TRUE
-LEFT JOIN LATERAL (SELECT props FROM events e WHERE e.user_id = a.o_custkey ORDER BY e.event_id LIMIT 1) ffi ON TRUE
+LEFT JOIN LATERAL (SELECT props FROM events e WHERE e.user_id = a.o_custkey ORDER BY e.event_id LIMIT 1) form ON TRUE
 LEFT JOIN LATERAL (
   SELECT l.l_linestatus || CAST(l.l_linenumber AS VARCHAR) AS lender_notes, l.l_partkey AS lender_reject_reason
   FROM lineitem l WHERE l.l_orderkey = a.o_orderkey AND l.l_returnflag = 'N'
   ORDER BY {_LOG_DESC_SQL} LIMIT 1) fb ON TRUE
-LEFT JOIN LATERAL (SELECT r.r_name AS dsa_name FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
-                   WHERE n.n_nationkey = c.c_nationkey AND regexp_matches(n.n_name, '_1', 'i')) dsa ON TRUE
+LEFT JOIN LATERAL (SELECT r.r_name AS agency_name FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+                   WHERE n.n_nationkey = c.c_nationkey AND regexp_matches(n.n_name, '_1', 'i')) agency ON TRUE
 LEFT JOIN LATERAL (
   SELECT p.profiled_date, (SELECT 'src-' || s.k FROM ev s WHERE s.user_id = a.o_custkey AND s.event_type <> 'purchase'
       AND s.ts < p.profiled_date ORDER BY s.ts DESC, s.event_id DESC LIMIT 1) AS profiled_utm_source
@@ -231,11 +231,11 @@ def application_lookups(spark, d, *, start="1996-01-01", end="1996-04-01"):
     theirs = semi(t.orders, users, [("o_custkey", "user_id")]).groupBy(F.col("o_custkey").alias("user_id")).agg(
         last_by("o_totalprice", ["o_orderdate", "o_orderkey"]).alias("credit_score"),
         F.count(F.when(imatch("o_orderpriority", "high"), 1)).alias("regen_lead_count"))
-    dsa = (t.nation.where(imatch("n_name", "_1"))
+    agency = (t.nation.where(imatch("n_name", "_1"))
            .join(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
-           .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("dsa_name")))
-    customer = t.customer.join(dsa, "c_nationkey", "left").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("customer_type"), "dsa_name")
+           .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("agency_name")))
+    customer = t.customer.join(agency, "c_nationkey", "left").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("customer_type"), "agency_name")
     points = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("customer_type")),
                            "o_custkey").groupBy(F.col("o_orderpriority").alias("sku"), "customer_type").agg(
         (F.count(F.lit(1)) % 2).alias("api_flag"), (F.count(F.lit(1)) % 5 + 1).alias("points"))
@@ -250,7 +250,7 @@ def application_lookups(spark, d, *, start="1996-01-01", end="1996-04-01"):
         "lead_id", "user_id", score.alias("points_sku"),
         one_if(F.col("__card").isin(1, 2)).alias("is_card_api_approved"), one_if(F.col("__bank") == 1).alias("is_bank_api_approved"),
         "description", to_numeric(F.get_json_object("__form", "$.k")).cast("double").alias("net_take_home"), "first_oic",
-        F.col("__fb.notes").alias("lender_notes"), F.col("__fb.l_partkey").alias("lender_reject_reason"), "dsa_name",
+        F.col("__fb.notes").alias("lender_notes"), F.col("__fb.l_partkey").alias("lender_reject_reason"), "agency_name",
         "profiled_date", "profiled_utm_source", "credit_score", "tkn",
         F.coalesce("regen_lead_count", F.lit(0)).alias("regen_lead_count"))
 
@@ -267,20 +267,20 @@ held AS (
   LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
   WHERE l.l_returnflag NOT IN ('N')
 )
-SELECT vs.user_id, vs.event_id, vs.payment_date, usl.login_date, ue.term AS utm_term, cp3.latest_profile_id,
+SELECT vs.user_id, vs.event_id, vs.payment_date, login_src.login_date, ue.term AS utm_term, prof3.latest_profile_id,
   coalesce(h.nsaleable, 0) AS nsaleable, h.lenders, h.account_no, h.products, h.account_status
 FROM pay vs
 LEFT JOIN LATERAL (SELECT login_date FROM login x WHERE x.user_id = vs.user_id AND x.login_date < vs.payment_date
-                   ORDER BY x.login_date DESC, x.event_id DESC LIMIT 1) usl ON TRUE
-LEFT JOIN LATERAL (SELECT term FROM ev x WHERE x.user_id = vs.user_id AND x.ts = usl.login_date
+                   ORDER BY x.login_date DESC, x.event_id DESC LIMIT 1) login_src ON TRUE
+LEFT JOIN LATERAL (SELECT term FROM ev x WHERE x.user_id = vs.user_id AND x.ts = login_src.login_date
                    ORDER BY x.event_id LIMIT 1) ue ON TRUE
-LEFT JOIN LATERAL (SELECT max(o_orderkey) AS latest_profile_id FROM orders o WHERE o.o_custkey = vs.user_id) cp3 ON TRUE
+LEFT JOIN LATERAL (SELECT max(o_orderkey) AS latest_profile_id FROM orders o WHERE o.o_custkey = vs.user_id) prof3 ON TRUE
 LEFT JOIN LATERAL (
   SELECT count(*) AS nsaleable, string_agg(short_name, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lenders,
     string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS account_no,
     string_agg(product, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS products,
     string_agg(status, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS account_status
-  FROM held WHERE held.profile_id = cp3.latest_profile_id) h ON TRUE
+  FROM held WHERE held.profile_id = prof3.latest_profile_id) h ON TRUE
 """)
 def payment_holdings(spark, d, *, start="2024-01-10", end="2024-01-31"):
     """The term of the event at the login before each payment, the payer's latest

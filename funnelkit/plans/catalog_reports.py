@@ -51,17 +51,17 @@ SELECT
   count(DISTINCT cp.lead_id) FILTER (WHERE cp.applied_date >= TIMESTAMP '2001-05-01' AND cp.applied_date < TIMESTAMP '2001-06-01') AS "2001-05-01 applied",
   count(DISTINCT cp.lead_id) FILTER (WHERE cp.applied_date >= TIMESTAMP '2001-04-01' AND cp.applied_date < TIMESTAMP '2001-05-01') AS "2001-04-01 applied",
   count(DISTINCT cp.lead_id) FILTER (WHERE cp.applied_date < TIMESTAMP '2001-04-01') AS "M2+ applied",
-  count(DISTINCT app_990.lead_id) FILTER (WHERE app_990.booking_date >= TIMESTAMP '2001-06-01') AS "2001-06-01 conversion",
-  count(DISTINCT app_990.lead_id) FILTER (WHERE app_990.booking_date >= TIMESTAMP '2001-05-01' AND app_990.booking_date < TIMESTAMP '2001-06-01') AS "2001-05-01 conversion",
-  count(DISTINCT app_990.lead_id) FILTER (WHERE app_990.booking_date >= TIMESTAMP '2001-04-01' AND app_990.booking_date < TIMESTAMP '2001-05-01') AS "2001-04-01 conversion",
-  count(DISTINCT app_990.lead_id) FILTER (WHERE app_990.booking_date < TIMESTAMP '2001-04-01') AS "M2+ conversion"
+  count(DISTINCT converted.lead_id) FILTER (WHERE converted.booking_date >= TIMESTAMP '2001-06-01') AS "2001-06-01 conversion",
+  count(DISTINCT converted.lead_id) FILTER (WHERE converted.booking_date >= TIMESTAMP '2001-05-01' AND converted.booking_date < TIMESTAMP '2001-06-01') AS "2001-05-01 conversion",
+  count(DISTINCT converted.lead_id) FILTER (WHERE converted.booking_date >= TIMESTAMP '2001-04-01' AND converted.booking_date < TIMESTAMP '2001-05-01') AS "2001-04-01 conversion",
+  count(DISTINCT converted.lead_id) FILTER (WHERE converted.booking_date < TIMESTAMP '2001-04-01') AS "M2+ conversion"
 FROM base cp
 LEFT JOIN LATERAL (
-  SELECT DISTINCT cll.o_orderkey AS lead_id, cll.o_custkey AS user_id, cll.o_orderdate AS booking_date
-  FROM orders cll
-  WHERE cll.o_custkey = cp.user_id AND cll.o_orderdate >= cp.profiled_date
-    AND cll.o_orderdate <= TIMESTAMP '2001-06-30' AND regexp_matches(cll.o_orderstatus, 'F', 'i')
-) app_990 ON TRUE
+  SELECT DISTINCT steps.o_orderkey AS lead_id, steps.o_custkey AS user_id, steps.o_orderdate AS booking_date
+  FROM orders steps
+  WHERE steps.o_custkey = cp.user_id AND steps.o_orderdate >= cp.profiled_date
+    AND steps.o_orderdate <= TIMESTAMP '2001-06-30' AND regexp_matches(steps.o_orderstatus, 'F', 'i')
+) converted ON TRUE
 GROUP BY 1
 """)
 def cohort_conversion_matrix(spark, d, *, m0=M0, m1=M1, m2=M2, end=CONV_END):
@@ -112,25 +112,25 @@ j AS (
          CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'Green' WHEN c.c_mktsegment = 'MACHINERY' THEN 'Red'
               WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Amber' ELSE 'NH' END AS customer_type,
          vs.event_id, vs.payment_date,
-         CASE WHEN cp2.first_profile_date >= TIMESTAMP '2024-01-15' AND cp2.first_profile_date < TIMESTAMP '2024-01-31' THEN 'V0'
-              WHEN cp2.first_profile_date >= TIMESTAMP '2024-01-05' AND cp2.first_profile_date < TIMESTAMP '2024-01-15' THEN 'V1'
-              WHEN cp2.first_profile_date < TIMESTAMP '2024-01-05' THEN 'V2'
-              ELSE strftime(cp2.first_profile_date, '%Y-%m') END AS profile_vintage,
-         CASE WHEN (year(DATE '2024-01-10') - year(cp2.first_profile_date)) * 12 + month(DATE '2024-01-10') - month(cp2.first_profile_date) <= 6
-              THEN 'M-' || CAST((year(DATE '2024-01-10') - year(cp2.first_profile_date)) * 12 + month(DATE '2024-01-10') - month(cp2.first_profile_date) AS VARCHAR)
+         CASE WHEN prof2.first_profile_date >= TIMESTAMP '2024-01-15' AND prof2.first_profile_date < TIMESTAMP '2024-01-31' THEN 'V0'
+              WHEN prof2.first_profile_date >= TIMESTAMP '2024-01-05' AND prof2.first_profile_date < TIMESTAMP '2024-01-15' THEN 'V1'
+              WHEN prof2.first_profile_date < TIMESTAMP '2024-01-05' THEN 'V2'
+              ELSE strftime(prof2.first_profile_date, '%Y-%m') END AS profile_vintage,
+         CASE WHEN (year(DATE '2024-01-10') - year(prof2.first_profile_date)) * 12 + month(DATE '2024-01-10') - month(prof2.first_profile_date) <= 6
+              THEN 'M-' || CAST((year(DATE '2024-01-10') - year(prof2.first_profile_date)) * 12 + month(DATE '2024-01-10') - month(prof2.first_profile_date) AS VARCHAR)
               ELSE 'M-6 >' END AS profile_vintage_m,
-         usl.utm_source_text,
+         login_src.utm_source_text,
          (SELECT max(x.updated_at) FROM contacts x WHERE x.user_id = vs.user_id AND x.value > 90) AS sms_sent_on,
          lc.oic AS lc_oic
   FROM pay vs
   LEFT JOIN customer c ON c.c_custkey = vs.user_id
   LEFT JOIN LATERAL (SELECT utm_source_text FROM src WHERE src.user_id = vs.user_id
-                     AND src.created_at < vs.payment_date ORDER BY created_at DESC, event_id DESC LIMIT 1) usl ON TRUE
+                     AND src.created_at < vs.payment_date ORDER BY created_at DESC, event_id DESC LIMIT 1) login_src ON TRUE
   LEFT JOIN LATERAL (SELECT oic FROM contacts x WHERE x.user_id = vs.user_id AND x.value > 20
                      AND x.updated_at >= vs.payment_date - INTERVAL 48 HOUR AND x.updated_at < vs.payment_date
                      ORDER BY x.updated_at, x.event_id LIMIT 1) lc ON TRUE
   LEFT JOIN LATERAL (SELECT min(ts) AS first_profile_date FROM ev WHERE ev.user_id = vs.user_id
-                     AND ev.event_type = 'signup') cp2 ON TRUE
+                     AND ev.event_type = 'signup') prof2 ON TRUE
 )
 SELECT user_id, customer_type, event_id, payment_date, profile_vintage, profile_vintage_m,
        utm_source_text, sms_sent_on,
