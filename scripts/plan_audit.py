@@ -12,6 +12,7 @@ import io
 import os
 import re
 import sys
+import tempfile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -35,7 +36,8 @@ PATTERNS = {
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session(cpus=8, shuffle_partitions=16)
+    spark = build_session(cpus=8, shuffle_partitions=16, extra={
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"), "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-")})
     rows = []
     for name, q in sorted(all_queries().items()):
         buf = io.StringIO()
@@ -51,8 +53,9 @@ def main():
              "from static size statistics of small files. Single-partition exchanges are the final",
              "merge of a global aggregate (one partial row per task), a top-n, or the per-partition",
              "offsets of `row_positions`; none carries a data-sized input. Each as-of / look-back",
-             "lookup contributes one data-sized shuffle on (key, bucket) plus small ones: the",
-             "map-side combined key count, the bounded hot-key top-k, and the hot-key-only carry.",
+             "lookup is one data-sized shuffle on (key, cell); its map-side combined key count has run",
+             "when the plan is built. Where that finds hot keys, the plan also holds their bounded",
+             "table, one aggregate of their right rows per cell and the seed rows made of it.",
              "Generated by `scripts/plan_audit.py`.", "",
              head, "| " + " | ".join(["---"] * (len(PATTERNS) + 1)) + " |"]
     for name, counts in rows:
