@@ -18,6 +18,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from funnelkit.llm.line_dedup import line_dedup
 from funnelkit.llm.packing import pack_power_of_two
@@ -30,6 +31,11 @@ from funnelkit.sources.tables import load
 TABLE = "documents"
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text that a stage has changed (null for a null text)."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that fail the rules go, and so do those of failing hosts."""
     return keep_good(docs)
@@ -37,7 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: boilerplate lines of a host leave its documents' texts."""
-    return line_dedup(docs)
+    return _recounted(line_dedup(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: secrets that look live are masked."""
-    return redact(docs)
+    return _recounted(redact(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
