@@ -100,7 +100,8 @@ def asof_previous_click(spark, d):
         "user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"),
         F.col("value").alias("click_value"))
     return asof_join(_purchases(t), clicks, "user_id", "ts", "click_ts",
-                     ["click_id", "click_ts", "click_value"], strict=True, tiebreak=["click_id"])
+                     ["click_id", "click_ts", "click_value"], strict=True, tiebreak=["click_id"],
+                     hot=hot_keys_for(t.events, "user_id", "ts"))
 
 
 @query("previous_click_value", ids="J10 (every event)", sql="""
@@ -115,7 +116,9 @@ def previous_click_value(spark, d):
         "user_id", F.col("ts").alias("cts"), F.col("event_id").alias("cid"),
         F.col("value").alias("prev_click_value"))
     base = t.events.select("event_id", "user_id", "event_type", "ts")
-    out = asof_join(base, clicks, "user_id", "ts", "cts", ["prev_click_value"], tiebreak=["cid"])
+    # both sides are the event log: its keys are counted once
+    out = asof_join(base, clicks, "user_id", "ts", "cts", ["prev_click_value"], tiebreak=["cid"],
+                    hot=hot_keys_for(t.events, "user_id", "ts"))
     return out.drop("ts")
 
 
@@ -151,7 +154,7 @@ def lookback_48h_last(spark, d):
     views = t.events.where(F.col("event_type") == "view").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
     return lookback_join(_purchases(t), views, "user_id", "ts", "view_ts", ["view_id", "view_ts"],
-                         H48, pick="last", tiebreak=["view_id"])
+                         H48, pick="last", tiebreak=["view_id"], hot=hot_keys_for(t.events, "user_id", "ts"))
 
 
 @query("lookback_48h_first", ids="J13", sql="""
@@ -168,7 +171,7 @@ def lookback_48h_first(spark, d):
     views = t.events.where(F.col("event_type") == "view").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
     return lookback_join(_purchases(t), views, "user_id", "ts", "view_ts", ["view_id", "view_ts"],
-                         H48, pick="first", tiebreak=["view_id"])
+                         H48, pick="first", tiebreak=["view_id"], hot=hot_keys_for(t.events, "user_id", "ts"))
 
 
 @query("range_join_conversions", ids="J10 J15", sql="""
