@@ -155,7 +155,8 @@ FROM j
 
 
 # Role bindings: a payment's service and sub-owner on the driver tables.
-_SERVICE_SQL, _SUB_OWNER_SQL = "'S' || (event_id % 3)", "'sub-' || (event_id % 5)"
+_SERVICE_SQL = "CASE WHEN value < 35 THEN 'S0' WHEN value < 70 THEN 'S1' ELSE 'S2' END"
+_SUB_OWNER_SQL = "'sub-' || CAST(k // 20 AS VARCHAR)"
 
 
 @query("attribution_cascade", ids="C3 U1 J10 J13 J29 A23 P2 DT3 DT9 U2 F7 F8 F9 STR3", sql=_attribution_sql())
@@ -173,9 +174,9 @@ def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_star
         F.concat(F.lit("oic-"), (F.col("event_id") % 17).cast("string")).alias("lc_oic"))
     pays = ev.where((F.col("event_type") == "purchase") & (F.col("ts") >= _ts(start)) &
                     (F.col("ts") < _ts(end)))
-    number = F.col("event_id").cast("long")
-    pays = pays.withColumns({"service": F.concat(F.lit("S"), (number % 3).cast("string")),
-                             "sub_owner": F.concat(F.lit("sub-"), (number % 5).cast("string"))})
+    pays = pays.withColumns({
+        "service": F.when(F.col("value") < 35, "S0").when(F.col("value") < 70, "S1").otherwise("S2"),
+        "sub_owner": F.concat(F.lit("sub-"), F.floor(F.col("k") / 20).cast("string"))})
     pays = maybe_in(maybe_in(pays, "service", services), "sub_owner", owners)
     pay = first_per(pays, "user_id", ["ts", "event_id"], ["event_id", "ts"]) \
         .withColumnRenamed("ts", "payment_date")
