@@ -128,9 +128,13 @@ def midpoint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     within ``ceil(bits / 2)`` bits (2,081 for four bits), and a midpoint's group, never
     larger than that, is linked to its smallest member. For an odd distance the pairs
     are checked again, as the halves could add up to one bit more."""
-    ball = _ball(64, (bits + 1) // 2)
-    met = fps.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in ball]),
-                                                 lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
+    radius = (bits + 1) // 2
+    met = fps.select("fp", F.col("fp").alias("mid"))
+    steps = [2] * (radius // 2) + [1] * (radius % 2)  # wider balls are made of steps of two bits
+    for step in steps:
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _ball(64, step)])
+        met = met.select("fp", F.explode(F.transform(masks, lambda m: F.col("mid").bitwiseXOR(m))).alias("mid"))
+    met = met.distinct() if len(steps) > 1 else met
     if bits % 2:
         pairs = met.alias("x").join(met.alias("y"), F.col("x.mid") == F.col("y.mid")) \
             .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
