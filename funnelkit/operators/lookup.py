@@ -139,6 +139,10 @@ class HotKeys:
     def __bool__(self) -> bool:
         return bool(self.rows)
 
+    def open_ended(self) -> HotKeys:
+        """Without the first and last times, for a right side that may lie outside them."""
+        return HotKeys(tuple((*r[:-2], None, None) for r in self.rows), self.types)
+
     def frame(self, spark, kcols: Sequence[str], sign: int) -> DataFrame:
         """Bounded table of the hot keys: at most SHARE * partitions rows, whose cuts
         add up to about as many. Times are negated and reversed to look forward."""
@@ -185,13 +189,18 @@ def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
     return HotKeys(tuple(rows), tuple(ddl))
 
 
-def hot_keys_for(df: DataFrame, key, time: str, share: int = SHARE) -> HotKeys:
+def hot_keys_for(df: DataFrame, key, time: str, share: int = SHARE, holds_right: bool = False) -> HotKeys:
     """The hot keys of one base table, for sharing across several lookups on data
-    derived from it (``hot=``): a chain of lookups then counts keys once."""
+    derived from it (``hot=``): a chain of lookups then counts keys once.
+
+    ``holds_right`` states that every right row's key and time is in ``df`` (it is
+    filtered from it). Left rows beyond a key's last right row are then spread over
+    cells; otherwise they share the key's last cell."""
     keys = [key] if isinstance(key, str) else list(key)
     kcols = [f"__k{i}" for i in range(len(keys))]
-    return _find_hot(df.select(*[F.col(k).alias(kc) for k, kc in zip(keys, kcols)],
-                               time_micros(time, df).alias("__ht"), F.lit(True).alias("__hr")), kcols, share)
+    hot = _find_hot(df.select(*[F.col(k).alias(kc) for k, kc in zip(keys, kcols)],
+                              time_micros(time, df).alias("__ht"), F.lit(True).alias("__hr")), kcols, share)
+    return hot if holds_right else hot.open_ended()
 
 
 def _cell(t: Column, cuts: Column, longest: int) -> Column:

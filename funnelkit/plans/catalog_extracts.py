@@ -770,9 +770,9 @@ def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
                          "lead_id").select("user_id", F.col("log_date").alias("src_t"),
                                        F.col("lead_id").alias("src_lead"), "l_linenumber",
                                        F.col("status").alias("latest_utm_source"))
-    hot = hot_keys_for(user_orders, "o_custkey", "o_orderdate")
+    hot = hot_keys_for(user_orders, "o_custkey", "o_orderdate", holds_right=True)
     source = asof_join(leads.select("lead_id", "user_id", "updated_at"), src, "user_id", "updated_at", "src_t",
-                       ["latest_utm_source"], tiebreak=["src_lead", "l_linenumber"], hot=hot) \
+                       ["latest_utm_source"], tiebreak=["src_lead", "l_linenumber"], hot=hot.open_ended()) \
         .select("lead_id", "latest_utm_source")
     profiles = user_orders.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
     # without an applied date the bound is open: the user's largest order key

@@ -101,7 +101,7 @@ def asof_previous_click(spark, d):
         F.col("value").alias("click_value"))
     return asof_join(_purchases(t), clicks, "user_id", "ts", "click_ts",
                      ["click_id", "click_ts", "click_value"], strict=True, tiebreak=["click_id"],
-                     hot=hot_keys_for(t.events, "user_id", "ts"))
+                     hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True))
 
 
 @query("previous_click_value", ids="J10 (every event)", sql="""
@@ -118,7 +118,7 @@ def previous_click_value(spark, d):
     base = t.events.select("event_id", "user_id", "event_type", "ts")
     # both sides are the event log: its keys are counted once
     out = asof_join(base, clicks, "user_id", "ts", "cts", ["prev_click_value"], tiebreak=["cid"],
-                    hot=hot_keys_for(t.events, "user_id", "ts"))
+                    hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True))
     return out.drop("ts")
 
 
@@ -154,7 +154,7 @@ def lookback_48h_last(spark, d):
     views = t.events.where(F.col("event_type") == "view").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
     return lookback_join(_purchases(t), views, "user_id", "ts", "view_ts", ["view_id", "view_ts"],
-                         H48, pick="last", tiebreak=["view_id"], hot=hot_keys_for(t.events, "user_id", "ts"))
+                         H48, pick="last", tiebreak=["view_id"], hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True))
 
 
 @query("lookback_48h_first", ids="J13", sql="""
@@ -171,7 +171,7 @@ def lookback_48h_first(spark, d):
     views = t.events.where(F.col("event_type") == "view").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
     return lookback_join(_purchases(t), views, "user_id", "ts", "view_ts", ["view_id", "view_ts"],
-                         H48, pick="first", tiebreak=["view_id"], hot=hot_keys_for(t.events, "user_id", "ts"))
+                         H48, pick="first", tiebreak=["view_id"], hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True))
 
 
 @query("range_join_conversions", ids="J10 J15", sql="""
@@ -191,7 +191,8 @@ def range_join_conversions(spark, d):
     signups = t.events.where(F.col("event_type") == "signup").select("event_id", "user_id", "ts")
     buys = t.events.where(F.col("event_type") == "purchase").select(
         "user_id", F.col("ts").alias("pts"), F.col("event_id").alias("pid"))
-    hot = hot_keys_for(t.events.where(F.col("event_type").isin("signup", "purchase")), "user_id", "ts")
+    hot = hot_keys_for(t.events.where(F.col("event_type").isin("signup", "purchase")), "user_id", "ts",
+                       holds_right=True)
     counts = window_count(signups, buys, "user_id", "ts", "pts", 0, WEEK, "purchases_7d", row_id="event_id", hot=hot)
     first = lookback_first(signups, buys, hot)
     return counts.join(first, "event_id").select("event_id", "user_id", "ts", "purchases_7d", "first_purchase_id")
@@ -341,7 +342,7 @@ def nested_lookup(spark, d):
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
     # both steps key the same event log by user: count its keys once and share
     # the (bounded) hot-key list along the chain
-    hot = hot_keys_for(t.events, "user_id", "ts")
+    hot = hot_keys_for(t.events, "user_id", "ts", holds_right=True)
     step1 = asof_join(_purchases(t), clicks, "user_id", "ts", "click_ts", ["click_id", "click_ts"],
                       tiebreak=["click_id"], hot=hot)
     step2 = asof_join(step1, views, "user_id", "click_ts", "view_ts", ["view_id"], tiebreak=["view_id"],

@@ -181,7 +181,7 @@ def attribution_cascade(spark, d, *, start=PAY_START, end=PAY_END, prev_mon_star
     pay = first_per(pays, "user_id", ["ts", "event_id"], ["event_id", "ts"]) \
         .withColumnRenamed("ts", "payment_date")
     # one count of the log's keys serves both lookups
-    hot = hot_keys_for(ev, "user_id", "ts")
+    hot = hot_keys_for(ev, "user_id", "ts", holds_right=True)
     # the two lookups are independent: each runs on the payment rows and the
     # results meet on the payment key (1:1), instead of one lookup re-reading
     # the other's output

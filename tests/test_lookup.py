@@ -315,3 +315,9 @@ def test_asof_with_shared_hot_list(spark, asof_data, forward):
     assert len(hot.rows) >= 1
     got = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], forward=forward, hot=hot)
     assert rows(got, "id", "rid") == brute_asof(left, right, True, forward)
+    # a list of the right rows themselves, and one whose times end long before them
+    own = hot_keys_for(R, "key", "rt", share=20, holds_right=True)
+    early = hot_keys_for(R.where(F.col("rt") < ts(700)), "key", "rt", share=20)
+    for shared in (own, early):
+        got = asof_join(L, R, "key", "t", "rt", ["rid"], tiebreak=["rid"], forward=forward, hot=shared)
+        assert rows(got, "id", "rid") == brute_asof(left, right, True, forward)
