@@ -7,12 +7,12 @@ cache in each worker, holds what the tokenizer gave for the rest. Pre-tokens are
 never shuffled: each task counts its own distinct groups and looks them up once a
 slice of text.
 
-The table holds the ``table_size`` groups that the most rows' tasks named among
-their ``table_size`` most frequent ones: every task reports at most that many
-groups of its whole input, so the job that makes the table covers every row and
-moves a bounded number of rows a task. Its entries are at most ``MAX_KEY`` bytes
-long, which bounds the broadcast to ``table_size * (MAX_KEY + 8)`` bytes. The
-table only saves work; counts come from the tokenizer either way.
+The table holds groups that make up at least one ``table_size``-th of all groups, so
+at most ``table_size`` of them, without a sort. The job that makes it covers every
+row: each task reports the groups that are frequent in its whole input (a bounded
+number) and how many groups it saw. Entries are at most ``MAX_KEY`` bytes long, which
+bounds the broadcast to ``table_size * (MAX_KEY + 8)`` bytes. The table only saves
+work; counts come from the tokenizer either way.
 
 Texts in which white space surrounds a space, or in which a special string
 stands, are encoded whole, as the groups would not be independent. Nulls count as
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.llm.batches import columns_kept, distinct_words, slices, sums, text_column
+from funnelkit.sources.sinks import cut_lineage
 
 TABLE_SIZE = 16_384
 MAX_KEY = 32
@@ -97,14 +98,17 @@ def _groups(texts: pa.Array):
 
 
 def _frequent(text: str, table_size: int):
-    """Per task: its most frequent groups, found with counters whose number stays
-    below eight times the table's (the smallest half goes when they are full)."""
+    """Per task: its frequent groups, found with counters whose number stays below
+    eight times the table's (the smaller half goes when they are full), and under a
+    null word the number of all its groups."""
     def work(batches):
         seen: dict[str, int] = {}
+        total = 0
         for whole in batches:
             for batch in slices(whole, text):
                 words, codes, _, first = _groups(text_column(batch, text))
                 n = np.bincount(codes[~first], minlength=len(words))
+                total += int(n.sum())
                 top = np.argsort(-n, kind="stable")[:4 * table_size]
                 top = top[n[top] > 1]
                 for w, k in zip(words.take(pa.array(top)).to_pylist(), n[top].tolist()):
@@ -112,7 +116,7 @@ def _frequent(text: str, table_size: int):
                         seen[w] = seen.get(w, 0) + k
                 if len(seen) > 8 * table_size:
                     seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:4 * table_size])
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size]
+        best = [(w, k) for w, k in seen.items() if 4 * k * table_size >= total] + [(None, total)]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()),
                                           pa.array([k for _, k in best], pa.int64())], names=["word", "n"])
     return work
@@ -123,9 +127,10 @@ def frequent_groups(df: DataFrame, path: str, text: str = "text",
     """Tier one: token counts of the corpus's frequent groups, at most ``table_size``
     (keys without the space that goes with them)."""
     per_task = df.select(text).mapInArrow(_frequent(text, table_size), "word string, n bigint")
-    top = per_task.groupBy("word").agg(F.sum("n").alias("n")) \
-        .orderBy(F.desc("n"), "word").limit(table_size)
-    words = [r.word for r in top.collect()]  # bounded by table_size
+    counts = cut_lineage(per_task.groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.where("word is null").select("n").scalar()
+    top = counts.where(F.col("word").isNotNull() & (F.col("n") * table_size >= total))
+    words = [r.word for r in top.collect()]  # at most table_size of them can be so frequent
     return dict(zip(words, counter(path).encode([" " + w for w in words])))
 
 
