@@ -12,8 +12,9 @@ DataFrame functions only. Each page emits its distinct lines as hashes; they are
 shuffled by (host, line, page), then counted by (host, line) map-side first, never
 by host alone. Boilerplate lines of a host number at most its mean lines a page over
 ``ratio``; they are joined back to the documents as one row a host, and each text is
-filtered inside its row. Spark broadcasts that table only while it measures below
-the session's threshold, and otherwise joins by host with skewed hosts split.
+filtered inside its row. That table is written first, so Spark knows its size: below
+the session's threshold it is broadcast and texts are not shuffled, above it texts
+are joined by host with skewed hosts split.
 
 Lines are compared as they stand, between ``\\n``, and told by 64-bit hash: a clash
 would need two lines of one host, one of them boilerplate, to share a hash. Lines
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.llm.quality import SPACE, let
-from funnelkit.sources.sinks import cut_lineage
+from funnelkit.llm.tables import written
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -61,8 +62,8 @@ def line_dedup(df: DataFrame, text: str = "text", host: str = "source", ratio: f
     """``df`` with boilerplate lines dropped from ``text``; ``count`` names a column
     for the number of lines dropped, if wanted."""
     found = boilerplate(df, text, host, ratio, min_pages)
-    hosts = cut_lineage(found.groupBy(F.col("host").alias("__host"))
-                        .agg(F.collect_list("line_hash").alias("__drop")))
+    hosts = written(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line_hash").alias("__drop")),
+                    "boilerplate")
     joined = df.join(hosts, df[host].eqNullSafe(hosts["__host"]), "left")
 
     def chars(lines: Column) -> Column:
