@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from funnelkit.llm.tables import written
 from funnelkit.sources.sinks import cut_lineage
 
 SPACE = " \t\n\x0b\f\r"
@@ -122,7 +123,7 @@ def quality_rules(df: DataFrame, text: str = "text", key: str = "doc_id", host:
     own = df.select(F.col(key).alias("__key"), F.col(host).alias("__host"), F.col(text).alias("__text"))
     judged = figures(own, "__text").drop("__text").withColumn("base_failed", base_failed())
     judged = cut_lineage(judged)
-    hosts = host_verdicts(judged, "__host", max_rate=max_rate).select("host", "host_kept")
+    hosts = written(host_verdicts(judged, "__host", max_rate=max_rate).select("host", "host_kept"), "hosts")
     out = judged.join(hosts, judged["__host"].eqNullSafe(hosts["host"]), "left")
     return out.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed",
@@ -131,9 +132,10 @@ def quality_rules(df: DataFrame, text: str = "text", key: str = "doc_id", host:
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of ``df`` that pass both verdicts. Texts are judged twice (once for
-    the hosts' sums, once to filter) rather than shuffled or written; rejected hosts
-    are removed by an anti join."""
+    the hosts' sums, once to filter) rather than written; rejected hosts are removed by
+    an anti join with their written table."""
     judged = df.select(F.col(host).alias("__host"), failing(F.col(text)).alias("base_failed"))
-    bad = host_verdicts(judged, "__host", max_rate=max_rate).where(~F.col("host_kept")).select("host")
+    bad = written(host_verdicts(judged, "__host", max_rate=max_rate).where(~F.col("host_kept")).select("host"),
+                  "rejected-hosts")
     good = df.where(~failing(F.col(text)))
     return good.join(bad, good[host].eqNullSafe(bad["host"]), "left_anti")
