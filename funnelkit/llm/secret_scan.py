@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.llm.quality import let
+from funnelkit.llm.tables import written
 from funnelkit.sources.sinks import cut_lineage
 
 # Kinds in rank order. Keyword letters match in either case, ASCII only.
@@ -148,12 +149,13 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
            copied: int = COPIED, mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every live-looking span replaced by ``mark`` (overlapping spans by
     one); widely copied examples stay. Texts without such spans come back as they are.
-    Spans return to their rows by key and text hash, as equal rows have equal spans."""
+    Spans return to their rows by key and text hash, as equal rows have equal spans;
+    their table is written first, so the join is planned by its size."""
     spans = F.sort_array(_live(F.concat("base", "more")))
     found = scan(df, text, key, owner, copied, {"key": F.col(key), "hash": F.xxhash64(text)}) \
         .select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), spans.alias("__spans")) \
         .where(F.size("__spans") > 0).dropDuplicates(["__key", "__hash"])
-    found = cut_lineage(found)
+    found = written(found, "masks")
     joined = df.withColumn("__row", F.xxhash64(text)).join(
         found, df[key].eqNullSafe(F.col("__key")) & (F.col("__row") == F.col("__hash")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
