@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 # Texts of one batch are worked through in slices of about this many bytes, so
 # that a batch of very long documents needs no more memory than one of short ones.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 

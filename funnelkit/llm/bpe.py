@@ -32,7 +32,7 @@ from funnelkit.llm.batches import columns_kept, distinct_words, runs, slices, su
 
 LONG = 64            # symbols of a word that is merged alone
 ROWS = 32768         # trees side by side
-CACHE_WORDS = 600_000  # entries a worker keeps before it starts afresh
+CACHE_WORDS = 350_000  # entries a worker keeps before it starts afresh
 NO_PAIR = np.iinfo(np.int64).max
 # Below this code point the character classes of the installed regex module and
 # of the tokenizer library agree; words with later ones are split by the library.
