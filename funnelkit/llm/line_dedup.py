@@ -4,9 +4,9 @@ Documents are grouped by host. A line's frequency is the share of its host's pag
 that contain it; lines above ``ratio``, and on at least ``min_pages`` pages, are
 boilerplate and are dropped from every page of that host. Pages of one host with
 the same text count as one page, so copies do not make their own lines boilerplate.
-A page that would lose more than ``max_loss`` of its worded lines' characters is a
-near copy of others rather than content in a frame; it is left whole for
-near-duplicate removal.
+A page of nothing but boilerplate keeps its lines without a word only. On request, a
+page that would lose more than ``max_loss`` of its worded lines' characters is left
+whole; neither the query nor the pipeline asks for that.
 
 DataFrame functions only. Each page emits its distinct lines as hashes; they are
 shuffled by (host, line, page), then counted by (host, line) map-side first, never
@@ -34,7 +34,7 @@ from funnelkit.llm.tables import written
 
 RATIO = 0.1
 MIN_PAGES = 5
-MAX_LOSS = 0.5
+MAX_LOSS = 0.5  # of the oracle's SQL alone
 
 
 def _lines(text: Column) -> Column:
@@ -58,9 +58,10 @@ def boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio:
 
 
 def line_dedup(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
-               min_pages: int = MIN_PAGES, max_loss: float = MAX_LOSS, count: str | None = None) -> DataFrame:
-    """``df`` with boilerplate lines dropped from ``text``; ``count`` names a column
-    for the number of lines dropped, if wanted."""
+               min_pages: int = MIN_PAGES, max_loss: float | None = None, count: str | None = None) -> DataFrame:
+    """``df`` with boilerplate lines dropped from ``text``, on every page unless
+    ``max_loss`` is given; ``count`` names a column for the number of lines dropped, if
+    wanted."""
     found = boilerplate(df, text, host, ratio, min_pages)
     hosts = written(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line_hash").alias("__drop")),
                     "boilerplate")
@@ -71,6 +72,8 @@ def line_dedup(df: DataFrame, text: str = "text", host: str = "source", ratio: f
 
     def filtered(lines: Column) -> Column:
         left = F.filter(lines, lambda x: ~(F.array_contains(F.col("__drop"), F.xxhash64(x)) & _worded(x)))
+        if max_loss is None:
+            return left
         return let(left, lambda kept: F.when(
             (F.size(kept) == F.size(lines)) | (chars(kept) < (1 - max_loss) * chars(lines)), lines).otherwise(kept))
 

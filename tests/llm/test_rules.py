@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 from funnelkit.llm.line_dedup import line_dedup
 from funnelkit.llm.quality import host_verdicts, keep_good, quality_rules
 from tests.llm.helpers import documents, odd_docs
@@ -93,3 +94,15 @@ def test_lines_against_brute_force(spark):
         found = sorted(((r.doc_id, r.text, r.n_dropped) for r in got.collect()), key=repr)
         assert found == lines_of(df.collect(), *args)
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_short_pages_lose_their_frame(spark):
+    """Lines above the ratio go from every page, also where they are most of it."""
+    rows = [(i, f"top of the frame\n{'a body of its own ' * 9}{i}\nend of the frame", "en", "a", 0) for i in range(20)]
+    rows += [(100, "top of the frame\nown\nend of the frame", "en", "a", 0), (101, "top of the frame\n\nend of the frame", "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(df, count="n_dropped").collect()}
+    assert got[100] == ("own", 2) and got[101] == ("", 2) and all(got[i] == (rows[i][1].split("\n")[1], 2) for i in range(20))
+    assert sorted(((i, *x) for i, x in got.items()), key=repr) == lines_of(df.collect(), 0.1, 5, 1.0)
+    stage = corpus_pipeline.line_stage(spark, df, "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {i: t for i, (t, _) in got.items()}
