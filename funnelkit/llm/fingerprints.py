@@ -5,7 +5,8 @@ word gets r and c from Gamma(2, 1) and b from [0, 1), all functions of the word
 the draw alone; with t = floor(ln w / r + b) its value is ln c - r (t - b + 1), and the
 word of least value, with its t, is the draw's sample. Two texts draw the same sample
 with a probability equal to their generalised Jaccard similarity, so the share of equal
-samples estimates it. Samples are kept as 16-bit hashes, four hex digits each.
+samples estimates it. Samples are kept as 16-bit hashes, four hex digits each; zero is
+left to texts without words, so a hash of zero becomes one.
 
 For the edited texts each document needs its neighbour in id order. Documents are dealt
 into ranges of (id, text hash); the ranges' last rows (one a range, collected as ids
@@ -106,7 +107,7 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
             hit = row[best]
             level = np.where(hit >= 0, t[np.maximum(hit, 0), draw], 0).astype(np.int64).astype(np.uint64)
         sample = _mixed(hashes[found[best]] + level * GOLDEN)
-        out[i] = (sample >> np.uint64(48)).astype(np.uint16) | np.uint16(1)  # zero is left to empty texts
+        out[i] = np.maximum(sample >> np.uint64(48), np.uint64(1))  # zero is left to empty texts
     return out
 
 

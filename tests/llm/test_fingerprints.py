@@ -50,6 +50,14 @@ def test_weights_count():
     assert abs((sig[0] == sig[1]).mean() - likeness(a, b)) < 0.03
 
 
+def test_samples_use_all_bits():
+    """Every bit of a sample is set in half of the draws; zero is left to empty texts."""
+    sig = signatures(pa.array([f"w{i}" for i in range(5000)] + ["", " "], pa.large_string()), 4)
+    for bit in range(16):
+        assert abs((sig[:5000] >> bit & 1).mean() - 0.5) < 0.04
+    assert sig[:5000].min() > 0 and not sig[5000:].any()
+
+
 def test_odd_rows(spark):
     df = odd_docs(spark)
     rows = document_fingerprints(df).collect()
