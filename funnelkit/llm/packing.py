@@ -7,8 +7,9 @@ documents, none needs padding, and sequences of equal length form one bucket
 (column ``length``), from which batches of one shape are drawn.
 
 Nothing is shuffled: a document's pieces follow from its own count, and
-``sequence_id`` numbers the pieces of each input partition. ``write_buckets``
-writes the sequences into one folder a length.
+``sequence_id`` numbers the pieces of each input partition. Each partition's pieces
+come bucket by bucket, long ones first, so a file written from it holds every length
+in one run. ``write_buckets`` writes the sequences into one folder a length.
 
 A null text is empty and gives one piece, the end id. Repeated rows are packed
 each by themselves, so every row's ids stand in sequences of their own. Columns
@@ -84,7 +85,7 @@ def pack_power_of_two(df: DataFrame, path: str, text: str = "text", key: str = "
         schema += ", ids array<int>"
     pieces = df.select(*keep, text).mapInArrow(_pieces(path, text, keep, max_len, end_id, with_ids), schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(),
-                               "offset": F.lit(0).cast("bigint")})
+                               "offset": F.lit(0).cast("bigint")}).sortWithinPartitions(F.desc("length"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -122,6 +122,16 @@ def test_packing(spark, tmp_path):
     assert back.count() == len(rows) and back.where("size(ids) <> bucket").count() == 0
 
 
+def test_pieces_come_bucket_by_bucket(spark, tmp_path):
+    for with_ids in (True, False):
+        path = str(tmp_path / str(with_ids))
+        pack_power_of_two(both(spark).repartition(3), WORD, max_len=64, with_ids=with_ids).write.parquet(path)
+        files = defaultdict(list)
+        for r in spark.read.parquet(path).select("*", "_metadata.file_path").collect():
+            files[r.file_path].append(r.length)
+        assert len(files) == 3 and all(x == sorted(x, reverse=True) and len(set(x)) > 3 for x in files.values())
+
+
 def _cuts(n, most):
     at = 0
     for p in piece_lengths(n, most):
