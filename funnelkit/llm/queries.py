@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelkit.llm import line_dedup as lines
-from funnelkit.llm import quality, secret_scan, sql
+from funnelkit.llm import clusters, quality, secret_scan, sql
 from funnelkit.llm.bpe import bpe_round_trip
 from funnelkit.llm.fingerprints import document_fingerprints
 from funnelkit.llm.packing import pack_power_of_two
@@ -86,3 +86,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup", sql.line_sql(lines.RATIO, lines.MIN_PAGES, lines.MAX_LOSS))
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(load(spark, sf_dir, "documents"), count="n_dropped")
+
+
+@query("op11_centroid_clusters", sql.cluster_sql(clusters.CENTROIDS, clusters.ROUNDS, clusters.DIM, clusters.SCALE))
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.centroid_clusters(load(spark, sf_dir, "embeddings"))

@@ -127,3 +127,26 @@ def line_sql(ratio: float, min_pages: int, max_loss: float) -> str:
       case when kept is null or b < {1 - max_loss} * a then text else array_to_string(kept, chr(10)) end as text,
       case when kept is null or b < {1 - max_loss} * a then 0 else len(every) - len(kept) end::bigint as n_dropped
     from sized"""
+
+
+def cluster_sql(k: int, rounds: int, dim: int, scale: int) -> str:
+    nearest = lambda n: f"""
+    a{n} as (select v.vec_id, v.v, v.row, arg_min(c.c, (list_sum(list_transform(list_zip(v.v, c.v),
+            lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.c)) as c,
+        min(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))::bigint as d
+        from v, c{n} c group by v.vec_id, v.v, v.row)"""
+    moved = lambda n: f"""
+    s{n} as (select c, p, sum(x)::bigint as s, count(*) as n from
+        (select c, unnest(v) as x, generate_subscripts(v, 1) as p from a{n}) group by c, p),
+    c{n + 1} as (select c, list((s - ((s % n) + n) % n) // n order by p) as v from s{n} group by c
+        union all select c, v from c{n} where c not in (select c from a{n}))"""
+    steps = ",".join(part for n in range(rounds) for part in (nearest(n), moved(n)))
+    return f"""
+    with v as (select vec_id, row_number() over () as row,
+            list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+        where len(embedding) = {dim} and len(list_filter(embedding, lambda x: isfinite(x))) = {dim}),
+    c0 as (select row_number() over (order by h, v) - 1 as c, v from (select sha256('1:' || vec_id) as h, v from v)
+        qualify c < {k}),{steps},{nearest(rounds)}
+    select vec_id, a.c::integer as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia,
+        (sum(d) over ())::bigint as inertia, sha256(array_to_string(f.v, ',')) as centroid_sha256
+    from a{rounds} a join c{rounds} f on a.c = f.c"""
