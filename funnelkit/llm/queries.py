@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelkit.llm import line_dedup as lines
-from funnelkit.llm import clusters, quality, secret_scan, sql
+from funnelkit.llm import clusters, quality, secret_scan, sql, topk
 from funnelkit.llm.bpe import bpe_round_trip
 from funnelkit.llm.fingerprints import document_fingerprints
 from funnelkit.llm.packing import pack_power_of_two
@@ -91,3 +91,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_centroid_clusters", sql.cluster_sql(clusters.CENTROIDS, clusters.ROUNDS, clusters.DIM, clusters.SCALE))
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.centroid_clusters(load(spark, sf_dir, "embeddings"))
+
+
+@query("op12_top_k", sql.top_k_sql(topk.K, topk.EVERY, topk.SCALE))
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"))

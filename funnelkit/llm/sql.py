@@ -150,3 +150,14 @@ def cluster_sql(k: int, rounds: int, dim: int, scale: int) -> str:
     select vec_id, a.c::integer as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia,
         (sum(d) over ())::bigint as inertia, sha256(array_to_string(f.v, ',')) as centroid_sha256
     from a{rounds} a join c{rounds} f on a.c = f.c"""
+
+
+def top_k_sql(k: int, every: int, scale: int) -> str:
+    return f"""
+    with v as (select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+        where len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+    scored as (select q.vec_id as query_id, c.vec_id,
+            list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+        from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {every} = 0)
+    select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
+    from scored qualify rank <= {k}"""

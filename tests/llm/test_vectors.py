@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from funnelkit.llm.clusters import Centroids, centroid_clusters
+from funnelkit.llm.topk import Slot, top_k
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id bigint, embedding array<float>, label int, cluster int, k string, score bigint, `row` int, distance string"
@@ -79,3 +80,61 @@ def test_inequalities_spare_distances_and_ties_go_to_the_smaller_number():
     which, best, _ = Centroids(same).nearest(x[:200] % 10)
     far = ((x[:200, None] % 10 - same[None]) ** 2).sum(-1)
     assert (which == far.argmin(1)).all() and (best == far.min(1)).all()
+
+
+def nearest(rows, k=5, every=50):
+    kept = [(i, w) for i, v in rows if (w := whole(v, 256)) is not None]
+    out = []
+    for q, x in kept:
+        if q is None or q % every:
+            continue
+        scored = [(-sum(a * b for a, b in zip(x, y)), i is None, i or 0, i) for i, y in kept if i != q]
+        out += [(q, n, i, -s) for n, (s, _, _, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def copied(spark, dim=64):
+    """A third of all rows are copies of one vector, others stand close to it."""
+    rnd = random.Random(9)
+    one = [rnd.gauss(0, 1) for _ in range(dim)]
+    rows = [(i, one if i % 3 == 0 else [x + rnd.gauss(0, 0.02 if i % 3 == 1 else 1) for x in one]) for i in range(400)]
+    return spark.createDataFrame([(i, v, None, 1, "x", 2, 3, "y") for i, v in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("frame,args", [(embeddings, {}), (odd_vectors, {}), (odd_vectors, {"k": 1, "every": 1}), (copied, {}),
+                                        (odd_vectors, {"k": 200, "every": 7}), (copied, {"every": 20, "k": 9})])
+@pytest.mark.parametrize("slot_bytes", [4 << 20, 4096])
+def test_top_k_equals_brute_force(spark, frame, args, slot_bytes):
+    df = frame(spark)
+    got = top_k(df, slot_bytes=slot_bytes, **args)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=repr) == nearest([(r.vec_id, r.embedding) for r in df.collect()], **args)
+
+
+def test_top_k_of_little(spark):
+    assert top_k(odd_vectors(spark).limit(0)).count() == 0
+    assert top_k(odd_vectors(spark).where("vec_id = 50")).count() == 0          # no other row
+    assert top_k(odd_vectors(spark).where("vec_id in (1, 2)")).count() == 0     # no query
+    assert top_k(odd_vectors(spark).where("vec_id in (50, 2)")).count() == 1
+
+
+def test_pruning_is_chosen_by_the_local_threshold():
+    rnd = np.random.default_rng(4)
+    x = rnd.integers(-200, 200, (500, 24))
+    x[:40] = 2 * x[0] + rnd.integers(-3, 4, (40, 24))
+    squares = (x * x).sum(1)
+    slot = Slot(np.arange(500), x, squares)
+    scores = x[:60] @ x.T
+    np.fill_diagonal(scores, np.iinfo(np.int64).min)
+    least = -np.sort(-scores, axis=1)[:, 4]
+    least[50:] = squares.max() * 4                                               # nothing reaches that
+    found = {i: (ids, score, by) for i, ids, score, by in slot.search(
+        np.arange(60), x[:60], np.sqrt(squares[:60].astype(float)), least, np.ones(60, dtype=bool), 5)}
+    assert set(found) == set(range(50))
+    assert {by for _, _, by in found.values()} == {"coordinate", "length"}
+    for i, (ids, score, _) in found.items():
+        want = sorted((-s, j) for j, s in enumerate(scores[i].tolist()))[:5]
+        assert [(-s, j) for j, s in zip(ids.tolist(), score.tolist())] == want
+    # directions outside the angle are left out before any product is made
+    some = slot.by_coordinates(x[3], float(np.sqrt(squares[3])), 1, 0.97)
+    assert 40 <= len(some) < 250
