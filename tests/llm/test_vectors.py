@@ -126,7 +126,7 @@ def test_pruning_is_chosen_by_the_local_threshold():
     slot = Slot(np.arange(500), x, squares)
     scores = x[:60] @ x.T
     np.fill_diagonal(scores, np.iinfo(np.int64).min)
-    least = -np.sort(-scores, axis=1)[:, 4]
+    least = np.sort(scores, axis=1)[:, -5]
     least[50:] = squares.max() * 4                                               # nothing reaches that
     found = {i: (ids, score, by) for i, ids, score, by in slot.search(
         np.arange(60), x[:60], np.sqrt(squares[:60].astype(float)), least, np.ones(60, dtype=bool), 5)}
