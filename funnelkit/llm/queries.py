@@ -14,6 +14,7 @@ from funnelkit.llm import clusters, quality, secret_scan, sql, topk
 from funnelkit.llm.bpe import bpe_round_trip
 from funnelkit.llm.fingerprints import document_fingerprints
 from funnelkit.llm.packing import pack_power_of_two
+from funnelkit.llm.repair import repair_conversations
 from funnelkit.llm.simhash import simhash_near_dedup
 from funnelkit.llm.token_counts import token_counts
 from funnelkit.llm.url_filter import judge_urls
@@ -96,3 +97,8 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_top_k", sql.top_k_sql(topk.K, topk.EVERY, topk.SCALE))
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
+@query("op13_conversation_repair", sql.repair_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(load(spark, sf_dir, "conversations"))

@@ -161,3 +161,57 @@ def top_k_sql(k: int, every: int, scale: int) -> str:
         from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {every} = 0)
     select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
     from scored qualify rank <= {k}"""
+
+
+def repair_sql() -> str:
+    crc = """xor(4294967295::bigint, list_reduce(flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0])),
+        lambda acc, b: xor(xor(acc, b) >> 1, 3988292384::bigint * (xor(acc, b) & 1)), 4294967295::bigint))"""
+    best = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda z: z is not null))"
+
+    def add(state, cost, letter, line=None, when="true"):
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"case when {state} is not null and {when} then {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}} end"
+
+    def taken(state, to):     # a row kept, or given the role that the next state asks for
+        role = {"u": "user", "a": "assistant", "s": "system"}[to]
+        kept = add(state, "r.more", "K", "r.role || ':' || r.text", f"r.fault < 2 and r.kind = '{to}'")
+        return [kept] if to == "s" else [kept, add(state, "r.more + 3", "R", f"'{role}:' || r.text", "r.fault < 2")]
+
+    grown_u = best("u", *[add(z, 3, "I", "'user:'") for z in ("e", "s", "a")])
+    grown_a = best("a", add("u", 3, "I", "'assistant:'"))
+    return f"""
+    with recursive own as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+    hit as (select *, {crc} % 20 as hit from own),
+    damaged as (select conv_id, turn, case when hit = 4 then 'user' else role end as role,
+            case hit when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+            unnest(range(case hit when 0 then 0 when 3 then 2 else 1 end)) as copy from hit),
+    numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+        trim(text, {BLANK}) as bare, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end as kind
+        from damaged),
+    r as materialized (select conv_id, turn, role, text, i, kind, case when bare = '' then 3
+            when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+            when right(bare, 1) not in ('.', '!', '?') then 1 else 0 end as fault,
+            case when right(bare, 1) not in ('.', '!', '?') then 3 else 0 end as more,
+            lag(kind) over (partition by conv_id order by i) || kind as pair from numbered),
+    facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) as n,
+        count(*) filter (where fault = 3) as blank, count(*) filter (where fault = 2) as duplicate,
+        count(*) filter (where fault = 1) as truncated,
+        count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id),
+    w as (
+        select conv_id, 0::bigint as i, {{'c': 0, 'a': '', 't': []::varchar[]}} as e, {{'c': 0, 'a': '', 't': []::varchar[]}} as s,
+            {{'c': 3, 'a': 'I', 't': ['user:']}} as u, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} as a from facts
+        union all
+        select conv_id, i, e, s, u, {grown_a} as a from (select conv_id, i, e, s, {grown_u} as u, a from (
+            select w.conv_id, r.i, {add("w.e", 4, "D")} as e,
+                {best(add("w.s", 4, "D", None, "w.i > 0"), *taken("w.e", "s"))} as s,
+                {best(add("w.u", 4, "D"), *[x for z in ("w.e", "w.s", "w.a") for x in taken(z, "u")])} as u,
+                {best(add("w.a", 4, "D"), *taken("w.u", "a"))} as a
+            from w join r on w.conv_id is not distinct from r.conv_id and r.i = w.i + 1))),
+    ended as (select w.conv_id, {best("e", "a")} as z from w join facts f
+        on w.conv_id is not distinct from f.conv_id and w.i = f.n)
+    select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+        coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(z.c, 0)::bigint as cost,
+        coalesce(z.a, '') as audit, sha256(coalesce(array_to_string(z.t, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) c left join facts f on c.conv_id is not distinct from f.conv_id
+        left join ended on c.conv_id is not distinct from ended.conv_id"""
