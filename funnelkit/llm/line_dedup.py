@@ -1,27 +1,26 @@
 """Operator 10: line dedup by site-relative frequency.
 
-Documents are grouped by host. A line's frequency is the share of its host's pages
-that contain it; lines above ``ratio``, and on at least ``min_pages`` pages, are
-boilerplate and are dropped from every page of that host. Pages of one host with
-the same text count as one page, so copies do not make their own lines boilerplate.
-A page of nothing but boilerplate keeps its lines without a word only. On request, a
-page that would lose more than ``max_loss`` of its worded lines' characters is left
-whole; neither the query nor the pipeline asks for that.
-
-DataFrame functions only. Each page emits its distinct lines as hashes; they are
-shuffled by (host, line, page), then counted by (host, line) map-side first, never
-by host alone. Boilerplate lines of a host number at most its mean lines a page over
-``ratio``; they are joined back to the documents as one row a host, and each text is
-filtered inside its row. That table is written first, so Spark knows its size: below
-the session's threshold it is broadcast and texts are not shuffled, above it texts
-are joined by host with skewed hosts split.
-
-Lines are compared as they stand, between ``\\n``, and told by 64-bit hash: a clash
+Documents are grouped by host. A line's frequency is the number of its host's pages
+that contain it over the number of the host's pages; lines above ``ratio`` are
+boilerplate and are dropped from every page of that host. A page is a row, however many
+rows share its text. A line has to stand on ``min_pages`` pages, two unless told
+otherwise: on the single page of a small host it repeats nothing. A page of nothing but
+boilerplate keeps its lines without a word only.
+
+DataFrame functions only. Each page emits its distinct lines as hashes, which are
+counted by (host, line) map-side first, never by host alone; page totals are a count by
+host. Boilerplate lines of a host number at most its mean lines a page over ``ratio``;
+they are joined back to the documents as one row a host, and each text is filtered
+inside its row. That table is written first, so Spark knows its size: below the
+session's threshold it is broadcast and texts are not shuffled, above it texts are
+joined by host with skewed hosts split.
+
+Lines are compared as they stand, between ``\n``, and told by 64-bit hash: a clash
 would need two lines of one host, one of them boilerplate, to share a hash. Lines
-without a word are never dropped. A null text stays null, an empty one empty; a null
-host is a host like any other; repeated rows are returned as often as they come.
-Columns are returned as they came, with ``text`` filtered. An empty table gives an
-empty result.
+without a word are never dropped. A null text stays null, an empty one empty (both are
+pages of their host); a null host is a host like any other; repeated rows are returned
+as often as they come. Columns are returned as they came, with ``text`` filtered. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.llm.quality import SPACE, let
+from funnelkit.llm.quality import SPACE
 from funnelkit.llm.tables import written
 
 RATIO = 0.1
-MIN_PAGES = 5
-MAX_LOSS = 0.5  # of the oracle's SQL alone
+MIN_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
@@ -48,41 +46,32 @@ def _worded(line: Column) -> Column:
 def boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """``(host, line_hash, pages, host_pages)`` of the lines to drop."""
-    own = df.select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.col(text).alias("text"))
-    totals = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    hashes = F.transform(F.filter(_lines(F.col("text")), _worded), lambda x: F.xxhash64(x))
-    counts = own.select("host", "page", F.explode(hashes).alias("line_hash")).distinct() \
+    own = df.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    totals = own.groupBy("host").agg(F.count("*").alias("host_pages"))
+    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _worded), lambda x: F.xxhash64(x)))
+    counts = own.select("host", F.explode(hashes).alias("line_hash")) \
         .groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).drop(totals["host"]) \
         .where(F.col("pages") > ratio * F.col("host_pages"))
 
 
 def line_dedup(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
-               min_pages: int = MIN_PAGES, max_loss: float | None = None, count: str | None = None) -> DataFrame:
-    """``df`` with boilerplate lines dropped from ``text``, on every page unless
-    ``max_loss`` is given; ``count`` names a column for the number of lines dropped, if
-    wanted."""
+               min_pages: int = MIN_PAGES, count: str | None = None) -> DataFrame:
+    """``df`` with boilerplate lines dropped from ``text``; ``count`` names a column for
+    the number of lines dropped, if wanted."""
     found = boilerplate(df, text, host, ratio, min_pages)
-    hosts = written(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line_hash").alias("__drop")),
-                    "boilerplate")
-    joined = df.join(hosts, df[host].eqNullSafe(hosts["__host"]), "left")
-
-    def chars(lines: Column) -> Column:
-        return F.aggregate(F.filter(lines, _worded), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-
-    def filtered(lines: Column) -> Column:
-        left = F.filter(lines, lambda x: ~(F.array_contains(F.col("__drop"), F.xxhash64(x)) & _worded(x)))
-        if max_loss is None:
-            return left
-        return let(left, lambda kept: F.when(
-            (F.size(kept) == F.size(lines)) | (chars(kept) < (1 - max_loss) * chars(lines)), lines).otherwise(kept))
-
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("__drop").isNotNull(), let(lines, filtered))
-    joined = joined.withColumn("__kept", kept)
-    cleaned = F.coalesce(F.array_join("__kept", "\n"), F.col(text))
+    hosts = written(found.groupBy("host").agg(F.collect_list("line_hash").alias("lines")), "boilerplate")
+    # working columns stand in structs, so a name of the caller's cannot clash with them
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).alias("d")
+    own = lambda c: F.col("d.row").getField(c)
+    lines, drop = _lines(own(text)), F.col("b.lines")
+    kept = F.filter(lines, lambda x: ~(F.array_contains(drop, F.xxhash64(x)) & _worded(x)))
+    joined = rows.join(hosts.alias("b"), own(host).eqNullSafe(F.col("b.host")), "left") \
+        .select("d.row", F.when(drop.isNotNull(), kept).alias("kept")).alias("d")
+    kept = F.col("d.kept")
+    cleaned = F.coalesce(F.array_join(kept, "\n"), own(text))
     extra = []
     if count:
-        extra = [F.coalesce(F.size(lines) - F.size(F.when(F.col("__drop").isNotNull(), F.col("__kept"))), F.lit(0))
+        extra = [F.coalesce(F.size(_lines(own(text))) - F.when(kept.isNotNull(), F.size(kept)), F.lit(0))
                  .cast("bigint").alias(count)]
-    return joined.select(*[cleaned.alias(c) if c == text else df[c] for c in df.columns if c != count], *extra)
+    return joined.select(*[(cleaned if c == text else own(c)).alias(c) for c in df.columns if c != count], *extra)

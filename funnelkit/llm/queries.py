@@ -84,7 +84,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(load(spark, sf_dir, "documents"))
 
 
-@query("op10_line_dedup", sql.line_sql(lines.RATIO, lines.MIN_PAGES, lines.MAX_LOSS))
+@query("op10_line_dedup", sql.line_sql(lines.RATIO, lines.MIN_PAGES))
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(load(spark, sf_dir, "documents"), count="n_dropped")
 

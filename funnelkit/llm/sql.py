@@ -108,25 +108,20 @@ def secret_sql(copied: int) -> str:
     from d left join per_doc using (doc_id)"""
 
 
-def line_sql(ratio: float, min_pages: int, max_loss: float) -> str:
+def line_sql(ratio: float, min_pages: int) -> str:
     worded = f"trim(line, {BLANK}) <> ''"
     return f"""
-    with d as (select doc_id, source, text, n_chars, lang from documents),
-    pages as (select distinct source, text from d),
-    totals as (select source, count(*) as n from pages group by source),
-    lines as (select source, text, unnest(list_distinct(string_split(text, chr(10)))) as line from pages),
-    drops as (select l.source, l.line from lines l where {worded.replace("line", "l.line")} group by l.source, l.line
-        having count(*) >= {min_pages} and count(*) > {ratio} * (select n from totals t where t.source is not distinct from l.source)),
+    with totals as (select source, count(*) as n from documents group by source),
+    lines as (select source, unnest(list_distinct(string_split(text, chr(10)))) as line from documents),
+    drops as (select l.source, l.line from lines l join totals t on t.source is not distinct from l.source
+        where {worded} group by l.source, l.line, t.n having count(*) >= {min_pages} and count(*) > {ratio} * t.n),
     host as (select source, list(line) as bad from drops group by source),
     cut as (select d.*, string_split(d.text, chr(10)) as every,
-        list_filter(string_split(d.text, chr(10)), lambda line: not ({worded} and list_contains(host.bad, line))) as kept
-        from d left join host on d.source is not distinct from host.source),
-    sized as (select *, coalesce(list_sum(list_transform(list_filter(every, lambda line: {worded}), lambda x: length(x))), 0) as a,
-        coalesce(list_sum(list_transform(list_filter(kept, lambda line: {worded}), lambda x: length(x))), 0) as b from cut)
-    select doc_id, lang, source, n_chars,
-      case when kept is null or b < {1 - max_loss} * a then text else array_to_string(kept, chr(10)) end as text,
-      case when kept is null or b < {1 - max_loss} * a then 0 else len(every) - len(kept) end::bigint as n_dropped
-    from sized"""
+        list_filter(string_split(d.text, chr(10)), lambda line: not ({worded} and coalesce(list_contains(host.bad, line), false))) as kept
+        from documents d left join host on d.source is not distinct from host.source)
+    select doc_id, lang, source, n_chars, case when kept is null then text else array_to_string(kept, chr(10)) end as text,
+      case when kept is null then 0 else len(every) - len(kept) end::bigint as n_dropped
+    from cut"""
 
 
 def cluster_sql(k: int, rounds: int, dim: int, scale: int) -> str:

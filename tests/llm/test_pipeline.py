@@ -35,7 +35,7 @@ def test_stages(spark):
         kept[name] = docs.collect()
     good = [r for r in all_docs.collect() if not figures(r.text)[-1]]
     assert sorted(r.doc_id for r in kept["quality rules"]) == sorted(r.doc_id for r in good)
-    lines = lines_of(good, line_dedup.RATIO, line_dedup.MIN_PAGES, line_dedup.MAX_LOSS)
+    lines = lines_of(good, line_dedup.RATIO, line_dedup.MIN_PAGES)
     assert sorted(((r.doc_id, r.text) for r in kept["line dedup"]), key=repr) == [x[:2] for x in lines]
     want = set(groups({i: simhash(t) for i, t, _ in lines}).values())
     assert sorted(r.doc_id for r in kept["SimHash near-dedup"]) == sorted(want)

@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from funnelkit.llm.line_dedup import line_dedup
 from funnelkit.llm.quality import host_verdicts, keep_good, quality_rules
@@ -58,25 +60,19 @@ def test_quality_of_nothing(spark):
     assert quality_rules(none).count() == 0 and keep_good(none).count() == 0
 
 
-def lines_of(rows, ratio, min_pages, max_loss):
-    pages, times = defaultdict(set), defaultdict(set)
+def lines_of(rows, ratio=0.1, min_pages=2):
+    pages, times = Counter(r.source for r in rows), Counter()
     worded = lambda x: WORD.search(x) is not None
     for r in rows:
-        pages[r.source].add(r.text)
-        for line in (r.text or "").split("\n"):
-            if worded(line):
-                times[(r.source, line)].add(r.text)
+        times.update({(r.source, line) for line in (r.text or "").split("\n") if worded(line)})
     out = []
     for r in rows:
         if r.text is None:
             out.append((r.doc_id, None, 0))
             continue
         every = r.text.split("\n")
-        left = [x for x in every if not (worded(x) and len(times[(r.source, x)]) >= min_pages
-                                         and len(times[(r.source, x)]) > ratio * len(pages[r.source]))]
-        size = lambda xs: sum(len(x) for x in xs if worded(x))
-        if size(left) < (1 - max_loss) * size(every):
-            left = every
+        left = [x for x in every if not (worded(x) and times[(r.source, x)] >= min_pages
+                                         and times[(r.source, x)] > ratio * pages[r.source])]
         out.append((r.doc_id, "\n".join(left), len(every) - len(left)))
     return sorted(out, key=repr)
 
@@ -84,18 +80,27 @@ def lines_of(rows, ratio, min_pages, max_loss):
 def test_lines_against_brute_force(spark):
     rows = [(i, f"Nav bar {i % 3 and 'x'}\nbody of page {i} in {i * 7}\n\nfooter\n{'rare' if i < 3 else 'other %d' % i}",
              "en", "a" if i < 40 else None, 0) for i in range(60)]
-    rows += [(90 + i, "copy one\ncopy two", "en", "a", 0) for i in range(30)]  # one page, however often
-    rows += [(200 + i, f"all\nthe same\nhere\n{i}", "en", "b", 0) for i in range(10)]  # near copies stay whole
-    rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "footer", "en", "a", 0)]
+    rows += [(90 + i, "copy one\ncopy two", "en", "a", 0) for i in range(30)]  # each copy is a page
+    rows += [(200 + i, f"all\nthe same\nhere\n{i}", "en", "b", 0) for i in range(10)]
+    rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "footer", "en", "a", 0), (400, "alone\nagain\nagain", "en", "c", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for df, args in ((df, (0.1, 5, 0.5)), (df, (0.5, 2, 1.0)), (odd_docs(spark), (0.1, 1, 0.9)), (documents(spark), (0.1, 3, 0.5))):
-        got = line_dedup(df, ratio=args[0], min_pages=args[1], max_loss=args[2], count="n_dropped")
+    for df, args in ((df, (0.1, 2)), (df, (0.5, 2)), (df, (0.05, 5)), (odd_docs(spark), (0.1, 1)), (documents(spark), (0.1, 3))):
+        got = line_dedup(df, ratio=args[0], min_pages=args[1], count="n_dropped")
         assert got.columns == [*df.columns, "n_dropped"]
         found = sorted(((r.doc_id, r.text, r.n_dropped) for r in got.collect()), key=repr)
         assert found == lines_of(df.collect(), *args)
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_working_names_are_the_callers_too(spark):
+    df = odd_docs(spark, clash=False)
+    for c in ("__row", "__kept", "__drop", "__host", "lines", "row", "d"):
+        df = df.withColumn(c, F.lit(c))
+    got = line_dedup(df, ratio=0.05)
+    assert got.columns == df.columns and all(r["__kept"] == "__kept" and r.lines == "lines" for r in got.collect())
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == [x[:2] for x in lines_of(df.collect(), 0.05)]
+
+
 def test_short_pages_lose_their_frame(spark):
     """Lines above the ratio go from every page, also where they are most of it."""
     rows = [(i, f"top of the frame\n{'a body of its own ' * 9}{i}\nend of the frame", "en", "a", 0) for i in range(20)]
@@ -103,6 +108,6 @@ def test_short_pages_lose_their_frame(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(df, count="n_dropped").collect()}
     assert got[100] == ("own", 2) and got[101] == ("", 2) and all(got[i] == (rows[i][1].split("\n")[1], 2) for i in range(20))
-    assert sorted(((i, *x) for i, x in got.items()), key=repr) == lines_of(df.collect(), 0.1, 5, 1.0)
+    assert sorted(((i, *x) for i, x in got.items()), key=repr) == lines_of(df.collect())
     stage = corpus_pipeline.line_stage(spark, df, "")
     assert {r.doc_id: r.text for r in stage.collect()} == {i: t for i, (t, _) in got.items()}
