@@ -21,9 +21,9 @@ Design rules (see README "Scale"):
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ __all__ = ["HotKeys", "hot_keys_for", "wall_micros", "row_positions", "first_per
 
 SHARE = 4            # cells a shuffle partition's fair share of the rows is cut into
 MAX_CUTS = 4096      # quantiles taken of one hot key's times
-_T, _B, _S = "__t", "__b", "__side"
+_T, _B, _J, _S = "__t", "__b", "__j", "__side"
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
@@ -132,8 +132,9 @@ _MERGE = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
 @dataclass(frozen=True)
 class HotKeys:
     """Keys that hold more than a fair share of the rows, with the times (micros)
-    that cut each into cells and its first and last right-side time."""
-    rows: tuple[tuple, ...] = ()          # (key values..., cuts, first, last)
+    that cut each into cells and its first and last right-side time. A time that is a
+    quantile more than once holds that many cells' rows: its share is kept beside it."""
+    rows: tuple[tuple, ...] = ()          # (key values..., cuts, shares, first, last)
     types: tuple[str, ...] = ()           # key types, as DDL
 
     def __bool__(self) -> bool:
@@ -147,12 +148,13 @@ class HotKeys:
         """Bounded table of the hot keys: at most SHARE * partitions rows, whose cuts
         add up to about as many. Times are negated and reversed to look forward."""
         out = []
-        for *key, cuts, first, last in self.rows:
+        for *key, cuts, shares, first, last in self.rows:
             cuts = list(cuts) if sign > 0 else [-c for c in reversed(cuts)]
+            shares = list(shares) if sign > 0 else list(reversed(shares))
             end = last if sign > 0 else (None if first is None else -first)
-            out.append((*key, cuts, end))
+            out.append((*key, cuts, shares, end))
         ddl = ", ".join(f"`{k}` {t}" for k, t in zip(kcols, self.types))
-        return spark.createDataFrame(out, f"{ddl}, __cuts array<bigint>, __end bigint")
+        return spark.createDataFrame(out, f"{ddl}, __cuts array<bigint>, __shares array<int>, __end bigint")
 
 
 def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
@@ -184,8 +186,8 @@ def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
         key = tuple(r)[:len(kcols)]
         n, total_rows = sizes[key]
         k = min(m, -(-n * cells // total_rows))                                    # cells of this key
-        picked = sorted({r.cuts[min(m - 2, max(0, round(i * m / k) - 1))] for i in range(1, k)})
-        rows.append((*key, tuple(picked), r["first"], r["last"]))
+        picked = Counter(r.cuts[min(m - 2, max(0, round(i * m / k) - 1))] for i in range(1, k))
+        rows.append((*key, tuple(sorted(picked)), tuple(picked[c] for c in sorted(picked)), r["first"], r["last"]))
     return HotKeys(tuple(rows), tuple(ddl))
 
 
@@ -212,6 +214,13 @@ def _cell(t: Column, cuts: Column, longest: int) -> Column:
         F.coalesce(F.get(cuts, lo + s - 1) < t, F.lit(False)), lo + s).otherwise(lo))
 
 
+def _shared(t: Column, cuts: Column, shares: Column, below: Column) -> Column:
+    """How many cells the rows of exactly this time make: 0 unless it is a cut that
+    was more than one quantile."""
+    share = F.when(F.get(cuts, below) == t, F.get(shares, below))
+    return F.when(share > 1, share).otherwise(0)
+
+
 def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
                right_time: Column | str, aggs: Mapping[str, tuple[str, Column]], *,
                inclusive: bool = False, forward: bool = False, open_bound: bool = False,
@@ -229,7 +238,8 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
     Hot keys (see the module notes) are cut into cells; ``share`` sets how finely,
     and ``hot`` passes a list made by ``hot_keys_for`` (keyed like ``left``). Left
     rows that meet nothing, or lie beyond a hot key's last right row, are spread over
-    cells of their own. Rows of one key with exactly the same time share a cell.
+    cells of their own. So are left rows of a time that more than a cell's rows share:
+    all they meet is in their seed row, and right rows of that time count in seeds only.
     """
     pairs = _pairs(on)
     kcols = [f"__k{i}" for i in range(len(pairs))]
@@ -262,27 +272,49 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
         _B, F.when(known & F.col(_T).isNotNull(), 0).otherwise(-1 - dealt)).drop("__raw")
     rx = rx.withColumns({_T: F.col("__raw") * sign, _S: F.lit(r_side), _B: F.lit(0)}).drop("__raw")
 
+    lx, rx = lx.withColumn(_J, F.lit(0)), rx.withColumn(_J, F.lit(0))
     if hot:
+        # Cells of a hot key by place: 2n holds the times between its cuts n and n + 1,
+        # 2n + 1 the rows of cut n + 1 itself where that time is more than a cell.
         table = F.broadcast(hot.frame(spark, kcols, sign))       # bounded, see HotKeys.frame
-        longest = max(len(r[-3]) for r in hot.rows)
-        cuts, beyond = F.col("__cuts"), F.size("__cuts") + 1
-        cell = _cell(F.col(_T), cuts, longest)
-        lx = lx.join(table, kcols, "left").withColumn(_B, F.when(cuts.isNull() | (F.col(_B) < 0), F.col(_B)).when(
-            F.col(_T) > F.col("__end"), beyond + F.pmod(dealt, beyond)).otherwise(cell)).drop("__cuts", "__end")
-        rx = rx.join(table, kcols, "left").withColumn(_B, F.when(cuts.isNull(), 0).otherwise(cell))
+        longest = max(len(r[-4]) for r in hot.rows)
+        cuts, beyond = F.col("__cuts"), 2 * F.size("__cuts") + 2
+        extra = ["__cuts", "__shares", "__end", "__n", "__many"]
+
+        def placed(df):
+            df = df.join(table, kcols, "left").withColumn("__n", F.when(cuts.isNotNull(), _cell(F.col(_T), cuts, longest)))
+            return df.withColumn("__many", F.when(cuts.isNotNull(), _shared(F.col(_T), cuts, F.col("__shares"), F.col("__n"))))
+        place = 2 * F.col("__n") + F.when(F.col("__many") > 0, 1).otherwise(0)
+        lx = placed(lx)
+        last = F.coalesce(F.col(_T) > F.col("__end"), F.lit(False))
+        lx = lx.withColumns({
+            _B: F.when(cuts.isNull() | (F.col(_B) < 0), F.col(_B)).when(last, beyond + F.pmod(dealt, F.size("__cuts") + 1))
+            .otherwise(place),
+            _J: F.when((F.col("__many") > 0) & ~last & (F.col(_B) >= 0), F.pmod(dealt, F.col("__many"))).otherwise(0)}).drop(*extra)
+        rx = placed(rx).withColumn(_B, F.when(cuts.isNull(), 0).otherwise(place))
         sums = rx.where(cuts.isNotNull()).groupBy(*kcols, _B).agg(
             *[_MERGE[aggs[n][0]](F.col(a)).alias(a) for a, n in zip(acols, names)])
-        rx = rx.drop("__cuts", "__end")
-        every = hot.frame(spark, kcols, sign).select(*kcols, F.explode(
-            F.sequence(F.lit(0), 2 * F.size("__cuts") + 2)).alias(_B))
-        before = Window.partitionBy(*kcols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)  # cells, not rows
+        rx = rx.where(cuts.isNull() | (F.col("__many") == 0)).drop(*extra)
+        # every cell's place, and how many cells stand there
+        every = hot.frame(spark, kcols, sign).select(*kcols, "__cuts", "__shares", F.explode(
+            F.sequence(F.lit(0), beyond + F.size("__cuts"))).alias(_B))
+        tied = (F.col(_B) % 2 == 1) & (F.col(_B) < beyond)
+        share = F.get("__shares", F.floor(F.col(_B) / 2).cast("int"))
+        every = every.select(*kcols, _B, F.when(tied & (share > 1), share).otherwise(1).alias("__many"))
+        # seeds hold the places before; where a whole time is one place and counts, its own too
+        over = Window.partitionBy(*kcols).orderBy(_B)                                    # cells, not rows
+        before, upto = (over.rowsBetween(Window.unboundedPreceding, x) for x in (-1, 0))
+
+        def seed(a, n):
+            own = F.when((F.col("__many") > 1) & F.lit(inclusive), _MERGE[aggs[n][0]](F.col(a)).over(upto))
+            return own.otherwise(_MERGE[aggs[n][0]](F.col(a)).over(before)).alias(a)
         seeds = every.join(sums, [*kcols, _B], "left").select(
-            *kcols, *[_MERGE[aggs[n][0]](F.col(a)).over(before).alias(a) for a, n in zip(acols, names)],
-            F.lit(_FIRST).alias(_T), F.lit(r_side).alias(_S), _B)
+            *kcols, *[seed(a, n) for a, n in zip(acols, names)], F.lit(_FIRST).alias(_T), F.lit(r_side).alias(_S), _B, "__many")
+        seeds = seeds.withColumn(_J, F.explode(F.sequence(F.lit(0), F.col("__many") - 1))).drop("__many")
         rx = rx.unionByName(seeds)
 
     both = lx.unionByName(rx, allowMissingColumns=True)
-    w = Window.partitionBy(*kcols, _B).orderBy(_T, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*kcols, _B, _J).orderBy(_T, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = {n: _MERGE[aggs[n][0]](F.col(a)).over(w) for a, n in zip(acols, names)}
     out = both.withColumns({f"__o{i}": run[n] for i, n in enumerate(names)}).where(F.col(_S) == l_side)
     return out.select(*left.columns, *[
@@ -362,39 +394,74 @@ def window_count(left: DataFrame, right: DataFrame, on, left_time: str, right_ti
 
 
 def range_join(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str,
-               lo_seconds: int, hi_seconds: int, how: str = "inner", row_id: str | None = None) -> DataFrame:
+               lo_seconds: int, hi_seconds: int, how: str = "inner", row_id: str | None = None,
+               share: int = SHARE) -> DataFrame:
     """Every (left, right) pair of a key with ``t_l + lo <= t_r < t_l + hi``,
     with the left table's key columns and the right table's other columns.
     ``how="left"`` also keeps left rows without a match, once each, and needs
     ``row_id``, a column unique in ``left``.
 
-    The result is the match set itself; candidates come from an equi join on
-    (key, time bucket of width ``hi - lo``), so only neighbouring buckets meet.
-    Prefer ``window_count`` / ``lookback_join`` when an aggregate is what is used.
+    The result is the match set itself, found by an equi join on cells. A cell is a
+    key's time bucket of width ``hi - lo``; where that holds more than a fair share of
+    the right rows it is cut at quantiles of its own times (and a time that alone is
+    more than a cell, by row). A right row stands in one cell, a left row in each cell
+    its window reaches: the neighbours, and the cuts between. So no task holds a hot key
+    or a hot bucket, and candidates stay within a window's width of each other. Prefer ``window_count`` /
+    ``lookback_join`` when an aggregate is what is used.
     """
     if how not in ("inner", "left"):
         raise ValueError("range_join is an inner or left join")
     if how == "left" and row_id is None:
         raise ValueError("a left range_join needs row_id, a column unique in the left table")
     pairs = _pairs(on)
+    spark = left.sparkSession
     width = max(int(hi_seconds - lo_seconds), 1) * 1_000_000
     lo_us, hi_us = int(lo_seconds) * 1_000_000, int(hi_seconds) * 1_000_000
-    tl, tr = time_micros(left_time, left), time_micros(right_time, right)
-    lb = F.floor((tl + lo_us) / width)
     kcols = [f"__k{i}" for i in range(len(pairs))]
     others = [c for c in right.columns if c not in [rk for _, rk in pairs]]
-    lx = left.select("*", *[F.col(lk).alias(k) for k, (lk, _) in zip(kcols, pairs)], tl.alias("__tl"),
-                     F.explode(F.array(lb, lb + 1)).alias("__bk"))
-    rx = right.select(*others, *[F.col(rk).alias(k) for k, (_, rk) in zip(kcols, pairs)], tr.alias("__tr"),
-                      F.floor(tr / width).alias("__bk"))
-    hit = (F.col("__tr") >= F.col("__tl") + lo_us) & (F.col("__tr") < F.col("__tl") + hi_us)
-    out = lx.join(rx, [*kcols, "__bk"]).where(hit).drop(*kcols, "__bk", "__tl", "__tr")
+    lx = left.select("*", *[F.col(lk).alias(k) for k, (lk, _) in zip(kcols, pairs)],
+                     (time_micros(left_time, left) + lo_us).alias("__lo"))
+    lx = lx.withColumn("__hi", F.col("__lo") + (hi_us - lo_us))      # the first time beyond the window
+    first = F.floor(F.col("__lo") / width)
+    lx = lx.withColumn("__bk", F.explode(F.array_distinct(F.array(first, F.floor((F.col("__hi") - 1) / width)))))
+    rx = _bucketed(right, pairs, right_time, width).select(*kcols, "__bk", "__tr", *others)
+    hot = _find_hot(rx.select(*kcols, "__bk", F.col("__tr").alias("__ht"), F.lit(True).alias("__hr")),
+                    [*kcols, "__bk"], share)
+    cell = ["__bk"]
+    if hot:
+        table = F.broadcast(hot.frame(spark, [*kcols, "__bk"], 1).drop("__end"))         # bounded, see HotKeys.frame
+        longest = max(len(r[-4]) for r in hot.rows)
+        cuts, shares = F.col("__cuts"), F.col("__shares")
+        upto = F.aggregate(shares, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+        table = table.withColumn("__upto", upto)                     # cells that the cuts before make
+        # a cut's cells begin with the times below it; a time of several cells deals its rows over them
+        number = _cell(F.col("__tr"), cuts, longest)
+        many = _shared(F.col("__tr"), cuts, shares, number)
+        plain = [f.name for f in right.schema.fields if isinstance(f.dataType, AtomicType)]
+        rx = rx.join(table, [*kcols, "__bk"], "left").withColumn("__c", F.when(cuts.isNull(), 0).otherwise(
+            F.get("__upto", number) + F.when(many > 0, F.pmod(F.xxhash64(*[c for c in plain if c in rx.columns], "__tr"), many))
+            .otherwise(0))).drop("__cuts", "__shares", "__upto")
+        lx = lx.join(table, [*kcols, "__bk"], "left")
+        low, high = _cell(F.col("__lo"), cuts, longest), _cell(F.col("__hi"), cuts, longest)
+        reach = F.sequence(F.get("__upto", low).cast("int"), F.get("__upto", high).cast("int"))
+        lx = lx.withColumn("__c", F.explode(F.when(cuts.isNull(), F.array(F.lit(0))).otherwise(reach))) \
+            .drop("__cuts", "__shares", "__upto")
+        rx = rx.withColumn("__c", F.col("__c").cast("int"))
+        cell = ["__bk", "__c"]
+    hit = (F.col("__tr") >= F.col("__lo")) & (F.col("__tr") < F.col("__hi"))
+    out = lx.join(rx, [*kcols, *cell]).where(hit).drop(*kcols, *cell, "__lo", "__hi", "__tr")
     if how == "inner":
         return out
     matched = out.select(row_id, F.struct(*others).alias("__r"))
     return left.join(matched, row_id, "left").select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in others])
 
 
+def _bucketed(right: DataFrame, pairs: list[tuple[str, str]], right_time: str, width: int) -> DataFrame:
+    rx = right.select("*", *[F.col(rk).alias(f"__k{i}") for i, (_, rk) in enumerate(pairs)],
+                      time_micros(right_time, right).alias("__tr"))
+    return rx.withColumn("__bk", F.floor(F.col("__tr") / width))
+
+
 def range_agg(left: DataFrame, right: DataFrame, on, bound: Column | str, right_time: Column | str,
               aggs: Mapping[str, tuple[str, Column]], *, inclusive: bool = False,
               hot: HotKeys | None = None, share: int = SHARE) -> DataFrame:
@@ -416,36 +483,19 @@ def agg_per_key(left: DataFrame, right: DataFrame, on, aggs: Sequence[Column],
     return out.fillna(0, subset=list(zero)) if zero else out
 
 
-def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_state", n: int = 2,
-              salts: int | None = None) -> DataFrame:
+def nth_state(df: DataFrame, key, order: str, state: str, out: str = "prior_state", n: int = 2) -> DataFrame:
     """The state at ``dense_rank() = n`` over ``(order DESC, state DESC)`` per
     key, i.e. the n-th largest distinct (order, state) pair (NULL first in either,
     as PostgreSQL sorts descending). Keys with fewer than n distinct pairs are absent.
 
-    Rows are first reduced to the n largest distinct pairs of each (key, salt): one
-    map-side combined ``max`` a rank, each below the rank before. The salt comes from
-    the pair, so equal pairs meet and a hot key is ``salts`` groups (default: as many
-    as shuffle partitions) of which at most n pairs each are left for the key itself."""
+    Pairs are made distinct first (map-side combined, dealt by the pair). The rank's
+    limit then works in every task before the rows are shuffled by key (Spark's partial
+    group limit), so a hot key arrives as n pairs a task, not as its rows."""
     keys = [key] if isinstance(key, str) else list(key)
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pair = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("t"),
-                    F.col(state).isNull().alias("m"), F.col(state).alias("s"))
-    rows = df.select(*keys, pair.alias("__p"), F.pmod(F.xxhash64(F.col(order), F.col(state)), F.lit(salts)).alias("__z"))
-
-    def ranks(of: DataFrame, by: list[str]) -> list[DataFrame]:
-        found = [of.groupBy(*by).agg(F.max("__p").alias("__p"))]
-        for _ in range(n - 1):
-            last = found[-1].select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(by)], F.col("__p").alias("__m"))
-            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(by)])
-            found.append(of.join(last, same).where(F.col("__p") < F.col("__m"))
-                         .groupBy(*by).agg(F.max("__p").alias("__p")))
-        return found
-
-    top = reduce(DataFrame.unionAll, ranks(rows, [*keys, "__z"])).select(*keys, "__p")
-    # at most n * salts pairs a key are left: the list of them is bounded
-    listed = top.groupBy(*keys).agg(F.sort_array(F.collect_list("__p"), asc=False).alias("__l")) \
-        .where(F.size("__l") >= n)
-    return listed.select(*keys, F.col("__l")[n - 1]["s"].alias(out), F.col("__l")[n - 1]["t"].alias(f"{out}_at"))
+    pairs = df.select(*keys, F.col(order).alias("__t"), F.col(state).alias("__s")).distinct()
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("__t").desc_nulls_first(), F.col("__s").desc_nulls_first()))
+    return pairs.withColumn("__n", rank).where((F.col("__n") <= n) & (F.col("__n") == n)) \
+        .select(*keys, F.col("__s").alias(out), F.col("__t").alias(f"{out}_at"))
 
 
 def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:

@@ -160,14 +160,104 @@ def test_nth_state_ties_and_single_row(spark):
     assert rows(nth_state(nulls, "k", "t", "s"), "k", "prior_state") == [(1, "Z"), (None, "A")]
 
 
-def test_nth_state_spreads_a_hot_key(spark):
-    """Rows of one key meet by (key, salt): no group of the row-level steps holds the key."""
+def test_nth_state_limits_before_the_shuffle(spark):
+    """One read, no join; the rank's limit stands on both sides of the shuffle by key."""
     df = spark.range(6000).selectExpr("0 AS k", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS t",
                                       "CAST(id AS STRING) AS s")
-    got = nth_state(df, "k", "t", "s", n=3, salts=16)
+    got = nth_state(df, "k", "t", "s", n=3)
     assert rows(got, "k", "prior_state") == [(0, "5997")]
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "__z" in plan
+    plan = nth_state(df, "k", "t", "s", n=3)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan and "Join" not in plan and plan.count("Range (") == 1
+
+
+def _tied(spark, n=6000):
+    """A third of all rows are of one key and one time; others stand around it."""
+    return spark.range(n).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 OR id % 9 = 1 THEN 0 ELSE id % 50 + 1 END AS k",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CASE WHEN id % 3 = 0 THEN 5000 ELSE id % 10000 END) AS t")
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("forward", [False, True])
+def test_a_time_that_a_third_of_all_rows_share(spark, strict, forward):
+    from funnelkit.operators import lookup
+    df = _tied(spark)
+    left = df.where("id % 2 = 0").select("id", "k", "t")
+    right = df.where("id % 2 = 1").select("k", F.col("t").alias("rt"), F.col("id").alias("rid"))
+    seen, window = [], lookup.Window.partitionBy
+
+    class Spy:
+        unboundedPreceding, currentRow = lookup.Window.unboundedPreceding, lookup.Window.currentRow
+
+        @staticmethod
+        def partitionBy(*cols):
+            seen.append(cols)
+            return window(*cols)
+    orig, lookup.Window = lookup.Window, Spy
+    try:
+        got = prefix_agg(left, right, "k", "t", "rt", {"n": ("count", F.lit(1)), "s": ("sum", F.col("rid")), "top": ("max", F.col("rid"))},
+                         inclusive=not strict, forward=forward, share=8)
+    finally:
+        lookup.Window = orig
+    assert "__j" in seen[-1]                    # the last window is the cells'
+    sign = ">" if forward else "<"
+    brute = left.join(right, "k").where(f"rt {sign}{'' if strict else '='} t").groupBy("id").agg(
+        F.count("*").alias("n"), F.sum("rid").alias("s"), F.max("rid").alias("top"))
+    want = left.join(brute, "id", "left").fillna(0, ["n"])
+    assert rows(got, "id", "n", "s", "top") == rows(want, "id", "n", "s", "top")
+
+
+def test_cells_of_a_shared_time_are_fair(spark):
+    from funnelkit.operators.lookup import _cell, _shared, hot_keys_for, time_micros
+    df = _tied(spark, 40_000)
+    hot = hot_keys_for(df, "k", "t")
+    assert [r[0] for r in hot.rows] == [0]
+    t, cuts = time_micros("t", df), F.col("__cuts")
+    below = _cell(t, cuts, len(hot.rows[0][-4]))
+    many = _shared(t, cuts, F.col("__shares"), below)
+    cells = df.join(hot.frame(spark, ["k"], 1), "k").select(below.alias("c"), many.alias("m"), F.when(many > 0, F.pmod(F.xxhash64("id"), many)).alias("j"))
+    largest = cells.groupBy("c", "m", "j").count().agg(F.max("count")).first()[0]
+    target = df.count() / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert largest <= 2 * target and cells.where("m > 1").count() > 13_000
+
+
+@pytest.mark.parametrize("share", [1, 8, 200])
+def test_range_join_rows_on_hot_buckets(spark, share):
+    """Row pairs within ten seconds, with a third of all rows in one bucket and many at one time."""
+    df = spark.range(3000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 90 + 1 END AS k",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CASE WHEN id % 3 = 0 THEN 700 + (id % 100) / 10.0 "
+        "WHEN id % 30 = 1 THEN 100 ELSE id / 10.0 END) AS t")
+    left = df.where("id % 4 = 0").select("id", "k", "t")
+    right = df.where("id % 4 = 1").select("k", F.col("t").alias("rt"), F.col("id").alias("rid"))
+    for lo, hi in ((0, 10), (-7, 3)):
+        got = range_join(left, right, "k", "t", "rt", lo, hi, share=share)
+        span = lambda s: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(s))
+        brute = left.join(right, "k").where((F.col("rt") >= F.col("t") + span(lo)) & (F.col("rt") < F.col("t") + span(hi)))
+        assert rows(got, "id", "rid") == rows(brute, "id", "rid")
+
+
+def test_range_join_spreads_a_hot_bucket(spark):
+    """No cell of the equi join holds more than twice a fair share of the right rows."""
+    from funnelkit.operators import lookup
+    right = spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS rid",
+                                           "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id % 1000) / 1000.0) AS rt")
+    left = right.where("rid % 500 = 0").select(F.col("rid").alias("id"), "k", F.col("rt").alias("t"))
+    seen = []
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    orig = Classic.join
+
+    def spy(self, other, on=None, how=None):
+        if "__c" in self.columns and "__c" in other.columns:
+            seen.append(other)
+        return orig(self, other, on, how)
+    Classic.join = spy
+    try:
+        lookup.range_join(left, right, "k", "t", "rt", 0, 10)
+    finally:
+        Classic.join = orig
+    sizes = seen[0].groupBy("__k0", "__bk", "__c").count().agg(F.max("count").alias("m")).first().m
+    assert sizes <= 2 * 40_000 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def test_lookback_unbounded_equals_asof(spark, asof_data):
