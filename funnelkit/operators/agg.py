@@ -137,13 +137,26 @@ def rollup_totals(df: DataFrame, keys: Mapping[str, Column | str], aggs: Sequenc
 
 def with_total_row(df: DataFrame, label_col: str, label: str = "Total",
                    sum_cols: Sequence[str] | None = None) -> DataFrame:
-    """Append one row with the column sums, labelled in ``label_col``."""
+    """Append one row with the column sums, labelled in ``label_col``; other columns
+    are NULL there.
+
+    ``df`` is evaluated once: its rows are numbered and grouped by the sets (row) and (),
+    which copies the summary's few rows, not what they were made from. Sums have their
+    wider type (long for integers) in all rows."""
     num = sum_cols or [f.name for f in df.schema.fields
                        if f.name != label_col and f.dataType.typeName() in
                        ("long", "integer", "double", "decimal", "short", "float")]
-    # sums keep their wider type (long for integers); the union widens the column
-    total = df.agg(*[F.sum(c).alias(c) for c in num]).withColumn(label_col, F.lit(label))
-    return df.unionByName(total, allowMissingColumns=True)
+    own = df.withColumns({"__row": F.monotonically_increasing_id(), "__own": F.lit(True)})
+    # a row of nothing, so that the total of no rows is a row as well
+    none = df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("__row"), F.lit(False).alias("__own"))
+    rows = own.unionByName(none, allowMissingColumns=True)
+    other = [c for c in df.columns if c not in num]
+    out = rows.groupingSets([["__row"], []], "__row").agg(
+        F.grouping("__row").alias("__all"), *[F.sum(c).alias(c) for c in num], *[F.first(c).alias(c) for c in other],
+        F.bool_or("__own").alias("__own")).where((F.col("__all") == 1) | F.col("__own"))
+    whole = F.col("__all") == 1
+    return out.select(*[F.col(c) if c in num else F.when(whole, F.lit(label) if c == label_col else None)
+                        .otherwise(F.col(c)).alias(c) for c in df.columns])
 
 
 def disposition_summary(df: DataFrame, group: Sequence[str], ident: Column | str, result: Column | str,

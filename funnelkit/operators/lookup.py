@@ -159,8 +159,9 @@ class HotKeys:
 
 def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
     """Hot keys of ``keyed`` (key columns, ``__ht`` time in micros, ``__hr`` whether a
-    right row). One map-side combined count per key; only if any key is hot, one
-    pass over the hot keys' times for their quantiles."""
+    right row). One map-side combined count per key, of which the total and the largest
+    come back; only if that is hot, the hot keys' counts and one pass over their times
+    for the quantiles."""
     spark = keyed.sparkSession
     cells = share * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = F.lit(True)
@@ -168,10 +169,10 @@ def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
         known = known & F.col(k).isNotNull()
     keyed = keyed.where(known & F.col("__ht").isNotNull())
     counts = keyed.groupBy(*kcols).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("t")).select("t").scalar()
-    hot = counts.where((F.col("__n") * cells > total) & (F.col("__n") > 1)).withColumn("__total", total).collect()
-    if not hot:
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    if not total or most * cells <= total or most == 1:      # the usual case: one count, one row back
         return HotKeys()
+    hot = counts.where((F.col("__n") * cells > total) & (F.col("__n") > 1)).withColumn("__total", F.lit(total)).collect()
     ddl = [counts.schema[k].dataType.simpleString() for k in kcols]
     listed = spark.createDataFrame([tuple(r)[:len(kcols)] for r in hot],
                                    ", ".join(f"`{k}` {t}" for k, t in zip(kcols, ddl)))

@@ -44,16 +44,20 @@ def suppress(df: DataFrame, lst: DataFrame, key: str, list_key: str | None = Non
 
     SQL semantics: nothing is in an empty list, so every row stays, NULL keys
     included; against any other list a NULL ``key`` never survives, and a single NULL
-    in the list empties the result. Both tests are one scalar sub-query (one aggregate
-    row), the exclusion an ordinary anti join, so no side is broadcast unchecked.
+    in the list empties the result. Exclusion is an ordinary anti join; what else the
+    list says (is it empty, does it hold a NULL) is a relation of one row, made once and
+    joined. A scalar sub-query would be copied to wherever Spark moves the filter.
     """
     lk = list_key or key
     kept = df.join(lst.where(F.col(lk).isNotNull()).select(F.col(lk).alias(key)), key, "left_anti")
     if not null_aware:
         return kept
-    # NULL: the list is empty; else whether it holds a NULL
-    has_null = lst.select(F.max(F.col(lk).isNull())).scalar()
-    return kept.where(F.when(has_null.isNull(), True).otherwise(~has_null & F.col(key).isNotNull()))
+    # NULL: the list is empty; else whether it holds a NULL. The key is 0 on both sides, but
+    # made of a column, so that this stays an equi join
+    facts = lst.agg(F.max(F.col(lk).isNull()).alias("__null")).withColumn("__f", F.pmod(F.hash("__null"), F.lit(1)))
+    known = kept.withColumn("__f", F.pmod(F.hash(F.col(key)), F.lit(1))).join(F.broadcast(facts), "__f")     # one row
+    null = F.col("__null")
+    return known.where(null.isNull() | (~null & F.col(key).isNotNull())).select(*df.columns)
 
 
 def flag_earlier_exists(df: DataFrame, keys: Sequence[str], t: str, qualifies: Column,

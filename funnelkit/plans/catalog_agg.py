@@ -13,7 +13,7 @@ from funnelkit.operators.agg import (answers_map, bind_cols, collect_struct, dis
 from funnelkit.operators.lookup import agg_per_key, first_per, nth_state
 from funnelkit.plans.registry import Tables, query
 from funnelkit.plans.reports import agent_day, stage_funnel, working_days
-from funnelkit.sources.tables import date_series
+from funnelkit.sources.tables import date_series, maybe_in
 
 # Call outcome lists of the disposition buckets.
 DIALLED = ["Answered Linkcall", "Answered Linkcall Abandoned", "Busy", "Invalid", "No Answer",
@@ -163,10 +163,16 @@ SELECT CASE WHEN prod IS NULL THEN 'Total' ELSE prod END AS product,
        moved
 FROM data
 """)
-def rollup_null_label(spark, d, *, start="1998-01-01"):
+def rollup_null_label(spark, d, *, start="1998-01-01", end=None, owners=None):
+    """Referrals since ``start`` (before ``end``, if given) by product, SKU, customer type
+    and channel; ``owners`` keeps those of the listed owners only (``c_mktsegment`` has
+    the owner's role)."""
     t = Tables(spark, d)
     o = t.orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        o = o.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
     j = o.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
+    j = maybe_in(j, "c_mktsegment", owners)
     urgent = imatch("o_orderpriority", "urgent")
     zone = similar_prefix(F.col("o_custkey").cast("string"), ["1", "2", "3"])
     seg = F.col("c_mktsegment")
@@ -617,23 +623,27 @@ def call_mis_combined(spark, d, *, run_date=RUN_DATE):
                                  .when(F.col("l_linestatus") == "O", "Answered Hangup").otherwise("Busy").alias("r"))
     ob = disposition_summary(ob_calls, [], "phone", "r", buckets, total="total_calls") \
         .withColumn("campaign_name", F.lit("OB"))
-    # chatbot dump: spreadsheet day serials converted back to dates
-    dump = t.events.where(F.col("event_type") == "signup").select(
-        "user_id", F.get_json_object("props", "$.k").try_cast("int").alias("chatbot_agent_id"),
-        F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).alias("created_at_serial"))
+    # The chatbot dump (spreadsheet day serials converted back to dates) and the dropped
+    # calls are both cut from the event log: one pass, a row a user, then one row of sums.
+    code = F.get_json_object("props", "$.k").try_cast("int")
+    serial = F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date"))
     since = F.date_sub(F.lit(run_date).cast("date"), 1)
-    chat = (dump.where(F.col("chatbot_agent_id").isin(1, 2, 3, 4) & (serial_to_date("created_at_serial") >= since))
-            .agg(F.count_distinct("user_id").alias("total_calls")))
-    chat = chat.select(F.lit("Chatbot").alias("campaign_name"), "total_calls", F.lit(0).cast("long").alias("dialled"),
-                       F.col("total_calls").alias("answered"), F.col("total_calls").alias("keypress"),
-                       F.col("total_calls").alias("connected"), F.lit(0).cast("long").alias("abandoned"))
-    drops = t.events.where(F.get_json_object("props", "$.k").try_cast("int") < 20).withColumn("r", _outcome())
-    ib = disposition_summary(drops, [], F.lit(1), "r", {"answered": KEYPRESS, "keypress": KEYPRESS,
-                                                        "connected": CONNECTED, "abandoned": ABANDONED,
-                                                        "hangup": HANGUP}, total="total_calls", distinct=False)
-    ib = ib.withColumns({"campaign_name": F.lit("IB Drop"), "dialled": F.lit(0).cast("long")})
-    rows = fill_zero(mivr.unionByName(ob).unionByName(chat, allowMissingColumns=True)
-                     .unionByName(ib, allowMissingColumns=True))
+    dump = t.events.select("user_id", ((F.col("event_type") == "signup") & code.isin(1, 2, 3, 4)
+                                       & (serial_to_date(serial) >= since)).alias("chat"),
+                           (code < 20).alias("dropped"), _outcome().alias("r")).where("chat OR dropped")
+    counted = {"total_calls": F.lit(True), "answered": F.col("r").isin(KEYPRESS), "keypress": F.col("r").isin(KEYPRESS),
+               "connected": F.col("r").isin(CONNECTED), "abandoned": F.col("r").isin(ABANDONED), "hangup": F.col("r").isin(HANGUP)}
+    sums = dump.groupBy("user_id").agg(
+        F.max(F.when(F.col("user_id").isNotNull(), F.col("chat").cast("long"))).alias("chat"),
+        *[F.count(F.when(F.col("dropped") & c, 1)).alias(n) for n, c in counted.items()]) \
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chat", *counted)])
+    zero, chat = F.lit(0).cast("long"), F.col("chat")
+    more = sums.select(F.inline(F.array(
+        F.struct(F.lit("Chatbot").alias("campaign_name"), chat.alias("total_calls"), zero.alias("dialled"), chat.alias("answered"),
+                 chat.alias("keypress"), chat.alias("connected"), zero.alias("abandoned"), zero.alias("hangup")),
+        F.struct(F.lit("IB Drop").alias("campaign_name"), "total_calls", zero.alias("dialled"), "answered", "keypress",
+                 "connected", "abandoned", "hangup"))))
+    rows = fill_zero(mivr.unionByName(ob).unionByName(more))
     rate = {f"{c}_pct": pct_text_ratio(F.try_divide(F.col(c), F.col("total_calls")))
             for c in ("answered", "keypress", "connected")}
     rows = rows.withColumns(rate).select("campaign_name", "total_calls", "dialled", "answered", "keypress",

@@ -145,7 +145,7 @@ def product_interest_funnel(spark, d, *, start="1997-01-01", end="1997-07-01"):
         "pass_03_sys": F.when((F.col("pass_03") == 1) & (F.col("oic_at_03") == "System"), 1),
         "pass_07_sys": F.when((F.col("pass_07") == 1) & (F.col("oic_at_07") == "System"), 1)})
     out = rollup_distinct_flags(base, ["product", "customer_type", "channel", "month_orig"], "lead_id", _FLAGS,
-                                label=None, total_name="total")
+                                label=None, total_name="total", one_row=True)
     return out.fillna(0, subset=_FLAGS)
 
 

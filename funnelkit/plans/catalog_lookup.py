@@ -228,6 +228,22 @@ def range_join_daily(spark, d):
         F.min("first").alias("first_view_ts"))
 
 
+@query("range_join_pairs", ids="J14", sql="""
+SELECT c.event_id, c.user_id, c.ts, v.event_id AS view_id, v.ts AS view_ts, v.value AS view_value
+FROM events c JOIN events v ON v.user_id = c.user_id AND v.event_type = 'view'
+ AND v.ts >= c.ts - INTERVAL 3 HOUR AND v.ts < c.ts + INTERVAL 3 HOUR
+WHERE c.event_type = 'click'
+""")
+def range_join_pairs(spark, d):
+    """Every view within three hours of a click of the same user, a row a pair. The
+    window is narrow against the log's months, so a click has a handful of them."""
+    t = Tables(spark, d)
+    clicks = t.events.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
+    views = t.events.where(F.col("event_type") == "view").select(
+        "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
+    return range_join(clicks, views, "user_id", "ts", "view_ts", -3 * 3600, 3 * 3600)
+
+
 @query("previous_click_cut_finely", ids="J10", sql="""
 SELECT e.event_id, e.user_id,
        (SELECT c.event_id FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click'

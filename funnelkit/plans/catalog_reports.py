@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.calendar import days_in_month
 from funnelkit.functions.expr import (decode_label, imatch, month_diff, month_offset_label,
                                       text_between, upper_strings, vintage_bucket)
-from funnelkit.operators.agg import join_distinct, milestone
+from funnelkit.operators.agg import join_distinct, last_by, milestone
 from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, hot_keys_for, lookback_join,
                                         lookup_latest, nth_state)
 from funnelkit.operators.member import attach_flag, flag_earlier_exists, semi, suppress
@@ -66,17 +66,17 @@ GROUP BY 1
 """)
 def cohort_conversion_matrix(spark, d, *, m0=M0, m1=M1, m2=M2, end=CONV_END):
     t = Tables(spark, d)
-    prof = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("profiled_date"))
+    at = F.col("o_orderdate")
+    window = (at >= _ts(m2)) & (at <= _ts(end))
+    # one aggregate of the users' orders: their profile date, and whether they applied in the window
+    prof = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("profiled_date"), F.bool_or(window).alias("__in")) \
+        .where("__in").drop("__in")
     seg = t.customer.where(imatch("c_mktsegment", "(building|machinery)")).select(
         F.col("c_custkey").alias("o_custkey"))
-    base = (t.orders.where((F.col("o_orderdate") >= _ts(m2)) & (F.col("o_orderdate") <= _ts(end)))
-            .join(seg, "o_custkey", "left_semi").join(prof, "o_custkey")
-            .select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("lead_id"),
-                    "profiled_date", F.col("o_orderdate").alias("applied_date")))
-    conv = t.orders.where(imatch("o_orderstatus", "F")).select(
-        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("lead_id"),
-        F.col("o_orderdate").alias("booking_date"))
-    return conversion_matrix(base, conv, user="user_id", lead="lead_id", profiled="profiled_date",
+    leads = t.orders.where(at <= _ts(end)).join(prof.join(seg, "o_custkey", "left_semi"), "o_custkey").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("lead_id"), "profiled_date",
+        F.when(window, at).alias("applied_date"), F.when(imatch("o_orderstatus", "F"), at).alias("booking_date"))
+    return conversion_matrix(leads, user="user_id", lead="lead_id", profiled="profiled_date",
                              applied="applied_date", booked="booking_date",
                              m0=m0, m1=m1, m2=m2, end=end)
 
@@ -250,26 +250,21 @@ LEFT JOIN LATERAL (
 """)
 def cohort_suppressed(spark, d):
     t = Tables(spark, d)
-    urgent = t.orders.where(F.col("o_orderpriority").isin("1-URGENT"))
-    base = semi(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), urgent,
-                [("c_custkey", "o_custkey")])
-    base = base.where(text_between(F.col("c_custkey").cast("string"), "500", "550", negate=True))
-    base = suppress(base, t.orders.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 5000)),
-                    "c_custkey", "o_custkey")
-    base = lookup_latest(base, t.orders.where(F.col("o_orderstatus") == "O"), [("c_custkey", "o_custkey")],
-                         ["o_orderdate", "o_orderkey"], ["o_totalprice"], prefix="latest_")
-    base = base.select("c_custkey", "c_mktsegment",
-                       F.coalesce("latest_o_totalprice", "c_acctbal").alias("monthly_income"))
-    flags = recency_flags(urgent, user="o_custkey", t="o_orderdate", d0="2001-01-01", d1="2000-01-01",
-                          d2="1999-01-01", groups={"urgent": F.lit(True)})
-    extra = urgent.groupBy("o_custkey").agg(
-        milestone(imatch("o_orderstatus", "f"), 0).alias("urgent_f"),
-        milestone(F.lit(True), 0).alias("urgent_any"),
-        milestone(F.col("o_orderstatus").isin("O"), 0).alias("urgent_o"))
-    cols = ["urgent_d0", "urgent_d1", "urgent_d2", "urgent_old", "urgent_f", "urgent_any", "urgent_o"]
-    per = flags.join(extra, "o_custkey").withColumnRenamed("o_custkey", "c_custkey")
-    out = base.join(per, "c_custkey", "left").fillna(0, subset=cols)
-    return attach_flag(out, t.orders.where(F.col("o_totalprice") > 450000), "c_custkey", "hv_flag", "o_custkey")
+    urgent, status = F.col("o_orderpriority").isin("1-URGENT"), F.col("o_orderstatus")
+    # every fact about a user's orders in one pass over them
+    per = recency_flags(t.orders, user="o_custkey", t="o_orderdate", d0="2001-01-01", d1="2000-01-01", d2="1999-01-01",
+                        groups={"urgent": urgent}, more=[
+                            milestone(urgent & imatch("o_orderstatus", "f"), 0).alias("urgent_f"),
+                            milestone(urgent, 0).alias("urgent_any"),
+                            milestone(urgent & status.isin("O"), 0).alias("urgent_o"),
+                            last_by("o_totalprice", ["o_orderdate", "o_orderkey"], where=status == "O").alias("__latest"),
+                            F.when(F.bool_or(F.col("o_totalprice") > 450000), "1").alias("hv_flag")])
+    base = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal") \
+        .where(text_between(F.col("c_custkey").cast("string"), "500", "550", negate=True))
+    base = suppress(base, t.orders.where((status == "P") & (F.col("o_totalprice") < 5000)), "c_custkey", "o_custkey")
+    out = base.join(per.where("urgent_any = 1").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return out.select("c_custkey", "c_mktsegment", F.coalesce("__latest", "c_acctbal").alias("monthly_income"),
+                      "urgent_d0", "urgent_d1", "urgent_d2", "urgent_old", "urgent_f", "urgent_any", "urgent_o", "hv_flag")
 
 
 def _team():

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.functions.expr import elapsed_hours, pct_text, time_of_day
@@ -19,30 +19,45 @@ __all__ = ["rollup_distinct_flags", "stage_funnel", "agent_day", "working_days",
 
 def rollup_distinct_flags(df: DataFrame, keys: Sequence[str], entity: str,
                           flags: Sequence[str], label: str | None = "Total",
-                          total_name: str | None = None) -> DataFrame:
+                          total_name: str | None = None, one_row: bool = False) -> DataFrame:
     """``ROLLUP(keys)`` of ``count(DISTINCT entity) FILTER (WHERE flag = 1)`` for
-    many 0/1 flags at once.
-
-    Spark rewrites N filtered distinct counts into an Expand that copies every
-    row N+1 times. Here each rollup level is first reduced to one row per
-    entity (``max`` of each flag, grouping sets with the entity in every set:
-    one copy per level, combined map-side), then flags are summed per level.
-    The counts are exact: an entity spanning several leaf groups is counted
-    once at each coarser level. Without a ``label`` subtotal keys are NULL.
+    many 0/1 flags at once, from the finest cells up.
+
+    Rows are first reduced to one per (cell, entity) (``max`` of each flag, combined
+    map-side). Entities of a single cell are counted there once, and the levels above are
+    sums of cells: what is rolled up is the few cells, not the rows. Only entities that
+    stand in several cells are reduced again at each level (grouping sets over their
+    rows alone), as a sum of cells would count them twice. The counts are exact.
+    ``one_row`` says that every entity is one row of ``df``: then its flags are summed as
+    they are. NULL entities count nothing but keep their cell. Without a ``label``
+    subtotal keys are NULL.
     """
-    keys = list(keys)
-    sets = [keys[:i] + [entity] for i in range(len(keys), -1, -1)]
-    per_entity = df.groupingSets(sets, *keys, entity).agg(
-        *[F.max(F.col(f)).alias(f) for f in flags],
-        *[F.grouping(k).alias(f"__g_{k}") for k in keys])
+    keys, number = list(keys), "__total"
+    known = F.col(entity).isNotNull()
     gcols = [f"__g_{k}" for k in keys]
-    aggs = [F.sum(F.col(f)).cast("long").alias(f) for f in flags]
-    if total_name:
-        aggs.append(F.count(F.lit(1)).alias(total_name))
-    out = per_entity.groupBy(*keys, *gcols).agg(*aggs)
+    groupings = [F.grouping(k).alias(g) for k, g in zip(keys, gcols)]
+
+    def counted(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.count(entity).alias(number), *[
+            F.sum(F.when(known, F.col(f))).cast("long").alias(f) for f in flags])
+
+    def rolled(cells: DataFrame) -> DataFrame:
+        return cells.rollup(*keys).agg(*[F.sum(c).alias(c) for c in (number, *flags)], *groupings)
+
+    if one_row:
+        out = rolled(counted(df, keys))
+    else:
+        per = df.groupBy(*keys, entity).agg(*[F.max(F.col(f)).alias(f) for f in flags])
+        per = per.withColumn("__cells", F.count(F.lit(1)).over(Window.partitionBy(entity)))   # at most the cells there are
+        many = per.where(known & (F.col("__cells") > 1))
+        sets = [keys[:i] + [entity] for i in range(len(keys), -1, -1)]
+        levels = many.groupingSets(sets, *keys, entity).agg(*[F.max(F.col(f)).alias(f) for f in flags], *groupings)
+        both = rolled(counted(per.where(~known | (F.col("__cells") == 1)), keys)) \
+            .unionByName(counted(levels, [*keys, *gcols]))
+        out = both.groupBy(*keys, *gcols).agg(*[F.sum(c).alias(c) for c in (number, *flags)])
     out = out.withColumns({k: F.when(F.col(g) == 1, F.lit(label).cast("string")).otherwise(F.col(k).cast("string"))
                            for k, g in zip(keys, gcols)})
-    return out.drop(*gcols)
+    return out.select(*keys, *flags, *([F.col(number).alias(total_name)] if total_name else []))
 
 
 def stage_funnel(profiles: DataFrame, logs: DataFrame, *, user: str, segment: Column,
@@ -121,9 +136,10 @@ def working_days(days: DataFrame, facts: DataFrame, *, t: str, keep: Column, thr
 
 
 def recency_flags(df: DataFrame, *, user: str, t: str, d0: str, d1: str, d2: str,
-                  groups: Mapping[str, Column]) -> DataFrame:
+                  groups: Mapping[str, Column], more: Sequence[Column] = ()) -> DataFrame:
     """C5 recency buckets per user and row group: any row at/after ``d0``, in
-    [d1, d0), in [d2, d1), before ``d2``; ``coalesce(bool_or(...)::int, 0)``."""
+    [d1, d0), in [d2, d1), before ``d2``; ``coalesce(bool_or(...)::int, 0)``. ``more``
+    are other aggregates of the user's rows, made in the same pass."""
     tc = F.col(t)
     lit = lambda s: F.lit(s).cast("timestamp_ntz")
     windows = {"d0": tc >= lit(d0), "d1": (tc >= lit(d1)) & (tc < lit(d0)),
@@ -132,59 +148,51 @@ def recency_flags(df: DataFrame, *, user: str, t: str, d0: str, d1: str, d2: str
     for g, gp in groups.items():
         for w, wp in windows.items():
             aggs.append(F.coalesce(F.bool_or(gp & wp).cast("int"), F.lit(0)).alias(f"{g}_{w}"))
-    return df.groupBy(user).agg(*aggs)
+    return df.groupBy(user).agg(*aggs, *more)
 
 
 # ---------------------------------------------------------------------------
 # C2 cohort conversion matrix
 
-def conversion_matrix(base: DataFrame, conversions: DataFrame, *, user: str, lead: str,
-                      profiled: str, applied: str, booked: str, m0: str, m1: str, m2: str,
-                      end: str) -> DataFrame:
+def conversion_matrix(leads: DataFrame, *, user: str, lead: str, profiled: str, applied: str,
+                      booked: str, m0: str, m1: str, m2: str, end: str) -> DataFrame:
     """Vintage rows (M0 / M1 / M2 / M2+ by profile date) x month columns x
     {profiled users, applied leads, converted leads}.
 
-    ``base``: applications in the window with their user's profile date.
-    ``conversions``: converted leads (user, lead, booking date). A conversion
-    counts for a user when booked on/after that user's profile date and on/before
-    ``end``. The condition depends on the user only, so conversions are matched
-    per user (an equi join on a one-row-per-user table), never per application
-    pair. Output column names carry the month parameters (``'<m0> profiled'``).
+    ``leads``: the leads of users who applied in the window, each with its user's
+    profile date; ``applied`` is set on applications of the window, ``booked`` on
+    converted leads, both where a lead is both. A conversion counts when booked on or
+    after the user's profile date and on or before ``end``; that depends on the user
+    only, so nothing is joined here. One pass: every lead gives a long row for each
+    measure it takes part in (vintage, measure, month, id), those are made distinct
+    (map-side combined) and counted into the columns. Output column names carry the
+    month parameters (``'<m0> profiled'``).
     """
     lit = lambda s: F.lit(s).cast("timestamp_ntz")
     labels = [m0, m1, m2, "M2+"]
 
-    def month_label(c):
+    def month_label(c, names):
         c = F.col(c)
-        return (F.when(c >= lit(m0), m0).when((c >= lit(m1)) & (c < lit(m0)), m1)
-                .when((c >= lit(m2)) & (c < lit(m1)), m2).when(c < lit(m2), "M2+"))
-
-    p = F.col(profiled)
-    vintage = (F.when(p >= lit(m0), "M0").when((p >= lit(m1)) & (p < lit(m0)), "M1")
-               .when((p >= lit(m2)) & (p < lit(m1)), "M2").when(p < lit(m2), "M2+"))
-    b = base.withColumn("vintage", vintage)
-
-    def cell_counts(df, ident, when_col, suffix):
-        # count(DISTINCT ident) FILTER (month of when_col = label), for every label,
-        # as distinct (vintage, label, ident) rows then conditional counts: no
-        # per-aggregate row expansion
-        d = df.select("vintage", month_label(when_col).alias("__m"), F.col(ident).alias("__id")) \
-            .where(F.col("__m").isNotNull() & F.col("__id").isNotNull()).distinct()
-        return d.groupBy("vintage").agg(*[F.count(F.when(F.col("__m") == lb, 1)).alias(f"{lb} {suffix}")
-                                          for lb in labels])
-
-    vintages = b.select("vintage").distinct()
-    users = b.groupBy(user, "vintage").agg(F.min(profiled).alias("__p"))
-    conv = conversions.join(users, user, "inner").where(
-        (F.col(booked) >= F.col("__p")) & (F.col(booked) <= lit(end)))
-    out = vintages
-    for part in (cell_counts(b, user, profiled, "profiled"), cell_counts(b, lead, applied, "applied"),
-                 cell_counts(conv, lead, booked, "conversion")):
-        part = part.withColumnRenamed("vintage", "__v")
-        # NULL profile dates form their own vintage row, as GROUP BY does
-        out = out.join(part, out["vintage"].eqNullSafe(part["__v"]), "left").drop("__v")
-    names = [f"{lb} {sfx}" for sfx in ("profiled", "applied", "conversion") for lb in labels]
-    return out.fillna(0, subset=names).select("vintage", *names)
+        return (F.when(c >= lit(m0), names[0]).when((c >= lit(m1)) & (c < lit(m0)), names[1])
+                .when((c >= lit(m2)) & (c < lit(m1)), names[2]).when(c < lit(m2), names[3]))
+
+    def long(measure, month, ident, when):
+        return F.when(when, F.struct(F.lit(measure).alias("measure"), month.alias("month"), ident.cast("string").alias("id")))
+
+    is_base, b = F.col(applied).isNotNull(), F.col(booked)
+    none = F.lit(None).cast("string")
+    cells = F.array(
+        long("vintage", none, none, is_base),       # a vintage has a row even if it counts nothing
+        long("profiled", month_label(profiled, labels), F.col(user), is_base),
+        long("applied", month_label(applied, labels), F.col(lead), is_base),
+        long("conversion", month_label(booked, labels), F.col(lead), (b >= F.col(profiled)) & (b <= lit(end))))
+    rows = leads.select(month_label(profiled, ["M0", "M1", "M2", "M2+"]).alias("vintage"),
+                        F.inline(F.filter(cells, lambda x: x.isNotNull()))).distinct()
+    names = [(lb, sfx) for sfx in ("profiled", "applied", "conversion") for lb in labels]
+    out = rows.groupBy("vintage").agg(F.count(F.when(F.col("measure") == "vintage", 1)).alias("__base"), *[
+        F.count(F.when((F.col("measure") == sfx) & (F.col("month") == lb), F.col("id"))).alias(f"{lb} {sfx}")
+        for lb, sfx in names])
+    return out.where("__base > 0").drop("__base")
 
 
 # ---------------------------------------------------------------------------

@@ -107,6 +107,19 @@ def test_rollup_distinct_flags_equals_count_distinct(spark):
     exp = exp.select(F.when(F.col("gs") == 1, "Total").otherwise(F.col("seg")).alias("seg"),
                      F.when(F.col("gp") == 1, "Total").otherwise(F.col("prod")).alias("prod"), "f1", "f2", "n")
     assert rows(got, "seg", "prod", "f1", "f2", "n") == rows(exp)
+    # entities of one row each: the same, from sums of cells alone
+    alone = df.dropDuplicates(["u"])
+    one = rollup_distinct_flags(alone, ["seg", "prod"], "u", ["f1", "f2"], total_name="n", one_row=True)
+    assert rows(one) == rows(rollup_distinct_flags(alone, ["seg", "prod"], "u", ["f1", "f2"], total_name="n"))
+
+
+def test_rollup_distinct_flags_on_many_rows(spark):
+    df = spark.range(4000).selectExpr("CAST(id % 3 AS STRING) AS a", "CAST(id % 7 AS STRING) AS b",
+                                      "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 2 = 0 THEN id % 400 ELSE id END AS u",
+                                      "CAST(id % 5 = 0 AS INT) AS f")
+    got = rollup_distinct_flags(df, ["a", "b"], "u", ["f"], total_name="n", label=None)
+    exp = df.rollup("a", "b").agg(F.count_distinct(F.when(F.col("f") == 1, F.col("u"))).alias("f"), F.count_distinct("u").alias("n"))
+    assert rows(got, "a", "b", "f", "n") == rows(exp)
 
 
 def test_disposition_and_total_row(spark):
@@ -167,6 +180,19 @@ def test_total_row_does_not_overflow_int_columns(spark):
     assert got["Total"] == 4_000_000_000
 
 
+def test_total_row_reads_its_input_once(spark, tmp_path):
+    spark.range(100).selectExpr("CAST(id % 5 AS STRING) AS k", "id AS v", "'x' AS note").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = with_total_row(df.groupBy("k").agg(F.sum("v").alias("v"), F.max("note").alias("note")), "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert rows(got) == [("0", 950, "x"), ("1", 970, "x"), ("2", 990, "x"), ("3", 1010, "x"), ("4", 1030, "x"), ("Total", 4950, None)]
+    assert rows(with_total_row(df.where("v < 0"), "k")) == [("Total", None, None)]
+    # equal rows stay apart
+    same = spark.createDataFrame([("a", 1), ("a", 1)], "k string, v int")
+    assert rows(with_total_row(same, "k")) == [("Total", 2), ("a", 1), ("a", 1)]
+
+
 def test_row_positions_many_partitions_with_coalescing(spark):
     from pyspark.sql import Window
     from funnelkit.operators.lookup import row_positions

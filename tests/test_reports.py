@@ -54,9 +54,11 @@ def test_conversion_matrix_brute_force(spark):
     base = [(1, 10, ts(1), ts(20)), (1, 11, ts(1), ts(25)), (2, 12, ts(12), ts(14)), (3, 13, ts(22), ts(23)),
             (4, 14, None, ts(26))]
     conv = [(1, 90, ts(2)), (1, 91, ts(27)), (2, 92, ts(11)), (2, 93, ts(13)), (3, 94, ts(29)), (3, 95, ts(31))]
-    b = spark.createDataFrame(base, "user_id long, lead_id long, profiled timestamp_ntz, applied timestamp_ntz")
-    c = spark.createDataFrame(conv, "user_id long, lead_id long, booked timestamp_ntz")
-    out = conversion_matrix(b, c, user="user_id", lead="lead_id", profiled="profiled", applied="applied",
+    profile = {u: p for u, _, p, _ in base}
+    leads = [(u, lead, p, a, None) for u, lead, p, a in base] + [(u, lead, profile[u], None, at) for u, lead, at in conv]
+    leads += leads[:3]                                      # repeated rows count once
+    df = spark.createDataFrame(leads, "user_id long, lead_id long, profiled timestamp_ntz, applied timestamp_ntz, booked timestamp_ntz")
+    out = conversion_matrix(df, user="user_id", lead="lead_id", profiled="profiled", applied="applied",
                             booked="booked", m0="2024-01-21", m1="2024-01-11", m2="2024-01-05", end="2024-01-30")
     got = {r.vintage: r.asDict() for r in out.collect()}
     assert set(got) == {"M0", "M1", "M2+", None}
