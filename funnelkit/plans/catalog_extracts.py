@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import (case_cascade, day_window, decode_label, half_open, imatch,
                                       m_bucket, month_diff, nimatch, similar_prefix)
 from funnelkit.operators.agg import first_by, join_distinct, last_by, milestone, milestone_and_not
-from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, lookback_join,
+from funnelkit.operators.lookup import (agg_per_key, asof_join, first_per, hot_keys_for, lookback_join,
                                         lookup_latest, range_agg)
 from funnelkit.operators.member import anti, semi
 from funnelkit.plans.registry import Tables, query
@@ -118,7 +118,7 @@ def fresh_profiles_effort(spark, d, *, first_day="2024-01-01", last_day="2024-01
         "is_contacted": ("max", (F.col("event_type") != "error").cast("int")),
         "eff_attempts": ("sum", (F.col("event_type") == "error").cast("long")),
         "__fc": ("min", F.struct("ts", "event_id", "event_type")),
-    }).drop("__until").fillna(0, subset=["eff_attempts"])
+    }, hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True)).drop("__until").fillna(0, subset=["eff_attempts"])
     st = F.col("product_status")
     logs = ev.where(F.col("event_type").isin("view", "click", "signup")).groupBy("user_id").agg(
         milestone(F.col("event_type") == "view").alias("is_prod_int"),
@@ -275,7 +275,8 @@ def stage_070_leads(spark, d, *, start="1999-01-01", end="1999-04-01", owners=No
     src = calls.select("user_id", "l_shipdate", "l_orderkey", "l_linenumber",
                        F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("utm_source_text"))
     x = asof_join(vs.withColumnRenamed("o_custkey", "user_id"), src, "user_id", "o_orderdate", "l_shipdate",
-                  ["utm_source_text"], tiebreak=["l_orderkey", "l_linenumber"])
+                  ["utm_source_text"], tiebreak=["l_orderkey", "l_linenumber"],
+                  hot=hot_keys_for(t.orders, "o_custkey", "o_orderdate"))
     x = agg_per_key(x, calls.where((F.col("l_returnflag") == "R") & imatch("l_linestatus", "f")), "user_id",
                     [F.max("l_shipdate").alias("sms_sent_on")])
     return x.join(_segment_label(t), "user_id", "left").select(
@@ -378,7 +379,8 @@ def approved_attribution(spark, d, *, start="1997-01-01", end="1997-04-01"):
         "user_id", F.col("ts").alias("src_ts"), F.col("event_id").alias("src_id"),
         _utm_source(F.col("k"), F.col("event_type")).alias("profiled_utm_source"))
     prof1 = ev.where(F.col("event_type") == "purchase").groupBy("user_id").agg(F.min("ts").alias("profiled_date"))
-    pu = asof_join(prof1, src, "user_id", "profiled_date", "src_ts", ["profiled_utm_source"], tiebreak=["src_id"])
+    pu = asof_join(prof1, src, "user_id", "profiled_date", "src_ts", ["profiled_utm_source"], tiebreak=["src_id"],
+                   hot=hot_keys_for(ev, "user_id", "ts", holds_right=True))
     agency = (t.nation.where(imatch("n_name", "_1"))
            .join(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
            .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("agency_name")))
@@ -508,7 +510,8 @@ def applications_extract(spark, d, *, start="1996-01-01", end="1996-04-01"):
         "user_id", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", owner.alias("lb_oic"))
     a = lookback_join(a.withColumn("user_id", F.col("o_custkey")), calls, "user_id", "o_orderdate",
                       "l_shipdate", ["lb_oic"], 40 * 86400, pick="last", upper_inclusive=True,
-                      tiebreak=["l_orderkey", "l_linenumber", "l_suppkey"])
+                      tiebreak=["l_orderkey", "l_linenumber", "l_suppkey"],
+                      hot=hot_keys_for(t.orders, "o_custkey", "o_orderdate"))
     # every per-lead metric over the lead's lines in one aggregation
     lines = t.lineitem.join(leads.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     applied = F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")
@@ -725,8 +728,9 @@ LEFT JOIN LATERAL (SELECT bool_or(regexp_matches(x.status, 'r-f$', 'i'))::INTEGE
 """)
 def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
     from funnelkit.operators.agg import join_strings
-    from funnelkit.operators.lookup import hot_keys_for, nth_state
+    from funnelkit.operators.lookup import nth_state
     from funnelkit.operators.member import flag_earlier_exists
+    from funnelkit.sources.sinks import cut_lineage
     t = Tables(spark, d)
     leads = t.orders.where(day_window("o_orderdate", first_day, last_day) & F.col("o_orderstatus").isin("F", "O")) \
         .select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
@@ -738,8 +742,10 @@ def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
     # report leads are a narrow window: restrict every log to those leads (or
     # their users) with a semi join before aggregating, since an aggregate
     # below a join cannot be filtered by it
-    all_lines = lines
-    lines = lines.join(leads.select("lead_id"), "lead_id", "left_semi")
+    # The leads, their lines and their users' orders serve several lookups each: they are
+    # read once and kept in the checkpoint folder
+    leads, all_lines = cut_lineage(leads), lines
+    lines = cut_lineage(lines.join(leads.select("lead_id"), "lead_id", "left_semi"))
     lead_users = leads.select("user_id").distinct()
     order = ["log_date", "l_linenumber", "status"]
     nc = F.col("l_returnflag") == "N"
@@ -757,7 +763,8 @@ def lead_journey(spark, d, *, first_day="1997-01-01", last_day="1997-03-31"):
     answers = latest_answer.groupBy("lead_id").agg(join_strings(
         F.concat(F.lit("q"), F.col("l_partkey").cast("string"), F.lit("="), F.col("l_quantity").cast("string")),
         ";", order="l_partkey").alias("answers"))
-    user_orders = t.orders.join(lead_users.withColumnRenamed("user_id", "o_custkey"), "o_custkey", "left_semi")
+    user_orders = cut_lineage(t.orders.join(lead_users.withColumnRenamed("user_id", "o_custkey"), "o_custkey", "left_semi")
+                              .select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus"))
     dup = flag_earlier_exists(user_orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate",
                                                  "o_orderstatus"),
                               ["o_custkey", "o_orderpriority"], "o_orderdate", imatch("o_orderstatus", "f$"),

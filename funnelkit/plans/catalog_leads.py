@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from funnelkit.functions.expr import (case_cascade, collapse_newlines, decode_label, half_open, imatch, m_bucket,
                                       month_diff, text_between, to_numeric)
 from funnelkit.operators.agg import collect_struct, first_by, last_by, milestone, milestone_and_not
-from funnelkit.operators.lookup import asof_join, first_per
+from funnelkit.operators.lookup import asof_join, first_per, hot_keys_for
 from funnelkit.operators.member import semi, suppress
 from funnelkit.plans.catalog_extracts import SEGMENT_LABELS
 from funnelkit.plans.registry import Tables, query
 from funnelkit.plans.reports import latest_utm, recency_flags, rollup_distinct_flags
+from funnelkit.sources.sinks import cut_lineage
 
 # Sources whose leads count as marketing (any of them in the source text).
 MARKETING_SOURCES = (
@@ -110,6 +111,7 @@ def product_interest_funnel(spark, d, *, start="1997-01-01", end="1997-07-01"):
         F.col("o_orderstatus").alias("product"),
         F.element_at(F.array(F.lit("email-x"), F.lit("SMS-y"), F.lit("direct"), F.lit("direct")),
                      (F.col("o_orderkey") % 4 + 1).cast("int")).alias("utm_source"))
+    leads = cut_lineage(leads)                  # the window's leads are few, and restrict every log below
     users = leads.select("user_id").distinct()
     # profile of the smallest id
     first = semi(profiles, users, [("o_custkey", "user_id")]).groupBy(F.col("o_custkey").alias("user_id")).agg(
@@ -132,7 +134,8 @@ def product_interest_funnel(spark, d, *, start="1997-01-01", end="1997-07-01"):
                      (F.col("o_orderkey") % 5 + 1).cast("int")).alias("utm_source_text"))
     base = leads.join(per, "lead_id", "left").join(first, "user_id", "left")
     base = base.withColumns({"app_owner": F.col("app.owner"), "app_at": F.col("app.at")}).drop("app")
-    base = latest_utm(base, login, user="user_id", t="app_at", tiebreak=["log_id"], out="login_source")
+    base = latest_utm(base, login, user="user_id", t="app_at", tiebreak=["log_id"], out="login_source",
+                      hot=hot_keys_for(t.orders, "o_custkey", "o_orderdate"))
     customer = t.customer.select(F.col("c_custkey").alias("user_id"),
                                  decode_label("c_mktsegment", SEGMENT_LABELS, "NH").alias("customer_type"))
     base = base.join(customer, "user_id", "left").fillna("NH", subset=["customer_type"])
@@ -204,6 +207,7 @@ def application_lookups(spark, d, *, start="1996-01-01", end="1996-04-01"):
     a = t.orders.where(half_open("o_orderdate", start, end)).select(
         F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("sku"),
         F.col("o_orderdate").alias("applied_date"), F.floor(F.col("o_totalprice") / 1000).cast("string").alias("code"))
+    a = cut_lineage(a)                          # the window's leads are few, and restrict every log below
     users = a.select("user_id").distinct()
     log = semi(_lead_log(t), a, "lead_id").join(
         t.part.select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey", "left")
@@ -218,7 +222,7 @@ def application_lookups(spark, d, *, start="1996-01-01", end="1996-04-01"):
         first_by("owner", _LOG_ORDER, where=F.col("l_linenumber") == 3).alias("first_oic"),
         last_by(F.struct(F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("notes"), "l_partkey"),
                 _LOG_ORDER, where=flag == "N").alias("__fb"))
-    ev = semi(t.events, users, "user_id")
+    ev = cut_lineage(semi(t.events, users, "user_id"))      # read once for the aggregates and the as-of lookup
     order = ["ts", "event_id"]
     per_user = ev.groupBy("user_id").agg(
         F.min_by("props", "event_id").alias("__form"),
@@ -227,7 +231,8 @@ def application_lookups(spark, d, *, start="1996-01-01", end="1996-04-01"):
     source = ev.where(F.col("event_type") != "purchase").select(
         "user_id", F.col("ts").alias("src_ts"), F.col("event_id").alias("src_id"),
         F.concat(F.lit("src-"), F.get_json_object("props", "$.k").try_cast("int").cast("string")).alias("profiled_utm_source"))
-    per_user = asof_join(per_user, source, "user_id", "profiled_date", "src_ts", ["profiled_utm_source"], tiebreak=["src_id"])
+    per_user = asof_join(per_user, source, "user_id", "profiled_date", "src_ts", ["profiled_utm_source"], tiebreak=["src_id"],
+                         hot=hot_keys_for(ev, "user_id", "ts", holds_right=True))
     theirs = semi(t.orders, users, [("o_custkey", "user_id")]).groupBy(F.col("o_custkey").alias("user_id")).agg(
         last_by("o_totalprice", ["o_orderdate", "o_orderkey"]).alias("credit_score"),
         F.count(F.when(imatch("o_orderpriority", "high"), 1)).alias("regen_lead_count"))
@@ -293,7 +298,8 @@ def payment_holdings(spark, d, *, start="2024-01-10", end="2024-01-31"):
     ev = semi(t.events, pay, "user_id")
     login = ev.where(F.col("event_type").isin("click", "signup")).select(
         "user_id", F.col("ts").alias("login_date"), F.col("event_id").alias("login_id"))
-    x = asof_join(pay, login, "user_id", "payment_date", "login_date", ["login_date"], tiebreak=["login_id"])
+    x = asof_join(pay, login, "user_id", "payment_date", "login_date", ["login_date"], tiebreak=["login_id"],
+                  hot=hot_keys_for(ev, "user_id", "ts", holds_right=True))
     at_login = ev.groupBy("user_id", F.col("ts").alias("login_date")).agg(F.min_by(term, "event_id").alias("utm_term"))
     x = x.join(at_login, ["user_id", "login_date"], "left")
     latest = semi(t.orders, pay, [("o_custkey", "user_id")]).groupBy(F.col("o_custkey").alias("user_id")).agg(

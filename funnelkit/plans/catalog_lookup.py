@@ -137,7 +137,8 @@ def asof_open_bound(spark, d):
     cust = t.customer.select("c_custkey").join(bounds, "c_custkey", "left")
     ev = t.events.select(F.col("user_id").alias("c_custkey"), "ts", "event_id")
     return range_agg(cust, ev, "c_custkey", "first_purchase_ts", "ts",
-                     {"max_event_id": ("max", F.col("event_id"))}, inclusive=True)
+                     {"max_event_id": ("max", F.col("event_id"))}, inclusive=True,
+                     hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True))
 
 
 @query("lookback_48h_last", ids="J12", sql="""
@@ -289,7 +290,8 @@ def range_agg_before_first_purchase(spark, d):
     bound = F.col("first_purchase_ts") + F.expr("INTERVAL 2 MINUTES")
     out = range_agg(cust.withColumn("__until", bound), calls, "c_custkey", "__until", "ts",
                     {"attempts": ("count", F.lit(1)),
-                     "contacted": ("max", (F.col("event_type") != "error").cast("int"))})
+                     "contacted": ("max", (F.col("event_type") != "error").cast("int"))},
+                    hot=hot_keys_for(t.events, "user_id", "ts", holds_right=True))
     return out.select("c_custkey", "first_purchase_ts", (F.col("attempts") > 0).cast("int").alias("called"),
                       F.coalesce("contacted", F.lit(0)).alias("contacted"), "attempts")
 

@@ -261,10 +261,11 @@ def pacing(actuals: DataFrame, plan_long: DataFrame, *, team: str, keys: Sequenc
 
 def latest_utm(df: DataFrame, utm_log: DataFrame, *, user: str, t: str, log_user: str = "user_id",
                log_t: str = "created_at", text: str = "utm_source_text", tiebreak: Sequence[str] = (),
-               out: str = "utm_source_text") -> DataFrame:
+               out: str = "utm_source_text", hot=None) -> DataFrame:
     """U1 ``get_latest_utm(user_id, ts)``: the latest login-source text of the
-    user strictly before ``t`` (as-of join on the prefix engine)."""
+    user strictly before ``t`` (as-of join on the prefix engine; ``hot`` shares a count
+    of the users' rows)."""
     from funnelkit.operators.lookup import asof_join
     log = utm_log.select(F.col(log_user).alias(user), F.col(log_t).alias("__lt"), F.col(text).alias(out),
                          *[F.col(c) for c in tiebreak])
-    return asof_join(df, log, user, t, "__lt", [out], strict=True, tiebreak=tiebreak)
+    return asof_join(df, log, user, t, "__lt", [out], strict=True, tiebreak=tiebreak, hot=hot)

@@ -13,7 +13,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name,most", [("lead_journey", 29), ("asof_previous_click", 4), ("previous_click_value", 4),
+@pytest.mark.parametrize("name,most", [("lead_journey", 12), ("application_lookups", 8), ("asof_previous_click", 4), ("previous_click_value", 4),
                                        ("lookback_48h_first", 4), ("nested_lookup", 6), ("subset_complement", 1),
                                        ("prior_state", 1), ("cohort_suppressed", 6), ("cohort_conversion_matrix", 4),
                                        ("call_mis_combined", 4)])
