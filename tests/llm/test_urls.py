@@ -41,17 +41,44 @@ def test_no_rules(spark):
 @pytest.mark.parametrize("every", [1, 2, 37, 5000])
 def test_cascade_is_exact(spark, every):
     universe = spark.range(5000).selectExpr("cast(id as string) as key")
-    listed = spark.range(0, 5000, every).selectExpr("cast(id as string) as key")
-    cascade = build_cascade(universe, listed)
+    ours, others = universe.where(f"key % {every} = 0"), universe.where(f"key % {every} <> 0")
+    cascade = build_cascade(ours, others, ours.count(), others.count())
     found = {int(r.key) for r in universe.where(cascade.contains(universe["key"])).collect()}
     assert found == set(range(0, 5000, every))
+    assert len(cascade.levels) <= 8
 
 
-def test_filter_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BYTES", 64)
-    keys = spark.range(1000).selectExpr("cast(id as string) as key")
-    with pytest.raises(ValueError):
-        build_cascade(keys, keys)
+def _long(spark, n, listed):
+    pages = spark.range(n).selectExpr("id as page_id", "concat('http://www.site', id % 4000, '.example.', if(id % 2 = 0, 'com', 'net'), "
+                                      "if(id % 3 = 0, '/en/x', '/de/y')) as url")
+    hosts = spark.range(listed).selectExpr("concat('site', id * 3, if(id % 5 = 0, '.example.com', '.example.net')) as host", "id")
+    return pages, hosts.unionAll(spark.createDataFrame([(None, 0)], "host string, id bigint"))
+
+
+@pytest.mark.parametrize("part_bytes,every", [(url_filter.PART_BYTES, 1), (400, 1)])
+def test_a_long_list_from_a_table(spark, part_bytes, every):
+    """Exact against a join; also where the list is taken in parts."""
+    pages, hosts = _long(spark, 6000, 3000)
+    got = judge_urls(pages, URL_RULES, hosts, part_bytes=part_bytes)
+    known = {r.host for r in hosts.collect()}
+    want = [(r.page_id, *judged(r.url, URL_RULES, [])) for r in pages.collect()]
+    want = [x if x[3] else (*x[:4], "block" if x[1].removeprefix("www.") in known else "allow") for x in want]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {x[4] for x in want if not x[3]} == {"allow", "block"}
+    assert ("ExistingRDD" in got._jdf.queryExecution().optimizedPlan().toString() or "LogicalRDD" in
+            got._jdf.queryExecution().optimizedPlan().toString()) == (part_bytes == 400)
+
+
+def test_one_universe_for_all_lists(spark):
+    """The pages are read once for the universe, and once for the verdicts."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    seen, orig = [], url_filter.cut_lineage
+    url_filter.cut_lineage = lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), orig(df))[1]
+    try:
+        judge_urls(pages, URL_RULES, BLOCKED_HOSTS)
+    finally:
+        url_filter.cut_lineage = orig
+    assert sum(plan.count("FileScan") for plan in seen) == 1
 
 
 def test_native_plan(spark):
