@@ -167,7 +167,7 @@ def neighbour_ranges(df: DataFrame, key: str, text: str, parts: int) -> DataFram
     sent = F.struct(F.pmod(F.col("range") + 1, F.lit(len(ends))).alias("range"), F.lit(True).alias("ahead"))
     rows = dealt.withColumn("to", F.explode(F.when(at_end, F.array(own_row, sent)).otherwise(F.array(own_row))))
     return rows.select(key, "text", "place", "to.range", "to.ahead") \
-        .repartition(parts, "range").sortWithinPartitions("range", F.desc("ahead"), "place").drop("place")
+        .repartitionById(max(1, len(ends)), F.col("range")).sortWithinPartitions("range", F.desc("ahead"), "place").drop("place")
 
 
 def document_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:

@@ -324,16 +324,18 @@ def repair_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     key = pa.field("k", to_arrow_type(kind))
     slim = rows.select("k", *ORDER, "times", _letter().alias("letter"))
     same = ["conv", "role", "h", "i"]
-    place = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    repeats = slim.where("times > 0").groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")) \
-        .where("n > 1").select(*same, "first")
-    later = F.col("first").isNotNull() & ~F.col("first.turn").eqNullSafe(F.col("turn"))
+    # the first turn of a kind of row: null if any is, as nulls come first
+    repeats = slim.where("times > 0").groupBy(*same).agg(
+        F.count("*").alias("n"), F.min("turn").alias("least"), F.count("turn").alias("known")) \
+        .where("n > 1").select(*same, F.lit(True).alias("seen"), F.when(F.col("known") == F.col("n"), F.col("least")).alias("first"))
+    later = F.col("seen").isNotNull() & ~F.col("first").eqNullSafe(F.col("turn"))
     ordered = slim.join(repeats, same, "left").select("k", *ORDER, "times", "letter", later.alias("later")) \
         .repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id())
     arrow = pa.schema([key, ("conv", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("letters", pa.string()),
                        ("low", pa.int64()), ("high", pa.int64()), ("turns", pa.int64())])
     pieces = ordered.mapInArrow(_pieces(arrow), f"k {kind.simpleString()}, {PIECES}")
-    whole = pieces.groupBy("k", "conv").agg(F.sort_array(F.collect_list(F.struct(
+    # as many tasks as there are partitions: the agendas are the work, their strings are small
+    whole = pieces.repartition(parts, "conv").groupBy("k", "conv").agg(F.sort_array(F.collect_list(F.struct(
         "part", "piece", "letters", "low", "high", "turns"))).alias("pieces"))
     arrow = pa.schema([key, ("conv", pa.string()), *((n, pa.int64()) for n in list(FOUND)[:-1]), ("audit", pa.string())])
     found = written(whole.mapInArrow(_repaired(arrow), f"k {kind.simpleString()}, conv string, "

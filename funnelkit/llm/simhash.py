@@ -4,7 +4,10 @@ A fingerprint is cut into segments. If two fingerprints differ in at most ``d``
 bits, then for radii with ``sum(radius + 1) = d + 1`` over the segments some segment
 differs in at most its radius. So a table keyed by (segment, value) holds every
 fingerprint once a segment, and each fingerprint probes the small Hamming balls
-around its own values: the table's matches are compared on all 64 bits.
+around its own values: the table's matches are compared on all 64 bits. How many
+segments there are follows the number of different fingerprints (``segments``), so a
+bucket holds few by chance at any size: three of 21 or 22 bits for some millions, two
+of 32 bits from some tens of millions on.
 
 Equal fingerprints are folded into one before any of this, so copies are never
 paired. A table bucket of more than ``BUCKET`` different fingerprints is not
@@ -23,6 +26,7 @@ they come. Columns besides id and text are not read. Empty tables give empty res
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,9 @@ from funnelkit.llm.components import components
 from funnelkit.sources.sinks import cut_lineage
 
 WORDS, BITS, SEED = 4, 4, 42
-BUCKET = 512
+BUCKET = 2048         # about a midpoint ball: from here on pairs would cost more
+MAX_PROBES = 4096     # of one fingerprint; the expression lists them
+SALTS = 32
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -79,11 +85,23 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return df.select(*keep, text).mapInArrow(_fingerprints(text, list(keep), words), schema)
 
 
-def segments(bits: int) -> list[tuple[int, int]]:
-    """(width, radius) of three segments from the lowest bit up. Radii plus one add up
-    to ``bits + 1``: (1, 1, 0) for four bits."""
-    radii = [(bits + 1) // 3 - 1 + (i < (bits + 1) % 3) for i in range(3)]
-    return [(w, r) for w, r in zip((21, 21, 22), radii) if r >= 0]
+def segments(bits: int, count: int = 0) -> list[tuple[int, int]]:
+    """(width, radius) of the segments from the lowest bit up, for a table of ``count``
+    fingerprints. Radii plus one add up to ``bits + 1`` whatever their number, which makes
+    the search exact; fewer and wider segments take more probes and meet fewer rows by
+    chance, so their number follows the count: the least of probes and chance matches."""
+    def cut(parts: int) -> list[tuple[int, int]]:
+        return [(64 // parts + (i >= parts - 64 % parts), (bits + 1) // parts - 1 + (i < (bits + 1) % parts))
+                for i in range(parts)]
+
+    def cost(found: list[tuple[int, int]]) -> float:
+        return sum(_ball_size(w, r) * (1 + count / 2 ** w) + 1 for w, r in found)
+    return min(filter(lambda found: sum(_ball_size(w, r) for w, r in found) <= MAX_PROBES,
+                      map(cut, range(1, bits + 2))), key=cost)
+
+
+def _ball_size(width: int, radius: int) -> int:
+    return sum(comb(width, r) for r in range(radius + 1))
 
 
 def _signed(x: int) -> int:
@@ -98,12 +116,14 @@ def _ball(width: int, radius: int, shift: int = 0) -> list[int]:
     return out
 
 
-def links(fps: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, bucket: int = BUCKET,
+          cut: list[tuple[int, int]] | None = None) -> DataFrame:
     """Edges ``(a, b)`` between different fingerprints of ``fps`` (distinct, column
-    ``fp``) whose components are those of all pairs at most ``bits`` apart."""
+    ``fp``) whose components are those of all pairs at most ``bits`` apart. ``cut`` gives
+    the segments; by default they follow the number of fingerprints, which is counted."""
     shift, table, probes = 0, [], []
-    for i, (width, radius) in enumerate(segments(bits)):
-        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    for i, (width, radius) in enumerate(cut or segments(bits, fps.count())):
+        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         table.append(F.struct(F.lit(i).alias("seg"), part.alias("val")))
         probes.append(F.array(*[F.struct(F.lit(i).alias("seg"), part.bitwiseXOR(F.lit(m)).alias("val"))
                                 for m in _ball(width, radius)]))
@@ -149,11 +169,16 @@ def near_duplicates(fps: DataFrame, key: str = "doc_id", bits: int = BITS, bucke
     (``root``) and smallest key (``component_id``), over links of at most ``bits``
     differing bits."""
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min(key).alias("least")))
-    found = components(links(distinct.select("fp"), bits, bucket), "a", "b")
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left") \
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(roots, "root").select("fp", "root", "component_id")
+    found = cut_lineage(components(links(distinct.select("fp"), bits, bucket), "a", "b"))
+    linked = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "least", "root")
+    # a component may hold most fingerprints: its smallest key goes to each salt of its root
+    roots = linked.groupBy("root").agg(F.min("least").alias("component_id")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")) \
+        .join(roots, ["root", "salt"]).select("fp", "root", "component_id")
+    # the others stand alone
+    alone = distinct.join(found, distinct["fp"] == found["node"], "left_anti")
+    return named.unionAll(alone.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")))
 
 
 def simhash_near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS,
@@ -181,8 +206,9 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int
     times = own.groupBy("k", "h").agg(F.count("*").alias("n"))
     pick = cut_lineage(first.join(times, first["k"].eqNullSafe(times["k"]) & (first["h"] == times["h"]))
                        .select(first["k"].alias("__k"), first["h"].alias("__h"), "n"))
-    marked = df.withColumn("__row", row)
-    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__h"))
+    # working columns stand beside the row in a struct, so no name of the caller's clashes
+    marked = df.select(F.struct(*[df[c] for c in df.columns]).alias("d"), F.col(key).alias("k"), row.alias("h"))
+    same = marked["k"].eqNullSafe(F.col("__k")) & (marked["h"] == F.col("__h"))
     once = marked.join(pick.where("n = 1"), same, "left_semi")
-    again = marked.join(pick.where("n > 1"), same, "left_semi").dropDuplicates([key, "__row"])
-    return once.unionByName(again).drop("__row")
+    again = marked.join(pick.where("n > 1"), same, "left_semi").groupBy("k", "h").agg(F.first("d").alias("d"))
+    return once.select("d").unionAll(again.select("d")).select(*[F.col("d").getField(c).alias(c) for c in df.columns])

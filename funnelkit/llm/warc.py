@@ -33,7 +33,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelkit.session import checkpoint_dir
@@ -194,7 +194,9 @@ def normalise(spark: SparkSession, folder: str, target: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in done], pa.string()),
                                               pa.array([n for _, n in done], pa.int64())], names=["archive", "n"])
 
-    paths = found.repartition(max(1, found.count()), "path")
+    # archives are numbered, so that each has a task of its own (a hash of the path collides)
+    numbered = found.withColumn("n", F.row_number().over(Window.orderBy("path")) - 1)       # a row an archive
+    paths = numbered.repartitionById(max(1, found.count()), F.col("n")).select("path")
     paths.mapInArrow(work, "archive string, n bigint").agg(F.sum("n")).collect()
     return spark.read.schema(INDEX).option("pathGlobFilter", "*.index.json").json(target)
 

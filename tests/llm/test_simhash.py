@@ -54,6 +54,61 @@ def test_links_of_other_distances(spark, bits, bucket):
             assert (find(x) == find(y)) == (want[x] == want[y])
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 5])
+def test_every_cut_finds_the_same_components(spark, parts):
+    """Two and three segments (and five, and for three bits one) give all pairs' components."""
+    bits = 4 if parts > 1 else 1
+    cut = [(64 // parts + (i >= parts - 64 % parts), (bits + 1) // parts - 1 + (i < (bits + 1) % parts)) for i in range(parts)]
+    assert sum(w for w, _ in cut) == 64 and sum(r + 1 for _, r in cut) == bits + 1
+    signed, df = _planted(spark, 40)
+    parent = {x: x for x in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for e in links(df, bits, cut=cut).collect():
+        assert ((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= bits
+        parent[find(e.a)] = find(e.b)
+    want = groups({x: x & (1 << 64) - 1 for x in signed}, bits)
+    assert all((find(x) == find(y)) == (want[x] == want[y]) for x in signed for y in signed)
+
+
+def test_segments_follow_the_count():
+    for bits in range(8):
+        for n in (0, 10 ** 3, 10 ** 6, 10 ** 9, 10 ** 12):
+            cut = segments(bits, n)
+            assert sum(w for w, _ in cut) == 64 and sum(r + 1 for _, r in cut) == bits + 1
+    assert [len(segments(4, n)) for n in (200_000, 5 * 10 ** 6, 10 ** 8, 10 ** 10)] == [3, 3, 2, 2]
+    # rows that a fingerprint meets by chance stay far below one midpoint ball
+    assert all(10 ** 9 / 2 ** w < 1 for w, _ in segments(4, 10 ** 9))
+
+
+def test_a_component_of_half_the_rows_has_no_hot_task(spark):
+    """The join that names components deals a large one's members over salts."""
+    import pyspark.sql.classic.dataframe as classic
+    from funnelkit.llm import simhash as S
+    line = [(1 << b) - 1 for b in range(63)] + [((1 << b) - 1) ^ (1 << 62) for b in range(50)]
+    rnd = random.Random(3)
+    fps = [(i, x) for i, x in enumerate(line)] + [(1000 + i, rnd.getrandbits(63)) for i in range(100)]
+    df = spark.createDataFrame(fps, "doc_id bigint, fp bigint")
+    seen, orig = [], classic.DataFrame.join
+
+    def spy(self, other, on=None, how=None):
+        if isinstance(on, list) and on == ["root", "salt"]:
+            seen.append(self)
+        return orig(self, other, on, how)
+    classic.DataFrame.join = spy
+    try:
+        got = {r.fp: r.component_id for r in S.near_duplicates(df).collect()}
+    finally:
+        classic.DataFrame.join = orig
+    want = groups({i: x for i, x in fps})
+    assert got == {x: want[i] for i, x in fps} and len(set(want.values())) < len(fps) // 2 + 5
+    most = seen[0].groupBy("root", "salt").count().agg({"count": "max"}).first()[0]
+    assert most <= 12
+
+
 def test_midpoint_links_are_bounded_by_the_ball(spark):
     """A dense cluster is linked with at most a ball's edges a member, not by pairs."""
     cluster = [x for x in range(1 << 10)]
