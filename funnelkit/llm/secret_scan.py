@@ -1,21 +1,24 @@
 """Operator 9: secret scan with corpus-wide ownership frequency.
 
 Base spans are found by three patterns (``assign``, ``access``, ``hex``). Their
-secrets, and further candidates (``token``: long runs of letters and digits of mixed
-kind that no base span touches), are counted over the whole corpus by the distinct
-repositories and owners that hold them. A secret that ``COPIED`` owners or more hold
-is a widely copied example; one that fewer hold is owner-specific and looks live.
+secrets, and further candidates (``token``: runs of 24 or more letters, digits and
+``+ / _ -`` with at least three letters, of whatever case, and three digits, that no
+base span touches), are counted over the whole corpus by the distinct repositories and
+owners that hold them. A repository is a text, however often it is copied, and its
+owner the smallest that has it: copies of one text do not make its secrets common. A
+secret in repositories of ``COPIED`` owners or more is a widely copied example; one of
+fewer owners, in however many repositories, is owner-specific and looks live.
 Candidates that look live are added as spans of kind ``token``; base spans stay
-whatever their verdict, which is reported beside them.
+whatever their verdict, which is reported beside them with both counts.
 
 DataFrame functions only. Matches are taken apart from the text between them inside
 the row, and offsets are running sums of both lengths, in code points. Only secrets'
-hashes are shuffled, by (secret, owner) before they are counted by secret, so a
-secret that very many documents hold is counted map-side. Texts are read twice and
+hashes are shuffled, by (secret, repository) and (secret, owner) before they are counted
+by secret, so a secret that very many documents hold is counted map-side. Texts are read twice and
 never shuffled; each document's verdicts come back by id and text hash.
 
-A null text is empty. Repeated rows give the same spans each. A null id, owner or
-repository is one like any other. Columns whose names clash with the results are
+A null text is empty. Repeated rows give the same spans each. A null id or owner is
+one like any other. Columns whose names clash with the results are
 dropped. An empty table gives an empty result.
 """
 
@@ -33,8 +36,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9_-]{24,}"
-MIXED = r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"
+TOKEN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
+MIXED = r"(?=(?:.*[0-9]){3})(?=(?:.*[A-Za-z]){3})"
 KINDS = ("assign", "access", "hex", "token")
 MIN_VALUE = 6
 COPIED = 3
@@ -96,31 +99,31 @@ def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def owners(spans: DataFrame, copied: int = COPIED) -> DataFrame:
-    """For every secret of ``spans`` (hash, repo, owner): the distinct repositories and
-    owners that hold it, and ``live``, whether fewer than ``copied`` owners do."""
-    return spans.select("hash", "owner", "repo").distinct() \
+    """For every secret of ``spans`` (hash, repo, owner): the distinct repositories that
+    hold it and their distinct owners, and ``live``, whether those are fewer than
+    ``copied``. A repository that several owners have is the smallest one's."""
+    return spans.groupBy("hash", "repo").agg(F.min(F.struct("owner")).alias("owner")) \
         .groupBy("hash", "owner").agg(F.count("*").alias("repos")) \
         .groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners")) \
         .withColumn("live", F.col("owners") < copied)
 
 
-def scan(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source",
+def scan(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source",
          copied: int = COPIED, keep: dict[str, Column] | None = None) -> DataFrame:
-    """One row a document: the ``keep`` columns, ``base``, ``more``, and ``live``, the
-    hashes of its spans' secrets that look live. Spans are checkpointed, without texts,
-    so that rows can be told by a number."""
-    kept = {f"k_{n}": c for n, c in (keep or {repo: F.col(repo)}).items()}
-    found = find_spans(df.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(text).alias("text"),
-                                 *[c.alias(n) for n, c in kept.items()]))
+    """One row a document: the ``keep`` columns, ``base``, ``more``, and ``held``, a map of
+    its spans' secrets to their verdicts (``live``, ``repos``, ``owners``). Spans are
+    checkpointed, without texts, so that rows can be told by a number."""
+    kept = {f"k_{n}": c for n, c in (keep or {key: F.col(key)}).items()}
+    found = find_spans(df.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("repo"), F.col(owner).alias("owner"),
+                                 F.col(text).alias("text"), *[c.alias(n) for n, c in kept.items()]))
     found = cut_lineage(found.drop("text").withColumn("row", F.monotonically_increasing_id()))
     spans = found.select("row", "repo", "owner", F.explode(F.transform(F.concat("base", "more"), lambda s: s["hash"]))
                          .alias("hash"))
-    live = owners(spans, copied).where("live").select("hash")
-    mine = spans.select("row", "hash").distinct().join(live, "hash") \
-        .groupBy("row").agg(F.collect_list("hash").alias("live"))
+    verdicts = owners(spans, copied)
+    mine = spans.select("row", "hash").distinct().join(verdicts, "hash") \
+        .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("live", "repos", "owners")))).alias("held"))
     out = found.join(mine, "row", "left")
-    return out.select(*[F.col(n).alias(n[2:]) for n in kept], "base", "more",
-                      F.coalesce("live", F.array().cast("array<bigint>")).alias("live"))
+    return out.select(*[F.col(n).alias(n[2:]) for n in kept], "base", "more", "held")
 
 
 def _listed(spans: Column) -> Column:
@@ -129,20 +132,27 @@ def _listed(spans: Column) -> Column:
         ":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _verdict(span: Column) -> Column:
+    return F.element_at("held", span["hash"])
+
+
 def _live(spans: Column) -> Column:
-    return F.filter(spans, lambda s: F.array_contains("live", s["hash"]))
+    return F.filter(spans, lambda s: _verdict(s)["live"])
 
 
 def secret_spans(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source",
                  copied: int = COPIED) -> DataFrame:
     """Key, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans`` (base and
-    added ones) and ``n_live``, how many of them look live."""
+    added ones), ``n_live``, how many of them look live, and ``held``, for each of them
+    ``repositories:owners``."""
     found = scan(df, text, key, owner, copied)
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
     every = F.sort_array(F.concat("base", _live(F.col("more"))))
     return found.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"),
-                        F.size(_live(every)).cast("bigint").alias("n_live"))
+                        F.size(_live(every)).cast("bigint").alias("n_live"),
+                        F.array_join(F.transform(every, lambda s: F.concat_ws(":", _verdict(s)["repos"].cast("string"),
+                                                                              _verdict(s)["owners"].cast("string"))), ",").alias("held"))
 
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source",
@@ -153,17 +163,18 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
     their table is written first, so the join is planned by its size."""
     spans = F.sort_array(_live(F.concat("base", "more")))
     found = scan(df, text, key, owner, copied, {"key": F.col(key), "hash": F.xxhash64(text)}) \
-        .select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), spans.alias("__spans")) \
-        .where(F.size("__spans") > 0).dropDuplicates(["__key", "__hash"])
-    found = written(found, "masks")
-    joined = df.withColumn("__row", F.xxhash64(text)).join(
-        found, df[key].eqNullSafe(F.col("__key")) & (F.col("__row") == F.col("__hash")), "left")
+        .select("key", "hash", spans.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key", "hash"])
+    found = written(found, "masks").alias("m")
+    # working columns stand beside the row in a struct, so no name of the caller's clashes
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[key].alias("key"), F.xxhash64(text).alias("hash")).alias("d")
+    joined = rows.join(found, F.col("d.key").eqNullSafe(F.col("m.key")) & (F.col("d.hash") == F.col("m.hash")), "left") \
+        .select("d.row", "m.spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    value = F.col(text)
-    clean = F.aggregate("__spans", zero, lambda a, s: F.struct(
+    value = F.col("row").getField(text)
+    clean = F.aggregate("spans", zero, lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when((s["start"] < a["at"]) & (a["at"] > 0), a["out"])
         .otherwise(F.concat(a["out"], value.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out")),
         lambda a: F.concat(a["out"], value.substr(a["at"] + 1, F.length(value))))
-    masked = F.when(F.col("__spans").isNull(), value).otherwise(clean)
-    return joined.select(*[masked.alias(c) if c == text else df[c] for c in df.columns])
+    masked = F.when(F.col("spans").isNull(), value).otherwise(clean)
+    return joined.select(*[(masked if c == text else F.col("row").getField(c)).alias(c) for c in df.columns])

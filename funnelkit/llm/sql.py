@@ -75,7 +75,7 @@ def secret_sql(copied: int) -> str:
         + f"|{either('api')}_?{either('key')})"
     assign = keyword + r"""["'']?\x20*[:=]\x20*["'']?"""
     kinds = [(assign + "[A-Za-z0-9+/_.=-]+", "regexp_extract(hit, '^" + assign + "(.*)$', 1)"),
-             ("AKIA[A-Z0-9]{16,}", "hit"), ("[0-9a-f]{24,}", "hit"), ("[A-Za-z0-9_-]{24,}", "hit")]
+             ("AKIA[A-Z0-9]{16,}", "hit"), ("[0-9a-f]{24,}", "hit"), ("[A-Za-z0-9+/_-]{24,}={0,2}", "hit")]
     found = " union all ".join(f"""
         select doc_id, source, {rank} as rank, {value} as value, length(hit) as size,
             sum(gap + length(hit)) over (partition by doc_id order by i) as stop
@@ -91,20 +91,25 @@ def secret_sql(copied: int) -> str:
     hits as ({found}),
     spans as (select doc_id, source, rank, value, (stop - size)::bigint as start, stop::bigint as stop,
         ['assign', 'access', 'hex', 'token'][rank + 1] as kind from hits where length(value) >= 6
-        and (rank < 3 or (regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]')
-                          and regexp_matches(value, '[a-z]')))),
+        and (rank < 3 or (length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3
+                          and length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 3))),
     base as (select * from spans where rank < 3),
     more as (select * from spans m where rank = 3 and not exists (
         select 1 from base b where b.doc_id = m.doc_id and b.start < m.stop and m.start < b.stop)),
     every as (select * from base union all select * from more),
-    live as (select value from every group by value having count(distinct coalesce(source, '')) < {copied}),
-    kept as (select e.*, l.value is not null as is_live from every e left join live l on e.value = l.value),
+    repos as (select value, t, min_by(coalesce(source, ''), (source is not null, source)) as owner
+        from (select every.value, every.source, d.t from every join d using (doc_id)) group by value, t),
+    held as (select value, count(*) as repos, count(distinct owner) as owners from repos group by value),
+    kept as (select e.*, h.owners < {copied} as is_live, h.repos || ':' || h.owners as held
+        from every e join held h on e.value = h.value),
     per_doc as (select doc_id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access,
         count(*) filter (where rank = 2) as n_hex, {base_listed} as base,
-        {listed} as spans, count(*) filter (where is_live) as n_live
+        {listed} as spans, count(*) filter (where is_live) as n_live,
+        array_to_string(list(held order by start, rank), ',') as held
         from kept where rank < 3 or is_live group by doc_id)
     select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-      sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+      sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live,
+      coalesce(held, '') as held
     from d left join per_doc using (doc_id)"""
 
 
