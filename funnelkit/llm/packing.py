@@ -9,7 +9,8 @@ documents, none needs padding, and sequences of equal length form one bucket
 Nothing is shuffled: a document's pieces follow from its own count, and
 ``sequence_id`` numbers the pieces of each input partition. Each partition's pieces
 come bucket by bucket, long ones first, so a file written from it holds every length
-in one run. ``write_buckets`` writes the sequences into one folder a length.
+in one run. ``by_length`` deals pieces by bucket, and ``write_buckets`` writes the
+sequences into one folder a length.
 
 A null text is empty and gives one piece, the end id. Repeated rows are packed
 each by themselves, so every row's ids stand in sequences of their own. Columns
@@ -88,6 +89,12 @@ def pack_power_of_two(df: DataFrame, path: str, text: str = "text", key: str = "
                                "offset": F.lit(0).cast("bigint")}).sortWithinPartitions(F.desc("length"))
 
 
+def by_length(pieces: DataFrame) -> DataFrame:
+    """The pieces bucket by bucket: those of one length stand together, a bucket of many
+    pieces in several partitions of like size, one of few in one (adaptive rebalancing)."""
+    return pieces.hint("rebalance", "length").sortWithinPartitions(F.desc("length"))
+
+
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """The sequences as Parquet, one folder a length (at most 1 + log2(max_len) of
     them, each task writing to any): a training job reads one bucket at a time."""

@@ -131,11 +131,13 @@ def quality_rules(df: DataFrame, text: str = "text", key: str = "doc_id", host:
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``df`` that pass both verdicts. Texts are judged twice (once for
-    the hosts' sums, once to filter) rather than written; rejected hosts are removed by
-    an anti join with their written table."""
-    judged = df.select(F.col(host).alias("__host"), failing(F.col(text)).alias("base_failed"))
-    bad = written(host_verdicts(judged, "__host", max_rate=max_rate).where(~F.col("host_kept")).select("host"),
-                  "rejected-hosts")
-    good = df.where(~failing(F.col(text)))
-    return good.join(bad, good[host].eqNullSafe(bad["host"]), "left_anti")
+    """The rows of ``df`` that pass both verdicts. Texts are judged once: rows are written
+    with their own verdict, hosts are summed from two columns of that, and rejected hosts
+    are removed by an anti join with their written table."""
+    judged = written(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), failing(F.col(text)).alias("failed")),
+                     "judged")
+    verdicts = host_verdicts(judged.select(F.col("row").getField(host).alias("host"), "failed"), "host", "failed", max_rate)
+    bad = written(verdicts.where(~F.col("host_kept")).select("host"), "rejected-hosts")
+    good = judged.where(~F.col("failed"))
+    good = good.join(bad, F.col("row").getField(host).eqNullSafe(bad["host"]), "left_anti")
+    return good.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
