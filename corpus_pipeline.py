@@ -6,9 +6,11 @@ group, the secret scan masks secrets that look live, and packing cuts the rest i
 sequences. Every stage reads all that the one before it kept, from Parquet in the shared
 folder of ``spark.checkpoint.dir``, so a lost executor costs the tasks of one stage.
 
-Nulls, empty and very long texts, repeated rows, empty tables and extra columns are
-handled as the operators' docstrings say; all stages but the last return the columns of
-their input. A document whose text becomes empty on the way still gives a sequence, its
+Nulls are read as the operators' docstrings say (a null text is empty, a null source a
+host and an owner like any other, a null id comes last). Empty and very long texts,
+repeated rows and empty tables pass every stage. All stages but the last return the
+columns of their input, extra ones included whatever their names: working columns stand
+beside a row, never among its columns. A document whose text becomes empty on the way still gives a sequence, its
 end id.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.llm.line_dedup import line_dedup
-from funnelkit.llm.packing import pack_power_of_two
+from funnelkit.llm.packing import by_length, pack_power_of_two
 from funnelkit.llm.quality import keep_good
 from funnelkit.llm.secret_scan import redact
 from funnelkit.llm.simhash import keep_one
@@ -57,8 +59,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: sequences of token ids, none of which crosses documents."""
-    return pack_power_of_two(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Operator 4: sequences of token ids, none of which crosses documents, those of one
+    length together."""
+    return by_length(pack_power_of_two(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("SimHash near-dedup", near_dedup_stage),
