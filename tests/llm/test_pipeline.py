@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from funnelkit.llm import line_dedup, secret_scan
@@ -54,14 +55,36 @@ def test_stages(spark):
     assert masked >= 3 and len(kept["secret scans"]) == len(want)
 
 
-def test_run_keeps_every_token_of_what_it_keeps(spark):
+def test_run_keeps_every_token_of_what_it_keeps(spark, tmp_path):
+    """The last stage's ids are the tokenizers library's, of every kept document and in order."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    docs = documents(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len({r.sequence_id for r in rows}) == len(rows)
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
-    for pieces in by_doc.values():
-        assert sum(p.length for p in pieces) == pieces[0].doc_tokens
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: coder.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
+    assert set(by_doc) == set(want)
+    for doc, pieces in by_doc.items():
+        pieces.sort(key=lambda p: p.start)
+        assert [i for p in pieces for i in p.ids] == want[doc]
+        assert all(p.length == len(p.ids) and p.length & (p.length - 1) == 0 and p.doc_tokens == len(want[doc]) for p in pieces)
+
+
+def test_callers_names_survive_every_stage(spark):
+    docs = odd_docs(spark, clash=False)
+    for c in ("__row", "__kept", "__drop", "__host", "__key", "k", "d", "held", "failed"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.where("__row <> '__row' OR __kept <> '__kept' OR k <> 'k' OR __host <> '__host' OR held <> 'held'").count() == 0
+        docs = out
 
 
 def test_odd_rows_pass_every_stage(spark):
