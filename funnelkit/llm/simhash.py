@@ -96,8 +96,9 @@ def segments(bits: int, count: int = 0) -> list[tuple[int, int]]:
 
     def cost(found: list[tuple[int, int]]) -> float:
         return sum(_ball_size(w, r) * (1 + count / 2 ** w) + 1 for w, r in found)
-    return min(filter(lambda found: sum(_ball_size(w, r) for w, r in found) <= MAX_PROBES,
-                      map(cut, range(1, bits + 2))), key=cost)
+    cuts = [c for c in map(cut, range(1, bits + 2)) if sum(_ball_size(w, r) for w, r in c) <= MAX_PROBES]
+    # beyond three, segments are so short that chance matches outgrow what probes they spare
+    return min([c for c in cuts if len(c) <= 3] or cuts, key=cost)
 
 
 def _ball_size(width: int, radius: int) -> int:
