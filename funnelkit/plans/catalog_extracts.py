@@ -318,9 +318,10 @@ SELECT b.*,
   (SELECT e.ts FROM events e WHERE e.user_id = b.user_id ORDER BY e.ts DESC LIMIT 1) AS latest_login_date
 FROM base b JOIN customer c ON c.c_custkey = b.user_id
 """)
-def mtd_active_enriched(spark, d):
+def mtd_active_enriched(spark, d, *, since="1998-06-01"):
+    """Leads with a logged step since ``since``, enriched."""
     t = Tables(spark, d)
-    base = semi(t.orders, t.lineitem.where(F.col("l_shipdate") >= _ts("1998-06-01")),
+    base = semi(t.orders, t.lineitem.where(F.col("l_shipdate") >= _ts(since)),
                 [("o_orderkey", "l_orderkey")]).select(
         F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderstatus").alias("product_status"), F.col("o_orderpriority").alias("product"),
@@ -590,17 +591,20 @@ SELECT b.*,
 FROM base b JOIN customer c ON c.c_custkey = b.user_id
 WHERE b.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 98)
 """)
-def rejected_enriched(spark, d):
+def rejected_enriched(spark, d, *, since="1998-01-01", recent="2000-01-01", run_date="2024-01-30", min_error=98):
+    """Rejected leads applied since ``since``, with whether their user applied at the
+    lender since ``recent`` or ever, and the age on ``run_date``; users with an error
+    above ``min_error`` are suppressed."""
     from funnelkit.functions.expr import age_years
     from funnelkit.operators.member import suppress
     t = Tables(spark, d)
-    la = t.orders.where(imatch("o_orderpriority", "(3-|4-)") & (F.col("o_orderdate") >= _ts("1998-01-01")))
+    la = t.orders.where(imatch("o_orderpriority", "(3-|4-)") & (F.col("o_orderdate") >= _ts(since)))
     # the fan-out lateral (every lead x all of its user's leads) is kept as its
     # multiplicity and the per-pair flags as aggregates per user
     f = imatch("o_orderstatus", "f")
     per_user = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.count(F.lit(1)).alias("fanout_rows"),
-        F.max(F.when(f & (F.col("o_orderdate") >= _ts("2000-01-01")), 1)).alias("lender_applied_2years_flag"),
+        F.max(F.when(f & (F.col("o_orderdate") >= _ts(recent)), 1)).alias("lender_applied_2years_flag"),
         F.max(F.when(f, 1)).alias("lender_applied_ever_flag"),
         F.min("o_orderdate").alias("first_profile_date"))
     base = la.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("user_id"),
@@ -609,14 +613,14 @@ def rejected_enriched(spark, d):
                              decode_label("c_mktsegment", SEGMENT_LABELS).alias("customer_type"))
     out = (base.join(per_user, "user_id", "left").join(cust, "user_id", "inner")
            .join(_user_event_lookups(t), "user_id", "left"))
-    out = suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > 98)),
+    out = suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > min_error)),
                    "user_id", "user_id")
     dob = F.date_add(F.lit("1960-01-01").cast("date"), ((F.col("user_id") * 37) % 18000).cast("int"))
     return out.select(
         "lead_id", "user_id", "product_status", "applied_date", "fanout_rows", "lender_applied_2years_flag",
         "lender_applied_ever_flag", "first_profile_date", "customer_type", "tkn",
         F.coalesce("__last_purchase_value", "__last_view_value").alias("monthly_income"),
-        age_years(dob, "2024-01-30").alias("age"), "latest_login_date")
+        age_years(dob, run_date).alias("age"), "latest_login_date")
 
 
 @query("rest_of_base", ids="R7 C4 J6 J22 J23 F5 F11 P4 A22", sql="""
@@ -652,26 +656,30 @@ SELECT b.*,
 FROM b2 b
 WHERE b.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 98)
 """)
-def rest_of_base(spark, d):
+def rest_of_base(spark, d, *, status_since="2001-01-01", since="2000-01-01", min_score=500, pincodes=("500", "550"),
+                 min_error=98):
+    """Profiles of a score of ``min_score`` at least, outside the range of ``pincodes`` and
+    without an account since ``status_since``; flags look back to ``since``, and users
+    with an error above ``min_error`` are suppressed."""
     from funnelkit.functions.expr import flag_when, text_between
     from funnelkit.operators.member import attach_flag, suppress
     t = Tables(spark, d)
-    base = t.customer.where((F.col("c_acctbal") >= 500) &
+    base = t.customer.where((F.col("c_acctbal") >= min_score) &
                             (imatch("c_mktsegment", "(build|auto)") | F.col("c_mktsegment").isNull()) &
-                            text_between(F.col("c_custkey").cast("string"), "500", "550", negate=True))
-    recent_p = t.orders.where((F.col("o_orderdate") >= _ts("2001-01-01")) & (F.col("o_orderstatus") == "P"))
+                            text_between(F.col("c_custkey").cast("string"), *pincodes, negate=True))
+    recent_p = t.orders.where((F.col("o_orderdate") >= _ts(status_since)) & (F.col("o_orderstatus") == "P"))
     base = anti(base, recent_p, [("c_custkey", "o_custkey")]).select(
         F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("credit_score"),
         F.col("c_mktsegment").alias("employment_type"), F.col("c_custkey").cast("string").alias("pincode"))
-    since = F.col("o_orderdate") >= _ts("2000-01-01")
+    recent = F.col("o_orderdate") >= _ts(since)
     for name, members in [("high_value_flag", t.orders.where(F.col("o_totalprice") > 450000)),
-                          ("recent_urgent_flag", t.orders.where((F.col("o_orderpriority") == "1-URGENT") & since)),
-                          ("recent_high_flag", t.orders.where((F.col("o_orderpriority") == "2-HIGH") & since))]:
+                          ("recent_urgent_flag", t.orders.where((F.col("o_orderpriority") == "1-URGENT") & recent)),
+                          ("recent_high_flag", t.orders.where((F.col("o_orderpriority") == "2-HIGH") & recent))]:
         base = attach_flag(base, members, "user_id", name, "o_custkey")
     age = F.col("user_id") % 100
     out = base.withColumn("income_age_flag", flag_when((F.col("credit_score") >= 1500) & (age >= 22) & (age <= 45), "1"))
     out = out.join(_user_event_lookups(t).select("user_id", "tkn", "latest_login_date"), "user_id", "left")
-    return suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > 98)),
+    return suppress(out, t.events.where((F.col("event_type") == "error") & (F.col("value") > min_error)),
                     "user_id", "user_id")
 
 

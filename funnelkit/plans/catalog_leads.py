@@ -362,9 +362,12 @@ LEFT JOIN LATERAL (
   FROM orders o WHERE o.o_custkey = b.user_id AND o.o_orderpriority IN ('1-URGENT')
 ) f ON TRUE
 """)
-def ever_product_cohort(spark, d):
+def ever_product_cohort(spark, d, *, d0="2001-01-01", d1="2000-01-01", d2="1999-01-01", pincodes=("500", "550"),
+                        min_price=5000):
     """The cohort in its two saved steps: the base with incomes, then tokens, consent,
-    suppression and the recency, lender and status flags."""
+    suppression and the recency, lender and status flags. Recency is since ``d0``, from
+    ``d1`` and from ``d2``; profiles in the range of ``pincodes``, and users with a pending
+    lead below ``min_price``, are left out."""
     t = Tables(spark, d)
     urgent = t.orders.where(F.col("o_orderpriority").isin("1-URGENT"))
     base = semi(t.customer, urgent, [("c_custkey", "o_custkey")]).select(
@@ -378,10 +381,10 @@ def ever_product_cohort(spark, d):
         last_by("event_id", ["ts", "event_id"], where=F.col("event_type") == "signup").alias("tkn"))
     consent = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("message_consent"))
     step = base.join(tokens, "user_id", "left").join(consent, "c_nationkey", "left")
-    step = step.where(text_between(F.col("user_id").cast("string"), "500", "550", negate=True))
-    step = suppress(step, t.orders.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 5000)),
+    step = step.where(text_between(F.col("user_id").cast("string"), *pincodes, negate=True))
+    step = suppress(step, t.orders.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < min_price)),
                     "user_id", "o_custkey")
-    flags = recency_flags(urgent, user="o_custkey", t="o_orderdate", d0="2001-01-01", d1="2000-01-01", d2="1999-01-01",
+    flags = recency_flags(urgent, user="o_custkey", t="o_orderdate", d0=d0, d1=d1, d2=d2,
                           groups={"applied": F.lit(True)})
     lender = F.col("o_orderkey") % 5
     more = urgent.groupBy("o_custkey").agg(

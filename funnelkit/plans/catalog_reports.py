@@ -248,20 +248,23 @@ LEFT JOIN LATERAL (
   FROM orders o WHERE o.o_custkey = b.c_custkey AND o.o_orderpriority IN ('1-URGENT')
 ) f ON TRUE
 """)
-def cohort_suppressed(spark, d):
+def cohort_suppressed(spark, d, *, d0="2001-01-01", d1="2000-01-01", d2="1999-01-01", pincodes=("500", "550"),
+                      min_price=5000, high_value=450000):
+    """Urgent leads' profiles outside the range of ``pincodes`` and without a pending lead
+    below ``min_price``, with recency since ``d0``, from ``d1`` and from ``d2``."""
     t = Tables(spark, d)
     urgent, status = F.col("o_orderpriority").isin("1-URGENT"), F.col("o_orderstatus")
     # every fact about a user's orders in one pass over them
-    per = recency_flags(t.orders, user="o_custkey", t="o_orderdate", d0="2001-01-01", d1="2000-01-01", d2="1999-01-01",
+    per = recency_flags(t.orders, user="o_custkey", t="o_orderdate", d0=d0, d1=d1, d2=d2,
                         groups={"urgent": urgent}, more=[
                             milestone(urgent & imatch("o_orderstatus", "f"), 0).alias("urgent_f"),
                             milestone(urgent, 0).alias("urgent_any"),
                             milestone(urgent & status.isin("O"), 0).alias("urgent_o"),
                             last_by("o_totalprice", ["o_orderdate", "o_orderkey"], where=status == "O").alias("__latest"),
-                            F.when(F.bool_or(F.col("o_totalprice") > 450000), "1").alias("hv_flag")])
+                            F.when(F.bool_or(F.col("o_totalprice") > high_value), "1").alias("hv_flag")])
     base = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal") \
-        .where(text_between(F.col("c_custkey").cast("string"), "500", "550", negate=True))
-    base = suppress(base, t.orders.where((status == "P") & (F.col("o_totalprice") < 5000)), "c_custkey", "o_custkey")
+        .where(text_between(F.col("c_custkey").cast("string"), *pincodes, negate=True))
+    base = suppress(base, t.orders.where((status == "P") & (F.col("o_totalprice") < min_price)), "c_custkey", "o_custkey")
     out = base.join(per.where("urgent_any = 1").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
     return out.select("c_custkey", "c_mktsegment", F.coalesce("__latest", "c_acctbal").alias("monthly_income"),
                       "urgent_d0", "urgent_d1", "urgent_d2", "urgent_old", "urgent_f", "urgent_any", "urgent_o", "hv_flag")

@@ -69,6 +69,41 @@ def test_reports_take_run_parameters(spark):
     assert got.count() == duckdb.sql(f"SELECT count(DISTINCT user_id) FROM '{SF}/events.parquet'").fetchall()[0][0]
 
 
+# Report, run arguments, and what they replace in its oracle.
+OTHER_RUNS = [
+    ("mtd_active_enriched", {"since": "1997-01-01"}, {"1998-06-01": "1997-01-01"}),
+    ("rejected_enriched", {"since": "1996-01-01"}, {"1998-01-01": "1996-01-01"}),
+    ("rejected_enriched", {"recent": "1997-01-01", "run_date": "2020-07-15", "min_error": 20},
+     {"2000-01-01": "1997-01-01", "2024-01-30": "2020-07-15", "value > 98": "value > 20"}),
+    ("rest_of_base", {"status_since": "1995-01-01", "since": "1997-01-01"}, {"2001-01-01": "1995-01-01", "2000-01-01": "1997-01-01"}),
+    ("rest_of_base", {"min_score": 3000, "pincodes": ("1", "4"), "min_error": 50},
+     {"c_acctbal >= 500": "c_acctbal >= 3000", "BETWEEN '500' AND '550'": "BETWEEN '1' AND '4'", "value > 98": "value > 50"}),
+    ("ever_product_cohort", {"d0": "1998-01-01", "d1": "1997-01-01", "d2": "1996-01-01", "pincodes": ("1", "2"), "min_price": 90000},
+     {"2001-01-01": "1998-01-01", "2000-01-01": "1997-01-01", "1999-01-01": "1996-01-01",
+      "BETWEEN '500' AND '550'": "BETWEEN '1' AND '2'", "o_totalprice < 5000": "o_totalprice < 90000"}),
+    ("cohort_suppressed", {"d0": "1998-01-01", "d1": "1997-01-01", "d2": "1996-01-01", "pincodes": ("1", "2"), "min_price": 90000,
+                           "high_value": 300000},
+     {"2001-01-01": "1998-01-01", "2000-01-01": "1997-01-01", "1999-01-01": "1996-01-01",
+      "BETWEEN '500' AND '550'": "BETWEEN '1' AND '2'", "o_totalprice < 5000": "o_totalprice < 90000", "> 450000": "> 300000"}),
+]
+
+
+@pytest.mark.parametrize("name,args,changes", OTHER_RUNS)
+def test_reports_of_other_runs_equal_their_oracle(spark, duck, name, args, changes):
+    q = all_queries()[name]
+    sql = q.sql
+    for old, new in changes.items():
+        assert old in sql
+        sql = sql.replace(old, new)
+    results = []
+    for text in (sql, q.sql):
+        cur = duck.execute(text)
+        results.append(rows_of([d[0] for d in cur.description], cur.fetchall()))
+    df = q.build(spark, SF, **args)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == results[0]
+    assert len(results[0]) and results[0] != results[1]
+
+
 def test_reports_survive_empty_periods(spark):
     from funnelkit.plans.registry import run
     # no chatbot rows and no applications in the period: NULL rates, no errors
