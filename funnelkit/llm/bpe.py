@@ -31,12 +31,19 @@ from pyspark.sql import DataFrame
 from funnelkit.llm.batches import columns_kept, distinct_words, runs, slices, sums, text_column
 
 LONG = 64            # symbols of a word that is merged alone
-ROWS = 32768         # trees side by side
-CACHE_WORDS = 350_000  # entries a worker keeps before it starts afresh
-NO_PAIR = np.iinfo(np.int64).max
+ROWS = 4096          # trees side by side: few enough to stay in a core's own cache
+CACHE_WORDS = 350_000  # units a worker keeps; beyond them, only those of the texts at hand
+NO_KEY = np.iinfo(np.int64).max
+NO_PAIR = np.iinfo(np.int32).max     # above every rank * LONG + position
 # Below this code point the character classes of the installed regex module and
 # of the tokenizer library agree; words with later ones are split by the library.
 SAFE = "԰"
+# Words of these characters alone are split by Arrow, all at once: no white space, nothing
+# that composes, every letter with one lower case in ASCII or Latin-1.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+LETTERS = "[a-zß-öø-ÿ]"
+PLAIN_PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|{LETTERS}+|[0-9]|[^a-zß-öø-ÿ0-9]+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"   # what they were written for
 
 
 class Merges:
@@ -48,7 +55,7 @@ class Merges:
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], dtype=np.int64)
         self.result = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = np.append(keys[order], NO_PAIR), np.append(order, 0)
+        self.keys, self.ranks = np.append(keys[order], NO_KEY), np.append(order, 0)
         self.lookup = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
         chars = byte_chars()
         self.first = np.array([vocab[c] for c in chars], dtype=np.int64)
@@ -107,7 +114,7 @@ class Merges:
         nxt = np.where(place + 1 < lengths[:, None], place + 1, size)
         prv = np.broadcast_to(np.where(place > 0, place - 1, size), (n, size)).copy()
         prv = np.concatenate([prv, np.zeros((n, 1), dtype=prv.dtype)], axis=1)
-        tree = np.full((n, 2 * size), NO_PAIR, dtype=np.int64)
+        tree = np.full((n, 2 * size), NO_PAIR, dtype=np.int32)
         if size > 1:
             ranks = self.rank(sym[:, :-1], sym[:, 1:])
             leaf = (ranks >= 0) & live[:, 1:]
@@ -198,7 +205,9 @@ def byte_chars() -> list[str]:
 class WordCoder:
     """Ids of white-space separated words under a byte-level BPE with word ends
     (``word_bpe_49k.json``), as the tokenizers library gives them without added
-    special tokens. Ids are kept per word in a bounded cache."""
+    special tokens. Ids are kept per unit in a bounded cache: a unit is a piece of a
+    plain word, folded in case, or any other word as it stands. Units and their ids are
+    Arrow and numpy arrays, which take a tenth of the memory of a dictionary."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -215,27 +224,16 @@ class WordCoder:
         self.numbers = [str(i) for i in range(len(self.names))]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         # the file's own pattern, for characters on which the libraries agree
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern)
+        self.by_arrow = pattern == PATTERN
         self.chars = {c: b for b, c in enumerate(byte_chars())}
-        self.forget()
-
-    def forget(self) -> None:
-        """Empties the cache."""
-        self.slots: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, dtype=np.int32)  # ids of all cached words
-        self.used = 0
+        self.known = pa.array([], pa.large_string())     # cached units
+        self.ids = np.empty(0, dtype=np.int32)           # ids of all cached units, one after another
         self.starts = self.counts = np.empty(0, dtype=np.int64)
 
     def pretokens(self, word: str) -> list[bytes]:
         """Normalised pieces of a word without special strings."""
-        if word.isascii():
-            # no ASCII white space is left in a word, so folding case is all there is to do
-            plain = word.lower()
-            if plain.isalpha():
-                return [plain.encode()]
-            if plain[-1] in ".," and plain[:-1].isalpha():
-                return [plain[:-1].encode(), plain[-1].encode()]
-            return [p.encode() for p in self.pieces.findall(plain)]
         top = max(word)
         # below U+0300 nothing composes and no letter folds by its context
         plain = word.lower() if top < "\u0300" else self.library.normalizer.normalize_str(word)
@@ -244,61 +242,90 @@ class WordCoder:
         split = self.library.pre_tokenizer.pre_tokenize_str(plain)
         return [bytes(map(self.chars.__getitem__, p)) for p, _ in split]
 
-    def encode(self, words: list[str]) -> np.ndarray:
-        """Encodes the words not yet cached; each word's slot in the cache."""
-        slots = self.slots
-        missing = [w for w in words if w not in slots]
-        if len(slots) + len(missing) > CACHE_WORDS and slots:
-            self.forget()
-            slots, missing = self.slots, words
-        index: dict = {}  # pieces: bytes of a pre-token, or the id of a special string
-        parts: list[int] = []
-        sizes = []
-        for word in missing:
+    def plain(self, words: pa.Array) -> pa.Array:
+        """Which words, or pieces of such, Arrow splits. A piece of a plain word is plain
+        and no other word is, so that one cache holds both."""
+        if not self.by_arrow:
+            return pa.array(np.zeros(len(words), dtype=bool))
+        return pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+
+    def units(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct units of the words, for every word's units in order their places
+        among them, and where each word's begin."""
+        plain = self.plain(words)
+        lower = pc.if_else(plain, pc.utf8_lower(words), words)
+        mixed = pc.and_not(plain, pc.match_substring_regex(lower, f"^{LETTERS}+$"))
+        cut = pc.replace_substring_regex(lower.filter(mixed), PLAIN_PIECES, r"\0 ")
+        split = pc.replace_with_mask(lower, mixed, pc.ascii_rtrim_whitespace(cut))
+        return distinct_words(split)
+
+    def slots(self, units: pa.Array) -> np.ndarray:
+        """Encodes the units not yet cached; each unit's slot in the cache."""
+        found = pc.index_in(units, value_set=self.known)
+        missing = units.filter(found.is_null())
+        if not len(missing):
+            return np.asarray(found)
+        if len(self.known) + len(missing) > CACHE_WORDS:
+            self.keep(np.asarray(found.drop_null()))
+        ids, counts, missing = self.encode(missing)
+        self.known = pa.concat_arrays([self.known, missing])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        return np.asarray(pc.index_in(units, value_set=self.known))
+
+    def keep(self, slots: np.ndarray) -> None:
+        """Empties the cache but for these."""
+        self.known = self.known.take(pa.array(slots))
+        self.ids = self.ids[runs(self.starts[slots], self.counts[slots])]
+        self.counts = self.counts[slots]
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all units, one after another, how many each has, and the units in the
+        order of these: plain ones first."""
+        plain = self.plain(units)
+        whole, others = units.filter(plain), units.filter(pc.invert(plain))
+        pieces = whole.cast(pa.large_binary()).to_pylist()
+        if not len(others):
+            return *self.merges.encode(pieces), whole
+        index: dict = {p: i for i, p in enumerate(pieces)}  # bytes of a pre-token, or the id of a special string
+        parts = list(range(len(pieces)))
+        sizes = [1] * len(pieces)
+        for word in others.to_pylist():
             before = len(parts)
-            if "<|" in word:
-                for piece in filter(None, self.split_special.split(word)):
-                    if piece in self.special:
-                        parts.append(index.setdefault(self.special[piece], len(index)))
-                    else:
-                        parts += [index.setdefault(p, len(index)) for p in self.pretokens(piece)]
-            elif word:
-                for p in self.pretokens(word):
-                    parts.append(index.setdefault(p, len(index)))
+            for piece in filter(None, self.split_special.split(word) if "<|" in word else [word]):
+                if piece in self.special:
+                    parts.append(index.setdefault(self.special[piece], len(index)))
+                else:
+                    parts += [index.setdefault(p, len(index)) for p in self.pretokens(piece)]
             sizes.append(len(parts) - before)
-            slots[word] = len(slots)
-        if missing:
-            self._store(index, np.array(parts, dtype=np.int64), np.array(sizes, dtype=np.int64))
-        return np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=len(words))
+        ids, counts = self._joined(list(index), np.array(parts, dtype=np.int64), np.array(sizes, dtype=np.int64))
+        return ids, counts, pa.concat_arrays([whole, others])
 
-    def _store(self, index: dict, parts: np.ndarray, sizes: np.ndarray) -> None:
-        pieces = list(index)
+    def _joined(self, pieces: list, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units made of ``sizes`` pieces each, named by place in ``parts``."""
         flat, counts = self.merges.encode([p for p in pieces if isinstance(p, bytes)])
         named = [p for p in pieces if not isinstance(p, bytes)]
-        place = np.empty(len(pieces), dtype=np.int64)  # of each piece in what follows
         is_named = np.fromiter((not isinstance(p, bytes) for p in pieces), dtype=bool, count=len(pieces))
-        place[~is_named], place[is_named] = np.arange(len(counts)), len(counts) + np.arange(len(named))
+        begin = np.empty(len(pieces), dtype=np.int64)
+        begin[~is_named], begin[is_named] = np.cumsum(counts) - counts, len(flat) + np.arange(len(named))
         flat = np.concatenate([flat, np.array(named, dtype=np.int64)])
-        counts = np.concatenate([counts, np.ones(len(named), dtype=np.int64)])[place]
-        begin = (np.cumsum(np.concatenate([[0], counts[np.argsort(place)]]))[:-1])[place] if len(pieces) else place
-        ids = flat[runs(begin[parts], counts[parts])]
-        word_counts = sums(counts[parts], np.concatenate([[0], np.cumsum(sizes)]))
-        if self.used + len(ids) > len(self.ids):
-            grown = np.empty(2 * (self.used + len(ids)), dtype=np.int32)
-            grown[:self.used] = self.ids[:self.used]
-            self.ids = grown
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(word_counts) - word_counts])
-        self.counts = np.concatenate([self.counts, word_counts])
-        self.used += len(ids)
+        each = np.ones(len(pieces), dtype=np.int64)
+        each[~is_named] = counts
+        return flat[runs(begin[parts], each[parts])], sums(each[parts], np.concatenate([[0], np.cumsum(sizes)]))
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offsets of each text's ids."""
         words, codes, offsets = distinct_words(texts)
-        slots = self.encode(words.to_pylist())[codes]
-        counts = self.counts[slots]
+        units, at, begin = self.units(words)
+        slots = self.slots(units)[at]
+        per_unit = self.counts[slots]
+        ids = self.ids[runs(self.starts[slots], per_unit)]       # of the distinct words
+        per_word = sums(per_unit, begin)
+        counts = per_word[codes]
         total = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[runs(self.starts[slots], counts)], total[offsets]
+        return ids[runs((np.cumsum(per_word) - per_word)[codes], counts)], total[offsets]
 
     def decode(self, ids) -> str:
         """The library's ``decode(ids, skip_special_tokens=False)`` for a vocabulary

@@ -68,6 +68,49 @@ def test_cache_starts_afresh(monkeypatch):
         assert found.tolist() == ids(text)
 
 
+def test_words_split_at_once_or_alone_equal_library():
+    import pyarrow as pa
+    own, (_, ids) = bpe.WordCoder(WORD), library_ids(WORD)
+    odd = ["", " ", "Straße ÀÖØÞ éÈ", "x×y ÷ ª º µ", "it's IT'S 'tis don't'll", "a1b22-33", "İI ı ŉ ǆ", "a\u00a0b a\u0085b",
+           "soft\u00adhyphen", "<|endoftext|>a<|startoftext|> <|x", "e\u0301 \ufb01 Ⅷ", "a\x1cb\x00c\x7f", "ÿŸ ж漢字", "' '' 's's",
+           "A" * 300 + "é" * 90, "tab\tnew\nline  x"]
+    for texts in (odd, odd[::-1], [" ".join(odd)], ["".join(odd)], []):
+        found, offsets = own.encode_texts(pa.array(texts, pa.large_string()))
+        assert [found[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids(x) for x in texts]
+
+
+def test_a_piece_is_merged_once_for_all_words_that_hold_it(monkeypatch):
+    import pyarrow as pa
+    own, merged = bpe.WordCoder(WORD), []
+    whole = own.merges.encode
+    monkeypatch.setattr(own.merges, "encode", lambda words: merged.extend(words) or whole(words))
+    for text in ("thear", "Thear, THEAR", "(thear) ,", "thear."):
+        own.encode_texts(pa.array([text], pa.large_string()))
+    assert sorted(merged) == sorted([b"thear", b",", b"(", b")", b"."])
+
+
+def test_the_cache_is_small():
+    """Two workers an executor keep it through all stages of the pipeline."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    own = bpe.WordCoder(WORD)
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in str(i)) for i in range(100_000, 140_000)]
+    texts = pa.array([" ".join(words)], pa.large_string())
+    del words
+    tracemalloc.start()
+    try:
+        before = pa.total_allocated_bytes()
+        own.encode_texts(texts)
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 60 * 40_000, held
+
+
 def test_token_counts_equal_library(spark):
     _, ids = library_ids(BYTE)
     df = both(spark)
