@@ -14,14 +14,15 @@ Design rules (see README "Scale"):
   that many rows at quantiles of its own times, and a seed row carries the
   result of the cells before into each cell. Every other key is one cell. No
   task holds a whole hot key, no pair of rows is emitted, the work is linear.
-* Finding the hot keys is a count per key, run when the lookup is built: only
-  the hot keys and their cut times reach the driver. ``hot_keys_for`` counts a
-  log once for several lookups.
+* Finding the hot keys is a count per key, run when the lookup is built. The hot
+  keys and their cut times are checkpointed in the shared folder: of them the driver
+  reads two counts and one length, and passes on their broadcast, which is
+  bounded by ``SHARE * partitions`` keys and twice as many cuts.
+  ``hot_keys_for`` counts a log once for several lookups.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from funnelkit.functions.expr import col_
+from funnelkit.sources.sinks import cut_lineage
 
 __all__ = ["HotKeys", "hot_keys_for", "wall_micros", "row_positions", "first_per", "lookup_latest", "prefix_agg",
            "asof_join", "lookback_join", "window_count", "range_join", "range_agg", "agg_per_key", "nth_state",
@@ -134,34 +136,40 @@ class HotKeys:
     """Keys that hold more than a fair share of the rows, with the times (micros)
     that cut each into cells and its first and last right-side time. A time that is a
     quantile more than once holds that many cells' rows: its share is kept beside it."""
-    rows: tuple[tuple, ...] = ()          # (key values..., cuts, shares, first, last)
-    types: tuple[str, ...] = ()           # key types, as DDL
+    table: DataFrame | None = None        # k0, k1, ..., cuts, shares, first, last
+    longest: int = 0                      # most cuts of a key
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.table is not None
+
+    @property
+    def rows(self) -> tuple[tuple, ...]:
+        """The table, read into the driver: for looking at, not for lookups."""
+        return tuple(map(tuple, self.table.collect())) if self else ()
 
     def open_ended(self) -> HotKeys:
         """Without the first and last times, for a right side that may lie outside them."""
-        return HotKeys(tuple((*r[:-2], None, None) for r in self.rows), self.types)
+        if not self:
+            return self
+        none = F.lit(None).cast("bigint")
+        return HotKeys(self.table.withColumns({"first": none, "last": none}), self.longest)
 
     def frame(self, spark, kcols: Sequence[str], sign: int) -> DataFrame:
         """Bounded table of the hot keys: at most SHARE * partitions rows, whose cuts
         add up to about as many. Times are negated and reversed to look forward."""
-        out = []
-        for *key, cuts, shares, first, last in self.rows:
-            cuts = list(cuts) if sign > 0 else [-c for c in reversed(cuts)]
-            shares = list(shares) if sign > 0 else list(reversed(shares))
-            end = last if sign > 0 else (None if first is None else -first)
-            out.append((*key, cuts, shares, end))
-        ddl = ", ".join(f"`{k}` {t}" for k, t in zip(kcols, self.types))
-        return spark.createDataFrame(out, f"{ddl}, __cuts array<bigint>, __shares array<int>, __end bigint")
+        keys = [F.col(f"k{i}").alias(k) for i, k in enumerate(kcols)]
+        if sign > 0:
+            return self.table.select(*keys, F.col("cuts").alias("__cuts"), F.col("shares").alias("__shares"),
+                                     F.col("last").alias("__end"))
+        return self.table.select(*keys, F.transform(F.reverse("cuts"), lambda c: -c).alias("__cuts"),
+                                 F.reverse("shares").alias("__shares"), (-F.col("first")).alias("__end"))
 
 
 def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
     """Hot keys of ``keyed`` (key columns, ``__ht`` time in micros, ``__hr`` whether a
     right row). One map-side combined count per key, of which the total and the largest
-    come back; only if that is hot, the hot keys' counts and one pass over their times
-    for the quantiles."""
+    come back; only if that is hot, one pass over the hot keys' times for the quantiles,
+    of which each key keeps those that it is cut at."""
     spark = keyed.sparkSession
     cells = share * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = F.lit(True)
@@ -172,24 +180,25 @@ def _find_hot(keyed: DataFrame, kcols: Sequence[str], share: int) -> HotKeys:
     total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
     if not total or most * cells <= total or most == 1:      # the usual case: one count, one row back
         return HotKeys()
-    hot = counts.where((F.col("__n") * cells > total) & (F.col("__n") > 1)).withColumn("__total", F.lit(total)).collect()
-    ddl = [counts.schema[k].dataType.simpleString() for k in kcols]
-    listed = spark.createDataFrame([tuple(r)[:len(kcols)] for r in hot],
-                                   ", ".join(f"`{k}` {t}" for k, t in zip(kcols, ddl)))
     m = max(2, min(cells, MAX_CUTS))
-    cuts = F.percentile_approx("__ht", [i / m for i in range(1, m)], 10 * MAX_CUTS)
-    found = keyed.join(F.broadcast(listed), list(kcols)).groupBy(*kcols).agg(      # at most ``cells`` keys
-        cuts.alias("cuts"), F.min(F.when(F.col("__hr"), F.col("__ht"))).alias("first"),
-        F.max(F.when(F.col("__hr"), F.col("__ht"))).alias("last")).collect()
-    sizes = {tuple(r)[:len(kcols)]: (r["__n"], r["__total"]) for r in hot}
-    rows = []
-    for r in found:
-        key = tuple(r)[:len(kcols)]
-        n, total_rows = sizes[key]
-        k = min(m, -(-n * cells // total_rows))                                    # cells of this key
-        picked = Counter(r.cuts[min(m - 2, max(0, round(i * m / k) - 1))] for i in range(1, k))
-        rows.append((*key, tuple(sorted(picked)), tuple(picked[c] for c in sorted(picked)), r["first"], r["last"]))
-    return HotKeys(tuple(rows), tuple(ddl))
+    listed = counts.where((F.col("__n") * cells > total) & (F.col("__n") > 1)).select(
+        *kcols, F.least(F.lit(m), F.ceil(F.col("__n") * cells / F.lit(total))).cast("int").alias("__k"))    # cells of this key
+    quantiles = F.percentile_approx("__ht", [i / m for i in range(1, m)], 10 * MAX_CUTS)
+    found = keyed.join(F.broadcast(listed), list(kcols)).groupBy(*kcols, "__k").agg(      # at most ``cells`` keys
+        quantiles.alias("__q"), F.min(F.when(F.col("__hr"), F.col("__ht"))).alias("first"),
+        F.max(F.when(F.col("__hr"), F.col("__ht"))).alias("last"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("__k") - 1), lambda i: F.get(
+        "__q", F.greatest(F.lit(0), F.least(F.lit(m - 2), F.bround(i * m / F.col("__k")).cast("int") - 1))))
+    keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(kcols)]
+    found = found.select(*keys, picked.alias("__p"), "first", "last")
+    # equal quantiles stand together: where each run of them starts, and how long it is
+    starts = F.filter(F.sequence(F.lit(0), F.size("__p") - 1), lambda i: (i == 0) | (F.get("__p", i) != F.get("__p", i - 1)))
+    found = found.withColumn("__s", starts).select(
+        *[f"k{i}" for i in range(len(kcols))], F.transform("__s", lambda i: F.get("__p", i)).alias("cuts"),
+        F.transform("__s", lambda i, j: F.coalesce(F.get("__s", j + 1), F.size("__p")) - i).alias("shares"), "first", "last")
+    table = cut_lineage(found)
+    longest = table.agg(F.max(F.size("cuts"))).first()[0]
+    return HotKeys(table, longest) if longest else HotKeys()
 
 
 def hot_keys_for(df: DataFrame, key, time: str, share: int = SHARE, holds_right: bool = False) -> HotKeys:
@@ -278,7 +287,7 @@ def prefix_agg(left: DataFrame, right: DataFrame, on, left_time: Column | str,
         # Cells of a hot key by place: 2n holds the times between its cuts n and n + 1,
         # 2n + 1 the rows of cut n + 1 itself where that time is more than a cell.
         table = F.broadcast(hot.frame(spark, kcols, sign))       # bounded, see HotKeys.frame
-        longest = max(len(r[-4]) for r in hot.rows)
+        longest = hot.longest
         cuts, beyond = F.col("__cuts"), 2 * F.size("__cuts") + 2
         extra = ["__cuts", "__shares", "__end", "__n", "__many"]
 
@@ -431,7 +440,7 @@ def range_join(left: DataFrame, right: DataFrame, on, left_time: str, right_time
     cell = ["__bk"]
     if hot:
         table = F.broadcast(hot.frame(spark, [*kcols, "__bk"], 1).drop("__end"))         # bounded, see HotKeys.frame
-        longest = max(len(r[-4]) for r in hot.rows)
+        longest = hot.longest
         cuts, shares = F.col("__cuts"), F.col("__shares")
         upto = F.aggregate(shares, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
         table = table.withColumn("__upto", upto)                     # cells that the cuts before make

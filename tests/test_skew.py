@@ -57,3 +57,20 @@ def test_hot_keys_are_those_above_a_fair_share(spark):
     assert not hot_keys_for(df.where("k <> 0"), "k", "t")
     # cuts add up to about as many as there are cells
     assert sum(len(r[-3]) for r in hot_keys_for(df, "k", "t").rows) <= 4 * parts
+
+
+def test_hot_keys_do_not_pass_through_the_driver(spark, monkeypatch):
+    """However many keys are hot, the driver reads no row a key, and a key keeps only the
+    quantiles that it is cut at."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(3000).select((F.col("id") % 500).alias("k"), F.expr(
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, id)").alias("t"))
+    read, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: read.append(collect(self)) or read[-1])
+    hot = hot_keys_for(df, "k", "t", share=10_000)
+    got = asof_join(df, df.select("k", F.col("t").alias("rt")), "k", "t", "rt", ["rt"], hot=hot)
+    assert sum(map(len, read)) <= 5
+    monkeypatch.undo()
+    assert len(hot.rows) == 500 and sum(sum(r[-3]) for r in hot.rows) <= 10_000 * parts
+    assert got.where("rt = t - INTERVAL 500 MINUTES").count() == 2500 and got.where("rt IS NULL").count() == 500
