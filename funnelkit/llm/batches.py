@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,16 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = end
 
 
+def released(work: Callable) -> Callable:
+    """``work`` on batches, after the last of which Arrow gives back the memory that it
+    holds for reuse: Spark keeps workers between tasks and stages, and an idle one's
+    memory counts as its executor's."""
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def distinct_words(texts: pa.Array, separator: str | None = None):
     """``(words, codes, offsets)``: the distinct words of all texts, for every word
     in order its place in ``words``, and where each text's words begin.

@@ -28,11 +28,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from funnelkit.llm.batches import columns_kept, distinct_words, runs, slices, sums, text_column
+from funnelkit.llm.batches import columns_kept, distinct_words, released, runs, slices, sums, text_column
 
 LONG = 64            # symbols of a word that is merged alone
 ROWS = 4096          # trees side by side: few enough to stay in a core's own cache
-CACHE_WORDS = 350_000  # units a worker keeps; beyond them, only those of the texts at hand
+SLICE = 1 << 20      # bytes of text encoded at a time, which takes some twenty times as much
+CACHE_WORDS = 150_000  # units a worker keeps; beyond them, only those of the texts at hand
 NO_KEY = np.iinfo(np.int64).max
 NO_PAIR = np.iinfo(np.int32).max     # above every rank * LONG + position
 # Below this code point the character classes of the installed regex module and
@@ -262,17 +263,21 @@ class WordCoder:
     def slots(self, units: pa.Array) -> np.ndarray:
         """Encodes the units not yet cached; each unit's slot in the cache."""
         found = pc.index_in(units, value_set=self.known)
-        missing = units.filter(found.is_null())
-        if not len(missing):
-            return np.asarray(found)
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.keep(np.asarray(found.drop_null()))
-        ids, counts, missing = self.encode(missing)
-        self.known = pa.concat_arrays([self.known, missing])
+        new = np.flatnonzero(np.asarray(found.is_null()))
+        slots = np.asarray(found.fill_null(0)).astype(np.int64)
+        if not len(new):
+            return slots
+        if len(self.known) + len(new) > CACHE_WORDS:
+            old = np.flatnonzero(np.asarray(found.is_valid()))
+            self.keep(slots[old])
+            slots[old] = np.arange(len(old))
+        ids, counts, order = self.encode(units.take(pa.array(new)))
+        slots[new[order]] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, units.take(pa.array(new[order]))])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        return np.asarray(pc.index_in(units, value_set=self.known))
+        return slots
 
     def keep(self, slots: np.ndarray) -> None:
         """Empties the cache but for these."""
@@ -281,14 +286,15 @@ class WordCoder:
         self.counts = self.counts[slots]
         self.starts = np.cumsum(self.counts) - self.counts
 
-    def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Ids of all units, one after another, how many each has, and the units in the
-        order of these: plain ones first."""
+    def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, how many each has, and the units' places
+        in the order of these: plain ones first."""
         plain = self.plain(units)
+        order = np.argsort(~np.asarray(plain), kind="stable")
         whole, others = units.filter(plain), units.filter(pc.invert(plain))
         pieces = whole.cast(pa.large_binary()).to_pylist()
         if not len(others):
-            return *self.merges.encode(pieces), whole
+            return *self.merges.encode(pieces), order
         index: dict = {p: i for i, p in enumerate(pieces)}  # bytes of a pre-token, or the id of a special string
         parts = list(range(len(pieces)))
         sizes = [1] * len(pieces)
@@ -301,7 +307,7 @@ class WordCoder:
                     parts += [index.setdefault(p, len(index)) for p in self.pretokens(piece)]
             sizes.append(len(parts) - before)
         ids, counts = self._joined(list(index), np.array(parts, dtype=np.int64), np.array(sizes, dtype=np.int64))
-        return ids, counts, pa.concat_arrays([whole, others])
+        return ids, counts, order
 
     def _joined(self, pieces: list, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units made of ``sizes`` pieces each, named by place in ``parts``."""
@@ -344,7 +350,7 @@ def _encoded(path: str, text: str, keep: list[str], with_ids: bool):
         own = coder(path)
         numbers, names = pa.array(own.numbers), pa.array(own.names)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, SLICE):
                 ids, offsets = own.encode_texts(text_column(batch, text))
                 lists = [pa.LargeListArray.from_arrays(pa.array(offsets), x.take(pa.array(ids)))
                          for x in (numbers, names)]
@@ -372,4 +378,4 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc
     schema += "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
-    return df.select(*keep, text).mapInArrow(_encoded(path, text, keep, with_ids), schema)
+    return df.select(*keep, text).mapInArrow(released(_encoded(path, text, keep, with_ids)), schema)

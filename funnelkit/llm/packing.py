@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.llm.batches import columns_kept, slices, text_column
-from funnelkit.llm.bpe import coder
+from funnelkit.llm.batches import columns_kept, released, slices, text_column
+from funnelkit.llm.bpe import SLICE, coder
 
 MAX_LEN = 2048
 END_ID = 1
@@ -43,7 +43,7 @@ def _pieces(path: str, text: str, keep: list[str], max_len: int, end_id: int, wi
     def work(batches):
         own = coder(path)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, SLICE):
                 ids, offsets = own.encode_texts(text_column(batch, text))
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 offsets = offsets + np.arange(len(offsets))
@@ -84,7 +84,7 @@ def pack_power_of_two(df: DataFrame, path: str, text: str = "text", key: str = "
     schema += "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     if with_ids:
         schema += ", ids array<int>"
-    pieces = df.select(*keep, text).mapInArrow(_pieces(path, text, keep, max_len, end_id, with_ids), schema)
+    pieces = df.select(*keep, text).mapInArrow(released(_pieces(path, text, keep, max_len, end_id, with_ids)), schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(),
                                "offset": F.lit(0).cast("bigint")}).sortWithinPartitions(F.desc("length"))
 

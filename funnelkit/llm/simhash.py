@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from funnelkit.llm.batches import columns_kept, slices, text_column
+from funnelkit.llm.batches import columns_kept, released, slices, text_column
 from funnelkit.llm.components import components
 from funnelkit.sources.sinks import cut_lineage
 
@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                  words: int = WORDS) -> DataFrame:
     """The ``keep`` columns and ``fp``, the fingerprint as a signed long."""
     schema = columns_kept(df.schema, list(keep)) + ", fp bigint"
-    return df.select(*keep, text).mapInArrow(_fingerprints(text, list(keep), words), schema)
+    return df.select(*keep, text).mapInArrow(released(_fingerprints(text, list(keep), words)), schema)
 
 
 def segments(bits: int, count: int = 0) -> list[tuple[int, int]]:

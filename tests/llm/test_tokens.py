@@ -111,6 +111,26 @@ def test_the_cache_is_small():
     assert held < 60 * 40_000, held
 
 
+def test_a_worker_stays_small():
+    """Memory of numpy and Python while 6.8 MB of text are packed, beyond text and coder."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from funnelkit.llm.batches import released
+    from funnelkit.llm.packing import _pieces
+    bpe.coder(WORD)
+    line = " ".join(f"word{i % 977} and{i % 31}" for i in range(1000))
+    batch = pa.record_batch({"doc_id": range(500), "text": [line] * 500})
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in released(_pieces(WORD, "text", ["doc_id"], 2048, 1, True))([batch])]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 3000 and most < 25 << 20, (sizes, most)
+
+
 def test_token_counts_equal_library(spark):
     _, ids = library_ids(BYTE)
     df = both(spark)
